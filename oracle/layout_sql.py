@@ -27,7 +27,7 @@ FROM (SELECT *, x1-x0 AS width, y1-y0 AS height, y0/page_height AS page_position
   regexp_matches(left(text,1), '{U}') AS starts_capital,
   right(trim(text, {WS}), 1) IN ('.','!','?',';',':',',') AS ends_punct,
   CAST(length(text) AS DOUBLE) AS char_count,
-  CAST(len(list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '')) AS DOUBLE) AS word_count,
+  CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS DOUBLE) AS word_count,
   lag(block_id) OVER d AS prev_block_id, lead(block_id) OVER d AS next_block_id,
   lag(text) OVER d AS prev_text, lead(text) OVER d AS next_text,
   lag(font_size) OVER d AS prev_font_size, lead(font_size) OVER d AS next_font_size,
@@ -147,9 +147,9 @@ view("rc6", "rc5", rf"""
 SELECT *, coalesce(c6_type, type5) AS type6 FROM (SELECT *, CASE
  WHEN type5 IN ('HEADING','LIST','QUOTE','FOOTNOTE','NOTE') OR t='' THEN NULL
  WHEN regexp_matches(t, '^(?i:figure|fig|table|map|chart|illustration|diagram)\s+\d+') THEN 'CAPTION'
- WHEN len(ls)>=2 AND len(list_filter(ls, x -> regexp_matches(x, '\s{{3,}}') OR contains(x,'|')))>=2
-  AND len(list_filter(ls, x -> regexp_matches(x, '\s{{3,}}') OR contains(x,'|')))>=len(ls)*0.5 THEN 'TABLE' END AS c6_type
-FROM (SELECT *, list_filter([trim(x) FOR x IN string_split(text, chr(10))], x -> x<>'') AS ls FROM rc5))""")
+ WHEN len(ls)>=2 AND len(list_filter(ls, lambda x: regexp_matches(x, '\s{{3,}}') OR contains(x,'|')))>=2
+  AND len(list_filter(ls, lambda x: regexp_matches(x, '\s{{3,}}') OR contains(x,'|')))>=len(ls)*0.5 THEN 'TABLE' END AS c6_type
+FROM (SELECT *, list_filter([trim(x) FOR x IN string_split(text, chr(10))], lambda x: x<>'') AS ls FROM rc5))""")
 view("rcls", "rc6", rf"""
 SELECT *, coalesce(c7_type, type6) AS type7,
  CASE coalesce(c7_type,c6_type,c5_type) WHEN 'NOTE' THEN 0.95 WHEN 'FOOTNOTE' THEN 0.9 WHEN 'LIST' THEN 0.95 WHEN 'QUOTE' THEN 0.85
@@ -169,13 +169,13 @@ view("fdom", "blk2", dom("blk2", "font_size", "length(text)", "dominant_size"))
 view("fpass", "blk2 fdom", first_pass("blk2", "fdom"))
 view("ford", "fpass", rorder("fpass", "y1<=60", "y0>=page_height-60", "x0 < page_width/3 AND x1 > 2*page_width/3", "zone=1"))
 
-R = lambda c: f"round({c}, 6) AS {c}"
+R = lambda c: f"round({c}, 9) AS {c}"
 NUMS = ["uppercase_ratio", "lowercase_ratio", "digit_ratio", "punctuation_ratio", "symbol_ratio", "avg_word_length", "text_density"]
 SIGS = ["size", "bold", "length", "case", "punctuation", "numbering", "spacing", "alignment"]
 SQL = {
     "features_typography": build("feat", "SELECT doc_id, block_id, f_size, f_family, f_bold, f_italic, all_caps, title_case, starts_capital, ends_punct FROM feat"),
     "features_geometry": build("feat", f"SELECT doc_id, block_id, width, height, {R('aspect_ratio')}, {R('page_position_y')}, margin_left, margin_right, alignment FROM feat"),
-    "features_layout": build("feat", "SELECT doc_id, block_id, space_above, space_below, is_at_top, is_at_bottom, round(line_spacing,6) AS line_spacing FROM feat"),
+    "features_layout": build("feat", "SELECT doc_id, block_id, space_above, space_below, is_at_top, is_at_bottom, round(line_spacing,9) AS line_spacing FROM feat"),
     "features_statistics": build("feat", f"SELECT doc_id, block_id, CAST(char_count AS BIGINT) AS char_count, CAST(word_count AS BIGINT) AS word_count, {', '.join(R(n) for n in NUMS)} FROM feat"),
     "features_context": build("feat", "SELECT doc_id, block_id, prev_block_id, next_block_id, prev_text, next_text, prev_font_size, next_font_size, prev_block_type, next_block_type FROM feat"),
     "feature_fingerprint_delta": build("blk", "SELECT doc_id, block_id FROM blk WHERE seq%3=0"),
@@ -185,7 +185,7 @@ SQL = {
     "list_quote_note": build("rc5", "SELECT doc_id, block_id, type5 AS block_type FROM rc5"),
     "table_caption": build("rc6", "SELECT doc_id, block_id, type6 AS block_type FROM rc6"),
     "code_formula": build("rcls", "SELECT doc_id, block_id, type7 AS block_type FROM rcls"),
-    "semantic_annotations": build("rcls", """SELECT doc_id, block_id, type7 AS block_type, round(semantic_conf,6) AS semantic_conf,
+    "semantic_annotations": build("rcls", """SELECT doc_id, block_id, type7 AS block_type, round(semantic_conf,9) AS semantic_conf,
        CASE WHEN c7_type IS NOT NULL THEN 'CODE_FORMULA_DETECTION_MODULE' WHEN c6_type IS NOT NULL THEN 'TABLE_CAPTION_DETECTION_MODULE'
             WHEN c5_type IS NOT NULL THEN 'LIST_QUOTE_NOTE_DETECTION_MODULE' ELSE 'HEADING_DETECTION_MODULE' END AS semantic_module,
        CASE WHEN coalesce(c7_type,c6_type,c5_type) IS NULL THEN 8 ELSE 1 END AS n_contributors FROM rcls"""),
@@ -193,7 +193,7 @@ SQL = {
     "reading_links": build("ro2", """SELECT doc_id, block_id, lag(block_id) OVER w AS previous_block_id, lead(block_id) OVER w AS next_block_id,
        CAST(0.95 AS DOUBLE) AS order_confidence FROM ro2 WINDOW w AS (PARTITION BY doc_id ORDER BY new_seq)"""),
     "first_pass_fonts": build("fdom", "SELECT doc_id, dominant_size, 'Times' AS dominant_family FROM fdom"),
-    "first_pass_classify": build("fpass", "SELECT doc_id, block_id, block_type, round(class_confidence,3) AS class_confidence, round(net_score,6) AS net_score, heading_level FROM fpass"),
+    "first_pass_classify": build("fpass", "SELECT doc_id, block_id, block_type, round(class_confidence,3) AS class_confidence, round(net_score,9) AS net_score, heading_level FROM fpass"),
     "first_pass_order": build("ford", """SELECT doc_id, block_id, page_order AS reading_order,
        lag(block_id) OVER w AS previous_block_id, lead(block_id) OVER w AS next_block_id
        FROM ford WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY page_order)"""),

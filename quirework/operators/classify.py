@@ -167,8 +167,8 @@ def list_quote_note(df: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
 def table_caption(df: DataFrame) -> DataFrame:
     """CAPTION by prefix and number, TABLE by columns in at least half of the lines.  Adds ``c6_type``."""
     lines = f"filter(transform(split(text, r'\\n', -1), x -> {tx.sql_strip('x')}), x -> x != '')"
-    rows_ = "size(filter({l}, x -> " + tx.sql_rlike("x", f"[{tx.BLANK_CLASS}]{{3,}}") + " OR contains(x, '|')))"
-    grid = rows_.format(l=lines)
+    columns = tx.sql_rlike("x", f"[{tx.BLANK_CLASS}]{{3,}}")
+    grid = f"size(filter({lines}, x -> {columns} OR contains(x, '|')))"
     rule = f"""CASE
         WHEN block_type IN {BEFORE_TABLES} OR t = '' THEN NULL
         WHEN {tx.sql_rlike('t', CAPTION)} THEN 'CAPTION'

@@ -15,8 +15,8 @@ RATIOS = ["uppercase_ratio", "lowercase_ratio", "digit_ratio", "punctuation_rati
           "avg_word_length", "text_density"]
 
 
-def r6(*names):
-    return [F.round(n, 6).alias(n) for n in names]
+def r9(*names):
+    return [F.round(n, 9).alias(n) for n in names]
 
 
 def typography(s, d):
@@ -26,16 +26,16 @@ def typography(s, d):
 
 def geometry(s, d):
     return ft.geometry(src.blocks(s, d)).select(
-        *KEY, "width", "height", *r6("aspect_ratio", "page_position_y"), "margin_left", "margin_right", "alignment")
+        *KEY, "width", "height", *r9("aspect_ratio", "page_position_y"), "margin_left", "margin_right", "alignment")
 
 
 def layout(s, d):
     return ft.layout(ft.context(src.blocks(s, d))).select(
-        *KEY, "space_above", "space_below", "is_at_top", "is_at_bottom", *r6("line_spacing"))
+        *KEY, "space_above", "space_below", "is_at_top", "is_at_bottom", *r9("line_spacing"))
 
 
 def statistics(s, d):
-    return ft.statistics(src.blocks(s, d)).select(*KEY, "char_count", "word_count", *r6(*RATIOS))
+    return ft.statistics(src.blocks(s, d)).select(*KEY, "char_count", "word_count", *r9(*RATIOS))
 
 
 def context(s, d):
@@ -61,7 +61,7 @@ def dominant_font(s, d):
 
 def heading_scores(s, d):
     return cl.heading_scores(rich_features(s, d)).select(
-        *KEY, "block_type", *r6(*[f"sig_{x}" for x in cl.SIGNALS], "weighted_sum", "c2_conf"))
+        *KEY, "block_type", *r9(*[f"sig_{x}" for x in cl.SIGNALS], "weighted_sum", "c2_conf"))
 
 
 def levelled(s, d):
@@ -86,7 +86,7 @@ def c7(s, d):
 
 def annotations(s, d):
     return cl.annotate(c7(s, d)).select(
-        *KEY, "block_type", *r6("semantic_conf"), "semantic_module", F.size("contributors").alias("n_contributors"))
+        *KEY, "block_type", *r9("semantic_conf"), "semantic_module", F.size("contributors").alias("n_contributors"))
 
 
 def ordered(s, d):
@@ -103,7 +103,7 @@ def first_order(s, d):
 
 def first_pass_classify(s, d):
     return first_pass(s, d).select(
-        *KEY, "block_type", F.round("class_confidence", 3).alias("class_confidence"), *r6("net_score"), "heading_level")
+        *KEY, "block_type", F.round("class_confidence", 3).alias("class_confidence"), *r9("net_score"), "heading_level")
 
 
 QUERIES = {
