@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .ordered import CHUNK_ROWS, near, running
 
 TARGETS = "('TABLE', 'EQUATION', 'CODE')"
-NODE = "struct<seq:bigint,id:string,level:int,title:string>"
+NODE = "struct<seq:bigint,id:string,level:int,title:string,kind:string>"
 LEVELS = range(1, 7)
 NEST, OUTDENT = 10.0, 5.0
 
@@ -163,7 +163,7 @@ def hierarchy(blocks: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
         f"_h{k}": (
             "last",
             F.expr(f"IF(block_type = 'HEADING' AND heading_level = {k}, "
-                   f"named_struct('seq', seq, 'id', block_id, 'level', {k}, 'title', text), NULL)"),
+                   f"named_struct('seq', seq, 'id', block_id, 'level', {k}, 'title', text, 'kind', 'HEADING'), NULL)"),
         )
         for k in LEVELS
     } | {"_list": ("last", F.expr("IF(block_type = 'LIST', seq, NULL)"))}
@@ -187,11 +187,11 @@ def hierarchy(blocks: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     df = df.join(lists, ["doc_id", "seq"], "left")
     path = (
         "concat(_heads, coalesce(transform(arrays_zip(l_seq, l_id, l_title), x -> named_struct('seq', x.l_seq, "
-        "'id', x.l_id, 'level', CAST(NULL AS INT), 'title', x.l_title)), array()), "
+        "'id', x.l_id, 'level', CAST(NULL AS INT), 'title', x.l_title, 'kind', 'LIST')), array()), "
         + "CASE _side "
         + " ".join(
             f"WHEN '{s}' THEN array(named_struct('seq', {s}_seq, 'id', {s}_block_id, 'level', CAST(NULL AS INT), "
-            f"'title', {s}_text))"
+            f"'title', {s}_text, 'kind', {s}_block_type))"
             for s in ("_p", "_n")
         )
         + " ELSE array() END)"

@@ -146,3 +146,43 @@ def rich_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
             "italic": F.expr("seq % 17 = 0"),
         }
     )
+
+
+ANCHOR_PLACES = "array(12, 13, 14, 15, 16, 35, 36, 99)"
+
+
+def overrides(spark: SparkSession, sf_dir: str, nodes: DataFrame, moves: bool = False) -> DataFrame:
+    """Correction events aimed at the academic nodes of documents 0..49, derived from ``events``.
+
+    With ``moves`` a seventh of the events move a node under another one.
+    """
+    ev = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "user_id % 50 AS doc_id", "CAST(unix_micros(ts) AS DOUBLE) / 1000000 AS created_at",
+        f"CAST(element_at({ANCHOR_PLACES}, CAST(event_id % 8 AS INT) + 1) AS BIGINT) AS seq",
+        "event_id % 3 <> 0 AS is_active", "CAST(event_id % 40 AS BIGINT) AS expected_version",
+    )
+    at = nodes.groupBy("doc_id", "seq").agg(F.max_by("anchor_key", "ann_ord").alias("_a"))
+    kind = (
+        "CASE event_id % 7 WHEN 0 THEN 'CHANGE_CATEGORY' WHEN 1 THEN 'RENAME_TITLE' WHEN 2 THEN 'ACCEPT_NODE' "
+        "WHEN 3 THEN 'DELETE_NODE' WHEN 4 THEN 'UPDATE_EDGE' WHEN 5 THEN IF(event_id % 35 = 5, 'CREATE_NODE', 'ACCEPT_NODE') "
+        f"ELSE {repr('REPARENT_NODE') if moves else repr('ACCEPT_NODE')} END"
+    )
+    payload = r"""CASE action_type
+        WHEN 'CHANGE_CATEGORY' THEN concat('{"new_category":"', CASE WHEN event_id % 29 = 0 THEN 'BOGUS'
+            WHEN event_id % 41 = 0 THEN 'THEOREM' WHEN seq % 2 = 0 THEN 'CONCEPT' ELSE 'EXAMPLE' END, '"}')
+        WHEN 'RENAME_TITLE' THEN concat('{"new_title":"', IF(event_id % 31 = 0, ' ', concat(' Title ', seq)), '"}')
+        WHEN 'UPDATE_EDGE' THEN concat('{"source_node_id":"an_b', doc_id, '_', seq, '","target_node_id":"an_b', doc_id,
+            '_12","edge_type":"', IF(seq % 2 = 0, 'EXPLAINS', 'PREREQUISITE_OF'), '","confidence":0.5}')
+        WHEN 'CREATE_NODE' THEN concat('{"category":"', IF(event_id % 3 = 1, 'CONCEPT', 'NOPE'), '","title":"Made ', event_id,
+            '","anchor_key":"made_', event_id % 2, '"}')
+        WHEN 'REPARENT_NODE' THEN concat('{"new_parent_id":"an_b', doc_id, '_', 12 + event_id % 5, '"}')
+        ELSE '{}' END"""
+    return (
+        ev.join(at, ["doc_id", "seq"], "left")
+        .withColumn("action_type", F.expr(kind))
+        .selectExpr(
+            "doc_id", "concat('ov', lpad(CAST(event_id AS STRING), 12, '0')) AS override_id",
+            "coalesce(_a, concat('made_', seq % 2)) AS target_anchor_key", "action_type", f"{payload} AS payload",
+            "is_active", "created_at", "expected_version",
+        )
+    )
