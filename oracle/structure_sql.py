@@ -120,6 +120,8 @@ SELECT *, greatest(0, least(1, pow(ocr_quality*layout_quality*semantic_quality*h
 FROM (SELECT l.*, o.* EXCLUDE (doc_id), s.* EXCLUDE (doc_id), r.* EXCLUDE (doc_id), v.orphan_count, v.cycle_detected, v.consistency_score AS hierarchy_quality
 FROM qlay l JOIN qocr o USING (doc_id) JOIN qsem s USING (doc_id) JOIN qrd r USING (doc_id) JOIN hval v USING (doc_id))""")
 R = lambda *c: ", ".join(f"round({x},9) AS {x}" for x in c)
+RND = ("ocr_quality", "layout_quality", "semantic_quality", "hierarchy_quality", "reading_quality", "overall_quality", "r_garbage", "r_spacing", "r_unknown")
+view("qnote", "qall", f"SELECT * REPLACE ({R(*RND)}) FROM qall")
 QS = ("ocr_quality", "layout_quality", "semantic_quality", "hierarchy_quality", "reading_quality", "overall_quality")
 _rules = [
     ("ocr_quality<0.75", "warning", "POOR_OCR_CONFIDENCE", "CASE WHEN ocr_quality<0.6 THEN 'CRITICAL' ELSE 'WARNING' END"),
@@ -169,7 +171,7 @@ SQL = {
        FROM (SELECT doc_id, count(*) n, count(*) FILTER (block_type='HEADING') h, count(*) FILTER (pseq IS NULL AND block_type NOT IN ('HEADING','HEADER','FOOTER','PAGE_NUMBER')) o FROM hx GROUP BY 1)"""),
     "quality_reading": build("cls", f"SELECT doc_id, backward_jumps, {R('reading_quality')} FROM ({rd('(SELECT * REPLACE (CASE WHEN doc_id%3=0 THEN (y0*7)%400 ELSE y0 END AS y0, CASE WHEN doc_id%3=0 THEN (y0*7)%400+12 ELSE y1 END AS y1) FROM cls)')})"),
     "quality_overall": build("qall", f"SELECT doc_id, {R(*QS)} FROM qall"),
-    "quality_warnings": build("qall cls", "\nUNION ALL ".join(
-        f"SELECT doc_id, CAST(doc_id AS VARCHAR) AS target_id, '{k}' AS kind, '{c}' AS code, {s} AS severity FROM qall WHERE {w}" for w, k, c, s in _rules)
+    "quality_warnings": build("qnote cls", "\nUNION ALL ".join(
+        f"SELECT doc_id, CAST(doc_id AS VARCHAR) AS target_id, '{k}' AS kind, '{c}' AS code, {s} AS severity FROM qnote WHERE {w}" for w, k, c, s in _rules)
         + f"\nUNION ALL SELECT doc_id, block_id, 'warning', code, CASE WHEN code='MERGED_LAYOUT_BLOCK' THEN 'WARNING' ELSE 'INFO' END FROM ({odd('cls')})"),
 }

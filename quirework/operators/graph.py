@@ -61,7 +61,7 @@ def expand_hops(
     return seen
 
 
-def rejected_moves(parents: DataFrame, moves: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def rejected_moves(parents: DataFrame, moves: DataFrame) -> DataFrame:
     """Moves (doc_id, ord, node_id, parent_id) that would close a cycle when replayed in order.
 
     All moves are first taken as accepted.  Each walks up from its new parent, seeing the
@@ -82,21 +82,25 @@ def rejected_moves(parents: DataFrame, moves: DataFrame, max_rounds: int = 10_00
         walk = settle(
             pending.select("doc_id", "ord", F.col("node_id").alias("start"), F.col("parent_id").alias("cur"))
         )
-        bad = walk.where("start = cur").select("doc_id", "ord")
-        for _ in range(max_rounds):
+        bad = settle(walk.where("start = cur").select("doc_id", "ord"))
+        while True:
+            # Walks behind a known rejection are tried again anyway; a loop that misses the walk's own
+            # node was closed by an earlier move, so dropping them also ends every endless walk.
+            first = bad.groupBy("doc_id").agg(F.min("ord").alias("_first"))
+            open_ = walk.where("start <> cur").join(first, "doc_id", "left").where("_first IS NULL OR ord < _first")
             # Parent of ``cur`` as of the move: the latest change before it, else the base link.
             up = (
-                walk.where("start <> cur").alias("w")
+                open_.alias("w")
                 .join(history.alias("h"), (F.col("w.doc_id") == F.col("h.doc_id")) & (F.col("w.cur") == F.col("h.node_id"))
                       & (F.col("h.at").isNull() | (F.col("h.at") < F.col("w.ord"))))
                 .groupBy("w.doc_id", "w.ord", "w.start")
                 .agg(F.max_by("h.parent_id", F.struct(F.col("h.at").isNotNull(), F.col("h.at"))).alias("cur"))
-                .select("doc_id", "ord", "start", "cur")
+                .where("cur IS NOT NULL")
             )
-            walk = settle(up.where("cur IS NOT NULL"))
-            bad = bad.unionByName(walk.where("start = cur").select("doc_id", "ord"))
+            walk = settle(up)
             if walk.isEmpty():
                 break
+            bad = settle(bad.unionByName(walk.where("start = cur").select("doc_id", "ord")))
         first = settle(bad.groupBy("doc_id").agg(F.min("ord").alias("ord")))
         if first.isEmpty():
             return rejected if rejected is not None else moves.select("doc_id", "ord").limit(0)

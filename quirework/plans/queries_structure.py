@@ -51,6 +51,9 @@ def upside_down(s, d):
     )
 
 
+SCORES = ("ocr_quality", "layout_quality", "semantic_quality", "hierarchy_quality", "reading_quality",
+          "overall_quality", "r_garbage", "r_spacing", "r_unknown")
+
 QUERIES = {
     "classified_blocks": lambda s, d: classified(src.rich_blocks(s, d)).select(*KEY, "seq", "block_type", "heading_level"),
     "heading_parents": lambda s, d: tree(s, d).where("block_type = 'HEADING'").select(*KEY, "parent_block_id"),
@@ -80,5 +83,5 @@ QUERIES = {
         "doc_id", "ocr_quality", "layout_quality", "semantic_quality", "hierarchy_quality", "reading_quality",
         "overall_quality"), "ocr_quality", "layout_quality", "semantic_quality", "hierarchy_quality",
         "reading_quality", "overall_quality"),
-    "quality_warnings": lambda s, d: q.quality_notes(scores(s, d), q.odd_blocks(tree(s, d))),
+    "quality_warnings": lambda s, d: q.quality_notes(r9(scores(s, d), *SCORES), q.odd_blocks(tree(s, d))),
 }

@@ -154,10 +154,10 @@ ANCHOR_PLACES = "array(12, 13, 14, 15, 16, 35, 36, 99)"
 def overrides(spark: SparkSession, sf_dir: str, nodes: DataFrame, moves: bool = False) -> DataFrame:
     """Correction events aimed at the academic nodes of documents 0..49, derived from ``events``.
 
-    With ``moves`` a seventh of the events move a node under another one.
+    With ``moves`` one in 35 events moves a node under another one.
     """
     ev = table(spark, sf_dir, "events").selectExpr(
-        "event_id", "user_id % 50 AS doc_id", "CAST(unix_micros(ts) AS DOUBLE) / 1000000 AS created_at",
+        "event_id", "user_id % 50 AS doc_id", "CAST(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS DOUBLE) / 1000000 AS created_at",
         f"CAST(element_at({ANCHOR_PLACES}, CAST(event_id % 8 AS INT) + 1) AS BIGINT) AS seq",
         "event_id % 3 <> 0 AS is_active", "CAST(event_id % 40 AS BIGINT) AS expected_version",
     )
@@ -165,7 +165,7 @@ def overrides(spark: SparkSession, sf_dir: str, nodes: DataFrame, moves: bool =
     kind = (
         "CASE event_id % 7 WHEN 0 THEN 'CHANGE_CATEGORY' WHEN 1 THEN 'RENAME_TITLE' WHEN 2 THEN 'ACCEPT_NODE' "
         "WHEN 3 THEN 'DELETE_NODE' WHEN 4 THEN 'UPDATE_EDGE' WHEN 5 THEN IF(event_id % 35 = 5, 'CREATE_NODE', 'ACCEPT_NODE') "
-        f"ELSE {repr('REPARENT_NODE') if moves else repr('ACCEPT_NODE')} END"
+        f"ELSE {"IF(event_id % 35 = 6, 'REPARENT_NODE', 'ACCEPT_NODE')" if moves else "'ACCEPT_NODE'"} END"
     )
     payload = r"""CASE action_type
         WHEN 'CHANGE_CATEGORY' THEN concat('{"new_category":"', CASE WHEN event_id % 29 = 0 THEN 'BOGUS'
