@@ -186,3 +186,67 @@ def overrides(spark: SparkSession, sf_dir: str, nodes: DataFrame, moves: bool =
             "is_active", "created_at", "expected_version",
         )
     )
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(
+        "CAST(p_partkey AS STRING) AS entity_id", "'v1' AS version_id", "p_type AS entity_type", "p_name AS title",
+        "concat(p_type, ' ', p_brand) AS content", "concat('anc_', p_partkey) AS stable_id", "p_partkey",
+    )
+
+
+def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts on neighbouring lines of one order, each pair once."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    nxt = li.selectExpr("l_orderkey", "l_partkey AS dst", "l_linenumber - 1 AS l_linenumber")
+    pairs = li.join(nxt, ["l_orderkey", "l_linenumber"]).where("l_partkey <> dst").select(
+        F.col("l_partkey").alias("src"), "dst").distinct()
+    return pairs.selectExpr(
+        "'v1' AS version_id", "CAST(src AS STRING) AS source_entity_id", "CAST(dst AS STRING) AS target_entity_id",
+        "element_at(array('CONTAINS', 'PREREQUISITE_OF', 'EXPLAINS', 'PROVES', 'ILLUSTRATES'), CAST((src + dst) % 5 AS INT) + 1) "
+        "AS relationship_type",
+        "CAST((src + dst) % 10 AS DOUBLE) / 10 AS confidence",
+    )
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One evidence row per part on the first page of a document, some stale, some without a box."""
+    first = blocks(spark, sf_dir).where("seq = 0").select("doc_id", "x0", "y0", "x1", "y1")
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey % 200 AS doc_id")
+    box = lambda e: f"IF(p_partkey % 7 = 0 OR p_partkey % 11 = 0, NULL, {e})"
+    return p.join(first, "doc_id").selectExpr(
+        "concat('e', p_partkey) AS evidence_id", "CAST(p_partkey AS STRING) AS entity_id", "'v1' AS version_id",
+        "doc_id AS document_id", "IF(p_partkey % 7 = 0, NULL, 1) AS page_number",
+        "concat('Section ', p_partkey % 3) AS section_title",
+        f"{box('x0')} AS x0", f"{box('y0 + 5')} AS y0", f"{box('x1')} AS x1", f"{box('y1 + 25')} AS y1",
+    )
+
+
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names, their first words, part types and word-type pairs as queries."""
+    p = table(spark, sf_dir, "part").select("p_name", "p_type").distinct()
+    q = p.select(
+        F.explode(F.expr("array(p_name, split(p_name, ' ')[0], lower(p_type), concat(split(p_name, ' ')[0], ' ', lower(p_type)))"))
+        .alias("query")
+    ).distinct()
+    return q.selectExpr(
+        "query AS query_id", "concat(' ', upper(query), ' ') AS query", "'v1' AS version_id", "10 AS top_k",
+        "IF(length(query) % 7 = 0, 2, length(query) % 2) AS depth",
+        "IF(length(query) % 4 = 0, array('PROMO', 'SMALL'), NULL) AS entity_types",
+        "IF(length(query) % 5 = 0, array('CONTAINS', 'EXPLAINS'), NULL) AS relationship_types", "'LEXICAL' AS strategy",
+    )
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the text lines with pixel boxes, two pixels per point."""
+    b = blocks(spark, sf_dir).select("doc_id", "page_number", "seq", "x0", "y0", "y1", F.posexplode(F.split("text", " ", -1)).alias("i", "text"))
+    return b.where("text <> ''").selectExpr(
+        "doc_id", "page_number", "CAST(seq AS INT) AS block_num", "0 AS line_num", "CAST(seq * 100000 + i AS BIGINT) AS word_ord", "text",
+        "2 * (x0 + 40 * i) AS x0", "2 * (x0 + 40 * i) + 10 * length(text) AS x1", "2 * y0 AS y0", "2 * y1 AS y1",
+        "1D - 0.05D * (length(text) % 10) AS confidence", "1190 AS img_w", "880 AS img_h",
+    )
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'cancelled' END"
+    return table(spark, sf_dir, "events").selectExpr("user_id AS job_id", "event_id", f"{status} AS status", "ts AS updated_at")
