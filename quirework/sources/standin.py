@@ -21,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give every core work when the input is a handful of files; leave larger inputs alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    n_files = len(df._jdf.inputFiles())  # counted in the JVM; the names stay there
+    return df.repartition(cores, *keys) if n_files < cores else df
 
 
 def _d(c):
