@@ -27,6 +27,11 @@ def chunk(seq: Column | str, rows: int) -> Column:
     return F.floor(c / F.lit(rows)).cast("long")
 
 
+def _keys(df: DataFrame, keys: list[str]) -> list[str]:
+    """``doc_rows`` is constant per document; as a key it lets a filter on it pass below the window."""
+    return [*keys, "doc_rows"] if "doc_rows" in df.columns else keys
+
+
 def near(
     df: DataFrame,
     *stages: Callable[[Window], Mapping[str, Column]],
@@ -51,7 +56,7 @@ def near(
         F.when((pos < width) & (own > 0), F.array(own - 1)).otherwise(empty),
         F.when(pos >= rows - width, F.array(own + 1)).otherwise(empty),
     )
-    w = Window.partitionBy(doc, "chunk").orderBy(seq)
+    w = Window.partitionBy(*_keys(df, [doc]), "chunk").orderBy(seq)
     out = df.drop("chunk").withColumn("chunk", F.explode(copies))
     for stage in stages:
         out = out.withColumns(dict(stage(w)))
@@ -73,7 +78,7 @@ def running(
     (last non-null), ``sum`` or ``max``.  ``doc_rows``, when present, bounds ``seq`` in
     the document; only documents longer than a chunk are summarised.
     """
-    keys = [doc] if isinstance(doc, str) else list(doc)
+    keys = _keys(df, [doc] if isinstance(doc, str) else list(doc))
     work = df.withColumns({f"_v_{k}": v for k, (_, v) in specs.items()})
     if "chunk" not in df.columns:
         work = work.withColumn("chunk", chunk(seq, rows))
