@@ -8,6 +8,7 @@ from quirework.operators import features as ft
 from quirework.operators import hierarchy as hi
 from quirework.operators import order as ro
 from quirework.operators import quality as q
+from quirework.operators.settle import settle
 from quirework.operators.ordered import dense_position, near, running
 from quirework.plans.pipeline import classified
 
@@ -148,12 +149,13 @@ def test_academic_graph_and_anchors(blocks):
     df = typed(blocks, [("HEADING", 1, 50), ("HEADING", 2, 50), ("PARAGRAPH", None, 50), ("PARAGRAPH", None, 50), ("PARAGRAPH", None, 50)])
     names = ["Intro: Basics!", "Part Two", "Definition 1 A set.", "Definition 1 A set.", "Summary of it"]
     df = df.withColumn("text", F.expr("element_at(array(" + ",".join(f"'{n}'" for n in names) + "), CAST(seq AS INT) + 1)"))
-    anc = ac.anchors(ac.annotations(hi.hierarchy(df)))
+    ann = settle(ac.annotations(settle(hi.hierarchy(df))))
+    anc = settle(ac.anchors(ann))
     got = {(r.block_id, r.academic_type): r for r in anc.collect()}
     assert {k[1] for k in got} == {"UNIT", "CHAPTER", "DEFINITION", "SUMMARY"}
     d2, d3 = got[("d2", "DEFINITION")], got[("d3", "DEFINITION")]
     assert d2.section_path == "intro-basics/part-two" and (d2.ordinal, d3.ordinal) == (0, 1) and d2.anchor_key != d3.anchor_key
-    assert rows_of(ac.anchors(ac.annotations(hi.hierarchy(df)), rows=2), "ordinal") == rows_of(anc, "ordinal")
+    assert rows_of(ac.anchors(ann, rows=2), "ordinal") == rows_of(anc, "ordinal")
     e = {(r.source_node_id, r.target_node_id) for r in ac.contains_edges(anc).collect()}
     assert e == {("an_d0", "an_d1"), ("an_d1", "an_d2"), ("an_d1", "an_d3"), ("an_d1", "an_d4")}
     n = ac.nodes(anc)
