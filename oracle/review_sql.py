@@ -166,7 +166,7 @@ SQL = {
     "academic_warnings": build("aq", """SELECT doc_id, 'warning' AS kind, 'ACADEMIC_COVERAGE_LOW' AS code, 'WARNING' AS severity FROM aq WHERE coverage<0.5
        UNION ALL SELECT doc_id, 'warning', 'ORPHAN_ACADEMIC_NODES', 'INFO' FROM aq WHERE orphan_count>0
        UNION ALL SELECT doc_id, 'recommendation', 'MANUAL_CURRICULUM_REVIEW', 'WARNING' FROM aq WHERE orphan_ratio>0.3"""),
-    "pipeline_report": build("hx hedge anc hval qall aq", f"""SELECT doc_id, total_nodes, total_sections, root_count, total_edges, parent_child, sibling, reading_flow, caption_association,
+    "document_report": build("hx hedge anc hval qall aq", f"""SELECT doc_id, total_nodes, total_sections, root_count, total_edges, parent_child, sibling, reading_flow, caption_association,
        academic_annotations, max_depth, orphan_count, total_nodes*4+academic_annotations+4 AS annotation_count,
        round((total_nodes*1.9::DOUBLE + sem + 0.95::DOUBLE*total_nodes + ann + 0.98 + cs + oq + acs)/(total_nodes*4+academic_annotations+4), 9) AS average_confidence
        FROM (SELECT b.*, coalesce(total_edges,0) AS total_edges, coalesce(parent_child,0) AS parent_child, coalesce(sibling,0) AS sibling, coalesce(reading_flow,0) AS reading_flow,

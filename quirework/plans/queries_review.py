@@ -144,7 +144,7 @@ QUERIES = {
     "academic_edges": lambda s, d: links(s, d).drop("ann_ord", "seq"),
     "academic_quality": lambda s, d: r9(academic_quality(s, d), "coverage", "orphan_ratio", "density", "academic_score"),
     "academic_warnings": lambda s, d: ac.academic_notes(academic_quality(s, d)),
-    "pipeline_report": lambda s, d: r9(report(s, d).drop("overall_quality", "academic_score", "consistency_score"), "average_confidence"),
+    "document_report": lambda s, d: r9(report(s, d).drop("overall_quality", "academic_score", "consistency_score"), "average_confidence"),
     "graph_fingerprint": lambda s, d: ac.graph_fingerprint(nodes(s, d), links(s, d)),
     "containment_cycles": cycles,
     "override_conflicts": lambda s, d: ov.conflict_groups(ov.active_overrides(ovr(s, d))),
