@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, sharding, substring_dedup
+from . import chat, fingerprint, ngram_join, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(sharding.records(table(spark, sf_dir, "documents")), 16)
     return placed.select(
@@ -56,6 +60,7 @@ def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_multiset_fingerprint": op2_multiset_fingerprint,
     "op3_chat_round_trip": op3_chat_round_trip,
+    "op8_partenum_join": op8_partenum_join,
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_repeated_windows": op10_repeated_windows,
 }
