@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, ngram_join, sharding, substring_dedup
+from . import bpe, chat, fingerprint, ngram_join, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """Where the installed package keeps the vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary()
+    back = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return back.select(
+        "doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op2_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -58,6 +73,7 @@ def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_multiset_fingerprint": op2_multiset_fingerprint,
     "op3_chat_round_trip": op3_chat_round_trip,
     "op8_partenum_join": op8_partenum_join,
