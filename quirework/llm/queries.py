@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, ngram_join, sharding, substring_dedup
+from . import bpe, chat, fingerprint, ngram_join, sharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+
+
+def op6_fuzzy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(documents, table(spark, sf_dir, "labels"), ~held_out())
+    return toxicity.score(documents, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op8_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -76,6 +88,7 @@ QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_multiset_fingerprint": op2_multiset_fingerprint,
     "op3_chat_round_trip": op3_chat_round_trip,
+    "op6_fuzzy_toxicity": op6_fuzzy_toxicity,
     "op8_partenum_join": op8_partenum_join,
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_repeated_windows": op10_repeated_windows,
