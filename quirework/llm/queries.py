@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, ngram_join, sharding, substring_dedup, toxicity
+from . import bpe, chat, fingerprint, neighbours, ngram_join, sharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
@@ -88,6 +92,7 @@ QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_multiset_fingerprint": op2_multiset_fingerprint,
     "op3_chat_round_trip": op3_chat_round_trip,
+    "op4_one_bit_neighbours": op4_one_bit_neighbours,
     "op6_fuzzy_toxicity": op6_fuzzy_toxicity,
     "op8_partenum_join": op8_partenum_join,
     "op9_sampled_splitters": op9_sampled_splitters,
