@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, neighbours, ngram_join, sharding, substring_dedup, toxicity
+from . import bpe, chat, fingerprint, neighbours, ngram_join, privacy, sharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,15 @@ def op4_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op5_disclosure_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = privacy.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select(
+        "doc_id", *[count(k) for k in privacy.PATTERNS], F.sha2(privacy.span_text(F.col("base")), 256).alias("base_sha256"),
+        privacy.span_text(F.concat("base", "terms")).alias("spans"),
+    )
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
@@ -93,6 +102,7 @@ QUERIES = {
     "op2_multiset_fingerprint": op2_multiset_fingerprint,
     "op3_chat_round_trip": op3_chat_round_trip,
     "op4_one_bit_neighbours": op4_one_bit_neighbours,
+    "op5_disclosure_spans": op5_disclosure_spans,
     "op6_fuzzy_toxicity": op6_fuzzy_toxicity,
     "op8_partenum_join": op8_partenum_join,
     "op9_sampled_splitters": op9_sampled_splitters,
