@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, neighbours, ngram_join, privacy, sharding, substring_dedup, toxicity
+from . import bpe, chat, fingerprint, neighbours, ngram_join, packing, privacy, sharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op6_fuzzy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.lengths(table(spark, sf_dir, "documents")))
+
+
 def op8_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -104,6 +108,7 @@ QUERIES = {
     "op4_one_bit_neighbours": op4_one_bit_neighbours,
     "op5_disclosure_spans": op5_disclosure_spans,
     "op6_fuzzy_toxicity": op6_fuzzy_toxicity,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_partenum_join": op8_partenum_join,
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_repeated_windows": op10_repeated_windows,

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as wd
 
@@ -56,9 +57,9 @@ def merged(cuts: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def _source(documents: DataFrame) -> DataFrame:
+def _source(documents: DataFrame, *more: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return documents.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("row_key"))
+    return documents.select("doc_id", text.alias("text"), *more, F.xxhash64("doc_id", text).alias("row_key"))
 
 
 def _columns(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
@@ -184,37 +185,58 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, part_docs: int = PAR
     return cuts.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("cuts"))
 
 
-def _cut_rows():
+def cut_text(d: wd.Words, cuts: list[tuple[int, int]]) -> bytes:
+    """The text without the words of ``cuts``, its other spacing as it was."""
+    if not len(d):
+        return b""
+    raw, at, parts = d.data.tobytes(), d.low, []
+    for a, b in cuts:
+        parts.append(raw[at : d.starts[a]])
+        at = d.starts[b] if b < len(d) else d.high
+    return b"".join([*parts, raw[at : d.high]])
+
+
+def joined_text(d: wd.Words, cuts: list[tuple[int, int]]) -> bytes:
+    """The words outside ``cuts``, joined by one space."""
+    keep = np.ones(len(d), bool)
+    for a, b in cuts:
+        keep[a:b] = False
+    raw = d.data.tobytes() if len(d) else b""
+    return b" ".join([raw[s:e] for s, e in zip(d.starts[keep].tolist(), d.ends[keep].tolist(), strict=True)])
+
+
+def _cut_rows(spaced: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lists = _columns(batch, "text", "cuts")
             totals, removed, kept, spans = [], [], [], []
             for d in wd.documents(texts):
                 cuts = merged(lists[d.row].as_py())
-                keep = np.ones(len(d), bool)
-                for a, b in cuts:
-                    keep[a:b] = False
-                raw = d.data.tobytes() if len(d) else b""
                 totals.append(len(d))
-                removed.append(int(len(d) - keep.sum()))
-                kept.append(b" ".join([raw[s:e] for s, e in zip(d.starts[keep].tolist(), d.ends[keep].tolist(), strict=True)]).decode())
+                removed.append(sum(b - a for a, b in cuts))
+                if spaced and not cuts:
+                    kept.append(texts[d.row].as_py())
+                else:
+                    kept.append((cut_text if spaced else joined_text)(d, cuts).decode())
                 spans.append([{"start": a, "end": b} for a, b in cuts])
             own = [n for n in batch.schema.names if n not in ("text", "cuts")]
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [*_columns(batch, *own), texts, pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())],
-                [*own, "text", "n_words", "n_removed", "removed", "kept"],
+                [*_columns(batch, *own), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())],
+                [*own, "n_words", "n_removed", "removed", "kept"],
             )
 
     return run
 
 
-def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, text, n_words, n_removed, removed, kept) for every document."""
-    docs = _source(documents)
+def remove_repeats(documents: DataFrame, *more: str, window: int = WINDOW, part_docs: int = PART_DOCS, spaced: bool = False) -> DataFrame:
+    """Rows (doc_id, more columns, n_words, n_removed, removed, kept) for every document.
+    ``kept`` has the words left joined by one space, or, ``spaced``, as they were spaced."""
+    docs = _source(documents, *more)
     cuts = F.coalesce("cuts", F.array().cast("array<struct<from:int,to:int>>")).alias("cuts")
-    rows = docs.join(repeated_windows(docs, window), "row_key", "left").select("doc_id", "text", cuts)
-    return rows.mapInArrow(
-        _cut_rows(),
-        f"doc_id {dict(rows.dtypes)['doc_id']}, text string, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept string",
-    )
+    found = repeated_windows(docs.drop(*more), window, part_docs)
+    rows = docs.join(found, "row_key", "left").select("doc_id", "text", *more, cuts)
+    span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    new = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("removed", span), ("kept", T.StringType())]
+    own = [f for f in rows.schema if f.name not in ("text", "cuts")]
+    return rows.mapInArrow(_cut_rows(spaced), T.StructType([*own, *(T.StructField(n, t) for n, t in new)]))

@@ -415,7 +415,7 @@ def learn(documents: DataFrame, labels: DataFrame, usable=None, rows: int = TRAI
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``documents`` with ``score``, in one pass without a shuffle."""
+    """All columns of ``documents`` (none named ``score``) with ``score``, without a shuffle."""
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

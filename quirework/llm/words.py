@@ -82,12 +82,14 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 class Words:
-    """The words of one document: hashes, and byte places in its UTF-8 text."""
+    """The words of one document: hashes, and byte places in ``data``, where its UTF-8 text
+    stands from ``low`` to ``high``."""
 
-    __slots__ = ("row", "data", "starts", "ends", "hashes")
+    __slots__ = ("row", "data", "low", "high", "starts", "ends", "hashes")
 
-    def __init__(self, row, data, starts, ends, hashed):
-        self.row, self.data, self.starts, self.ends, self.hashes = row, data, starts, ends, hashed
+    def __init__(self, row, data, low, high, starts, ends, hashed):
+        self.row, self.data, self.low, self.high = row, data, low, high
+        self.starts, self.ends, self.hashes = starts, ends, hashed
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -113,5 +115,5 @@ def documents(texts: pa.Array, lower: bool = False) -> Iterator[Words]:
         edges = np.searchsorted(starts, own)
         for k in range(last - row):
             a, b = edges[k], edges[k + 1]
-            yield Words(row + k, part, starts[a:b], ends[a:b], hashed[a:b])
+            yield Words(row + k, part, own[k], own[k + 1], starts[a:b], ends[a:b], hashed[a:b])
         row = last
