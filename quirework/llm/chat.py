@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-TURN = r"(?s)<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n"
+#: Between the marks no ``<|`` may stand: the grammar has one reading at most.
+TURN = r"(?s)<\|im_start\|>([^<\n]*+(?:<(?!\|)[^<\n]*+)*+)\n([^<]*+(?:<(?!\|)[^<]*+)*+)<\|im_end\|>\n"
 
 
 def escape(text: Column) -> Column:
