@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, neighbours, ngram_join, packing, privacy, sharding, substring_dedup, toxicity
+from . import bpe, chat, fingerprint, neighbours, ngram_join, oracle, packing, privacy, sharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,3 +113,5 @@ QUERIES = {
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_repeated_windows": op10_repeated_windows,
 }
+
+SQL = oracle.SQL
