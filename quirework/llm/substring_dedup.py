@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from . import words as wd
 
-WINDOW, PART_DOCS = 50, 20_000
+WINDOW, PART_DOCS = 50, 1_000
 U64 = np.uint64
 
 
