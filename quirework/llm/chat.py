@@ -4,8 +4,8 @@ A turn is written ``<|im_start|>role\ntext<|im_end|>\n``. Texts may hold the sam
 strings, so every turn is reparsed by the deterministic grammar right after rendering. If
 the parser does not give back the source, the conflicting content is escaped one level
 further: first the text, then also the role. The escape puts one more backslash between
-``<`` and ``|`` wherever only backslashes stand between them; a line break in a role
-becomes ``<|n|>``. The parser takes one backslash away, so level 2 is always identical.
+``<`` and ``|`` wherever only backslashes stand between them; in a role, ``%`` and line breaks
+become ``%25`` and ``%0A``. The parser undoes both, so level 2 is always identical.
 
 A conversation is one value, as a document is: the grammar reads it from start to end.
 
@@ -33,11 +33,11 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return F.replace(escape(role), F.lit("\n"), F.lit("<|n|>"))
+    return escape(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")))
 
 
 def unescape_role(role: Column) -> Column:
-    return unescape(F.replace(role, F.lit("<|n|>"), F.lit("\n")))
+    return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
 def written(role: Column, text: Column) -> Column:
