@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from . import words as wd
 
 TRAIN_ROWS, CANDIDATES, TERMS = 10_000, 50_000, 64
-LEAST_TEXTS, LONGEST, CONTINUES, PURER, CONTAINED = 3, 24, 0.9, 10, 0.95
+LEAST_TEXTS, LONGEST, CONTINUES, PURER, CONTAINED, FORMS = 3, 24, 0.9, 10, 0.95, 5
 WINDOW_BYTES, QUOTED, NEAR_BYTES, ENOUGH = 240, 0.25, 80, 40.0
 THRESHOLD = 0.7
 
@@ -336,13 +336,13 @@ def lexicon(positive: dict[bytes, int], negative: dict[bytes, int]) -> list[tupl
     return out[:TERMS]
 
 
-def distinct_terms(texts_of: dict[int, set], order: list[int]) -> list[int]:
-    """Without terms whose toxic texts nearly all hold one stronger term: the words of a text
-    that was copied often say no more than the term it holds."""
+def distinct_terms(texts_of: dict[int, set], forms: list[int]) -> list[int]:
+    """Without terms of few forms whose toxic texts nearly all hold one stronger term: the
+    words of a text that was copied often say no more than the term it holds."""
     kept: list[int] = []
-    for k in order:
+    for k, n in enumerate(forms):
         own = texts_of.get(k, set())
-        if own and not any(len(own & texts_of[j]) >= CONTAINED * len(own) for j in kept):
+        if own and (n >= FORMS or not any(len(own & texts_of[j]) >= CONTAINED * len(own) for j in kept)):
             kept.append(k)
     return kept
 
@@ -358,7 +358,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> np.ndarray:
     """Logistic regression on the sum of log odds by Newton steps of bounded length, drawn
     gently to a plain curve (labels that separate would else send it to infinity)."""
     x = np.column_stack([np.ones(len(x)), np.minimum(x, ENOUGH)])
-    prior, pull = np.array([-4.0, 1.0]), np.array([0.05, 0.05])
+    prior, pull = np.array([-4.0, 1.2]), np.array([0.5, 5.0])
     w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -390,7 +390,8 @@ def learn(documents: DataFrame, labels: DataFrame, usable=None, rows: int = TRAI
     texts_of: dict[int, set] = {}
     for r in train.where("toxic = 1").mapInArrow(exact_hits, "term int, row long").distinct().collect():
         texts_of.setdefault(r["term"], set()).add(r["row"])
-    terms = [terms[k] for k in distinct_terms(texts_of, list(range(len(terms))))]
+    forms = [0 if whole else sum(p[-1:] == b"$" and p.startswith(t) for p in positive) for t, whole, _ in terms]
+    terms = [terms[k] for k in distinct_terms(texts_of, forms)]
     model = Model([(t, w) for t, w, _ in terms], np.array([v for _, _, v in terms]), automaton=intersect([(t, w) for t, w, _ in terms]))
 
     def near_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
