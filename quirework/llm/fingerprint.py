@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EQUALITY, LIKENESS = 16, 64
-CLAUSE = r"(?<=[.!?;:,\n])"
+CLAUSE = r"\n|(?<=[.!?;:,])"
 CHUNK_IDS = 4096
 _LANES = EQUALITY + LIKENESS + 1
 _MODULI = [2**32] * EQUALITY + [2**16] * (LIKENESS + 1)
