@@ -30,7 +30,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +38,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.settle import settle
+from . import bitmap
 from . import words as wd
 from .components import labels
 
 WORDS, PERCENT = 5, 80
 SMALL_BAND, GROWTH = 64, 1.6
-SKETCH, BLOCK = 64, 1024
+SKETCH_BITS, BLOCK = 8, 1024
+SKETCH = 1 << SKETCH_BITS
 U64 = np.uint64
 _STEP = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -88,16 +90,22 @@ def scheme(high: int) -> tuple[int, int, int]:
     return int(0.24 * high) + 2, 1, 0
 
 
+@lru_cache(maxsize=256)
+def _layout(band: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inner edges of a band's cells in the hash domain, and a value for each range."""
+    n1, n2, _ = scheme(high)
+    edges = (np.arange(1, n1 * n2, dtype=np.float64) * (2.0**64 / (n1 * n2))).astype(U64)
+    return edges, wd.mix(np.arange(n1, dtype=U64) * U64(8) + U64(band << 40))
+
+
 def _band_signatures(own: np.ndarray, prefix: np.ndarray, band: int, high: int, partner: int) -> np.ndarray:
     n1, n2, k2 = scheme(high)
-    cells = n1 * n2
-    edges = (np.arange(1, cells, dtype=np.float64) * (2.0**64 / cells)).astype(U64)
+    edges, places = _layout(band, high)
     bounds = np.concatenate([[0], np.searchsorted(own, edges), [len(own)]])
     sums = (prefix[bounds[1:]] - prefix[bounds[:-1]]).reshape(n1, n2)
     counts = np.diff(bounds).reshape(n1, n2)
     unsafe = ((counts > 0).sum(1) <= k2).sum()
     sure = n1 - difference(len(own), partner) // (k2 + 1) - unsafe >= 1
-    places = wd.mix(np.arange(n1, dtype=U64) * U64(8) + U64(band << 40))
     out = []
     for left_out in range(n2 if k2 else 1):
         chosen = [q for q in range(n2) if not k2 or q != left_out]
@@ -138,8 +146,8 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(own))
             one.append(own.sum(dtype=U64))
             two.append(wd.mix(own ^ _STEP[0]).sum(dtype=U64))
-            cells = np.bincount((own >> U64(58)).astype(np.int64), minlength=SKETCH)
-            counts.append(np.minimum(cells, 65535).astype("<u2").tobytes())
+            cells = np.bincount((own >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=SKETCH)
+            counts.append(np.minimum(cells, 255).astype(np.uint8).tobytes())
         as_long = lambda x: pa.array(np.array(x, U64).view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), as_long(one), as_long(two), pa.array(counts, pa.binary())],
@@ -179,72 +187,84 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SKETCH).astype(np.int16)
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose counts per hash range allow a link."""
+    for batch in batches:
+        apart = np.abs(_sketches(batch.column(4)) - _sketches(batch.column(5))).sum(1)
+        total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        keep = pa.array(apart <= total * (100 - PERCENT) // (100 + PERCENT))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole texts link."""
-    texts = docs.select("doc_id", "text")
+    """The pairs (a, b) whose whole texts link; ``pairs`` are read more than once."""
+    texts = bitmap.among(docs.select("doc_id", "text"), "doc_id", pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_checked, "a long, b long").distinct()
 
 
 def _cross_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (signature, cell_1, cell_2); a cell has two blocks at most."""
+    """Rows sorted by (signature, cell_1, cell_2); a cell has two blocks at most. Compares each
+    row with the k-th after it, for all rows at once, while both are in one cell."""
     held: list[pa.RecordBatch] = []
 
-    def pairs(t: pa.Table):
+    def compared(t: pa.Table, cell: np.ndarray) -> pa.RecordBatch:
         block, node, label, size = (t.column(n).to_numpy() for n in ("block", "doc_id", "label", "n_shingles"))
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(len(node), SKETCH).astype(np.int32)
-        within = t.column("cell_1")[0].as_py() == t.column("cell_2")[0].as_py()
-        for i in range(len(node) - 1):
-            rest = slice(i + 1, None)
-            may = (label[rest] != label[i]) & (within | (block[rest] != block[i]))
-            may &= 100 * np.minimum(size[rest], size[i]) >= PERCENT * np.maximum(size[rest], size[i])
-            at = np.flatnonzero(may) + i + 1
-            apart = np.abs(sketch[at] - sketch[i]).sum(1)
-            at = at[apart <= (size[at] + size[i]) * (100 - PERCENT) // (100 + PERCENT)]
-            if len(at):
-                yield np.minimum(node[at], node[i]), np.maximum(node[at], node[i])
-
-    def flush(t: pa.Table):
-        for a, b in pairs(t):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        within = t.column("cell_1").to_numpy() == t.column("cell_2").to_numpy()
+        sketch = _sketches(t.column("sketch").combine_chunks())
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        first, k = np.arange(t.num_rows), 0
+        while len(first):
+            k += 1
+            first = first[first + k < t.num_rows]
+            first = first[cell[first] == cell[first + k]]
+            x, y = first, first + k
+            may = (label[x] != label[y]) & (within[x] | (block[x] != block[y]))
+            may &= 100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y])
+            x, y = x[may], y[may]
+            near = np.abs(sketch[x] - sketch[y]).sum(1) <= (size[x] + size[y]) * (100 - PERCENT) // (100 + PERCENT)
+            left.append(node[x[near]])
+            right.append(node[y[near]])
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     for batch in batches:
         table = pa.Table.from_batches([*held, batch])
         keys = [table.column(n).to_numpy() for n in ("signature", "cell_1", "cell_2")]
-        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-        bounds = [0, *new.tolist()]
-        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            yield from flush(table.slice(s, e - s))
-        held = table.slice(bounds[-1]).combine_chunks().to_batches()
+        new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        cell = np.concatenate([[0], np.cumsum(new)])
+        whole = int(np.searchsorted(cell, cell[-1])) if table.num_rows else 0
+        if whole:
+            yield compared(table.slice(0, whole), cell[:whole])
+        held = table.slice(whole).combine_chunks().to_batches()
     if held:
-        yield from flush(pa.Table.from_batches(held))
+        rest = pa.Table.from_batches(held)
+        yield compared(rest, np.zeros(rest.num_rows, np.int64))
 
 
 def _leftover_pairs(groups: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of different classes in the signature groups that span several."""
-    label = lambda c: classes.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    known = groups.join(label("hub"), "hub", "left").join(label("doc_id"), "doc_id", "left").select(
-        "signature", "hub", "doc_id", F.coalesce("hub_label", "hub").alias("hub_label"), F.coalesce("doc_id_label", "doc_id").alias("label")
-    )
-    mixed = known.groupBy("signature", "hub", "hub_label").agg(F.max((F.col("label") != F.col("hub_label")).cast("int")).alias("mixed"), F.count("*").alias("n"))
-    mixed = mixed.where("mixed = 1 AND n >= 2")
-    members = (
-        known.join(mixed.select("signature"), "signature", "left_semi").select("signature", "doc_id", "label")
-        .unionByName(mixed.select("signature", F.col("hub").alias("doc_id"), F.col("hub_label").alias("label")))
-        .join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    label = classes.select(F.col("node").alias("doc_id"), "label")
+    members = groups.where("n >= 3").select("signature", "doc_id").join(label, "doc_id", "left").select(
+        "signature", "doc_id", F.coalesce("label", "doc_id").alias("label")
     )
     w = Window.partitionBy("signature")
     blocked = members.select(
-        "*", F.floor((F.row_number().over(w.orderBy("doc_id")) - 1) / BLOCK).cast("int").alias("block"),
+        "*", (F.min("label").over(w) < F.max("label").over(w)).alias("mixed"),
+        F.floor((F.row_number().over(w.orderBy("doc_id")) - 1) / BLOCK).cast("int").alias("block"),
         F.floor((F.count("*").over(w) - 1) / BLOCK).cast("int").alias("top"),
-    )
+    ).where("mixed")
     cells = blocked.select("*", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("with")).select(
-        "signature", F.least("block", "with").alias("cell_1"), F.greatest("block", "with").alias("cell_2"),
-        "block", "doc_id", "label", "n_shingles", "sketch",
+        "signature", F.least("block", "with").alias("cell_1"), F.greatest("block", "with").alias("cell_2"), "block", "doc_id", "label"
     )
     keys = ["signature", "cell_1", "cell_2"]
-    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cross_class, "a long, b long").distinct()
+    sketched = cells.join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id").select(*keys, "block", "doc_id", "label", "n_shingles", "sketch")
+    return sketched.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cross_class, "a long, b long").distinct()
 
 
 def join(documents: DataFrame) -> DataFrame:
@@ -256,14 +276,18 @@ def join(documents: DataFrame) -> DataFrame:
     keys = ["key_1", "key_2", "n_shingles"]
     copies = real.join(real.groupBy(*keys).agg(F.min("doc_id").alias("a")), keys).where("a < doc_id").select("a", F.col("doc_id").alias("b"))
     signed = named.mapInArrow(_signature_rows, "signature long, doc_id long")
-    hub = F.min("doc_id").over(Window.partitionBy("signature"))
-    groups = settle(signed.select("signature", "doc_id", hub.alias("hub")).where("hub < doc_id"))
-    sized = lambda c: real.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    near = groups.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct().join(sized("a"), "a").join(sized("b"), "b")
-    near = near.where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").select("a", "b")
-    links = settle(verified(near, named).unionByName(copies))
+    w = Window.partitionBy("signature")
+    groups = settle(
+        signed.select("signature", "doc_id", F.min("doc_id").over(w).alias("hub"), F.count("*").over(w).alias("n")).where("n >= 3 OR hub < doc_id")
+    )
+    stars = settle(groups.where("hub < doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+    grouped = bitmap.among(real.select("doc_id", "n_shingles", "sketch"), "doc_id", stars.select(F.explode(F.array("a", "b")).alias("id")), "id")
+    sized = lambda c: grouped.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    near = stars.join(sized("a"), "a").join(sized("b"), "b")
+    near = near.where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    links = settle(verified(settle(near.mapInArrow(_possible, "a long, b long")), named).unionByName(copies))
     classes = labels(links)
-    rest = settle(verified(_leftover_pairs(groups, classes, real), named))
+    rest = settle(verified(settle(_leftover_pairs(groups, classes, grouped)), named))
     if rest.limit(1).count():
         classes = labels(links.unionByName(rest))
     named_label = classes.select(F.col("node").alias("doc_id"), "label")
