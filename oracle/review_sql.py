@@ -73,20 +73,33 @@ def fp(nd, ed):
    WHERE e.doc_id=d.doc_id AND e.edge_type<>'CONTAINS')), '')) AS fingerprint FROM"""
 
 
-view("ov", "nd", r"""
+view("evn", "", """SELECT *, coalesce(sum(turn) OVER (PARTITION BY doc_id ORDER BY created_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 1 - turn AS expected_version
+FROM (SELECT event_id, (event_id*7919+user_id) % (SELECT count(*) FROM documents) AS doc_id, CAST(epoch_us(ts) AS DOUBLE)/1000000 AS created_at,
+  event_id%3<>0 AS is_active, CASE WHEN event_id%4<>0 THEN 1 ELSE 0 END AS turn FROM events)""")
+view("plc", "nd", """SELECT doc_id, seq, a, row_number() OVER w - 1 AS k, lead(seq) OVER w AS nx, count(*) OVER (PARTITION BY doc_id) AS n, min(seq) OVER (PARTITION BY doc_id) AS fs
+FROM (SELECT doc_id, seq, any_value(anchor_key) AS a FROM nd GROUP BY ALL) WINDOW w AS (PARTITION BY doc_id ORDER BY seq)""")
+
+
+def overrides(move: str) -> str:
+    return r"""
 SELECT doc_id, override_id, target_anchor_key, action_type, is_active, created_at, expected_version, event_id, seq,
  CASE action_type
   WHEN 'CHANGE_CATEGORY' THEN '{"new_category":"' || CASE WHEN event_id%29=0 THEN 'BOGUS' WHEN event_id%41=0 THEN 'THEOREM' WHEN seq%2=0 THEN 'CONCEPT' ELSE 'EXAMPLE' END || '"}'
-  WHEN 'RENAME_TITLE' THEN '{"new_title":"' || CASE WHEN event_id%31=0 THEN ' ' ELSE ' Title '||seq END || '"}'
-  WHEN 'UPDATE_EDGE' THEN '{"source_node_id":"an_b'||doc_id||'_'||seq||'","target_node_id":"an_b'||doc_id||'_12","edge_type":"'|| CASE WHEN seq%2=0 THEN 'EXPLAINS' ELSE 'PREREQUISITE_OF' END ||'","confidence":0.5}'
+  WHEN 'RENAME_TITLE' THEN '{"new_title":"' || CASE WHEN event_id%31=0 THEN ' ' ELSE ' Title '||(event_id%3) END || '"}'
+  WHEN 'UPDATE_EDGE' THEN '{"source_node_id":"an_b'||doc_id||'_'||seq||'","target_node_id":"an_b'||doc_id||'_'||fs||'","edge_type":"'|| CASE WHEN seq%2=0 THEN 'EXPLAINS' ELSE 'PREREQUISITE_OF' END ||'","confidence":0.5}'
   WHEN 'CREATE_NODE' THEN '{"category":"'|| CASE WHEN event_id%3=1 THEN 'CONCEPT' ELSE 'NOPE' END ||'","title":"Made '||event_id||'","anchor_key":"made_'||(event_id%2)||'"}'
+  WHEN 'REPARENT_NODE' THEN '{"new_parent_id":"an_b'||doc_id||'_'||coalesce(nx, fs)||'"}'
   ELSE '{}' END AS payload
-FROM (SELECT e.*, concat('ov', lpad(CAST(event_id AS VARCHAR), 12, '0')) AS override_id, coalesce(a, concat('made_', e.seq%2)) AS target_anchor_key,
+FROM (SELECT e.* EXCLUDE (fs), coalesce(e.fs, 0) AS fs, concat('ov', lpad(CAST(event_id AS VARCHAR), 12, '0')) AS override_id, coalesce(p.a, concat('made_', event_id%2)) AS target_anchor_key,
+  coalesce(p.seq, 0) AS seq, p.nx,
   CASE event_id%7 WHEN 0 THEN 'CHANGE_CATEGORY' WHEN 1 THEN 'RENAME_TITLE' WHEN 2 THEN 'ACCEPT_NODE' WHEN 3 THEN 'DELETE_NODE' WHEN 4 THEN 'UPDATE_EDGE'
-   WHEN 5 THEN CASE WHEN event_id%35=5 THEN 'CREATE_NODE' ELSE 'ACCEPT_NODE' END ELSE 'ACCEPT_NODE' END AS action_type
- FROM (SELECT event_id, user_id%50 AS doc_id, CAST(epoch_us(ts) AS DOUBLE)/1000000 AS created_at, [12,13,14,15,16,35,36,99][event_id%8+1] AS seq,
-   event_id%3<>0 AS is_active, event_id%40 AS expected_version FROM events) e
- LEFT JOIN (SELECT doc_id, seq, any_value(anchor_key) AS a FROM nd GROUP BY ALL) n ON n.doc_id=e.doc_id AND n.seq=e.seq)""")
+   WHEN 5 THEN CASE WHEN event_id%35=5 THEN 'CREATE_NODE' ELSE 'ACCEPT_NODE' END ELSE MOVE END AS action_type
+ FROM (SELECT evn.*, q.n, q.fs FROM evn LEFT JOIN (SELECT DISTINCT doc_id, n, fs FROM plc) q USING (doc_id)) e
+ LEFT JOIN plc p ON p.doc_id=e.doc_id AND e.event_id%8<>7 AND p.k=e.event_id%e.n)""".replace("MOVE", move)
+
+
+view("ov", "evn plc", overrides("'ACCEPT_NODE'"))
+view("ovm", "evn plc", overrides("CASE WHEN event_id%35=6 THEN 'REPARENT_NODE' ELSE 'ACCEPT_NODE' END"))
 view("ovd", "ov", "SELECT DISTINCT doc_id FROM ov")
 view("ndo", "nd ovd", "SELECT nd.* FROM nd SEMI JOIN ovd USING (doc_id)")
 view("edo", "ed ovd", "SELECT ed.* FROM ed SEMI JOIN ovd USING (doc_id)")
@@ -146,6 +159,24 @@ SELECT doc_id, 0::BIGINT AS o, 0::BIGINT AS rev, false AS accepted FROM (SELECT
 UNION ALL SELECT n.doc_id, n.o, CASE WHEN n.expected_version=r.rev THEN r.rev+1 ELSE r.rev END, n.expected_version=r.rev
 FROM rpl r JOIN rpn n ON n.doc_id=r.doc_id AND n.o=r.o+1""", recursive=True)
 view("rp", "rpn rpl", "SELECT n.*, r.accepted, CASE WHEN r.accepted THEN r.rev END AS new_version FROM rpn n JOIN rpl r USING (doc_id, o)")
+view("ax_log", "rp ovm", "SELECT m.*, r.o FROM ovm m JOIN rp r USING (doc_id, override_id) WHERE r.accepted")
+# What the accepted actions before one on the same anchor amount to: per kind the number of different
+# payloads, the last value that may apply and its place, and the last verdict.
+view("ax_acc", "ax_log", f"""
+SELECT a.*, count(DISTINCT p.payload) FILTER (p.action_type='CHANGE_CATEGORY') AS nc, count(DISTINCT p.payload) FILTER (p.action_type='RENAME_TITLE') AS nt,
+ count(DISTINCT p.payload) FILTER (p.action_type='REPARENT_NODE') AS np,
+ arg_max(p.payload->>'$.new_category', p.o) FILTER (p.action_type='CHANGE_CATEGORY' AND (p.payload->>'$.new_category') IN {CATS}) AS vc,
+ arg_max(trim(p.payload->>'$.new_title'), p.o) FILTER (p.action_type='RENAME_TITLE' AND trim(p.payload->>'$.new_title')<>'') AS vt,
+ arg_max(p.payload->>'$.new_parent_id', p.o) FILTER (p.action_type='REPARENT_NODE') AS vp,
+ max(struct_pack(o:=p.o, s:='MODIFIED')) FILTER (p.action_type='CHANGE_CATEGORY' AND (p.payload->>'$.new_category') IN {CATS}) AS oc,
+ max(struct_pack(o:=p.o, s:='MODIFIED')) FILTER (p.action_type='RENAME_TITLE' AND trim(p.payload->>'$.new_title')<>'') AS ot,
+ max(struct_pack(o:=p.o, s:='MODIFIED')) FILTER (p.action_type='REPARENT_NODE') AS op,
+ max(struct_pack(o:=p.o, s:=CASE p.action_type WHEN 'ACCEPT_NODE' THEN 'ACCEPTED' ELSE 'REJECTED' END)) FILTER (p.action_type IN ('ACCEPT_NODE','DELETE_NODE')) AS va
+FROM ax_log a LEFT JOIN ax_log p ON p.doc_id=a.doc_id AND p.target_anchor_key=a.target_anchor_key AND p.o<a.o GROUP BY ALL""")
+view("ax_made", "ax_log", f"""SELECT doc_id, anchor_key, min(o) AS o, arg_min(node_id, o) AS node_id, arg_min(category, o) AS category, arg_min(title, o) AS title FROM (
+ SELECT doc_id, payload->>'$.anchor_key' AS anchor_key, o, 'an_manual_'||override_id AS node_id, payload->>'$.category' AS category, payload->>'$.title' AS title
+ FROM ax_log WHERE action_type='CREATE_NODE' AND (payload->>'$.category') IN {CATS}) GROUP BY 1, 2""")
+view("ax_base", "ndo", "SELECT doc_id, anchor_key, min(struct_pack(node_id:=node_id, category:=category, title:=title, review_state:=review_state)) AS n FROM ndo GROUP BY ALL")
 view("snp", "osum", "SELECT doc_id, unnest([1,2]) AS approval_version, resolved_graph_fingerprint, concat('s', doc_id, '_', unnest([1,2])) AS snapshot_id FROM osum WHERE doc_id%3=0")
 view("ent_k", "rn", """
 SELECT concat('v', doc_id) AS version_id, * FROM (SELECT *, CASE WHEN coalesce(anchor_key,'')<>'' THEN anchor_key WHEN review_state='MODIFIED' OR provenance LIKE '%HUMAN_OVERRIDE%' THEN 'anc_manual_'||node_id END AS stable_id
@@ -183,14 +214,26 @@ SQL = {
     "overlay_edges": build("re", "SELECT doc_id, source_node_id, target_node_id, edge_type, confidence FROM re"),
     "overlay_status": build("osum", "SELECT * FROM osum"),
     "action_replay": build("rp", "SELECT doc_id, override_id, accepted, new_version FROM rp"),
-    "audit_page": build("rp nd", """SELECT doc_id, position, action_type, node_id, previous_state, new_state FROM (
-       SELECT r.doc_id, row_number() OVER (PARTITION BY r.doc_id ORDER BY r.o) AS position, action_type, n.node_id,
-        CASE action_type WHEN 'CHANGE_CATEGORY' THEN '{"category":"'||n.category||'"}' WHEN 'RENAME_TITLE' THEN CAST(json_object('title', n.title) AS VARCHAR)
-          WHEN 'ACCEPT_NODE' THEN '{"review_state":"UNREVIEWED"}' WHEN 'DELETE_NODE' THEN '{"review_state":"UNREVIEWED"}' ELSE '{}' END AS previous_state,
-        CASE action_type WHEN 'CHANGE_CATEGORY' THEN '{"category":"'||(payload->>'$.new_category')||'"}' WHEN 'RENAME_TITLE' THEN '{"title":"'||(payload->>'$.new_title')||'"}'
-          WHEN 'ACCEPT_NODE' THEN '{"review_state":"ACCEPTED"}' WHEN 'DELETE_NODE' THEN '{"review_state":"REJECTED"}' ELSE payload END AS new_state
-       FROM rp r JOIN (SELECT doc_id, anchor_key, min(struct_pack(node_id, category, title, review_state)) AS n FROM nd GROUP BY ALL) x
-         ON x.doc_id=r.doc_id AND x.anchor_key=r.target_anchor_key WHERE accepted) WHERE position BETWEEN 2 AND 6"""),
+    "audit_page": build("ax_acc ndo edo ax_made ax_base", """SELECT doc_id, position, action_type, node_id, previous_state, new_state FROM (
+       SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS position FROM (
+       SELECT r.doc_id, r.o, action_type, CASE WHEN action_type='CREATE_NODE' THEN 'an_manual_'||override_id ELSE t.node_id END AS node_id,
+        CASE action_type WHEN 'CHANGE_CATEGORY' THEN CAST(json_object('category', coalesce(pc, t.category)) AS VARCHAR)
+          WHEN 'RENAME_TITLE' THEN CAST(json_object('title', coalesce(pt, t.title)) AS VARCHAR)
+          WHEN 'REPARENT_NODE' THEN CAST(json_object('parent_id', coalesce(pp, (SELECT first(e.source_node_id ORDER BY e.ann_ord, e.seq) FROM edo e WHERE e.doc_id=r.doc_id AND e.edge_type='CONTAINS' AND e.target_node_id=t.node_id))) AS VARCHAR)
+          WHEN 'ACCEPT_NODE' THEN CAST(json_object('review_state', coalesce(ps, t.review_state)) AS VARCHAR)
+          WHEN 'DELETE_NODE' THEN CAST(json_object('review_state', coalesce(ps, t.review_state)) AS VARCHAR) ELSE '{}' END AS previous_state,
+        CASE action_type WHEN 'CHANGE_CATEGORY' THEN CAST(json_object('category', payload->>'$.new_category') AS VARCHAR) WHEN 'RENAME_TITLE' THEN CAST(json_object('title', payload->>'$.new_title') AS VARCHAR)
+          WHEN 'REPARENT_NODE' THEN CAST(json_object('parent_id', payload->>'$.new_parent_id') AS VARCHAR)
+          WHEN 'ACCEPT_NODE' THEN '{"review_state":"ACCEPTED"}' WHEN 'DELETE_NODE' THEN '{"review_state":"REJECTED"}'
+          WHEN 'CREATE_NODE' THEN CAST(json_object('category', payload->>'$.category', 'title', payload->>'$.title', 'target_block_id', NULL) AS VARCHAR) ELSE payload END AS new_state
+       FROM (SELECT *, CASE WHEN nc=1 THEN vc END AS pc, CASE WHEN nt=1 THEN vt END AS pt, CASE WHEN np=1 THEN vp END AS pp,
+              list_sort(list_filter([va, CASE WHEN nc=1 THEN oc END, CASE WHEN nt=1 THEN ot END, CASE WHEN np=1 THEN op END], lambda x: x IS NOT NULL))[-1].s AS ps
+             FROM ax_acc) r
+       LEFT JOIN (SELECT doc_id, anchor_key, NULL AS made_at, n.* FROM ax_base UNION ALL BY NAME
+                  SELECT doc_id, anchor_key, o AS made_at, node_id, category, title, 'MODIFIED' AS review_state FROM ax_made m
+                  WHERE NOT EXISTS (SELECT 1 FROM ax_base b WHERE b.doc_id=m.doc_id AND b.anchor_key=m.anchor_key)) t
+         ON t.doc_id=r.doc_id AND t.anchor_key=r.target_anchor_key AND (t.made_at IS NULL OR t.made_at<r.o)
+       WHERE action_type='CREATE_NODE' OR t.node_id IS NOT NULL)) WHERE position BETWEEN 2 AND 6"""),
     "reconciliation": build("st", """SELECT doc_id, override_id, target_anchor_key AS anchor_key, action_type, payload, outcome,
        CASE WHEN outcome='STALE' THEN 'Target anchor key not found in the newly generated base graph (likely content deleted or renamed).' ELSE 'Ambiguous matching or logical collision with other active user actions.' END AS reason
        FROM st WHERE outcome IN ('STALE','CONFLICTED')"""),

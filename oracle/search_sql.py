@@ -5,34 +5,41 @@ from .cte import build, view
 from .layout_sql import first_pass
 from .text_sql import WS
 
-view("ent", "", "SELECT CAST(p_partkey AS VARCHAR) AS entity_id, 'v1' AS version_id, p_type AS entity_type, p_name AS title, concat(p_type,' ',p_brand) AS content, concat('anc_',p_partkey) AS stable_id, p_partkey FROM part")
-view("rel", "", """SELECT 'v1' AS version_id, CAST(src AS VARCHAR) AS source_entity_id, CAST(dst AS VARCHAR) AS target_entity_id,
+view("ent", "", "SELECT CAST(p_partkey AS VARCHAR) AS entity_id, concat('v', p_partkey%4) AS version_id, p_type AS entity_type, p_name AS title, concat(p_type,' ',p_brand) AS content, concat('anc_',p_partkey) AS stable_id, p_partkey FROM part")
+view("rel", "", """SELECT concat('v', src%4) AS version_id, CAST(src AS VARCHAR) AS source_entity_id, CAST(dst AS VARCHAR) AS target_entity_id,
  ['CONTAINS','PREREQUISITE_OF','EXPLAINS','PROVES','ILLUSTRATES'][(src+dst)%5+1] AS relationship_type, CAST((src+dst)%10 AS DOUBLE)/10 AS confidence
-FROM (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey=b.l_orderkey AND b.l_linenumber=a.l_linenumber+1 WHERE a.l_partkey<>b.l_partkey)""")
-view("evd", "blk", """SELECT concat('e',p_partkey) AS evidence_id, CAST(p_partkey AS VARCHAR) AS entity_id, p_partkey%200 AS document_id,
- CASE WHEN p_partkey%7<>0 THEN 1 END AS page_number, concat('Section ',p_partkey%3) AS section_title,
+FROM (SELECT a.l_partkey AS src, min(b.l_partkey) AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey=b.l_orderkey AND b.l_linenumber=a.l_linenumber+1
+ WHERE a.l_partkey<>b.l_partkey AND a.l_partkey%4=b.l_partkey%4 GROUP BY 1)""")
+view("evd", "blk", """SELECT concat('e',p_partkey) AS evidence_id, CAST(p_partkey AS VARCHAR) AS entity_id, doc_id AS document_id,
+ CASE WHEN p_partkey%7<>0 THEN page_number END AS page_number, concat('Section ',p_partkey%3) AS section_title,
  CASE WHEN ok THEN x0 END AS x0, CASE WHEN ok THEN y0+5 END AS y0, CASE WHEN ok THEN x1 END AS x1, CASE WHEN ok THEN y1+25 END AS y1
-FROM (SELECT p_partkey, p_partkey%7<>0 AND p_partkey%11<>0 AS ok, b.* FROM part JOIN blk b ON b.doc_id=p_partkey%200 AND b.seq=0)""")
+FROM (SELECT p_partkey, p_partkey%7<>0 AND p_partkey%11<>0 AS ok, b.* FROM part
+ JOIN (SELECT doc_id, count(*) AS n FROM blk GROUP BY 1) c ON c.doc_id=(p_partkey*31)%(SELECT count(*) FROM documents)
+ JOIN blk b ON b.doc_id=c.doc_id AND b.seq=p_partkey%c.n)""")
 view("qry", "", """SELECT * EXCLUDE (ts), list_filter(ts, lambda x, i: list_position(ts, x) = i) AS terms FROM (SELECT *, string_split(regexp_replace(normalized,'[^a-z0-9]+',' ','g'),' ') AS ts FROM (
- SELECT q AS query_id, concat(' ',upper(q),' ') AS query, lower(q) AS normalized, 10 AS top_k, CASE WHEN length(q)%7=0 THEN 2 ELSE length(q)%2 END AS depth,
+ SELECT q AS query_id, concat(' ',upper(q),' ') AS query, lower(q) AS normalized, 10 AS top_k, concat('v', length(q)%4) AS version_id,
+  CASE length(q)%7 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE length(q)%2 END AS depth,
   CASE WHEN length(q)%4=0 THEN ['PROMO','SMALL'] END AS entity_types, CASE WHEN length(q)%5=0 THEN ['CONTAINS','EXPLAINS'] END AS relationship_types
- FROM (SELECT DISTINCT unnest([p_name, split_part(p_name,' ',1), lower(p_type), split_part(p_name,' ',1)||' '||lower(p_type)]) AS q FROM part)))""")
+ FROM (SELECT DISTINCT unnest([p_name, split_part(p_name,' ',1), lower(p_type), split_part(p_name,' ',1)||' '||lower(p_type)]) AS q FROM part) WHERE length(q)%13<>0))""")
 view("hit", "ent qry", """SELECT query_id, entity_id, CASE reason WHEN 'title_exact' THEN 1 WHEN 'title_prefix' THEN 0.8 WHEN 'title_contains' THEN 0.6 WHEN 'title_term' THEN 0.4 ELSE 0.2 END::DOUBLE AS match_score,
  reason AS match_reason, CASE reason WHEN 'title_exact' THEN terms WHEN 'content_contains' THEN list_filter(terms, lambda t: contains(cl,t)) ELSE tt END AS matched_terms
 FROM (SELECT *, CASE WHEN tl=normalized THEN 'title_exact' WHEN starts_with(tl,normalized) THEN 'title_prefix' WHEN contains(tl,normalized) THEN 'title_contains' WHEN len(tt)>0 THEN 'title_term' ELSE 'content_contains' END AS reason
  FROM (SELECT q.query_id, q.normalized, q.terms, e.entity_id, lower(title) AS tl, lower(content) AS cl, list_filter(q.terms, lambda t: contains(lower(title),t)) AS tt
-  FROM qry q JOIN ent e ON (q.entity_types IS NULL OR list_contains(q.entity_types, e.entity_type))
+  FROM qry q JOIN ent e ON q.version_id=e.version_id AND (q.entity_types IS NULL OR list_contains(q.entity_types, e.entity_type))
   WHERE len(list_filter(q.terms, lambda t: contains(lower(title),t) OR contains(lower(content),t)))>0))""")
 view("und", "rel", "SELECT source_entity_id AS s, target_entity_id AS d, relationship_type AS r FROM rel UNION SELECT target_entity_id, source_entity_id, relationship_type FROM rel")
 view("h1", "hit und qry", """SELECT DISTINCT h.query_id, u.d AS entity_id FROM hit h JOIN qry q USING (query_id) JOIN und u ON u.s=h.entity_id AND q.depth>=1 AND (q.relationship_types IS NULL OR list_contains(q.relationship_types,u.r))
  WHERE NOT EXISTS (SELECT 1 FROM hit x WHERE x.query_id=h.query_id AND x.entity_id=u.d)""")
 view("h2", "hit h1 und qry", """SELECT DISTINCT h.query_id, u.d AS entity_id FROM h1 h JOIN qry q USING (query_id) JOIN und u ON u.s=h.entity_id AND q.depth>=2 AND (q.relationship_types IS NULL OR list_contains(q.relationship_types,u.r))
  WHERE NOT EXISTS (SELECT 1 FROM hit x WHERE x.query_id=h.query_id AND x.entity_id=u.d) AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.query_id=h.query_id AND x.entity_id=u.d)""")
-view("cand", "hit h1 h2", """SELECT query_id, entity_id, 0 AS hop, match_score, match_reason, matched_terms FROM hit
-UNION ALL SELECT query_id, entity_id, 1, 0, 'graph_neighbor', [] FROM h1 UNION ALL SELECT query_id, entity_id, 2, 0, 'graph_neighbor', [] FROM h2""")
+view("h3", "hit h1 h2 und qry", """SELECT DISTINCT h.query_id, u.d AS entity_id FROM h2 h JOIN qry q USING (query_id) JOIN und u ON u.s=h.entity_id AND q.depth>=3 AND (q.relationship_types IS NULL OR list_contains(q.relationship_types,u.r))
+ WHERE NOT EXISTS (SELECT 1 FROM (SELECT query_id, entity_id FROM hit UNION ALL SELECT query_id, entity_id FROM h1 UNION ALL SELECT query_id, entity_id FROM h2) x WHERE x.query_id=h.query_id AND x.entity_id=u.d)""")
+view("cand", "hit h1 h2 h3", """SELECT query_id, entity_id, 0 AS hop, match_score, match_reason, matched_terms FROM hit
+UNION ALL SELECT query_id, entity_id, 1, 0, 'graph_neighbor', [] FROM h1 UNION ALL SELECT query_id, entity_id, 2, 0, 'graph_neighbor', [] FROM h2
+UNION ALL SELECT query_id, entity_id, 3, 0, 'graph_neighbor', [] FROM h3""")
 view("rcand", "cand rel qry", """SELECT c.query_id, r.source_entity_id, r.target_entity_id, r.relationship_type, min(c.hop)+1 AS hop, any_value(r.confidence) AS confidence
-FROM cand c JOIN qry q USING (query_id) JOIN rel r ON c.entity_id IN (r.source_entity_id, r.target_entity_id)
-WHERE c.hop<q.depth AND (q.relationship_types IS NULL OR list_contains(q.relationship_types,r.relationship_type)) GROUP BY ALL""".replace("c.entity_id IN (r.source_entity_id, r.target_entity_id)", "c.entity_id=r.e").replace("JOIN rel r ON", "JOIN (SELECT *, source_entity_id AS e FROM rel UNION ALL SELECT *, target_entity_id FROM rel) r ON").replace("GROUP BY ALL", "GROUP BY 1,2,3,4"))
+FROM cand c JOIN qry q USING (query_id) JOIN (SELECT *, source_entity_id AS e FROM rel UNION ALL SELECT *, target_entity_id FROM rel) r ON c.entity_id=r.e
+WHERE c.hop<q.depth AND (q.relationship_types IS NULL OR list_contains(q.relationship_types,r.relationship_type)) GROUP BY 1,2,3,4""")
 view("loc", "evd blk", """SELECT evidence_id, document_id, first(block_id ORDER BY area DESC, reading_order, block_id) AS block_id FROM (
  SELECT e.evidence_id, e.document_id, b.block_id, b.reading_order, round((least(e.x1,b.x1)-greatest(e.x0,b.x0))*(least(e.y1,b.y1)-greatest(e.y0,b.y0)),6) AS area
  FROM evd e JOIN blk b ON b.doc_id=e.document_id AND b.page_number=e.page_number AND e.x0 IS NOT NULL AND least(e.x1,b.x1)>greatest(e.x0,b.x0) AND least(e.y1,b.y1)>greatest(e.y0,b.y0)) GROUP BY ALL""")
@@ -53,13 +60,14 @@ FROM (SELECT c.query_id, c.entity_id, c.hop, c.match_score, c.match_reason, e.st
  LEFT JOIN (SELECT DISTINCT query_id, entity_id FROM psg) p USING (query_id, entity_id)
  LEFT JOIN (SELECT query_id, e AS entity_id, max(confidence) AS m FROM (SELECT query_id, source_entity_id AS e, confidence FROM rcand UNION ALL SELECT query_id, target_entity_id, confidence FROM rcand) GROUP BY ALL) r USING (query_id, entity_id))""")
 view("rnk", "scr", """SELECT *, total_candidates>top_k AS has_more FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total_score DESC, match_score DESC, hop, stable_id, entity_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total_candidates FROM scr) WHERE rank<=top_k""")
-view("itm", "rnk psg", """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, pos, ord NULLS FIRST, block_id) AS i FROM (
- SELECT query_id, rank, 0 AS pos, NULL AS ord, NULL AS block_id, length(title)+length(content) AS size, entity_id, title, entity_type, content, NULL AS text, NULL AS block_type FROM rnk
- UNION ALL SELECT r.query_id, r.rank, 1, p.ord, p.block_id, length(r.title)+length(p.text), r.entity_id, r.title, r.entity_type, r.content, p.text, p.block_type FROM rnk r JOIN psg p USING (query_id, entity_id))""")
-view("pck", "itm", """SELECT query_id, 0::BIGINT AS i, 0::BIGINT AS used, 0::BIGINT AS cite, CAST([] AS VARCHAR[]) AS seen, false AS took FROM (SELECT DISTINCT query_id FROM itm)
+view("itm", "rnk psg", """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total_score DESC, stable_id, entity_id, pos, ord NULLS FIRST, block_id) AS i FROM (
+ SELECT query_id, total_score, stable_id, 0 AS pos, NULL AS ord, NULL AS block_id, length(title)+length(content) AS size, entity_id, title, entity_type, content, NULL AS text, NULL AS block_type FROM rnk
+ UNION ALL SELECT r.query_id, r.total_score, r.stable_id, 1, p.ord, p.block_id, length(r.title)+length(p.text), r.entity_id, r.title, r.entity_type, r.content, p.text, p.block_type FROM rnk r JOIN psg p USING (query_id, entity_id))""")
+for end, budget in (("", 16000), ("_small", 600)):
+    view(f"pck{end}", "itm", f"""SELECT query_id, 0::BIGINT AS i, 0::BIGINT AS used, 0::BIGINT AS cite, CAST([] AS VARCHAR[]) AS seen, false AS took FROM (SELECT DISTINCT query_id FROM itm)
 UNION ALL SELECT query_id, i, CASE WHEN t THEN used+size ELSE used END, CASE WHEN t THEN cite+1 ELSE cite END, CASE WHEN t AND block_id IS NOT NULL THEN list_append(seen, block_id) ELSE seen END, t
-FROM (SELECT n.*, p.used, p.cite, p.seen, p.used+n.size<=600 AND (n.block_id IS NULL OR NOT list_contains(p.seen, n.block_id)) AS t FROM pck p JOIN itm n ON n.query_id=p.query_id AND n.i=p.i+1)""", recursive=True)
-view("srcs", "pck itm", "SELECT n.*, p.cite FROM pck p JOIN itm n USING (query_id, i) WHERE p.took")
+FROM (SELECT n.*, p.used, p.cite, p.seen, p.used+n.size<={budget} AND (n.block_id IS NULL OR NOT list_contains(p.seen, n.block_id)) AS t FROM pck{end} p JOIN itm n ON n.query_id=p.query_id AND n.i=p.i+1)""", recursive=True)
+    view(f"srcs{end}", f"pck{end} itm", f"SELECT n.*, p.cite FROM pck{end} p JOIN itm n USING (query_id, i) WHERE p.took")
 view("wrd", "blk", """SELECT doc_id, page_number, seq AS block_num, i, text, 2*(x0+40*i) AS x0, 2*(x0+40*i)+10*length(text) AS x1, 2*y0 AS y0, 2*y1 AS y1, 1::DOUBLE-0.05::DOUBLE*(length(text)%10) AS confidence
 FROM (SELECT doc_id, page_number, seq, x0, y0, y1, unnest(string_split(text,' ')) AS text, generate_subscripts(string_split(text,' '),1)-1 AS i FROM blk) WHERE text<>''""")
 view("ocrb", "wrd", f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, block_num) - 1 AS seq FROM (
@@ -109,6 +117,7 @@ SQL = {
        LEFT JOIN (SELECT query_id, source_entity_id AS entity_id, count(*) n FROM rcand GROUP BY ALL) o USING (query_id, entity_id) LEFT JOIN (SELECT query_id, target_entity_id AS entity_id, count(*) n FROM rcand GROUP BY ALL) i USING (query_id, entity_id)
        LEFT JOIN (SELECT query_id, entity_id, count(*) n FROM cev GROUP BY ALL) e USING (query_id, entity_id) LEFT JOIN (SELECT query_id, entity_id, count(*) n FROM psg GROUP BY ALL) p USING (query_id, entity_id)"""),
     "context_packing": build("srcs", "SELECT query_id, 'S'||cite AS citation_id, entity_id, block_id, CASE WHEN block_id IS NULL THEN 'ENTITY_CONTENT' ELSE block_type END AS provenance FROM srcs"),
+    "context_packing_small": build("srcs_small", "SELECT query_id, 'S'||cite AS citation_id, entity_id, block_id, CASE WHEN block_id IS NULL THEN 'ENTITY_CONTENT' ELSE block_type END AS provenance FROM srcs_small"),
     "prompts": build("qry srcs", f"""SELECT q.query_id, {lit(GROUNDING)} || chr(10)||chr(10)||'SUPPLIED CONTEXT SOURCES:'||chr(10) || coalesce(s.c, '{NO_CONTEXT}') || chr(10)||chr(10) || {lit(OUTPUT_FORMAT)} || chr(10)||chr(10)||'USER QUERY: ' || q.query AS prompt
        FROM qry q LEFT JOIN (SELECT query_id, string_agg('Source ID: S'||cite||chr(10)||'Title: '||title||' (Type: '||entity_type||')'||chr(10)||'Content: '||content||chr(10)||CASE WHEN text IS NULL THEN '' ELSE 'Verbatim Passage: '||text||chr(10) END||'---', chr(10) ORDER BY cite) AS c
        FROM srcs GROUP BY 1) s USING (query_id)"""),

@@ -196,10 +196,12 @@ SQL = {
         CROSS JOIN (SELECT unnest(['UNICODE_NORMALIZER','CONTROL_CHARACTER_NORMALIZER','WHITESPACE_NORMALIZER',
             'HYPHENATION_NORMALIZER','PARAGRAPH_NORMALIZER','HEADER_FOOTER_NORMALIZER','EMPTY_BLOCK_NORMALIZER']) AS step_name) s
         LEFT JOIN h_ledger l ON l.doc_id=d.doc_id AND l.step_name=s.step_name GROUP BY d.doc_id, s.step_name"""),
-    "stage_snapshots": build("w_s w_hy w_para", """
-        SELECT doc_id, block_id, 'UNICODE_NORMALIZER' AS step_name, t1 AS text FROM w_s
-        UNION ALL SELECT doc_id, block_id, 'CONTROL_CHARACTER_NORMALIZER', t2 FROM w_s
-        UNION ALL SELECT doc_id, block_id, 'WHITESPACE_NORMALIZER', t3 FROM w_s
-        UNION ALL SELECT doc_id, block_id, 'HYPHENATION_NORMALIZER', t4 FROM w_hy WHERE NOT absorbed
-        UNION ALL SELECT doc_id, block_id, 'PARAGRAPH_NORMALIZER', t6 FROM w_para"""),
+    "stage_snapshots": build("h_soft h_para h_run", f"""
+        SELECT doc_id, block_id, 'UNICODE_NORMALIZER' AS step_name, t1 AS text FROM h_soft
+        UNION ALL SELECT doc_id, block_id, 'CONTROL_CHARACTER_NORMALIZER', t2 FROM h_soft
+        UNION ALL SELECT doc_id, block_id, 'WHITESPACE_NORMALIZER', t3 FROM h_soft
+        UNION ALL SELECT doc_id, block_id, 'HYPHENATION_NORMALIZER', t4 FROM h_soft WHERE NOT absorbed
+        UNION ALL SELECT doc_id, block_id, 'PARAGRAPH_NORMALIZER', t6 FROM h_para
+        UNION ALL SELECT doc_id, block_id, 'HEADER_FOOTER_NORMALIZER', t6 FROM h_run WHERE running_type IS NULL
+        UNION ALL SELECT doc_id, block_id, 'EMPTY_BLOCK_NORMALIZER', t6 FROM h_run WHERE running_type IS NULL AND trim(t6, {WS}) <> ''"""),
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -254,15 +257,44 @@ def pipeline_report(h: DataFrame, edges: DataFrame, ann: DataFrame, validation:
     ).drop("_sem", "_ord", "_ann")
 
 
-FINGERPRINT_LINES = 65536
+def _digest_lines(batches):
+    """Sorted lines in, one digest per document out; only the running digest is kept."""
+    doc, part, digest = None, None, None
+    for batch in batches:
+        out = []
+        for d, p, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if digest is None or d != doc:
+                if digest is not None:
+                    out.append((doc, _closed(digest, part)))
+                doc, part, digest = d, None, hashlib.sha256()
+            if p and not part:
+                digest.update(b"\n---\n")
+            elif part == p:
+                digest.update(b"\n")
+            digest.update(line.encode())
+            part = p
+        yield _digest_batch(out, batch.schema.field(0).type)
+    if digest is not None:
+        yield _digest_batch([(doc, _closed(digest, part))], batch.schema.field(0).type)
+
+
+def _closed(digest, part: int) -> str:
+    if not part:
+        digest.update(b"\n---\n")
+    return digest.hexdigest()
+
+
+def _digest_batch(rows: list, doc_type: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([d for d, _ in rows], doc_type), pa.array([f for _, f in rows], pa.string())], ["doc_id", "fingerprint"]
+    )
 
 
-def graph_fingerprint(ns: DataFrame, es: DataFrame, limit: int = FINGERPRINT_LINES) -> DataFrame:
+def graph_fingerprint(ns: DataFrame, es: DataFrame) -> DataFrame:
     """One digest per document of its nodes, containment, titles and other edges.
 
-    Up to ``limit`` lines it is the plain digest of all sorted lines.  A larger document
-    is digested in hash buckets of about that size and the bucket digests are digested
-    again, so no task has to hold a whole document.
+    The sorted lines of a document are streamed through one SHA-256, so memory does not grow
+    with the document and the digest is the same rule at every size.
     """
     ids = ns.groupBy("doc_id", "node_id").agg(
         F.expr("coalesce(max_by(anchor_key, struct(seq, ann_ord)), '')").alias("_a")
@@ -287,17 +319,7 @@ def graph_fingerprint(ns: DataFrame, es: DataFrame, limit: int = FINGERPRINT_LIN
             .alias("line"),
         )
     )
-    big = lines.groupBy("doc_id").agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-    b = lines.join(big, "doc_id", "left").withColumn(
-        "_b", F.expr(f"IF(_n IS NULL, 0L, pmod(xxhash64(line), CAST(ceil(_n / {limit}) AS BIGINT)))")
-    )
-    joined = lambda p: f"array_join(array_sort(collect_list(line) FILTER (WHERE part = {p})), '\\n')"
-    bucket = b.groupBy("doc_id", "_b").agg(
-        F.expr(f"sha2(concat({joined(0)}, '\\n---\\n', {joined(1)}), 256)").alias("_d")
-    )
-    return bucket.groupBy("doc_id").agg(
-        F.expr(
-            "IF(count(*) = 1, min(_d), sha2(array_join(transform(array_sort(collect_list(struct(_b, _d))), x -> x._d), "
-            "'\\n'), 256))"
-        ).alias("fingerprint")
+    ordered = lines.repartition("doc_id").sortWithinPartitions("doc_id", "part", "line")
+    return ordered.select("doc_id", "part", "line").mapInArrow(
+        _digest_lines, f"doc_id {dict(lines.dtypes)['doc_id']}, fingerprint string"
     )

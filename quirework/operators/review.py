@@ -5,39 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .academic import CATEGORIES
 from .settle import settle
 
 
-def replay_actions(actions: DataFrame, limit: int = 1_000_000) -> DataFrame:
+def replay_actions(actions: DataFrame) -> DataFrame:
     """Optimistic replay: an action is accepted when its expected version is the current one.
 
     ``actions``: doc_id, ord, expected_version.  The accepted action of version r is the
-    first one expecting r after the accepted one of r-1.  A lower bound of those places is
-    improved per (document, version) group until it stands still; every pass fixes at
-    least one more version, and well-ordered logs need one or two passes.  Rows are only
-    ever aggregated, so a long log of one document is spread over all tasks.
+    first one expecting r after the accepted one of r-1, so every action points at the
+    one that would follow it, and the accepted ones are the path from the first that
+    expects 0.  Pointers are doubled, so the rounds grow with the logarithm of the log.
     """
     acts = settle(actions.select("doc_id", "ord", F.col("expected_version").alias("r")).where("r >= 0"))
-    low = None
-    for _ in range(limit):
-        if low is None:
-            best = acts.groupBy("doc_id", "r").agg(F.min("ord").alias("at"))
-        else:
-            best = (
-                acts.join(low.select("doc_id", (F.col("r") + 1).alias("r"), F.col("at").alias("_after")), ["doc_id", "r"], "left")
-                .where("_after IS NULL OR ord > _after").groupBy("doc_id", "r").agg(F.min("ord").alias("at"))
-            )
-        # Only an unbroken run of versions from 0 can be accepted; its places must increase.
-        w = Window.partitionBy("doc_id").orderBy("r")
-        run = best.withColumn("_i", F.row_number().over(w) - 1).where("_i = r").withColumn("at", F.max("at").over(w))
-        fresh = settle(run.select("doc_id", "r", "at"))
-        if low is not None:
-            same = fresh.join(low, ["doc_id", "r", "at"], "left_anti")
-            if same.isEmpty() and fresh.count() == low.count():
-                break
-        low = fresh
-    taken = acts.join(low.select("doc_id", "r", F.col("at").alias("ord")), ["doc_id", "r", "ord"], "left_semi")
-    return actions.join(taken.select("doc_id", "ord", F.lit(True).alias("_t")), ["doc_id", "ord"], "left").withColumns(
+    nothing = F.lit(None).cast(acts.schema["ord"].dataType)
+    seek = acts.select("doc_id", (F.col("r") + 1).alias("r"), "ord", F.col("ord").alias("at"), nothing.alias("goal"))
+    goal = acts.select("doc_id", "r", "ord", nothing.alias("at"), F.col("ord").alias("goal"))
+    later = Window.partitionBy("doc_id", "r").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+    links = seek.unionByName(goal).withColumn("to", F.last("goal", ignorenulls=True).over(later))
+    links = settle(links.where("at IS NOT NULL AND to IS NOT NULL").select("doc_id", "at", "to"))
+    taken = settle(acts.where("r = 0").groupBy("doc_id").agg(F.min("ord").alias("at")))
+    while True:
+        fresh = settle(taken.join(links, ["doc_id", "at"]).select("doc_id", F.col("to").alias("at")))
+        if fresh.isEmpty():
+            break
+        taken = settle(taken.unionByName(fresh))
+        links = settle(
+            links.alias("x").join(links.alias("y"), (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.to") == F.col("y.at")))
+            .select("x.doc_id", "x.at", "y.to")
+        )
+    hit = taken.select("doc_id", F.col("at").alias("ord"), F.lit(True).alias("_t"))
+    return actions.join(hit, ["doc_id", "ord"], "left").withColumns(
         {
             "accepted": F.coalesce("_t", F.lit(False)),
             "new_version": F.when(F.col("_t"), F.col("expected_version") + 1),
@@ -49,27 +47,62 @@ def revisions(replayed: DataFrame) -> DataFrame:
     return replayed.groupBy("doc_id").agg(F.count_if("accepted").alias("revision"))
 
 
-def audit_rows(replayed: DataFrame, ns: DataFrame) -> DataFrame:
-    """Audit entry of every accepted action: target node, state before and after."""
-    node = ns.select("doc_id", F.col("anchor_key").alias("target_anchor_key"), "node_id", "category", "title", "review_state")
-    # The reference takes the first node with the anchor; ours is the smallest id.
-    one = node.groupBy("doc_id", "target_anchor_key").agg(F.min(F.struct("node_id", "category", "title", "review_state")).alias("n"))
-    j = replayed.where("accepted").join(one, ["doc_id", "target_anchor_key"])
-    before = (
-        "CASE action_type WHEN 'CHANGE_CATEGORY' THEN to_json(named_struct('category', n.category)) "
-        "WHEN 'RENAME_TITLE' THEN to_json(named_struct('title', n.title)) "
-        "WHEN 'ACCEPT_NODE' THEN to_json(named_struct('review_state', n.review_state)) "
-        "WHEN 'DELETE_NODE' THEN to_json(named_struct('review_state', n.review_state)) ELSE '{}' END"
+def audit_rows(replayed: DataFrame, ns: DataFrame, es: DataFrame) -> DataFrame:
+    """Audit entry of every accepted action: target node, its state before and after.
+
+    The state before is that of the resolved graph of the time: the base node, or one
+    created earlier, with the accepted actions that came before.  Actions of one kind on
+    one anchor that disagree are in conflict and none of them counts.  An action whose
+    target does not exist at its time leaves no entry.
+    """
+    acts = replayed.where("accepted").withColumns({
+        "p_category": F.expr("get_json_object(payload, '$.category')"), "p_title": F.expr("get_json_object(payload, '$.title')"),
+        "p_new": F.expr("CASE action_type WHEN 'CHANGE_CATEGORY' THEN get_json_object(payload, '$.new_category') WHEN 'RENAME_TITLE' "
+                        "THEN get_json_object(payload, '$.new_title') WHEN 'REPARENT_NODE' THEN get_json_object(payload, '$.new_parent_id') END"),
+    })
+    valid = F.col("p_category").isin(*CATEGORIES)
+    made = acts.where((F.col("action_type") == "CREATE_NODE") & valid).select(
+        "doc_id", F.expr("get_json_object(payload, '$.anchor_key')").alias("target_anchor_key"), "ord",
+        F.struct(F.concat(F.lit("an_manual_"), "override_id").alias("node_id"), F.col("p_category").alias("category"),
+                 F.col("p_title").alias("title"), F.lit("MODIFIED").alias("review_state")).alias("m"),
+    ).groupBy("doc_id", "target_anchor_key").agg(F.min_by("m", "ord").alias("m"), F.min("ord").alias("made_at"))
+    # The first node with an anchor counts; without an order of nodes that is the smallest id.
+    base = ns.select("doc_id", F.col("anchor_key").alias("target_anchor_key"), "node_id", "category", "title", "review_state")
+    base = base.groupBy("doc_id", "target_anchor_key").agg(F.min(F.struct("node_id", "category", "title", "review_state")).alias("n"))
+    parent = es.where("edge_type = 'CONTAINS'").groupBy("doc_id", F.col("target_node_id").alias("_id")).agg(
+        F.min_by("source_node_id", F.struct("ann_ord", "seq")).alias("_parent"))
+    w = Window.partitionBy("doc_id", "target_anchor_key").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    before = {}
+    for kind, good in (("CHANGE_CATEGORY", F.col("p_new").isin(*CATEGORIES)), ("RENAME_TITLE", F.trim("p_new") != ""), ("REPARENT_NODE", F.lit(True))):
+        own = F.col("action_type") == kind
+        agreed = F.min(F.when(own, F.col("payload"))).over(w) == F.max(F.when(own, F.col("payload"))).over(w)
+        last = F.max(F.when(own & good, F.struct("ord", F.lit("MODIFIED").alias("state"), F.trim("p_new").alias("value")))).over(w)
+        before[f"_{kind}"] = F.when(agreed, last)
+    verdict = F.max(F.when(F.col("action_type").isin("ACCEPT_NODE", "DELETE_NODE"), F.struct(
+        "ord", F.expr("IF(action_type = 'ACCEPT_NODE', 'ACCEPTED', 'REJECTED')").alias("state"), F.lit(None).cast("string").alias("value")))).over(w)
+    known = acts.withColumns({**before, "_verdict": verdict}).join(base, ["doc_id", "target_anchor_key"], "left").join(
+        made, ["doc_id", "target_anchor_key"], "left")
+    created = F.col("action_type") == "CREATE_NODE"
+    known = known.withColumn("t", F.coalesce("n", F.when(F.col("made_at") < F.col("ord"), F.col("m")))).where(created | F.col("t").isNotNull())
+    known = known.withColumn("_id", F.when(created, F.concat(F.lit("an_manual_"), "override_id")).otherwise(F.col("t.node_id"))).join(
+        parent, ["doc_id", "_id"], "left")
+    last = F.greatest("_verdict", "_CHANGE_CATEGORY", "_RENAME_TITLE", "_REPARENT_NODE")["state"]
+    known = known.withColumn("_state", F.coalesce(last, "t.review_state"))
+    one = lambda name, value: f"to_json(named_struct('{name}', {value}), map('ignoreNullFields', 'false'))"
+    previous = (
+        f"CASE action_type WHEN 'CHANGE_CATEGORY' THEN {one('category', 'coalesce(_CHANGE_CATEGORY.value, t.category)')} "
+        f"WHEN 'RENAME_TITLE' THEN {one('title', 'coalesce(_RENAME_TITLE.value, t.title)')} "
+        f"WHEN 'REPARENT_NODE' THEN {one('parent_id', 'coalesce(_REPARENT_NODE.value, _parent)')} "
+        f"WHEN 'ACCEPT_NODE' THEN {one('review_state', '_state')} WHEN 'DELETE_NODE' THEN {one('review_state', '_state')} ELSE '{{}}' END"
     )
-    after = (
-        "CASE action_type WHEN 'CHANGE_CATEGORY' THEN to_json(named_struct('category', get_json_object(payload, '$.new_category'))) "
-        "WHEN 'RENAME_TITLE' THEN to_json(named_struct('title', get_json_object(payload, '$.new_title'))) "
-        "WHEN 'ACCEPT_NODE' THEN '{\"review_state\":\"ACCEPTED\"}' WHEN 'DELETE_NODE' THEN '{\"review_state\":\"REJECTED\"}' "
-        "ELSE payload END"
+    new = (
+        f"CASE action_type WHEN 'CHANGE_CATEGORY' THEN {one('category', 'p_new')} WHEN 'RENAME_TITLE' THEN {one('title', 'p_new')} "
+        f"WHEN 'REPARENT_NODE' THEN {one('parent_id', 'p_new')} WHEN 'ACCEPT_NODE' THEN '{{\"review_state\":\"ACCEPTED\"}}' "
+        "WHEN 'DELETE_NODE' THEN '{\"review_state\":\"REJECTED\"}' WHEN 'CREATE_NODE' THEN to_json(named_struct('category', p_category, "
+        "'title', p_title, 'target_block_id', get_json_object(payload, '$.target_block_id')), map('ignoreNullFields', 'false')) ELSE payload END"
     )
-    return j.select(
-        "doc_id", "ord", "action_type", F.col("n.node_id").alias("node_id"),
-        F.expr(before).alias("previous_state"), F.expr(after).alias("new_state"),
+    return known.select(
+        "doc_id", "ord", "action_type", F.col("_id").alias("node_id"), F.expr(previous).alias("previous_state"), F.expr(new).alias("new_state")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.geometry import bands, band_of
 from .graph import expand_hops
-from .ordered import CHUNK_ROWS, near
+from .settle import settle
 
 GRAM, BAND = 3, 64.0
 
@@ -95,10 +95,10 @@ def match_terms(queries: DataFrame, entities: DataFrame) -> DataFrame:
     text = entities.select(
         "version_id", "entity_id", F.lower("title").alias("title_l"), F.lower(F.coalesce("content", F.lit(""))).alias("content_l")
     )
+    # Grams travel without the texts; the texts meet the few candidates at the end.
     both = [f"concat({_grams('title_l', n)}, {_grams('content_l', n)})" for n in (1, 2, 3)]
-    index = text.withColumn("gram", F.explode(F.expr(f"array_distinct(concat({', '.join(both)}))"))).join(
-        wanted, ["version_id", "gram"], "left_semi"
-    )
+    grams = text.select("version_id", "entity_id", F.explode(F.expr(f"array_distinct(concat({', '.join(both)}))")).alias("gram"))
+    index = settle(grams.join(wanted, ["version_id", "gram"], "left_semi"))
     sizes = index.groupBy("version_id", "gram").agg(F.count("*").alias("n"))
     # A piece that occurs nowhere means no match, so an inner join may drop it; the term then has
     # fewer pieces than it should and is dropped as a whole.
@@ -106,7 +106,7 @@ def match_terms(queries: DataFrame, entities: DataFrame) -> DataFrame:
         F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n")
     ).where("n > 0").drop("n")
     return (
-        counted.join(index, ["version_id", "gram"])
+        counted.join(index, ["version_id", "gram"]).select("version_id", "term", "entity_id").join(text, ["version_id", "entity_id"])
         .where("contains(title_l, term) OR contains(content_l, term)")
         .select("version_id", "term", "entity_id")
     )
@@ -214,12 +214,18 @@ def locate(evidence: DataFrame, blocks: DataFrame, band: float = BAND) -> DataFr
     )
 
 
-def passages(ev: DataFrame, located: DataFrame, blocks: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
+def passages(ev: DataFrame, located: DataFrame, blocks: DataFrame) -> DataFrame:
     """One row per (query, block, entity) with block text, neighbours and section title of the first evidence."""
-    around = near(
-        blocks.select("doc_id", "block_id", "seq", "page_number", "text", "block_type", "x0", "y0", "x1", "y1"),
-        lambda w: {"previous_text": F.lag("text").over(w), "next_text": F.lead("text").over(w)}, rows=rows,
-    ).withColumnRenamed("doc_id", "document_id").drop("chunk", "seq")
+    here = blocks.select(F.col("doc_id").alias("document_id"), "block_id", "seq", "page_number", "text", "block_type", "x0", "y0", "x1", "y1")
+    # Only located blocks and the two beside each of them are read; texts move once.
+    spots = here.select("document_id", "block_id", "seq").join(located.select("document_id", "block_id").distinct(), ["document_id", "block_id"], "left_semi")
+    wanted = spots.select("document_id", F.col("block_id").alias("_spot"), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("_side"), "seq")
+    wanted = wanted.withColumn("seq", F.col("seq") + F.col("_side"))
+    side = lambda k, c: F.max(F.when(F.col("_side") == k, F.col(c)))
+    around = wanted.join(here, ["document_id", "seq"]).groupBy("document_id", F.col("_spot").alias("block_id")).agg(
+        side(-1, "text").alias("previous_text"), side(1, "text").alias("next_text"),
+        *[side(0, c).alias(c) for c in ("page_number", "text", "block_type", "x0", "y0", "x1", "y1")],
+    )
     on = ev.where("NOT is_stale").select(
         "query_id", "entity_id", "evidence_id", F.col("section_title"), F.col("page_number").alias("_page")
     ).join(located, "evidence_id")
@@ -263,13 +269,23 @@ def score(queries: DataFrame, cands: DataFrame, rels: DataFrame, ev: DataFrame,
     return df.withColumn("total_score", F.expr(total)).drop("_fresh", "_pass", "_conf", "_body", "_head")
 
 
-def rank(scored: DataFrame) -> DataFrame:
-    """Best ``top_k`` per query in a total order; the window limit is applied before the shuffle."""
+def accepted(queries: DataFrame) -> DataFrame:
+    """The requests that break no rule."""
+    return validate_requests(queries).where("reject_reason IS NULL").drop("reject_reason")
+
+
+def largest_top_k(queries: DataFrame) -> int:
+    return queries.agg(F.max("top_k")).first()[0] or 0
+
+
+def rank(scored: DataFrame, largest: int) -> DataFrame:
+    """Best ``top_k`` per query in a total order; no request asks for more than ``largest``, so
+    that many rows per query and task are enough before the shuffle."""
     w = Window.partitionBy("query_id").orderBy(
         F.desc("total_score"), F.desc("match_score"), "hop", "stable_id", "entity_id"
     )
     totals = scored.groupBy("query_id").agg(F.count("*").alias("total_candidates"))
-    top = scored.withColumn("rank", F.row_number().over(w)).where("rank <= 100").where("rank <= top_k")
+    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= largest).where("rank <= top_k")
     return top.join(totals, "query_id").withColumn("has_more", F.col("total_candidates") > F.col("top_k"))
 
 

@@ -72,9 +72,9 @@ def readiness(s, d):
     return rv.readiness_checks(rn, re_, summary(s, d), _reviewed(s, d))
 
 
-def replayed(s, d):
-    acts = ovr(s, d).withColumn("ord", F.struct("created_at", "override_id"))
-    return stage(s, d, "replayed", lambda: rv.replay_actions(acts))
+def replayed(s, d, moves=False):
+    acts = ovr(s, d, moves).withColumn("ord", F.struct("created_at", "override_id"))
+    return stage(s, d, f"replayed_{moves}", lambda: rv.replay_actions(acts))
 
 
 def academic_quality(s, d):
@@ -159,7 +159,7 @@ QUERIES = {
     "overlay_reparent_edges": lambda s, d: resolved(s, d, True)[1].select(
         "doc_id", "source_node_id", "target_node_id", "edge_type", "confidence"),
     "action_replay": lambda s, d: replayed(s, d).select("doc_id", "override_id", "accepted", "new_version"),
-    "audit_page": lambda s, d: rv.page_of(rv.audit_rows(replayed(s, d), nodes(s, d)), ["ord"], 1, 5).select(
+    "audit_page": lambda s, d: rv.page_of(rv.audit_rows(replayed(s, d, True), *graph(s, d)), ["ord"], 1, 5).select(
         "doc_id", "position", "action_type", "node_id", "previous_state", "new_state"),
     "reconciliation": lambda s, d: ov.reconciliation(status(s, d)),
     "readiness": readiness,

@@ -28,7 +28,7 @@ def rel(s, d):
 
 
 def qry(s, d):
-    return se.normalize_queries(src.search_requests(s, d))
+    return se.normalize_queries(se.accepted(src.search_requests(s, d)))
 
 
 def hits(s, d):
@@ -37,11 +37,11 @@ def hits(s, d):
 
 def expanded(s, d):
     def cands():
-        c, r = se.expand(qry(s, d), hits(s, d), ent(s, d), rel(s, d), 2)
+        c, r = se.expand(qry(s, d), hits(s, d), ent(s, d), rel(s, d))
         stage(s, d, "rel_candidates", lambda: r)
         return c
     c = stage(s, d, "candidates", cands)
-    return c, stage(s, d, "rel_candidates", lambda: se.expand(qry(s, d), hits(s, d), ent(s, d), rel(s, d), 2)[1])
+    return c, stage(s, d, "rel_candidates", lambda: se.expand(qry(s, d), hits(s, d), ent(s, d), rel(s, d))[1])
 
 
 def evd(s, d):
@@ -66,15 +66,15 @@ def scored(s, d):
 
 
 def ranked(s, d):
-    return stage(s, d, "ranked", lambda: se.rank(scored(s, d)))
+    return stage(s, d, "ranked", lambda: se.rank(scored(s, d), se.largest_top_k(qry(s, d))))
 
 
 def packaged(s, d):
     return se.package_counts(ranked(s, d), expanded(s, d)[1], *found(s, d))
 
 
-def sources(s, d):
-    return stage(s, d, "context_sources", lambda: cx.pack_context(ranked(s, d), found(s, d)[1], 600))
+def sources(s, d, limit=cx.MAX_CHARS):
+    return stage(s, d, f"context_sources_{limit}", lambda: cx.pack_context(ranked(s, d), found(s, d)[1], limit))
 
 
 def scope_queries(s, d):
@@ -117,7 +117,7 @@ def version_counts(s, d):
 
 def violations(s, d):
     r = rel(s, d).withColumn("confidence", F.expr("confidence * 1.2D"))
-    ev = evd(s, d).withColumn("x0", F.expr("IF(hash(1) IS NOT NULL AND CAST(entity_id AS BIGINT) % 50 = 1, NULL, x0)"))
+    ev = evd(s, d).withColumn("x0", F.expr("IF(CAST(entity_id AS BIGINT) % 50 = 1, NULL, x0)"))
     dup = src.table(s, d, "lineitem").selectExpr("l_orderkey", "l_linenumber")
     out = ck.violations(ev, "evidence_id", ck.EVIDENCE_RULES)
     out = out.unionByName(ck.violations(r.withColumn("k", F.concat_ws(">", "source_entity_id", "target_entity_id")), "k", ck.RELATION_RULES))
@@ -141,7 +141,7 @@ def ocr_layout(s, d):
 
 
 def native(s, d):
-    return src.two_column_blocks(s, d).withColumn("reading_order", F.expr("reading_order"))
+    return src.two_column_blocks(s, d)
 
 
 def recognised(s, d):
@@ -223,7 +223,8 @@ QUERIES = {
         "query_id", "rank", "entity_id", "total_score", "match_reason", "hop", "total_candidates", "has_more"),
     "search_package": packaged,
     "context_packing": lambda s, d: sources(s, d).select("query_id", "citation_id", "entity_id", "block_id", "provenance"),
-    "prompts": lambda s, d: cx.prompts(src.search_requests(s, d), sources(s, d)),
+    "context_packing_small": lambda s, d: sources(s, d, 600).select("query_id", "citation_id", "entity_id", "block_id", "provenance"),
+    "prompts": lambda s, d: cx.prompts(se.accepted(src.search_requests(s, d)), sources(s, d)),
     "doc_statistics": lambda s, d: ct.document_statistics(src.blocks(s, d), src.pages(s, d)),
     "doc_detail": lambda s, d: ct.document_detail(
         src.table(s, d, "documents").select("doc_id", "lang", "source"), src.table(s, d, "labels").select("doc_id", "quality")),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import normalize as nz
 from ..sources import standin as src
+from .pipeline import stage
 
 CLASSIFY = nz.NormalizeParams(header_footer_mode="classify")
 
@@ -57,21 +58,24 @@ def _drop_empty(s, d):
     return t.where("dropped_by IS NULL").select("doc_id", "block_id", F.col("t3").alias("text"))
 
 
+def _trace(s, d):
+    return stage(s, d, "trace", lambda: nz.trace(src.headed_blocks(s, d)))
+
+
 def _all(s, d):
-    return nz.normalize(src.headed_blocks(s, d)).select("doc_id", "block_id", "text", "page_number", "seq")
+    return nz.cleaned(_trace(s, d)).select("doc_id", "block_id", "text", "page_number", "seq")
 
 
 def _ledger(s, d):
-    return nz.ledger(nz.trace(src.headed_blocks(s, d))).drop("step_no")
+    return nz.ledger(_trace(s, d)).drop("step_no")
 
 
 def _metrics(s, d):
-    return nz.stage_metrics(nz.trace(src.headed_blocks(s, d)))
+    return nz.stage_metrics(_trace(s, d))
 
 
 def _snapshots(s, d):
-    snap = nz.snapshots(_para(s, d).withColumn("running_type", F.lit(None).cast("string")))
-    return snap.where("step_no <= 4").select("doc_id", "block_id", "step_name", "text")
+    return nz.snapshots(_trace(s, d)).select("doc_id", "block_id", "step_name", "text")
 
 
 QUERIES = {

@@ -7,7 +7,7 @@ generated rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LINES_PER_PAGE = 20
@@ -18,20 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core work when the input is a handful of files; leave larger inputs alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    n_files = len(df._jdf.inputFiles())  # counted in the JVM; the names stay there
-    return df.repartition(cores, *keys) if n_files < cores else df
-
-
 def _d(c):
     return c.cast("double")
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One block per text line, single column."""
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     split = documents.select("doc_id", F.split("text", "\n", -1).alias("_lines"))
     lines = split.select(
         "doc_id", F.size("_lines").cast("long").alias("doc_rows"), F.posexplode("_lines").alias("seq", "text")
@@ -149,20 +142,27 @@ def rich_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ANCHOR_PLACES = "array(12, 13, 14, 15, 16, 35, 36, 99)"
-
-
 def overrides(spark: SparkSession, sf_dir: str, nodes: DataFrame, moves: bool = False) -> DataFrame:
-    """Correction events aimed at the academic nodes of documents 0..49, derived from ``events``.
+    """Correction events aimed at the academic nodes of all documents, derived from ``events``.
 
+    An event belongs to a document by its ids, and to one of that document's nodes. Three of four
+    events of a document expect the version that the ones before them lead to, the others one more.
     With ``moves`` one in 35 events moves a node under another one.
     """
+    n_docs = table(spark, sf_dir, "documents").count()
     ev = table(spark, sf_dir, "events").selectExpr(
-        "event_id", "user_id % 50 AS doc_id", "CAST(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS DOUBLE) / 1000000 AS created_at",
-        f"CAST(element_at({ANCHOR_PLACES}, CAST(event_id % 8 AS INT) + 1) AS BIGINT) AS seq",
-        "event_id % 3 <> 0 AS is_active", "CAST(event_id % 40 AS BIGINT) AS expected_version",
+        "event_id", f"(event_id * 7919 + user_id) % {n_docs} AS doc_id",
+        "CAST(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS DOUBLE) / 1000000 AS created_at",
+        "event_id % 3 <> 0 AS is_active", "CAST(event_id % 4 <> 0 AS BIGINT) AS in_turn",
     )
-    at = nodes.groupBy("doc_id", "seq").agg(F.max_by("anchor_key", "ann_ord").alias("_a"))
+    log = Window.partitionBy("doc_id").orderBy("created_at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    ev = ev.withColumn("expected_version", F.coalesce(F.sum("in_turn").over(log), F.lit(0)) + 1 - F.col("in_turn"))
+    places = Window.partitionBy("doc_id").orderBy("seq")
+    at = nodes.groupBy("doc_id", "seq").agg(F.max_by("anchor_key", "ann_ord").alias("_a")).select(
+        "*", (F.row_number().over(places) - 1).cast("long").alias("k"), F.lead("seq").over(places).alias("_next")
+    )
+    per_doc = at.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("seq").alias("_first"))
+    ev = ev.join(per_doc, "doc_id", "left").withColumn("k", F.expr("CASE WHEN event_id % 8 <> 7 THEN event_id % _n END"))
     kind = (
         "CASE event_id % 7 WHEN 0 THEN 'CHANGE_CATEGORY' WHEN 1 THEN 'RENAME_TITLE' WHEN 2 THEN 'ACCEPT_NODE' "
         "WHEN 3 THEN 'DELETE_NODE' WHEN 4 THEN 'UPDATE_EDGE' WHEN 5 THEN IF(event_id % 35 = 5, 'CREATE_NODE', 'ACCEPT_NODE') "
@@ -171,39 +171,42 @@ def overrides(spark: SparkSession, sf_dir: str, nodes: DataFrame, moves: bool =
     payload = r"""CASE action_type
         WHEN 'CHANGE_CATEGORY' THEN concat('{"new_category":"', CASE WHEN event_id % 29 = 0 THEN 'BOGUS'
             WHEN event_id % 41 = 0 THEN 'THEOREM' WHEN seq % 2 = 0 THEN 'CONCEPT' ELSE 'EXAMPLE' END, '"}')
-        WHEN 'RENAME_TITLE' THEN concat('{"new_title":"', IF(event_id % 31 = 0, ' ', concat(' Title ', seq)), '"}')
+        WHEN 'RENAME_TITLE' THEN concat('{"new_title":"', IF(event_id % 31 = 0, ' ', concat(' Title ', event_id % 3)), '"}')
         WHEN 'UPDATE_EDGE' THEN concat('{"source_node_id":"an_b', doc_id, '_', seq, '","target_node_id":"an_b', doc_id,
-            '_12","edge_type":"', IF(seq % 2 = 0, 'EXPLAINS', 'PREREQUISITE_OF'), '","confidence":0.5}')
+            '_', first_seq, '","edge_type":"', IF(seq % 2 = 0, 'EXPLAINS', 'PREREQUISITE_OF'), '","confidence":0.5}')
         WHEN 'CREATE_NODE' THEN concat('{"category":"', IF(event_id % 3 = 1, 'CONCEPT', 'NOPE'), '","title":"Made ', event_id,
             '","anchor_key":"made_', event_id % 2, '"}')
-        WHEN 'REPARENT_NODE' THEN concat('{"new_parent_id":"an_b', doc_id, '_', 12 + event_id % 5, '"}')
+        WHEN 'REPARENT_NODE' THEN concat('{"new_parent_id":"an_b', doc_id, '_', coalesce(_next, first_seq), '"}')
         ELSE '{}' END"""
     return (
-        ev.join(at, ["doc_id", "seq"], "left")
-        .withColumn("action_type", F.expr(kind))
+        ev.join(at, ["doc_id", "k"], "left")
+        .withColumns({"action_type": F.expr(kind), "seq": F.expr("coalesce(seq, 0L)"), "first_seq": F.expr("coalesce(_first, 0L)")})
         .selectExpr(
             "doc_id", "concat('ov', lpad(CAST(event_id AS STRING), 12, '0')) AS override_id",
-            "coalesce(_a, concat('made_', seq % 2)) AS target_anchor_key", "action_type", f"{payload} AS payload",
+            "coalesce(_a, concat('made_', event_id % 2)) AS target_anchor_key", "action_type", f"{payload} AS payload",
             "is_active", "created_at", "expected_version",
         )
     )
 
 
+VERSIONS = 4
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(
-        "CAST(p_partkey AS STRING) AS entity_id", "'v1' AS version_id", "p_type AS entity_type", "p_name AS title",
+        "CAST(p_partkey AS STRING) AS entity_id", f"concat('v', p_partkey % {VERSIONS}) AS version_id", "p_type AS entity_type", "p_name AS title",
         "concat(p_type, ' ', p_brand) AS content", "concat('anc_', p_partkey) AS stable_id", "p_partkey",
     )
 
 
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts on neighbouring lines of one order, each pair once."""
+    """Parts of one version on neighbouring lines of an order; every part points at one of them."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     nxt = li.selectExpr("l_orderkey", "l_partkey AS dst", "l_linenumber - 1 AS l_linenumber")
-    pairs = li.join(nxt, ["l_orderkey", "l_linenumber"]).where("l_partkey <> dst").select(
-        F.col("l_partkey").alias("src"), "dst").distinct()
+    pairs = li.join(nxt, ["l_orderkey", "l_linenumber"]).where(f"l_partkey <> dst AND l_partkey % {VERSIONS} = dst % {VERSIONS}").groupBy(
+        F.col("l_partkey").alias("src")).agg(F.min("dst").alias("dst"))
     return pairs.selectExpr(
-        "'v1' AS version_id", "CAST(src AS STRING) AS source_entity_id", "CAST(dst AS STRING) AS target_entity_id",
+        f"concat('v', src % {VERSIONS}) AS version_id", "CAST(src AS STRING) AS source_entity_id", "CAST(dst AS STRING) AS target_entity_id",
         "element_at(array('CONTAINS', 'PREREQUISITE_OF', 'EXPLAINS', 'PROVES', 'ILLUSTRATES'), CAST((src + dst) % 5 AS INT) + 1) "
         "AS relationship_type",
         "CAST((src + dst) % 10 AS DOUBLE) / 10 AS confidence",
@@ -211,28 +214,33 @@ def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One evidence row per part on the first page of a document, some stale, some without a box."""
-    first = blocks(spark, sf_dir).where("seq = 0").select("doc_id", "x0", "y0", "x1", "y1")
-    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey % 200 AS doc_id")
+    """One evidence row per part on some block of some document, some stale, some without a box."""
+    n_docs = table(spark, sf_dir, "documents").count()
+    b = blocks(spark, sf_dir).select("doc_id", "seq", "doc_rows", "page_number", "x0", "y0", "x1", "y1")
+    rows = b.where("seq = 0").select("doc_id", F.col("doc_rows").alias("_n"))
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", f"(p_partkey * 31) % {n_docs} AS doc_id").join(rows, "doc_id")
+    p = p.withColumn("seq", F.expr("p_partkey % _n")).join(b.drop("doc_rows"), ["doc_id", "seq"])
     box = lambda e: f"IF(p_partkey % 7 = 0 OR p_partkey % 11 = 0, NULL, {e})"
-    return p.join(first, "doc_id").selectExpr(
-        "concat('e', p_partkey) AS evidence_id", "CAST(p_partkey AS STRING) AS entity_id", "'v1' AS version_id",
-        "doc_id AS document_id", "IF(p_partkey % 7 = 0, NULL, 1) AS page_number",
+    return p.selectExpr(
+        "concat('e', p_partkey) AS evidence_id", "CAST(p_partkey AS STRING) AS entity_id", f"concat('v', p_partkey % {VERSIONS}) AS version_id",
+        "doc_id AS document_id", "IF(p_partkey % 7 = 0, NULL, page_number) AS page_number",
         "concat('Section ', p_partkey % 3) AS section_title",
         f"{box('x0')} AS x0", f"{box('y0 + 5')} AS y0", f"{box('x1')} AS x1", f"{box('y1 + 25')} AS y1",
     )
 
 
 def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names, their first words, part types and word-type pairs as queries."""
+    """Part names, their first words, part types and word-type pairs as queries of one version each.
+    One in 13 asks for more than is allowed."""
     p = table(spark, sf_dir, "part").select("p_name", "p_type").distinct()
     q = p.select(
         F.explode(F.expr("array(p_name, split(p_name, ' ')[0], lower(p_type), concat(split(p_name, ' ')[0], ' ', lower(p_type)))"))
         .alias("query")
     ).distinct()
     return q.selectExpr(
-        "query AS query_id", "concat(' ', upper(query), ' ') AS query", "'v1' AS version_id", "10 AS top_k",
-        "IF(length(query) % 7 = 0, 2, length(query) % 2) AS depth",
+        "query AS query_id", "concat(' ', upper(query), ' ') AS query", f"concat('v', length(query) % {VERSIONS}) AS version_id",
+        "IF(length(query) % 13 = 0, 101, 10) AS top_k",
+        "CASE length(query) % 7 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE length(query) % 2 END AS depth",
         "IF(length(query) % 4 = 0, array('PROMO', 'SMALL'), NULL) AS entity_types",
         "IF(length(query) % 5 = 0, array('CONTAINS', 'EXPLAINS'), NULL) AS relationship_types", "'LEXICAL' AS strategy",
     )

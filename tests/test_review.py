@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quirework.operators.settle import settle
 from quirework.operators import graph as gr
 from quirework.operators import overlay as ov
 from quirework.operators import review as rv
@@ -116,3 +117,45 @@ def test_snapshot_versions_and_invalidation(spark):
     ns = spark.createDataFrame([("d", "ACCEPTED")], "doc_id string, review_state string")
     got = {r.doc_id: r.review_state for r in rv.rerun_invalidation(docs, snaps, over, ns).collect()}
     assert got == {"d": "APPROVED", "e": "NEEDS_REVIEW"}
+
+
+def test_replay_of_a_long_log_takes_few_rounds(spark, monkeypatch):
+    """2,000 versions whose retries arrive behind them: rounds grow with the logarithm."""
+    acts = [("d", 3 * i + k, i + k % 2) for i in range(2000) for k in range(3)]
+    rev, want = 0, set()
+    for _, o, r in acts:
+        if r == rev:
+            rev += 1
+            want.add(o)
+    rounds = []
+    monkeypatch.setattr(rv, "settle", lambda df: rounds.append(1) or settle(df))
+    df = spark.createDataFrame(acts, "doc_id string, ord int, expected_version long")
+    assert {r.ord for r in rv.replay_actions(df).where("accepted").collect()} == want
+    assert len(want) >= 2000 and len(rounds) <= 3 + 3 * 13
+
+
+def test_audit_states_are_those_of_the_time(spark):
+    ns = spark.createDataFrame(
+        [("d", "n1", "CONCEPT", "Base", "a1", "UNREVIEWED", 1, 1), ("d", "n2", "SECTION", "Top", "a2", "UNREVIEWED", 1, 0)],
+        "doc_id string, node_id string, category string, title string, anchor_key string, review_state string, ann_ord int, seq long")
+    es = spark.createDataFrame([("d", "n2", "n1", "CONTAINS", 1.0, 1, 1)],
+                               "doc_id string, source_node_id string, target_node_id string, edge_type string, confidence double, ann_ord int, seq long")
+    log = [
+        ("RENAME_TITLE", "a1", '{"new_title":"One"}'), ("ACCEPT_NODE", "a1", "{}"), ("CHANGE_CATEGORY", "a1", '{"new_category":"THEOREM"}'),
+        ("RENAME_TITLE", "a1", '{"new_title":"One"}'), ("RENAME_TITLE", "a1", '{"new_title":"Two"}'), ("RENAME_TITLE", "a1", '{"new_title":"One"}'),
+        ("REPARENT_NODE", "a1", '{"new_parent_id":"n9"}'), ("REPARENT_NODE", "a1", '{"new_parent_id":"n9"}'), ("ACCEPT_NODE", "made", "{}"),
+        ("CREATE_NODE", "x", '{"category":"EXAMPLE","title":"New","anchor_key":"made"}'), ("RENAME_TITLE", "made", '{"new_title":"Newer"}'),
+        ("UPDATE_EDGE", "a2", '{"edge_type":"EXPLAINS"}'), ("DELETE_NODE", "a1", "{}"),
+    ]
+    acts = spark.createDataFrame([("d", i, f"o{i}", a, k, p, True) for i, (k, a, p) in enumerate(log)],
+                                 "doc_id string, ord int, override_id string, target_anchor_key string, action_type string, payload string, accepted boolean")
+    got = [(r.ord, r.node_id, r.previous_state, r.new_state) for r in rv.audit_rows(acts, ns, es).orderBy("ord").collect()]
+    assert got == [
+        (0, "n1", '{"title":"Base"}', '{"title":"One"}'), (1, "n1", '{"review_state":"MODIFIED"}', '{"review_state":"ACCEPTED"}'),
+        (2, "n1", '{"category":"CONCEPT"}', '{"category":"THEOREM"}'), (3, "n1", '{"title":"One"}', '{"title":"One"}'),
+        (4, "n1", '{"title":"One"}', '{"title":"Two"}'), (5, "n1", '{"title":"Base"}', '{"title":"One"}'),
+        (6, "n1", '{"parent_id":"n2"}', '{"parent_id":"n9"}'), (7, "n1", '{"parent_id":"n9"}', '{"parent_id":"n9"}'),
+        (9, "an_manual_o9", "{}", '{"category":"EXAMPLE","title":"New","target_block_id":null}'),
+        (10, "an_manual_o9", '{"title":"New"}', '{"title":"Newer"}'), (11, "n2", "{}", '{"edge_type":"EXPLAINS"}'),
+        (12, "n1", '{"review_state":"MODIFIED"}', '{"review_state":"REJECTED"}'),
+    ]

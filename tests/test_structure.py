@@ -1,5 +1,7 @@
 import random
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from quirework.operators import academic as ac
@@ -161,5 +163,21 @@ def test_academic_graph_and_anchors(blocks):
     n = ac.nodes(anc)
     f1 = ac.graph_fingerprint(n, ac.contains_edges(anc)).first().fingerprint
     f2 = ac.graph_fingerprint(n.withColumn("title", F.concat("title", F.lit("x"))), ac.contains_edges(anc)).first().fingerprint
-    tree = ac.graph_fingerprint(n, ac.contains_edges(anc), limit=2).first().fingerprint
-    assert f1 != f2 and tree not in (f1, f2)
+    assert f1 != f2
+
+
+def test_fingerprint_is_one_rule_at_every_size(spark):
+    """More lines than any chunk: still the plain digest of the sorted lines."""
+    n = 70_000
+    ns = spark.range(n).selectExpr(
+        "IF(id = 0, 'small', 'big') AS doc_id", "concat('n', id) AS node_id", "'CONCEPT' AS category", "concat('Title ', id % 7) AS title",
+        "concat('a', id) AS anchor_key", "1 AS ann_ord", "id AS seq",
+    )
+    es = spark.range(3).selectExpr(
+        "'big' AS doc_id", "concat('n', id + 1) AS source_node_id", "concat('n', id + 2) AS target_node_id",
+        "IF(id = 0, 'CONTAINS', 'EXPLAINS') AS edge_type", "1D AS confidence", "1 AS ann_ord", "id AS seq",
+    )
+    got = {r.doc_id: r.fingerprint for r in ac.graph_fingerprint(ns, es).collect()}
+    line = lambda i: f"a{i}:CONCEPT:{'a1' if i == 2 else ''}:Title {i % 7}"
+    digest = lambda nodes, edges: hashlib.sha256("\n".join(sorted(nodes)).encode() + b"\n---\n" + "\n".join(sorted(edges)).encode()).hexdigest()
+    assert got == {"small": digest([line(0)], []), "big": digest([line(i) for i in range(1, n)], ["a2->EXPLAINS->a3", "a3->EXPLAINS->a4"])}
