@@ -248,6 +248,18 @@ SQL = {
     "resolved_graph_page_edges": build("rn re", """WITH p AS (SELECT doc_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ann_ord, seq NULLS FIRST, node_id) AS position FROM rn r
        WHERE EXISTS (SELECT 1 FROM re e WHERE e.doc_id=r.doc_id AND e.edge_type='CONTAINS' AND e.target_node_id=r.node_id)) WHERE position BETWEEN 2 AND 4)
        SELECT doc_id, source_node_id, target_node_id, edge_type FROM re e WHERE EXISTS (SELECT 1 FROM p WHERE p.doc_id=e.doc_id AND p.node_id IN (e.source_node_id, e.target_node_id))""").replace("\nWITH p AS", ",\np AS", 1),
+    "resolved_graph_filtered": build("rn", """SELECT doc_id, position, node_id, total_count FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ann_ord, seq NULLS FIRST, node_id) AS position,
+       count(*) OVER (PARTITION BY doc_id) AS total_count FROM rn WHERE review_state='UNREVIEWED') WHERE position<=2"""),
+    "snapshot_nodes": build("osum rn", "SELECT sha256(s.doc_id||':'||CASE WHEN s.doc_id%3=0 THEN 3 ELSE 1 END) AS snapshot_id, CASE WHEN s.doc_id%3=0 THEN 3 ELSE 1 END AS approval_version, node_id, category, title FROM osum s JOIN rn USING (doc_id)"),
+    "snapshot_edges": build("osum re", "SELECT sha256(s.doc_id||':'||CASE WHEN s.doc_id%3=0 THEN 3 ELSE 1 END) AS snapshot_id, CASE WHEN s.doc_id%3=0 THEN 3 ELSE 1 END AS approval_version, source_node_id, target_node_id, edge_type FROM osum s JOIN re USING (doc_id)"),
+    "snapshot_by_version": build("snp", "SELECT doc_id, approval_version, resolved_graph_fingerprint, concat('s', doc_id, '_1') AS snapshot_id FROM snp WHERE approval_version=1"),
+    "finalized_rows": build("osum", """SELECT concat('vs', doc_id, '_', v) AS version_id, concat('s', doc_id, '_', v) AS snapshot_id, '1.0.0' AS schema_version, 'FINALIZED' AS status
+       FROM (SELECT doc_id, unnest([1,2]) AS v FROM osum WHERE doc_id%3=0 AND doc_id%2=0) WHERE NOT (doc_id%12=0 AND v=1)"""),
+    "containment_cycles": """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey%10 AS doc_id, l_partkey AS s, l_partkey + (l_orderkey%97) - 40 AS t FROM lineitem WHERE l_orderkey%97<>40),
+       n AS (SELECT doc_id, s AS n FROM e UNION SELECT doc_id, t FROM e),
+       f AS (SELECT 0 AS k, * FROM n UNION ALL SELECT DISTINCT k+1, e.doc_id, e.s FROM f JOIN e ON e.doc_id=f.doc_id AND e.t=f.n WHERE k<60),
+       b AS (SELECT 0 AS k, * FROM n UNION ALL SELECT DISTINCT k+1, e.doc_id, e.t FROM b JOIN e ON e.doc_id=b.doc_id AND e.s=b.n WHERE k<60)
+       SELECT e.doc_id, count(*) AS n FROM e JOIN f ON f.k=60 AND f.doc_id=e.doc_id AND f.n=e.t JOIN b ON b.k=60 AND b.doc_id=e.doc_id AND b.n=e.s GROUP BY 1""",
     "node_detail": build("rn re", """SELECT doc_id, node_id, category, (SELECT first(source_node_id ORDER BY e.ann_ord, e.seq) FROM re e WHERE e.doc_id=r.doc_id AND e.edge_type='CONTAINS' AND e.target_node_id=r.node_id) AS parent_id,
        (SELECT count(*) FROM re e WHERE e.doc_id=r.doc_id AND e.edge_type='CONTAINS' AND e.source_node_id=r.node_id) AS child_count,
        coalesce(original_category, category) AS original_category, coalesce(original_title, title) AS original_title, 0 AS moves FROM rn r"""),

@@ -132,7 +132,8 @@ def review_summary(base_nodes: DataFrame, ns: DataFrame, overlay: DataFrame, rea
 def resolved_graph_page(ns: DataFrame, es: DataFrame, *, category: str | None = None, review_state: str | None = None,
                         low_confidence: bool | None = None, orphan: bool | None = None, offset: int = 0,
                         limit: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Filtered nodes of every document, one page of them, and the edges that touch the page."""
+    """Filtered nodes of every document, one page of them with the number of all that pass
+    (``total_count``), and the edges that touch the page."""
     df = ns
     if category:
         df = df.where(F.col("category") == category)
@@ -144,7 +145,8 @@ def resolved_graph_page(ns: DataFrame, es: DataFrame, *, category: str | None =
     if orphan is not None:
         kids = es.where("edge_type = 'CONTAINS'").select("doc_id", F.col("target_node_id").alias("node_id")).distinct()
         df = df.join(kids, ["doc_id", "node_id"], "left_anti" if orphan else "left_semi")
-    page = page_of(df, [F.col("ann_ord"), F.col("seq"), F.col("node_id")], offset, limit)
+    totals = df.groupBy("doc_id").agg(F.count("*").alias("total_count"))
+    page = page_of(df, [F.col("ann_ord"), F.col("seq"), F.col("node_id")], offset, limit).join(totals, "doc_id")
     ids = page.select("doc_id", "node_id").distinct()
     tagged = es.withColumn("_e", F.explode(F.array("source_node_id", "target_node_id")))
     touch = tagged.join(ids.withColumnRenamed("node_id", "_e"), ["doc_id", "_e"], "left_semi").drop("_e").distinct()

@@ -31,8 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path below the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -22,9 +22,9 @@ def classified(blocks: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     return cl.annotate(cl.code_formula(cl.table_caption(cl.list_quote_note(ordered, rows))))
 
 
-def structured(blocks: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
-    """Classified blocks with their place in the section hierarchy."""
-    return settle(hi.hierarchy(settle(classified(blocks, rows)).drop("chunk"), rows))
+def structured(classified_blocks: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Classified blocks, stored, with their place in the section hierarchy."""
+    return hi.hierarchy(classified_blocks.drop("chunk"), rows)
 
 
 _stages: dict[tuple[str, str, str], DataFrame] = {}

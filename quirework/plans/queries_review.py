@@ -109,9 +109,12 @@ def snapshots(s, d):
     ).withColumn("snapshot_id", F.expr("concat('s', doc_id, '_', approval_version)"))
 
 
+def headers(s, d):
+    return rv.new_snapshots(_reviewed(s, d), summary(s, d), snapshots(s, d), rv.revisions(replayed(s, d)))
+
+
 def next_snapshots(s, d):
-    head = rv.new_snapshots(_reviewed(s, d), summary(s, d), snapshots(s, d), rv.revisions(replayed(s, d)))
-    return head.drop("snapshot_id")
+    return headers(s, d).drop("snapshot_id")
 
 
 def invalidation(s, d):
@@ -168,6 +171,14 @@ QUERIES = {
         "doc_id", "position", "node_id", "category"),
     "resolved_graph_page_edges": lambda s, d: rv.resolved_graph_page(*resolved(s, d), orphan=False, offset=1, limit=3)[1].select(
         "doc_id", "source_node_id", "target_node_id", "edge_type"),
+    "resolved_graph_filtered": lambda s, d: rv.resolved_graph_page(
+        *resolved(s, d), review_state="UNREVIEWED", low_confidence=False, offset=0, limit=2)[0].select("doc_id", "position", "node_id", "total_count"),
+    "snapshot_nodes": lambda s, d: rv.snapshot_items(headers(s, d), *resolved(s, d))[0].select("snapshot_id", "approval_version", "node_id", "category", "title"),
+    "snapshot_edges": lambda s, d: rv.snapshot_items(headers(s, d), *resolved(s, d))[1].select(
+        "snapshot_id", "approval_version", "source_node_id", "target_node_id", "edge_type"),
+    "snapshot_by_version": lambda s, d: rv.snapshot_at(snapshots(s, d), "v1"),
+    "finalized_rows": lambda s, d: kn.finalized(
+        kn_candidates(s, d).withColumn("version_id", F.concat(F.lit("v"), "snapshot_id"))).drop("doc_id"),
     "node_detail": lambda s, d: rv.node_details(*resolved(s, d), status(s, d)).select(
         "doc_id", "node_id", "category", "parent_id", "child_count", "original_category", "original_title", "moves"),
     "next_snapshots": next_snapshots,

@@ -13,6 +13,7 @@ from ..operators import ocr
 from ..operators import search as se
 from ..sources import files as fl
 from ..sources import standin as src
+from ..operators.settle import new_path
 from .pipeline import stage
 from .queries_review import nodes
 
@@ -73,6 +74,11 @@ def packaged(s, d):
     return se.package_counts(ranked(s, d), expanded(s, d)[1], *found(s, d))
 
 
+def package_rows(s, d, name, *columns):
+    rows = se.package(ranked(s, d), expanded(s, d)[1], *found(s, d))[name]
+    return rows.select("query_id", "rank", "entity_id", *columns)
+
+
 def sources(s, d, limit=cx.MAX_CHARS):
     return stage(s, d, f"context_sources_{limit}", lambda: cx.pack_context(ranked(s, d), found(s, d)[1], limit))
 
@@ -192,6 +198,23 @@ def page_work(s, d):
     return fl.page_work(pg, cache)[0].select("page_hash")
 
 
+def stored_blocks(s, d):
+    """Blocks and pages through their stored tables, page sizes attached on the way back."""
+    at = new_path(s)
+    fl.write_table(src.blocks(s, d).drop("page_width", "page_height"), f"{at}/blocks", buckets=16)
+    fl.write_table(src.pages(s, d), f"{at}/pages", buckets=16)
+    rows = fl.attach_pages(fl.read_table(s, f"{at}/blocks"), fl.read_table(s, f"{at}/pages"))
+    return rows.select("doc_id", "block_id", "page_number", "page_width", "page_height")
+
+
+def appended_labels(s, d):
+    """Half of the labels, then all of them with repeats: each is stored once."""
+    at, rows = new_path(s), src.table(s, d, "labels").select("doc_id", "quality")
+    fl.append_only(rows.where("doc_id % 2 = 0"), None, at, ["doc_id"])
+    fl.append_only(rows.unionByName(rows), s.read.parquet(at), at, ["doc_id"])
+    return s.read.schema(rows.schema).parquet(at)
+
+
 def uploads(s, d):
     f = src.table(s, d, "documents").selectExpr(
         "doc_id", "CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'a.txt' ELSE concat('F', doc_id, '.PDF') END AS file_name",
@@ -222,6 +245,12 @@ QUERIES = {
     "search_ranked_topk": lambda s, d: r9(ranked(s, d), "total_score").select(
         "query_id", "rank", "entity_id", "total_score", "match_reason", "hop", "total_candidates", "has_more"),
     "search_package": packaged,
+    "package_outgoing": lambda s, d: package_rows(s, d, "outgoing", "target_entity_id", "relationship_type"),
+    "package_incoming": lambda s, d: package_rows(s, d, "incoming", "source_entity_id", "relationship_type"),
+    "package_evidence": lambda s, d: package_rows(s, d, "evidence", "evidence_id", "is_stale"),
+    "package_passages": lambda s, d: package_rows(s, d, "passages", "block_id", "section_title"),
+    "stored_blocks": stored_blocks,
+    "appended_labels": appended_labels,
     "context_packing": lambda s, d: sources(s, d).select("query_id", "citation_id", "entity_id", "block_id", "provenance"),
     "context_packing_small": lambda s, d: sources(s, d, 600).select("query_id", "citation_id", "entity_id", "block_id", "provenance"),
     "prompts": lambda s, d: cx.prompts(se.accepted(src.search_requests(s, d)), sources(s, d)),

@@ -12,8 +12,12 @@ from .pipeline import classified, stage, structured
 KEY = ["doc_id", "block_id"]
 
 
+def labelled(s, d):
+    return stage(s, d, "classified", lambda: classified(src.rich_blocks(s, d)))
+
+
 def tree(s, d):
-    return stage(s, d, "structured", lambda: structured(src.rich_blocks(s, d)))
+    return stage(s, d, "structured", lambda: structured(labelled(s, d)))
 
 
 def edges(s, d):
@@ -55,7 +59,7 @@ SCORES = ("ocr_quality", "layout_quality", "semantic_quality", "hierarchy_qualit
           "overall_quality", "r_garbage", "r_spacing", "r_unknown")
 
 QUERIES = {
-    "classified_blocks": lambda s, d: classified(src.rich_blocks(s, d)).select(*KEY, "seq", "block_type", "heading_level"),
+    "classified_blocks": lambda s, d: labelled(s, d).select(*KEY, "seq", "block_type", "heading_level"),
     "heading_parents": lambda s, d: tree(s, d).where("block_type = 'HEADING'").select(*KEY, "parent_block_id"),
     "list_nesting": lambda s, d: tree(s, d).where("block_type <> 'HEADING'").select(*KEY, "parent_block_id"),
     "caption_targets": lambda s, d: tree(s, d).where("block_type = 'CAPTION'").select(*KEY, "caption_target_id"),

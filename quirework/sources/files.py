@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.settle import settle
+
 MAX_BYTES = 100 * 1024 * 1024
 UPLOADS = (
     "upload_id string, original_filename string, stored_filename string, size_bytes bigint, mime_type string, "
@@ -80,7 +82,7 @@ def bucketed(df: DataFrame, doc: str = "doc_id", buckets: int = BUCKETS) -> Data
 
 def write_table(df: DataFrame, path: str, doc: str = "doc_id", buckets: int = BUCKETS) -> None:
     """Append a document table, partitioned by document bucket so that point reads prune."""
-    out = bucketed(df, doc, buckets)
+    out = bucketed(df, doc, buckets).hint("rebalance", "bucket")  # few files per bucket, large buckets split
     out.write.mode("append").partitionBy("bucket").parquet(path)
 
 
@@ -98,6 +100,8 @@ def append_only(new: DataFrame, existing: DataFrame | None, path: str, keys: lis
     fresh = new.dropDuplicates(keys)
     if existing is not None:
         fresh = fresh.join(existing.select(*keys), keys, "left_anti")
+    # Settled first: what is returned is what was written, though the table has changed since.
+    fresh = settle(fresh)
     fresh.write.mode("append").parquet(path)
     return fresh
 
@@ -108,7 +112,13 @@ def page_hash(pages: DataFrame) -> DataFrame:
 
 
 def page_work(pages: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(distinct pages still to recognise, pages served from the cache)."""
+    """(distinct pages still to recognise, pages served from the cache).
+
+    Which pages those are is decided on digests and keys; content moves only for them.
+    """
     hashed = page_hash(pages)
-    work = hashed.join(cache.select("page_hash"), "page_hash", "left_anti").dropDuplicates(["page_hash"])
-    return work, hashed.join(cache, "page_hash")
+    keys = [c for c in pages.columns if c not in ("content", "rect")]
+    narrow = hashed.select("page_hash", *keys)
+    first = narrow.join(cache.select("page_hash"), "page_hash", "left_anti").groupBy("page_hash").agg(F.min(F.struct(*keys)).alias("k"))
+    work = hashed.join(first.select("page_hash", *[F.col(f"k.{c}").alias(c) for c in keys]), ["page_hash", *keys], "left_semi")
+    return work.dropDuplicates(["page_hash"]), narrow.join(cache, "page_hash")

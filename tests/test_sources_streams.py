@@ -73,6 +73,6 @@ def test_latest_job_stream(spark, tmp_path):
 def test_every_query_has_oracle_or_a_reason():
     import __spark_entry__ as e
 
-    rows_only = {"containment_cycles", "overlay_reparent", "overlay_reparent_edges"}
+    rows_only = {"overlay_reparent", "overlay_reparent_edges"}
     own = {q for q in e.queries() if q != "pipeline" and not re.match(r"op[0-9]+_", q)}
     assert own - set(e.oracle_sql()) == rows_only
