@@ -21,53 +21,58 @@ view("qry", "", """SELECT * EXCLUDE (ts), list_filter(ts, lambda x, i: list_posi
   CASE length(q)%7 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE length(q)%2 END AS depth,
   CASE WHEN length(q)%4=0 THEN ['PROMO','SMALL'] END AS entity_types, CASE WHEN length(q)%5=0 THEN ['CONTAINS','EXPLAINS'] END AS relationship_types
  FROM (SELECT DISTINCT unnest([p_name, split_part(p_name,' ',1), lower(p_type), split_part(p_name,' ',1)||' '||lower(p_type)]) AS q FROM part) WHERE length(q)%13<>0))""")
-view("hit", "ent qry", """SELECT query_id, entity_id, CASE reason WHEN 'title_exact' THEN 1 WHEN 'title_prefix' THEN 0.8 WHEN 'title_contains' THEN 0.6 WHEN 'title_term' THEN 0.4 ELSE 0.2 END::DOUBLE AS match_score,
- reason AS match_reason, CASE reason WHEN 'title_exact' THEN terms WHEN 'content_contains' THEN list_filter(terms, lambda t: contains(cl,t)) ELSE tt END AS matched_terms
-FROM (SELECT *, CASE WHEN tl=normalized THEN 'title_exact' WHEN starts_with(tl,normalized) THEN 'title_prefix' WHEN contains(tl,normalized) THEN 'title_contains' WHEN len(tt)>0 THEN 'title_term' ELSE 'content_contains' END AS reason
- FROM (SELECT q.query_id, q.normalized, q.terms, e.entity_id, lower(title) AS tl, lower(content) AS cl, list_filter(q.terms, lambda t: contains(lower(title),t)) AS tt
-  FROM qry q JOIN ent e ON q.version_id=e.version_id AND (q.entity_types IS NULL OR list_contains(q.entity_types, e.entity_type))
-  WHERE len(list_filter(q.terms, lambda t: contains(lower(title),t) OR contains(lower(content),t)))>0))""")
-view("und", "rel", "SELECT source_entity_id AS s, target_entity_id AS d, relationship_type AS r FROM rel UNION SELECT target_entity_id, source_entity_id, relationship_type FROM rel")
-view("h1", "hit und qry", """SELECT DISTINCT h.query_id, u.d AS entity_id FROM hit h JOIN qry q USING (query_id) JOIN und u ON u.s=h.entity_id AND q.depth>=1 AND (q.relationship_types IS NULL OR list_contains(q.relationship_types,u.r))
- WHERE NOT EXISTS (SELECT 1 FROM hit x WHERE x.query_id=h.query_id AND x.entity_id=u.d)""")
-view("h2", "hit h1 und qry", """SELECT DISTINCT h.query_id, u.d AS entity_id FROM h1 h JOIN qry q USING (query_id) JOIN und u ON u.s=h.entity_id AND q.depth>=2 AND (q.relationship_types IS NULL OR list_contains(q.relationship_types,u.r))
- WHERE NOT EXISTS (SELECT 1 FROM hit x WHERE x.query_id=h.query_id AND x.entity_id=u.d) AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.query_id=h.query_id AND x.entity_id=u.d)""")
-view("h3", "hit h1 h2 und qry", """SELECT DISTINCT h.query_id, u.d AS entity_id FROM h2 h JOIN qry q USING (query_id) JOIN und u ON u.s=h.entity_id AND q.depth>=3 AND (q.relationship_types IS NULL OR list_contains(q.relationship_types,u.r))
- WHERE NOT EXISTS (SELECT 1 FROM (SELECT query_id, entity_id FROM hit UNION ALL SELECT query_id, entity_id FROM h1 UNION ALL SELECT query_id, entity_id FROM h2) x WHERE x.query_id=h.query_id AND x.entity_id=u.d)""")
-view("cand", "hit h1 h2 h3", """SELECT query_id, entity_id, 0 AS hop, match_score, match_reason, matched_terms FROM hit
-UNION ALL SELECT query_id, entity_id, 1, 0, 'graph_neighbor', [] FROM h1 UNION ALL SELECT query_id, entity_id, 2, 0, 'graph_neighbor', [] FROM h2
-UNION ALL SELECT query_id, entity_id, 3, 0, 'graph_neighbor', [] FROM h3""")
-view("rcand", "cand rel qry", """SELECT c.query_id, r.source_entity_id, r.target_entity_id, r.relationship_type, min(c.hop)+1 AS hop, any_value(r.confidence) AS confidence
-FROM cand c JOIN qry q USING (query_id) JOIN (SELECT *, source_entity_id AS e FROM rel UNION ALL SELECT *, target_entity_id FROM rel) r ON c.entity_id=r.e
-WHERE c.hop<q.depth AND (q.relationship_types IS NULL OR list_contains(q.relationship_types,r.relationship_type)) GROUP BY 1,2,3,4""")
-view("loc", "evd blk", """SELECT evidence_id, document_id, first(block_id ORDER BY area DESC, reading_order, block_id) AS block_id FROM (
- SELECT e.evidence_id, e.document_id, b.block_id, b.reading_order, round((least(e.x1,b.x1)-greatest(e.x0,b.x0))*(least(e.y1,b.y1)-greatest(e.y0,b.y0)),6) AS area
- FROM evd e JOIN blk b ON b.doc_id=e.document_id AND b.page_number=e.page_number AND e.x0 IS NOT NULL AND least(e.x1,b.x1)>greatest(e.x0,b.x0) AND least(e.y1,b.y1)>greatest(e.y0,b.y0)) GROUP BY ALL""")
-view("cev", "cand evd", "SELECT c.query_id, e.*, e.page_number IS NULL AS is_stale FROM cand c JOIN evd e USING (entity_id)")
-view("psg", "cev loc blk", """SELECT l.query_id, l.entity_id, l.block_id, f.section_title, f.ord, b.previous_text, b.next_text, b.text, b.block_type
-FROM (SELECT DISTINCT query_id, entity_id, block_id FROM cev JOIN loc USING (evidence_id) WHERE NOT is_stale) l
-JOIN (SELECT query_id, block_id, first(section_title ORDER BY entity_id, page_number, evidence_id) AS section_title, min(row(entity_id, page_number, evidence_id)) AS ord
-  FROM cev JOIN loc USING (evidence_id) WHERE NOT is_stale GROUP BY ALL) f USING (query_id, block_id)
-JOIN (SELECT block_id, text, block_type, lag(text) OVER w AS previous_text, lead(text) OVER w AS next_text FROM blk WINDOW w AS (PARTITION BY doc_id ORDER BY seq)) b USING (block_id)""")
-view("scr", "cand ent qry cev psg rcand", """SELECT *, 0.3::DOUBLE*title_score+0.1::DOUBLE*content_score+0.15::DOUBLE*coverage_score+0.1::DOUBLE*type_score+0.1::DOUBLE*relationship_score+0.1::DOUBLE*evidence_score+0.1::DOUBLE*passage_score+0.05::DOUBLE*confidence_score AS total_score
-FROM (SELECT c.query_id, c.entity_id, c.hop, c.match_score, c.match_reason, e.stable_id, e.title, e.content, e.entity_type, q.top_k,
- CASE WHEN match_reason IN ('title_exact','title_prefix','title_contains','title_term') THEN match_score ELSE 0 END AS title_score,
- CASE WHEN lower(e.content)=lower(e.title) THEN 0 WHEN match_reason='content_contains' OR len(list_filter(q.terms, lambda t: contains(lower(e.content),t)))>0 THEN 1 ELSE 0 END::DOUBLE AS content_score,
- len(c.matched_terms)/len(q.terms) AS coverage_score, CASE WHEN list_contains(q.entity_types,e.entity_type) THEN 1 ELSE 0 END::DOUBLE AS type_score, 1/(c.hop+1) AS relationship_score,
- CASE WHEN v.f THEN 1 WHEN NOT v.f THEN 0.5 ELSE 0 END::DOUBLE AS evidence_score, CASE WHEN p.query_id IS NOT NULL THEN 1 ELSE 0 END::DOUBLE AS passage_score, coalesce(r.m,0) AS confidence_score
- FROM cand c JOIN ent e USING (entity_id) JOIN qry q USING (query_id)
- LEFT JOIN (SELECT query_id, entity_id, bool_or(NOT is_stale) AS f FROM cev GROUP BY ALL) v USING (query_id, entity_id)
- LEFT JOIN (SELECT DISTINCT query_id, entity_id FROM psg) p USING (query_id, entity_id)
- LEFT JOIN (SELECT query_id, e AS entity_id, max(confidence) AS m FROM (SELECT query_id, source_entity_id AS e, confidence FROM rcand UNION ALL SELECT query_id, target_entity_id, confidence FROM rcand) GROUP BY ALL) r USING (query_id, entity_id))""")
-view("rnk", "scr", """SELECT *, total_candidates>top_k AS has_more FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total_score DESC, match_score DESC, hop, stable_id, entity_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total_candidates FROM scr) WHERE rank<=top_k""")
-view("itm", "rnk psg", """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total_score DESC, stable_id, entity_id, pos, ord NULLS FIRST, block_id) AS i FROM (
- SELECT query_id, total_score, stable_id, 0 AS pos, NULL AS ord, NULL AS block_id, length(title)+length(content) AS size, entity_id, title, entity_type, content, NULL AS text, NULL AS block_type FROM rnk
- UNION ALL SELECT r.query_id, r.total_score, r.stable_id, 1, p.ord, p.block_id, length(r.title)+length(p.text), r.entity_id, r.title, r.entity_type, r.content, p.text, p.block_type FROM rnk r JOIN psg p USING (query_id, entity_id))""")
-for end, budget in (("", 16000), ("_small", 600)):
-    view(f"pck{end}", "itm", f"""SELECT query_id, 0::BIGINT AS i, 0::BIGINT AS used, 0::BIGINT AS cite, CAST([] AS VARCHAR[]) AS seen, false AS took FROM (SELECT DISTINCT query_id FROM itm)
-UNION ALL SELECT query_id, i, CASE WHEN t THEN used+size ELSE used END, CASE WHEN t THEN cite+1 ELSE cite END, CASE WHEN t AND block_id IS NOT NULL THEN list_append(seen, block_id) ELSE seen END, t
-FROM (SELECT n.*, p.used, p.cite, p.seen, p.used+n.size<={budget} AND (n.block_id IS NULL OR NOT list_contains(p.seen, n.block_id)) AS t FROM pck{end} p JOIN itm n ON n.query_id=p.query_id AND n.i=p.i+1)""", recursive=True)
-    view(f"srcs{end}", f"pck{end} itm", f"SELECT n.*, p.cite FROM pck{end} p JOIN itm n USING (query_id, i) WHERE p.took")
+def search_chain(x: str, ent: str, rel: str, qry: str, evd: str, blk: str) -> None:
+    """Register the search views over other tables, their names prefixed by ``x``."""
+    view(f"{x}hit", f"{ent} {qry}", f"""SELECT query_id, entity_id, CASE reason WHEN 'title_exact' THEN 1 WHEN 'title_prefix' THEN 0.8 WHEN 'title_contains' THEN 0.6 WHEN 'title_term' THEN 0.4 ELSE 0.2 END::DOUBLE AS match_score,
+     reason AS match_reason, CASE reason WHEN 'title_exact' THEN terms WHEN 'content_contains' THEN list_filter(terms, lambda t: contains(cl,t)) ELSE tt END AS matched_terms
+    FROM (SELECT *, CASE WHEN tl=normalized THEN 'title_exact' WHEN starts_with(tl,normalized) THEN 'title_prefix' WHEN contains(tl,normalized) THEN 'title_contains' WHEN len(tt)>0 THEN 'title_term' ELSE 'content_contains' END AS reason
+     FROM (SELECT q.query_id, q.normalized, q.terms, e.entity_id, lower(title) AS tl, lower(content) AS cl, list_filter(q.terms, lambda t: contains(lower(title),t)) AS tt
+      FROM {qry} q JOIN {ent} e ON q.version_id=e.version_id AND (q.entity_types IS NULL OR list_contains(q.entity_types, e.entity_type))
+      WHERE len(list_filter(q.terms, lambda t: contains(lower(title),t) OR contains(lower(content),t)))>0))""")
+    view(f"{x}und", f"{rel}", f"SELECT source_entity_id AS s, target_entity_id AS d, relationship_type AS r FROM {rel} UNION SELECT target_entity_id, source_entity_id, relationship_type FROM {rel}")
+    view(f"{x}h1", f"{x}hit {x}und {qry}", f"""SELECT DISTINCT h.query_id, u.d AS entity_id FROM {x}hit h JOIN {qry} q USING (query_id) JOIN {x}und u ON u.s=h.entity_id AND q.depth>=1 AND (q.relationship_types IS NULL OR list_contains(q.relationship_types,u.r))
+     WHERE NOT EXISTS (SELECT 1 FROM {x}hit x WHERE x.query_id=h.query_id AND x.entity_id=u.d)""")
+    view(f"{x}h2", f"{x}hit {x}h1 {x}und {qry}", f"""SELECT DISTINCT h.query_id, u.d AS entity_id FROM {x}h1 h JOIN {qry} q USING (query_id) JOIN {x}und u ON u.s=h.entity_id AND q.depth>=2 AND (q.relationship_types IS NULL OR list_contains(q.relationship_types,u.r))
+     WHERE NOT EXISTS (SELECT 1 FROM {x}hit x WHERE x.query_id=h.query_id AND x.entity_id=u.d) AND NOT EXISTS (SELECT 1 FROM {x}h1 x WHERE x.query_id=h.query_id AND x.entity_id=u.d)""")
+    view(f"{x}h3", f"{x}hit {x}h1 {x}h2 {x}und {qry}", f"""SELECT DISTINCT h.query_id, u.d AS entity_id FROM {x}h2 h JOIN {qry} q USING (query_id) JOIN {x}und u ON u.s=h.entity_id AND q.depth>=3 AND (q.relationship_types IS NULL OR list_contains(q.relationship_types,u.r))
+     WHERE NOT EXISTS (SELECT 1 FROM (SELECT query_id, entity_id FROM {x}hit UNION ALL SELECT query_id, entity_id FROM {x}h1 UNION ALL SELECT query_id, entity_id FROM {x}h2) x WHERE x.query_id=h.query_id AND x.entity_id=u.d)""")
+    view(f"{x}cand", f"{x}hit {x}h1 {x}h2 {x}h3", f"""SELECT query_id, entity_id, 0 AS hop, match_score, match_reason, matched_terms FROM {x}hit
+    UNION ALL SELECT query_id, entity_id, 1, 0, 'graph_neighbor', [] FROM {x}h1 UNION ALL SELECT query_id, entity_id, 2, 0, 'graph_neighbor', [] FROM {x}h2
+    UNION ALL SELECT query_id, entity_id, 3, 0, 'graph_neighbor', [] FROM {x}h3""")
+    view(f"{x}rcand", f"{x}cand {rel} {qry}", f"""SELECT c.query_id, r.source_entity_id, r.target_entity_id, r.relationship_type, min(c.hop)+1 AS hop, max(r.confidence) AS confidence
+    FROM {x}cand c JOIN {qry} q USING (query_id) JOIN (SELECT *, source_entity_id AS e FROM {rel} UNION ALL SELECT *, target_entity_id FROM {rel}) r ON c.entity_id=r.e
+    WHERE c.hop<q.depth AND (q.relationship_types IS NULL OR list_contains(q.relationship_types,r.relationship_type)) GROUP BY 1,2,3,4""")
+    view(f"{x}loc", f"{evd} {blk}", f"""SELECT evidence_id, document_id, first(block_id ORDER BY area DESC, reading_order, block_id) AS block_id FROM (
+     SELECT e.evidence_id, e.document_id, b.block_id, b.reading_order, round((least(e.x1,b.x1)-greatest(e.x0,b.x0))*(least(e.y1,b.y1)-greatest(e.y0,b.y0)),6) AS area
+     FROM {evd} e JOIN {blk} b ON b.doc_id=e.document_id AND b.page_number=e.page_number AND e.x0 IS NOT NULL AND least(e.x1,b.x1)>greatest(e.x0,b.x0) AND least(e.y1,b.y1)>greatest(e.y0,b.y0)) GROUP BY ALL""")
+    view(f"{x}cev", f"{x}cand {evd}", f"SELECT c.query_id, e.*, e.page_number IS NULL AS is_stale FROM {x}cand c JOIN {evd} e USING (entity_id)")
+    view(f"{x}psg", f"{x}cev {x}loc {blk}", f"""SELECT l.query_id, l.entity_id, l.block_id, f.section_title, f.ord, b.previous_text, b.next_text, b.text, b.block_type
+    FROM (SELECT DISTINCT query_id, entity_id, block_id FROM {x}cev JOIN {x}loc USING (evidence_id) WHERE NOT is_stale) l
+    JOIN (SELECT query_id, block_id, first(section_title ORDER BY entity_id, page_number, evidence_id) AS section_title, min(row(entity_id, page_number, evidence_id)) AS ord
+      FROM {x}cev JOIN {x}loc USING (evidence_id) WHERE NOT is_stale GROUP BY ALL) f USING (query_id, block_id)
+    JOIN (SELECT block_id, text, block_type, lag(text) OVER w AS previous_text, lead(text) OVER w AS next_text FROM {blk} WINDOW w AS (PARTITION BY doc_id ORDER BY seq)) b USING (block_id)""")
+    view(f"{x}scr", f"{x}cand {ent} {qry} {x}cev {x}psg {x}rcand", f"""SELECT *, 0.3::DOUBLE*title_score+0.1::DOUBLE*content_score+0.15::DOUBLE*coverage_score+0.1::DOUBLE*type_score+0.1::DOUBLE*relationship_score+0.1::DOUBLE*evidence_score+0.1::DOUBLE*passage_score+0.05::DOUBLE*confidence_score AS total_score
+    FROM (SELECT c.query_id, c.entity_id, c.hop, c.match_score, c.match_reason, e.stable_id, e.title, e.content, e.entity_type, q.top_k,
+     CASE WHEN match_reason IN ('title_exact','title_prefix','title_contains','title_term') THEN match_score ELSE 0 END AS title_score,
+     CASE WHEN lower(e.content)=lower(e.title) THEN 0 WHEN match_reason='content_contains' OR len(list_filter(q.terms, lambda t: contains(lower(e.content),t)))>0 THEN 1 ELSE 0 END::DOUBLE AS content_score,
+     len(c.matched_terms)/len(q.terms) AS coverage_score, CASE WHEN list_contains(q.entity_types,e.entity_type) THEN 1 ELSE 0 END::DOUBLE AS type_score, 1/(c.hop+1) AS relationship_score,
+     CASE WHEN v.f THEN 1 WHEN NOT v.f THEN 0.5 ELSE 0 END::DOUBLE AS evidence_score, CASE WHEN p.query_id IS NOT NULL THEN 1 ELSE 0 END::DOUBLE AS passage_score, coalesce(r.m,0) AS confidence_score
+     FROM {x}cand c JOIN {ent} e USING (entity_id) JOIN {qry} q USING (query_id)
+     LEFT JOIN (SELECT query_id, entity_id, bool_or(NOT is_stale) AS f FROM {x}cev GROUP BY ALL) v USING (query_id, entity_id)
+     LEFT JOIN (SELECT DISTINCT query_id, entity_id FROM {x}psg) p USING (query_id, entity_id)
+     LEFT JOIN (SELECT query_id, e AS entity_id, max(confidence) AS m FROM (SELECT query_id, source_entity_id AS e, confidence FROM {x}rcand UNION ALL SELECT query_id, target_entity_id, confidence FROM {x}rcand) GROUP BY ALL) r USING (query_id, entity_id))""")
+    view(f"{x}rnk", f"{x}scr", f"""SELECT *, total_candidates>top_k AS has_more FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total_score DESC, match_score DESC, hop, stable_id, entity_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total_candidates FROM {x}scr) WHERE rank<=top_k""")
+    view(f"{x}itm", f"{x}rnk {x}psg", f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total_score DESC, stable_id, entity_id, pos, ord NULLS FIRST, block_id) AS i FROM (
+     SELECT query_id, total_score, stable_id, 0 AS pos, NULL AS ord, NULL AS block_id, length(title)+length(content) AS size, entity_id, title, entity_type, content, NULL AS text, NULL AS block_type FROM {x}rnk
+     UNION ALL SELECT r.query_id, r.total_score, r.stable_id, 1, p.ord, p.block_id, length(r.title)+length(p.text), r.entity_id, r.title, r.entity_type, r.content, p.text, p.block_type FROM {x}rnk r JOIN {x}psg p USING (query_id, entity_id))""")
+    for end, budget in (("", 16000), ("_small", 600)):
+        view(f"{x}pck{end}", f"{x}itm", f"""SELECT query_id, 0::BIGINT AS i, 0::BIGINT AS used, 0::BIGINT AS cite, CAST([] AS VARCHAR[]) AS seen, false AS took FROM (SELECT DISTINCT query_id FROM {x}itm)
+    UNION ALL SELECT query_id, i, CASE WHEN t THEN used+size ELSE used END, CASE WHEN t THEN cite+1 ELSE cite END, CASE WHEN t AND block_id IS NOT NULL THEN list_append(seen, block_id) ELSE seen END, t
+    FROM (SELECT n.*, p.used, p.cite, p.seen, p.used+n.size<={budget} AND (n.block_id IS NULL OR NOT list_contains(p.seen, n.block_id)) AS t FROM {x}pck{end} p JOIN {x}itm n ON n.query_id=p.query_id AND n.i=p.i+1)""", recursive=True)
+        view(f"{x}srcs{end}", f"{x}pck{end} {x}itm", f"SELECT n.*, p.cite FROM {x}pck{end} p JOIN {x}itm n USING (query_id, i) WHERE p.took")
+
+
+search_chain("", "ent", "rel", "qry", "evd", "blk")
 view("wrd", "blk", """SELECT doc_id, page_number, seq AS block_num, i, text, 2*(x0+40*i) AS x0, 2*(x0+40*i)+10*length(text) AS x1, 2*y0 AS y0, 2*y1 AS y1, 1::DOUBLE-0.05::DOUBLE*(length(text)%10) AS confidence
 FROM (SELECT doc_id, page_number, seq, x0, y0, y1, unnest(string_split(text,' ')) AS text, generate_subscripts(string_split(text,' '),1)-1 AS i FROM blk) WHERE text<>''""")
 view("ocrb", "wrd", f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, block_num) - 1 AS seq FROM (
