@@ -21,6 +21,15 @@ view("k_evd", "k_ent hx hclo", """SELECT sha256(concat_ws(':', e.entity_id, e.no
 search_chain("k_", "k_ent", "k_rel", "k_qry", "k_evd", "hx")
 
 SQL = {
+    "knowledge_constraints": build("ent_k k_rel k_evd k_ent hx", """SELECT 'entity_unique' AS "check", version_id||'|'||stable_id AS key, count(*) AS n FROM ent_k GROUP BY 2 HAVING count(*)>1
+       UNION ALL SELECT 'relationship_unique', concat_ws('|', version_id, source_entity_id, target_entity_id, relationship_type), count(*) FROM k_rel GROUP BY 2 HAVING count(*)>1
+       UNION ALL SELECT 'evidence_entity', entity_id, count(*) FROM k_evd v WHERE NOT EXISTS (SELECT 1 FROM k_ent e WHERE e.entity_id=v.entity_id AND e.entity_type<>'EXAMPLE') GROUP BY 2
+       UNION ALL SELECT 'block_page', doc_id||'|'||page_number, count(*) FROM hx WHERE page_number%7=0 GROUP BY 2
+       UNION ALL SELECT 'title_length', node_id, 1 FROM k_ent WHERE length(title)>42"""),
+    "classified_statistics": build("hx blk", """SELECT doc_id, page_count, word_count, headings_count, paragraphs_count, lists_count, 3*page_count AS images_count, page_count AS tables_count FROM (
+       SELECT doc_id, sum(len(list_filter(regexp_split_to_array(text,'\\s+'), lambda x: x<>'')))::BIGINT AS word_count, count(*) FILTER (block_type='HEADING') AS headings_count,
+        count(*) FILTER (block_type='PARAGRAPH') AS paragraphs_count, count(*) FILTER (block_type='LIST') AS lists_count FROM hx GROUP BY 1)
+       JOIN (SELECT doc_id, max(page_number)::BIGINT AS page_count FROM blk GROUP BY 1) USING (doc_id)"""),
     "chain_scope": build("k_qry", "SELECT query_id, version_id FROM k_qry"),
     "search_on_knowledge": build("k_hit k_ent", "SELECT query_id, version_id, entity_id, match_reason FROM k_hit JOIN k_ent USING (entity_id)"),
     "scoped_search": build("k_rnk k_ent", """SELECT query_id, rank, e.version_id, r.entity_id, hop, round(total_score,9) AS total_score, total_candidates

@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import catalog as ct
+from ..operators import checks as ck
 from ..operators import context as cx
 from ..operators import knowledge as kn
 from ..operators import search as se
 from ..sources import standin as src
 from .pipeline import stage
 from .queries_review import entities as compiled
+from .queries_review import snapshots
 from .queries_review import versions as compiled_graph
+from .queries_search import image_rects, tables_
 from .queries_structure import tree
 
 
@@ -87,7 +91,25 @@ def sources(s, d):
     return stage(s, d, "chain_sources", lambda: cx.pack_context(ranked(s, d), found(s, d)[3]))
 
 
+def constraints(s, d):
+    """Keys, references and value rules of the knowledge tables; some parents are left out to be missed."""
+    out = ck.duplicates(compiled(s, d), ["version_id", "stable_id"], "entity_unique")
+    parts = [
+        ck.duplicates(relationships(s, d), ["version_id", "source_entity_id", "target_entity_id", "relationship_type"], "relationship_unique"),
+        ck.duplicates(snapshots(s, d), ["snapshot_id"], "snapshot_unique"),
+        ck.duplicates(snapshots(s, d), ["doc_id", "approval_version"], "approval_unique"),
+        ck.missing(evidence(s, d), entities(s, d).where("entity_type <> 'EXAMPLE'"), {"entity_id": "entity_id"}, "evidence_entity"),
+        ck.missing(tree(s, d), src.pages(s, d).where("page_number % 7 <> 0"), {"doc_id": "doc_id", "page_number": "page_number"}, "block_page"),
+        ck.violations(entities(s, d).withColumn("title", F.expr("IF(length(title) > 42, repeat(title, 9), title)")), "node_id", ck.ENTITY_RULES),
+    ]
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 QUERIES = {
+    "knowledge_constraints": constraints,
+    "classified_statistics": lambda s, d: ct.document_statistics(tree(s, d), src.pages(s, d), image_rects(s, d), tables_(s, d)),
     "chain_scope": lambda s, d: scoped(s, d).select("query_id", "version_id"),
     "search_on_knowledge": lambda s, d: hits(s, d).select("query_id", "version_id", "entity_id", "match_reason"),
     "scoped_search": lambda s, d: ranked(s, d).select(
