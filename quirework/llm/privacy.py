@@ -126,8 +126,8 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
         .select("entity", F.explode(words(F.col("context"))).alias("term"))
         .groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
     )
-    used = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    spread = bitmap.among(used, "term", pairs, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    # Counted per task first, so what is shuffled is one row per task and term.
+    spread = docs.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     whole = docs.agg(F.count("*").alias("n")).first()["n"]
     pmi = F.log2((F.col("n_te") / F.col("contexts")) / (F.col("n_t") / F.lit(float(max(1, whole)))))
     scored = pairs.join(spread, "term").join(per_entity, "entity").join(held, "entity").select(
