@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .settle import settle
+from .settle import discard, settle
 
 
 def cyclic_edges(edges: DataFrame, doc: str = "doc_id", src: str = "source_node_id", dst: str = "target_node_id") -> DataFrame:
@@ -20,7 +20,8 @@ def cyclic_edges(edges: DataFrame, doc: str = "doc_id", src: str = "source_node_
         starts = left.select(doc, F.col(src).alias(dst)).distinct()
         keep = left.join(starts, [doc, dst], "left_semi")
         ends = keep.select(doc, F.col(dst).alias(src)).distinct()
-        left = settle(keep.join(ends, [doc, src], "left_semi"))
+        before, left = left, settle(keep.join(ends, [doc, src], "left_semi"))
+        discard(before)
         m = left.count()
         if m == n:
             break

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .academic import CATEGORIES
-from .settle import settle
+from .settle import discard, settle
 
 
 def replay_actions(actions: DataFrame) -> DataFrame:
@@ -29,11 +29,14 @@ def replay_actions(actions: DataFrame) -> DataFrame:
         fresh = settle(taken.join(links, ["doc_id", "at"]).select("doc_id", F.col("to").alias("at")))
         if fresh.isEmpty():
             break
-        taken = settle(taken.unionByName(fresh))
-        links = settle(
+        more = settle(taken.unionByName(fresh))
+        double = settle(
             links.alias("x").join(links.alias("y"), (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.to") == F.col("y.at")))
             .select("x.doc_id", "x.at", "y.to")
         )
+        discard(taken, links, fresh)
+        taken, links = more, double
+    discard(links, fresh, acts)
     hit = taken.select("doc_id", F.col("at").alias("ord"), F.lit(True).alias("_t"))
     return actions.join(hit, ["doc_id", "ord"], "left").withColumns(
         {

@@ -40,4 +40,18 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path)
+    rows.settled_at = path
+    return rows
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the stored rows of settled frames that nothing reads any more, such as the
+    rounds of a loop that a later round replaces.  Other frames are left alone."""
+    for df in frames:
+        path = getattr(df, "settled_at", None) if "settled_at" in vars(df) else None
+        if path:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+            del df.settled_at

@@ -11,7 +11,7 @@ from ..operators import features as ft
 from ..operators import hierarchy as hi
 from ..operators import order as ro
 from ..operators.ordered import CHUNK_ROWS
-from ..operators.settle import settle
+from ..operators.settle import discard, settle
 
 
 def classified(blocks: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
@@ -42,4 +42,4 @@ def forget(spark: SparkSession) -> None:
     """Drop the stage tables of this session, so that the next use builds them again."""
     app = spark.sparkContext.applicationId
     for key in [k for k in _stages if k[0] == app]:
-        del _stages[key]
+        discard(_stages.pop(key))
