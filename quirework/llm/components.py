@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.settle import settle
+from ..operators.settle import discard, settle
 
 
 def labels(edges: DataFrame) -> DataFrame:
@@ -28,6 +28,8 @@ def labels(edges: DataFrame) -> DataFrame:
             low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("label"), "was")
         )
         moved = new.where("label <> was").limit(1).count()
-        now = new.select("node", "label")
+        discard(now)
+        now = new
         if not moved:
-            return now
+            discard(both)
+            return now.select("node", "label")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.settle import settle
+from ..operators.settle import discard, settle
 from . import bitmap
 from . import words as wd
 from .components import labels
@@ -285,9 +285,12 @@ def join(documents: DataFrame) -> DataFrame:
     sized = lambda c: grouped.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     near = stars.join(sized("a"), "a").join(sized("b"), "b")
     near = near.where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-    links = settle(verified(settle(near.mapInArrow(_possible, "a long, b long")), named).unionByName(copies))
+    pairs = settle(near.mapInArrow(_possible, "a long, b long"))
+    links = settle(verified(pairs, named).unionByName(copies))
     classes = labels(links)
-    rest = settle(verified(settle(_leftover_pairs(groups, classes, grouped)), named))
+    more = settle(_leftover_pairs(groups, classes, grouped))
+    rest = settle(verified(more, named))
+    discard(pairs, more, groups, stars)
     if rest.limit(1).count():
         classes = labels(links.unionByName(rest))
     named_label = classes.select(F.col("node").alias("doc_id"), "label")
