@@ -20,9 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bitmap
+
 EQUALITY, LIKENESS = 16, 64
 CLAUSE = r"\n|(?<=[.!?;:,])"
-CHUNK_IDS = 4096
+CHUNK_IDS = 512
 _LANES = EQUALITY + LIKENESS + 1
 _MODULI = [2**32] * EQUALITY + [2**16] * (LIKENESS + 1)
 
@@ -86,11 +88,10 @@ def _with_next(documents: DataFrame) -> DataFrame:
         F.col("chunk").alias("top_chunk"), "top",
         F.coalesce(F.lead("chunk").over(in_order), F.first("chunk").over(in_order)).alias("above"),
     )
-    home = F.struct(F.col("chunk").alias("chunk"), F.lit(0).alias("edge"))
-    copy = F.struct(F.col("above").alias("chunk"), F.lit(1).alias("edge"))
-    spread = docs.join(tops, (docs.chunk == tops.top_chunk) & docs.doc_id.eqNullSafe(tops.top), "left").select(
-        "doc_id", "text", F.explode(F.when(F.col("above").isNull(), F.array(home)).otherwise(F.array(home, copy))).alias("at")
-    ).select("doc_id", "text", "at.*")
+    # Only rows that may be a top move for the copies; the exact join decides.
+    maybe = bitmap.among(docs, "doc_id", tops, "top")
+    copies = maybe.join(tops, (maybe.chunk == tops.top_chunk) & maybe.doc_id.eqNullSafe(tops.top)).select("doc_id", "text", F.col("above").alias("chunk"))
+    spread = docs.withColumn("edge", F.lit(0)).unionByName(copies.withColumn("edge", F.lit(1)))
     w = Window.partitionBy("chunk").orderBy("edge", F.col("doc_id").desc_nulls_last(), F.desc("text"))
     return spread.select("*", F.lead("text").over(w).alias("next_text"), F.row_number().over(w).alias("place"))
 
