@@ -8,15 +8,20 @@ measured on all documents,
     information  IC(e) = -log2 p(e)             p: share of the documents that hold it
     disclosure   PMI(t; e) / IC(e)              PMI = log2 p(t | contexts of e) / p(t)
 
-which is 1 when the term names the entity outright. A term of at least ``SUPPORT`` distinct
-contexts of an entity (copies of a context count once) whose disclosure reaches ``GENERALISE``
+which is 1 when the term names the entity outright. The contexts of an entity are the whole
+documents that hold it; those of the same words (copies) count once. However few they are, its
+terms are judged: p(t | contexts of e) is not the share of contexts that hold the term but the
+least probability which that many of them allow with confidence 1 - ``DOUBT`` (:func:`at_least`),
+so one context tells less than two. A term whose disclosure reaches ``GENERALISE``
 is sanitised in the documents that hold the entity: replaced by a general label, or
 removed where disclosure reaches ``REMOVE``. Its places are spans of the further kind
 ``term``; spans of the four kinds always stay.
 
-A context is ``CONTEXT`` characters on each side, so the pairs grow with the spans; the only
-joins are on equal entities, terms and documents. Texts move only for documents that may
-hold a term to sanitise.
+Terms are words of ``SHORTEST`` characters or more with a letter, and words joined by hyphens or apostrophes,
+which count as a whole and by their parts. Entities of the same documents have the same
+terms and are counted as one, so a list of many entities costs no more than its words; counts
+are aggregated by entity and term before any join. The only joins are on equal entities, terms
+and documents. Texts move only for documents that may hold a term to sanitise.
 
 Defined results: a null or empty text has no spans; offsets count code points, ends are
 exclusive; repeated rows are treated alike and count as documents; an empty table gives no rows;
@@ -25,6 +30,8 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +48,9 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "term"]
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-CONTEXT, SUPPORT, GENERALISE, REMOVE, SHORTEST = 64, 3, 0.6, 0.9, 4
+_PART = r"[\p{L}\p{M}\p{N}]++"
+_JOINED = rf"{_PART}(?:[-']{_PART})++"
+DOUBT, GENERALISE, REMOVE, SHORTEST = 0.05, 0.6, 0.9, 2
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -97,43 +106,67 @@ def _source(documents: DataFrame, *more: str) -> DataFrame:
     return documents.select("doc_id", text.alias("text"), *more, F.xxhash64("doc_id", text).alias("row_key"))
 
 
+def plain(text: Column) -> Column:
+    """In lower case, with typographic apostrophes and hyphens as plain ones."""
+    return F.translate(F.lower(text), "\u2019\u02bc\u2010\u2011", "''--")
+
+
 def words(text: Column) -> Column:
-    """Distinct words of letters only, in lower case."""
-    tokens = F.split(F.lower(text), r"[\s\p{Punct}]+", -1)
-    return F.array_distinct(F.filter(tokens, lambda w: (F.length(w) >= SHORTEST) & F.regexp_like(w, F.lit(r"^\p{L}+$"))))
+    """Distinct words with a letter, and words joined by hyphens or apostrophes, in lower case."""
+    found = F.concat(*[F.regexp_extract_all(plain(text), F.lit(p), F.lit(0)) for p in (_PART, _JOINED)])
+    return F.filter(F.array_distinct(found), lambda w: (F.length(w) >= SHORTEST) & F.regexp_like(w, F.lit(r"\p{L}")))
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """Rows (row_key, entity, context) for every span of the corpus."""
-    spans = base_spans(docs).where(F.size("base") > 0).select("row_key", "text", F.explode("base").alias("s"))
-    before = F.substring(F.col("text"), F.greatest(F.col("s.start") - CONTEXT, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(CONTEXT)))
-    after = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(CONTEXT))
-    whole = lambda side, cut: F.regexp_replace(F.regexp_replace(side, cut, ""), r"\S*[@0-9]\S*", " ")
-    context = F.concat(
-        F.when(F.col("s.start") > CONTEXT, whole(before, r"^\S*")).otherwise(whole(before, "^$")), F.lit(" "),
-        F.when(F.length(after) == CONTEXT, whole(after, r"\S*$")).otherwise(whole(after, "^$")),
-    )
-    return spans.select("row_key", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), context.alias("context"))
-
-
-def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows (entity, term, disclosure) of the terms to sanitise; ``found`` is settled."""
-    contexts = found.select("entity", "context").distinct()
-    held = found.select("entity", "row_key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    per_entity = contexts.groupBy("entity").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT)
-    pairs = settle(
-        contexts.join(per_entity.select("entity"), "entity", "left_semi")
-        .select("entity", F.explode(words(F.col("context"))).alias("term"))
-        .groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    """Rows (row_key, held, terms, context) of the documents with spans: their entities, the
+    words outside of the spans, and a key of these words."""
+    spans = base_spans(docs).where(F.size("base") > 0)
+    held = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    terms = words(masked(F.col("text"), F.col("base"), lambda s: F.lit(" ")))
+    return spans.select("row_key", held.alias("held"), terms.alias("terms")).withColumn("context", F.xxhash64(F.array_sort("terms")))
+
+
+def alike(found: DataFrame) -> DataFrame:
+    """Rows (entity, row_key, context): of the entities that the same documents hold, the least."""
+    each = found.select("row_key", "context", F.explode("held").alias("entity")).distinct()
+    sets = each.groupBy("entity").agg(
+        F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("row_key", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("row_key", F.lit(2))).alias("y"),
+    ).groupBy("n_e", "x", "y").agg(F.min("entity").alias("entity"))
+    return each.join(sets.select("entity"), "entity", "left_semi")
+
+
+def at_least(hits: Column, tries: Column) -> Column:
+    """The least probability of which ``hits`` of ``tries`` are not too many, by Chernoff's
+    bound: where tries * KL(hits / tries || p) = ln(1 / DOUBT), halved down to."""
+    share, most = hits / tries, F.lit(math.log(1 / DOUBT))
+
+    def halve(x: Column, _: Column) -> Column:
+        p = (x["low"] + x["high"]) / 2
+        rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0.0)
+        far = tries * (share * F.log(share / p) + rest) > most
+        return F.struct(F.when(far, p).otherwise(x["low"]).alias("low"), F.when(far, x["high"]).otherwise(p).alias("high"))
+
+    start = F.struct(F.lit(0.0).alias("low"), share.alias("high"))
+    bounds = F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, halve, lambda x: x["low"])
+    return F.when(hits >= tries, F.pow(F.lit(DOUBT), 1 / tries)).otherwise(bounds)
+
+
+def disclosures(docs: DataFrame, found: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows (entity, term, disclosure) of the terms to sanitise; ``found`` and ``held`` are settled."""
+    per_entity = held.groupBy("entity").agg(F.count("*").alias("n_e"), F.count_distinct("context").alias("contexts"))
+    terms = found.groupBy("context").agg(F.first("terms").alias("terms"))
+    pairs = (
+        held.select("entity", "context").distinct().join(terms, "context")
+        .select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
     )
     # Counted per task first, so what is shuffled is one row per task and term.
     spread = docs.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     whole = docs.agg(F.count("*").alias("n")).first()["n"]
-    pmi = F.log2((F.col("n_te") / F.col("contexts")) / (F.col("n_t") / F.lit(float(max(1, whole)))))
-    scored = pairs.join(spread, "term").join(per_entity, "entity").join(held, "entity").select(
-        "entity", "term", (pmi / F.log2(F.lit(float(max(1, whole))) / F.col("n_e"))).alias("disclosure"), "n_e"
-    )
-    return scored.where((F.col("n_e") < whole) & (F.col("disclosure") >= GENERALISE)).drop("n_e")
+    total = F.lit(float(max(1, whole)))
+    told = lambda p: F.log2(p * total / F.col("n_t")) / F.log2(total / F.col("n_e"))
+    # The share itself first: the bound is never higher.
+    likely = pairs.join(spread, "term").join(per_entity.where(F.col("n_e") < whole), "entity").where(told(F.col("n_te") / F.col("contexts")) >= GENERALISE)
+    return likely.select("entity", "term", told(at_least(F.col("n_te"), F.col("contexts"))).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
 def find(documents: DataFrame, *more: str) -> DataFrame:
@@ -141,32 +174,35 @@ def find(documents: DataFrame, *more: str) -> DataFrame:
     with the measure that chose them (``disclosure`` by term in ``told``)."""
     docs = _source(documents, *more)
     found = settle(entities(docs))
-    telling = settle(disclosures(docs, found))
+    held = settle(alike(found))
+    telling = settle(disclosures(docs, found, held))
     by_row = settle(
-        found.select("row_key", "entity").distinct().join(telling, "entity").groupBy("row_key", "term").agg(F.max("disclosure").alias("d"))
+        held.select("row_key", "entity").join(telling, "entity").groupBy("row_key", "term").agg(F.max("disclosure").alias("d"))
         .groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("told"))
     )
     split = bitmap.marked(docs, "row_key", by_row, "row_key")
     touched = base_spans(split.where("maybe").drop("maybe").join(by_row, "row_key", "left"))
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("told"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    longest = F.array_sort(F.map_keys("told"), lambda a, b: F.length(b) - F.length(a))
+    either = F.replace(F.replace(F.array_join(longest, "|"), F.lit("'"), F.lit("['\u2019\u02bc]")), F.lit("-"), F.lit("[\\x{2d}\u2010\u2011]"))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), either, F.lit(r")(?![\p{L}\p{M}\p{N}])"))
     hits = F.regexp_extract_all("text", pattern, F.lit(0))
     terms = F.when(F.col("told").isNull(), F.array().cast(SPAN)).otherwise(located("term", F.col("text"), pattern, hits))
     columns = ["doc_id", "text", *more, "base"]
     told = F.coalesce("told", F.map_from_entries(F.array().cast("array<struct<term:string,d:double>>"))).alias("told")
-    plain = base_spans(split.where("not maybe").drop("maybe")).select(
+    untouched = base_spans(split.where("not maybe").drop("maybe")).select(
         *columns, F.array().cast(SPAN).alias("terms"), F.map_from_entries(F.array().cast("array<struct<term:string,d:double>>")).alias("told")
     )
-    return touched.select(*columns, terms.alias("terms"), told).unionByName(plain)
+    return touched.select(*columns, terms.alias("terms"), told).unionByName(untouched)
 
 
 def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def sanitised(text: Column, base: Column, terms: Column, told: Column) -> Column:
-    """The text with labels for spans; of overlapping spans the first (then the longest) counts."""
+def masked(text: Column, spans: Column, label) -> Column:
+    """The text with ``label`` of a span for it; of overlapping spans the first (then the longest) counts."""
     spans = F.array_sort(
-        F.concat(base, terms),
+        spans,
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]),
     )
     kept = F.aggregate(
@@ -174,12 +210,17 @@ def sanitised(text: Column, base: Column, terms: Column, told: Column) -> Column
         lambda done, s: F.when((F.size(done) > 0) & (s["start"] < F.element_at(F.concat(done, F.array(s)), F.greatest(F.size(done), F.lit(1)))["end"]), done)
         .otherwise(F.concat(done, F.array(s))),
     )
-
-    def label(s: Column) -> Column:
-        removed = F.element_at(told, F.lower(s["value"])) >= REMOVE
-        return F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(removed, "").otherwise("[TERM]")
-
     ends = F.concat(F.array(F.lit(0)), F.transform(kept, lambda s: s["end"]))
     parts = F.transform(kept, lambda s, i: F.concat(F.substring(text, F.get(ends, i) + 1, s["start"] - F.get(ends, i)), label(s)))
     tail = F.substring(text, F.element_at(ends, -1) + 1, F.length(text))
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(parts, ""), tail))
+
+
+def sanitised(text: Column, base: Column, terms: Column, told: Column) -> Column:
+    """The text with labels for spans."""
+
+    def label(s: Column) -> Column:
+        removed = F.element_at(told, plain(s["value"])) >= REMOVE
+        return F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(removed, "").otherwise("[TERM]")
+
+    return masked(text, F.concat(base, terms), label)

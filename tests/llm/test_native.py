@@ -1,6 +1,7 @@
 """Fingerprints, chat, personal data and shards against plain Python on small fixtures."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -137,6 +138,29 @@ def test_terms_that_disclose_are_masked_where_the_entity_stands(spark):
     assert rows[2000]["terms"] == [] and rows[0]["masked"] == rows[0]["text"]
 
 
+def test_terms_far_from_an_entity_of_one_or_two_documents(spark):
+    far = "common words of every kind " * 12
+    texts = [(i, f"{far} {i}") for i in range(3000)]
+    texts += [(4000 + i, f"Jean-Luc O\u2019Brien, {far} and{i} {far} jlb@corp.example.com") for i in range(2)]
+    texts += [(5000, f"Quillon. {far} {far} q@corp.example.com")]
+    rows = {r["doc_id"]: r for r in privacy.find(docs(spark, texts)).withColumn(
+        "masked", privacy.sanitised(F.col("text"), F.col("base"), F.col("terms"), F.col("told"))).where("doc_id >= 4000 OR doc_id < 9").collect()}
+    for i in (4000, 4001):
+        assert {"Jean-Luc", "O\u2019Brien"} <= {s["value"] for s in rows[i]["terms"]}
+        assert not any(x in rows[i]["masked"] for x in ("Jean", "Luc", "Brien", "jlb"))
+        assert "common words of every kind" in rows[i]["masked"]
+    assert [s["value"] for s in rows[5000]["terms"]] == ["Quillon"] and rows[8]["terms"] == []
+
+
+def test_bound_of_a_share(spark):
+    cases = [(1, 1), (2, 2), (6, 6), (3, 4), (50, 100), (1, 30)]
+    frame = spark.createDataFrame(cases, "k long, n long")
+    for k, n, p in frame.select("k", "n", privacy.at_least(F.col("k"), F.col("n"))).collect():
+        q = k / n
+        far = n * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0))
+        assert abs(far - math.log(1 / privacy.DOUBT)) < 1e-6 and 0 < p < q
+
+
 def test_shards_are_even_gapless_and_whole(spark):
     r = random.Random(2)
     texts = [(i, "hot text " * 40 if i % 3 == 0 else "w" * r.randrange(1, 900)) for i in range(3000)] + [(7, None), (7, None), (8, "")]
