@@ -1,14 +1,15 @@
 r"""Homomorphic multiset hash of a document's paragraphs.
 
 Every paragraph (a line) has a wide vector; a fingerprint is the sum of the vectors of all
-paragraphs, lane by lane, modulo a power of two. Order does not matter, and a paragraph is
+paragraphs, lane by lane, modulo 2^32. Order does not matter, and a paragraph is
 inserted or deleted by adding or subtracting its vector (:func:`combined`). The lanes:
 
-* 16 lanes modulo 2^32: the words of the paragraph's SHA-512. Equal sums mean equal
+* 16 lanes: the words of the paragraph's SHA-512. Equal sums mean equal
   multisets of paragraphs (up to collisions).
-* 64 lanes modulo 2^16: how many clauses of the paragraph have bit i set in their 64-bit
+* 64 lanes: how many clauses of the paragraph have bit i set in their 64-bit
   hash, and one lane with the number of clauses. Differences of these lanes estimate how
-  many clauses differ (:func:`likeness`), which equality lanes cannot tell.
+  many clauses differ (:func:`likeness`), which equality lanes cannot tell. A text of Spark
+  has less than 2^31 bytes and so fewer clauses; only sums of several texts can wrap.
 
 Defined results: a null text counts as empty, one empty paragraph without clauses; two texts
 without clauses are alike (1.0) if their fingerprints are equal, else 0.0; repeated rows
@@ -26,7 +27,7 @@ EQUALITY, LIKENESS = 16, 64
 CLAUSE = r"\n|(?<=[.!?;:,])"
 CHUNK_IDS = 512
 _LANES = EQUALITY + LIKENESS + 1
-_MODULI = [2**32] * EQUALITY + [2**16] * (LIKENESS + 1)
+_MODULUS = 2**32
 
 
 def pieces(text: Column) -> Column:
@@ -41,18 +42,17 @@ def lane_sums(digest: str = "digest", bits: str = "bits") -> list[Column]:
     words = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(EQUALITY)]
     ones = [F.shiftrightunsigned(bits, i).bitwiseAND(F.lit(1)) for i in range(LIKENESS)]
     sums = [F.sum(w) for w in words] + [F.sum(o) for o in ones] + [F.count(bits)]
-    return [F.pmod(F.coalesce(s, F.lit(0)), F.lit(m)).alias(f"lane_{i}") for i, (s, m) in enumerate(zip(sums, _MODULI, strict=True))]
+    return [F.pmod(F.coalesce(s, F.lit(0)), F.lit(_MODULUS)).alias(f"lane_{i}") for i, s in enumerate(sums)]
 
 
 def combined(a: Column, b: Column, sign: int = 1) -> Column:
     """Insert (sign 1) or delete (sign -1) the paragraphs of ``b``."""
-    moduli = F.lit(_MODULI)
-    return F.transform(F.zip_with(a, b, lambda x, y: x + sign * y), lambda x, i: F.pmod(x, F.get(moduli, i)))
+    return F.zip_with(a, b, lambda x, y: F.pmod(x + sign * y, F.lit(_MODULUS)))
 
 
 def text_form(lanes: Column) -> Column:
-    """Lanes in hex, eight digits each for equality, four each for likeness."""
-    return F.array_join(F.transform(lanes, lambda x, i: F.lpad(F.hex(x), F.when(i < EQUALITY, 8).otherwise(4), "0")), "")
+    """Lanes in hex, eight digits each."""
+    return F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -60,7 +60,7 @@ def likeness(a: Column, b: Column) -> Column:
     signs, has the number of differing clauses as its mean square."""
     count = lambda x: F.get(x, F.lit(_LANES - 1)).cast("double")
     lanes = lambda x: F.slice(x, EQUALITY + 1, LIKENESS)
-    centred = lambda x: F.pmod(x + 2**15, F.lit(2**16)) - 2**15
+    centred = lambda x: F.pmod(x + _MODULUS // 2, F.lit(_MODULUS)) - _MODULUS // 2
     shift = centred(F.get(a, F.lit(_LANES - 1)) - F.get(b, F.lit(_LANES - 1)))
     squares = F.zip_with(lanes(a), lanes(b), lambda x, y: F.pow(2 * centred(x - y) - shift, F.lit(2)))
     differing = F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / LIKENESS

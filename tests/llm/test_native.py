@@ -63,6 +63,18 @@ def test_likeness_orders_texts(spark):
     assert same == 1.0 and 0.5 < close < 0.9 and apart < 0.25
 
 
+def test_likeness_of_more_clauses_than_two_bytes_count(spark):
+    lines = 70_000
+    texts = [(9, "\n".join(f"{i:05}" for i in range(lines))), (3, "x\ny")]
+    row = fingerprint.fingerprints(docs(spark, texts)).where("doc_id = 9").select(
+        "lanes", "edited_lanes", fingerprint.likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
+        fingerprint.likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"), fingerprint.text_form(F.col("lanes")).alias("form"),
+    ).first()
+    assert row["lanes"][-1] == lines and 0 < row["edited_lanes"][-1] - lines * 2 // 3 < 5
+    assert abs(row["near_edited"] - 2 / 3) < 0.2 and row["near_next"] < 0.25
+    assert [int(row["form"][k : k + 8], 16) for k in range(0, len(row["form"]), 8)] == row["lanes"]
+
+
 @pytest.mark.parametrize("make", [fingerprint.fingerprints, privacy.find, lambda d: sharding.assign(sharding.records(d))])
 def test_empty_tables(spark, make):
     assert make(docs(spark, [])).count() == 0
