@@ -13,9 +13,10 @@ each other strengthen each other, while a hit between quotation marks that open
 inside the window is taken as quoted and counts a quarter. The sum of a text gives its
 score by a logistic curve fitted on the same sample.
 
-Sizes: ``TRAIN_ROWS`` labelled texts fit the model, of at most ``CANDIDATES`` prefixes
-``TERMS`` become terms; these bounds make the table safe to send to executors. Scores use
-whole texts only; label, language, source and id are no inputs.
+Sizes: ``TRAIN_ROWS`` labelled texts fit the model. Every prefix of them that passes the
+evidence test becomes a term. A table has at most ``TOGETHER`` terms and ``STATES`` states; more terms
+have several tables, which run in turn. Scores use whole texts only; label, language, source
+and id are no inputs.
 
 Defined results: a null or empty text has no hits and gets the score of such texts; labels
 that are null are not used; an id labelled twice is toxic if one label is; without usable
@@ -36,10 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.settle import settle
+from . import bitmap
 from . import words as wd
 
-TRAIN_ROWS, CANDIDATES, TERMS = 10_000, 50_000, 64
-LEAST_TEXTS, LONGEST, CONTINUES, PURER, CONTAINED, FORMS = 3, 24, 0.9, 10, 0.95, 5
+TRAIN_ROWS, TOGETHER, STATES = 10_000, 64, 50_000
+LEAST_TEXTS, LONGEST, CONTINUES, PURER, CONTAINED, FORMS, ECHO = 3, 24, 0.9, 10, 0.95, 5, 0.25
 WINDOW_BYTES, QUOTED, NEAR_BYTES, ENOUGH = 240, 0.25, 80, 40.0
 THRESHOLD = 0.7
 
@@ -112,8 +115,9 @@ class Automaton:
         return state
 
 
-def intersect(terms: list[tuple[bytes, bool]]) -> Automaton:
-    """Lexicon trie times edit distance, by subsets of (trie node, edits so far)."""
+def intersect(terms: list[tuple[bytes, bool]], states: float = math.inf) -> Automaton | None:
+    """Lexicon trie times edit distance, by subsets of (trie node, edits so far); none where it
+    has more than ``states``."""
     children: list[dict[int, int]] = [{}]
     ends: list[list[int]] = [[]]
     for k, (term, _) in enumerate(terms):
@@ -158,6 +162,8 @@ def intersect(terms: list[tuple[bytes, bool]]) -> Automaton:
     start = stems(close({0: 0}))
     number, order, rows = {frozenset(): 0, start: 1}, [frozenset(), start], []
     for state in order:
+        if len(order) > states:
+            return None
         row = []
         for b in [None, *letters]:
             found: dict[int, int] = {}
@@ -185,27 +191,42 @@ def intersect(terms: list[tuple[bytes, bool]]) -> Automaton:
     return Automaton(byte_class, np.array(rows, np.int32), term, edits)
 
 
+def automata(terms: list[tuple[bytes, bool]], first: int = 0) -> list[tuple[int, Automaton]]:
+    """Tables of bounded size for runs of the terms, each with the number of its first term."""
+    if not terms:
+        return []
+    table = intersect(terms, STATES if len(terms) > 1 else math.inf) if len(terms) <= TOGETHER else None
+    if table is not None:
+        return [(first, table)]
+    half = len(terms) // 2
+    return automata(terms[:half], first) + automata(terms[half:], first + half)
+
+
 @dataclass
 class Model:
     terms: list[tuple[bytes, bool]] = field(default_factory=list)
     weight: np.ndarray = field(default_factory=lambda: np.empty(0))
     near: np.ndarray = field(default_factory=lambda: np.empty(0))
     curve: np.ndarray = field(default_factory=lambda: np.array([-50.0, 0.0]))
-    automaton: Automaton | None = None
+    tables: list[tuple[int, Automaton]] = field(default_factory=list)
 
     def _found(self, texts: pa.Array) -> Iterator[tuple]:
-        if self.automaton is None or not len(texts):
+        if not self.tables or not len(texts):
             return
         for row, raw, cuts in parts(texts):
             low = folded(raw) if len(raw) else raw
             starts, ends = letter_runs(low, cuts)
-            state = self.automaton.run(low, starts, ends)
-            hit = np.flatnonzero(self.automaton.term[state] >= 0)
+            term, edits = np.full(len(starts), -1, np.int32), np.zeros(len(starts), np.int32)
+            for first, table in self.tables:
+                state = table.run(low, starts, ends)
+                closer = (table.term[state] >= 0) & ((term < 0) | (table.edits[state] < edits))
+                term[closer], edits[closer] = table.term[state[closer]] + first, table.edits[state[closer]]
+            hit = np.flatnonzero(term >= 0)
             if len(hit):
                 at = starts[hit]
                 doc = np.searchsorted(cuts, at, "right") - 1
                 quoted = _quoted(low, cuts[doc], cuts[doc + 1], at, ends[hit])
-                yield row + doc, at, self.automaton.term[state[hit]], self.automaton.edits[state[hit]], quoted
+                yield row + doc, at, term[hit], edits[hit], quoted
 
     def hits(self, texts: pa.Array) -> Iterator[tuple[int, int, int]]:
         """(row, term, edits) of every hit."""
@@ -263,25 +284,18 @@ def _prefixes(raw: bytes, starts: list[int], ends: list[int]) -> set[bytes]:
     return out
 
 
-def _count_rows(wanted: frozenset | None):
-    """Per batch: in how many texts each prefix (of ``wanted``) occurs; b"" counts the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            count: Counter = Counter()
-            for _, raw, cuts in parts(batch.column(0)):
-                low = folded(raw) if len(raw) else raw
-                starts, ends = letter_runs(low, cuts)
-                edges, raw = np.searchsorted(starts, cuts), low.tobytes()
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    own = _prefixes(raw, starts[a:b].tolist(), ends[a:b].tolist())
-                    count.update(own if wanted is None else own & wanted)
-                    count[b""] += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(count.keys(), pa.binary()), pa.array(count.values(), pa.int64())], ["prefix", "n"]
-            )
-
-    return run
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch: in how many texts each prefix occurs; b"" counts the texts."""
+    for batch in batches:
+        count: Counter = Counter()
+        for _, raw, cuts in parts(batch.column(0)):
+            low = folded(raw) if len(raw) else raw
+            starts, ends = letter_runs(low, cuts)
+            edges, raw = np.searchsorted(starts, cuts), low.tobytes()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                count.update(_prefixes(raw, starts[a:b].tolist(), ends[a:b].tolist()))
+                count[b""] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.binary()), pa.array(count.values(), pa.int64())], ["prefix", "n"])
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, usable, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -295,56 +309,68 @@ def training_rows(documents: DataFrame, labels: DataFrame, usable, rows: int = T
     return texts.join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id", "text").alias("row"))
 
 
-def _counts(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
-    return rows.select("text").mapInArrow(_count_rows(wanted), "prefix binary, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
+def candidates(train: DataFrame) -> DataFrame:
+    """Rows (prefix, a, b): the toxic and harmless texts of prefixes, ``LEAST_TEXTS`` toxic ones or more."""
+    counts = lambda toxic: train.where(f"toxic = {toxic}").select("text").mapInArrow(_count_rows, "prefix binary, n long")
+    toxic = settle(counts(1).groupBy("prefix").agg(F.sum("n").alias("a")).where(f"a >= {LEAST_TEXTS} OR prefix = X''"))
+    harmless = bitmap.among(counts(0), "prefix", toxic, "prefix").groupBy("prefix").agg(F.sum("n").alias("b"))
+    return settle(toxic.join(harmless, "prefix", "left").select("prefix", "a", F.coalesce("b", F.lit(0)).alias("b")))
 
 
-def lexicon(positive: dict[bytes, int], negative: dict[bytes, int]) -> list[tuple[bytes, bool, float]]:
-    """Terms (bytes, whole word?, weight) from text counts of prefixes."""
-    n_pos, n_neg = positive.get(b"", 0), negative.get(b"", 0)
-    if not n_pos or not n_neg:
-        return []
+def pure(found: DataFrame, n_pos: int, n_neg: int) -> dict[bytes, tuple[int, int, int]]:
+    """Toxic texts, harmless texts and toxic texts as a whole word of the prefixes that toxic
+    texts hold ``PURER`` times as often; ``found`` is settled."""
+    whole = found.where("right(hex(prefix), 2) = '24'").select(F.expr("substring(prefix, 1, length(prefix) - 1)").alias("prefix"), F.col("a").alias("whole"))
+    kept = found.where("prefix <> X'' AND right(hex(prefix), 2) <> '24'").where(F.col("a") * n_neg >= F.col("b") * (PURER * n_pos))
+    rows = kept.join(whole, "prefix", "left").collect()
+    return {bytes(r["prefix"]): (r["a"], r["b"], r["whole"] or 0) for r in rows}
+
+
+def lexicon(counts: dict[bytes, tuple[int, int, int]], n_pos: int, n_neg: int, tried: int) -> list[tuple[bytes, bool, float]]:
+    """Terms (bytes, whole word?, weight) from counts of pure prefixes, of ``tried`` candidates."""
     share = n_pos / (n_pos + n_neg)
-    needed = 2 * math.log(max(2, len(positive))) + 4
+    needed = 2 * math.log(max(2, tried)) + 4
 
-    def evidence(p: bytes) -> float:
-        a, b = positive[p], negative.get(p, 0)
-        if a / n_pos <= b / n_neg:
-            return 0.0
+    def evidence(a: int, b: int) -> float:
         other = b * math.log(b / ((a + b) * (1 - share))) if b else 0.0
         return 2 * (a * math.log(a / ((a + b) * share)) + other)
 
-    strong = {
-        p: evidence(p) for p in positive
-        if p and p[-1:] != b"$" and positive[p] / n_pos >= PURER * negative.get(p, 0) / n_neg
-    }
+    strong = {p: e for p, (a, b, _) in counts.items() if (e := evidence(a, b)) >= needed}
     longer: dict[bytes, list[bytes]] = {}
     for p in strong:
         for cut in range(len(p) - 1, 2, -1):
-            if p[:cut] in positive:
+            if p[:cut] in strong:
                 longer.setdefault(p[:cut], []).append(p)
                 break
     out: list[tuple[bytes, bool, float]] = []
+    stems: set[bytes] = set()
+    begun: set[bytes] = set()
     for p in sorted(strong, key=lambda p: (-strong[p], -len(p), p)):
-        if strong[p] < needed or any(positive[q] >= CONTINUES * positive[p] for q in longer.get(p, [])):
+        a, b, n_whole = counts[p]
+        if any(counts[q][0] >= CONTINUES * a for q in longer.get(p, [])):
             continue
-        if any(p.startswith(t) or t.startswith(p) for t, _, _ in out):
+        whole = n_whole >= CONTINUES * a
+        # A stem covers what begins with it; a whole word covers nothing else.
+        if any(p[:n] in stems for n in range(3, len(p))) or (not whole and p in begun):
             continue
-        whole = positive.get(p + b"$", 0) >= CONTINUES * positive[p]
-        weight = math.log((positive[p] + 0.5) / (n_pos + 1)) - math.log((negative.get(p, 0) + 0.5) / (n_neg + 1))
-        out.append((p, whole, weight))
-    return out[:TERMS]
+        if not whole:
+            stems.add(p)
+        begun.update(p[:n] for n in range(3, len(p)))
+        out.append((p, whole, math.log((a + 0.5) / (n_pos + 1)) - math.log((b + 0.5) / (n_neg + 1))))
+    return out
 
 
-def distinct_terms(texts_of: dict[int, set], forms: list[int]) -> list[int]:
-    """Without terms of few forms whose toxic texts nearly all hold one stronger term: the
-    words of a text that was copied often say no more than the term it holds."""
-    kept: list[int] = []
+def shares(texts_of: dict[int, set], forms: list[int]) -> np.ndarray:
+    """Share of its weight that a term keeps: ``ECHO`` for terms of few forms whose toxic texts nearly all
+    hold one stronger term. The words of a text that was copied often say little more than the term it holds."""
+    leads: list[int] = []
+    out = np.full(len(forms), ECHO)
     for k, n in enumerate(forms):
         own = texts_of.get(k, set())
-        if own and (n >= FORMS or not any(len(own & texts_of[j]) >= CONTAINED * len(own) for j in kept)):
-            kept.append(k)
-    return kept
+        if own and (n >= FORMS or not any(len(own & texts_of[j]) >= CONTAINED * len(own) for j in leads)):
+            leads.append(k)
+            out[k] = 1.0
+    return out
 
 
 def near_weights(weight: np.ndarray, positive: np.ndarray, negative: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
@@ -373,26 +399,28 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> np.ndarray:
 def learn(documents: DataFrame, labels: DataFrame, usable=None, rows: int = TRAIN_ROWS) -> Model:
     """Fit lexicon, automaton and curve on the labelled rows for which ``usable`` holds."""
     train = training_rows(documents, labels, F.lit(True) if usable is None else usable, rows)
-    top = _counts(train.where("toxic = 1"), None).where(f"n >= {LEAST_TEXTS} OR prefix = X''").orderBy(F.desc("n"), "prefix").limit(CANDIDATES)
-    positive = {bytes(r["prefix"]): r["n"] for r in top.collect()}
-    negative = {bytes(r["prefix"]): r["n"] for r in _counts(train.where("toxic = 0"), frozenset(positive)).collect()}
-    terms = lexicon(positive, negative)
+    found = candidates(train)
+    total = found.where("prefix = X''").first()
+    if total is None or not total["b"]:
+        return Model()
+    n_pos, n_neg = total["a"], total["b"]
+    counts = pure(found, n_pos, n_neg)
+    terms = lexicon(counts, n_pos, n_neg, found.count())
     if not terms:
         return Model()
-    draft = Model([(t, w) for t, w, _ in terms], automaton=intersect([(t, w) for t, w, _ in terms]))
+    model = Model([(t, w) for t, w, _ in terms], tables=automata([(t, w) for t, w, _ in terms]))
 
     def exact_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {(d, k) for d, k, e in draft.hits(batch.column(0)) if not e}
+            found = {(d, k) for d, k, e in model.hits(batch.column(0)) if not e}
             rows = pa.array([d for d, _ in found], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([k for _, k in found], pa.int32()), batch.column(2).take(rows)], ["term", "row"])
 
     texts_of: dict[int, set] = {}
     for r in train.where("toxic = 1").mapInArrow(exact_hits, "term int, row long").distinct().collect():
         texts_of.setdefault(r["term"], set()).add(r["row"])
-    forms = [0 if whole else sum(p[-1:] == b"$" and p.startswith(t) for p in positive) for t, whole, _ in terms]
-    terms = [terms[k] for k in distinct_terms(texts_of, forms)]
-    model = Model([(t, w) for t, w, _ in terms], np.array([v for _, _, v in terms]), automaton=intersect([(t, w) for t, w, _ in terms]))
+    forms = [0 if whole else sum(n >= LEAST_TEXTS and p.startswith(t) for p, (_, _, n) in counts.items()) for t, whole, _ in terms]
+    model.weight = np.array([v for _, _, v in terms]) * shares(texts_of, forms)
 
     def near_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,7 +431,7 @@ def learn(documents: DataFrame, labels: DataFrame, usable=None, rows: int = TRAI
     close = np.zeros((2, len(terms)))
     for r in train.mapInArrow(near_hits, "term int, toxic int").groupBy("term", "toxic").count().collect():
         close[int(r["toxic"] > 0), r["term"]] = r["count"]
-    model.near = near_weights(model.weight, close[1], close[0], positive[b""], negative[b""])
+    model.near = near_weights(model.weight, close[1], close[0], n_pos, n_neg)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

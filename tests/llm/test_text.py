@@ -122,6 +122,31 @@ def test_toxicity_learns_and_reads_quotes(spark):
     assert toxicity.score(frame.limit(0), model).count() == 0
 
 
+def test_lexicon_keeps_every_term_with_evidence(spark):
+    r = random.Random(31)
+    bad = [chr(97 + k // 26) + chr(97 + k % 26) + "q" + "".join(r.choice("aeioudlmnrst") for _ in range(5)) for k in range(90)]
+    plain = ["lamp", "river", "stone", "cloud", "paper", "garden", "window", "bridge"]
+    text = lambda extra: " ".join([r.choice(plain) for _ in range(12)] + extra)
+    rows = [(i, text([bad[i % 90], *(["zwilling"] if i % 90 == 0 else [])] if i < 1080 else [])) for i in range(3000)]
+    labels = spark.createDataFrame([(i, 1, int(i < 1080)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs(spark, rows), labels)
+    found = {t.decode(): k for k, (t, _) in enumerate(model.terms)}
+    assert found.keys() == {*bad, "zwilling"} and len(model.tables) > 1
+    pair = sorted(model.weight[[found[bad[0]], found["zwilling"]]])
+    assert 0 < pair[0] < pair[1]
+    scores = model.scores(pa.array([text([w]) for w in bad] + [text([])]))
+    assert scores[:-1].min() > scores[-1]
+
+
+def test_several_tables_equal_one(monkeypatch):
+    terms = [(b"idiot", True), (b"worthless", True), (b"scum", True), (b"worldly", False), (b"lostly", False), (b"idiots", True)]
+    texts = pa.array(["idiot idiots idiotz worthles scum", "worldlynes lostlx", None, "idio lostlyx wrthless"])
+    one = toxicity.Model(terms, tables=[(0, toxicity.intersect(terms))])
+    monkeypatch.setattr(toxicity, "STATES", 40)
+    many = toxicity.Model(terms, tables=toxicity.automata(terms))
+    assert len(many.tables) > 1 and sorted(many.hits(texts)) == sorted(one.hits(texts))
+
+
 def shingles(text):
     w = split((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
