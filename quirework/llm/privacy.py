@@ -200,16 +200,20 @@ def span_text(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column, label) -> Column:
-    """The text with ``label`` of a span for it; of overlapping spans the first (then the longest) counts."""
+    """The text with ``label`` of a span for it; overlapping spans are one, with the label of the
+    first (then the longest)."""
     spans = F.array_sort(
         spans,
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]),
     )
-    kept = F.aggregate(
-        spans, F.array().cast(SPAN),
-        lambda done, s: F.when((F.size(done) > 0) & (s["start"] < F.element_at(F.concat(done, F.array(s)), F.greatest(F.size(done), F.lit(1)))["end"]), done)
-        .otherwise(F.concat(done, F.array(s))),
-    )
+
+    def joined(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["kind"].alias("kind"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["value"].alias("value"))
+        overlaps = (F.size(done) > 0) & (s["start"] < last["end"])
+        return F.when(overlaps, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    kept = F.aggregate(spans, F.array().cast(SPAN), joined)
     ends = F.concat(F.array(F.lit(0)), F.transform(kept, lambda s: s["end"]))
     parts = F.transform(kept, lambda s, i: F.concat(F.substring(text, F.get(ends, i) + 1, s["start"] - F.get(ends, i)), label(s)))
     tail = F.substring(text, F.element_at(ends, -1) + 1, F.length(text))

@@ -164,6 +164,12 @@ def test_terms_far_from_an_entity_of_one_or_two_documents(spark):
     assert [s["value"] for s in rows[5000]["terms"]] == ["Quillon"] and rows[8]["terms"] == []
 
 
+def test_masks_cover_all_of_overlapping_spans(spark):
+    texts = [(1, "call +49 170 1234567.john@x.com now"), (2, "a@b.cc, +49 170 1234567.john@x.com and 10.0.0.1")]
+    rows = privacy.find(docs(spark, texts)).select("doc_id", privacy.sanitised(F.col("text"), F.col("base"), F.col("terms"), F.col("told"))).collect()
+    assert {i: t for i, t in rows} == {1: "call [PHONE] now", 2: "[EMAIL], [PHONE] and [IP]"}
+
+
 def test_bound_of_a_share(spark):
     cases = [(1, 1), (2, 2), (6, 6), (3, 4), (50, 100), (1, 30)]
     frame = spark.createDataFrame(cases, "k long, n long")
