@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, neighbours, ngram_join, oracle, packing, privacy, sharding, substring_dedup, toxicity
+from . import (
+    bpe, chat, exact_dedup, fingerprint, neighbours, ngram_join, oracle, packing, periodic, privacy, sharding, spelling, substring_dedup,
+    toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +104,49 @@ def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def echoed(documents: DataFrame) -> DataFrame:
+    """Documents in every tenth of which the words from some place on repeat a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), "[ \t-\r]+"), "")
+    n = F.nullif(F.size(words), F.lit(0))
+    a = (g % n).cast("int")
+    p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), F.lit(1), n - a)
+    text = F.when((h % 10 == 0) & n.isNotNull(), F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")).otherwise(F.col("text"))
+    return documents.select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic.collapse(echoed(table(spark, sf_dir, "documents")))
+    rank = F.transform("runs", lambda r: F.struct((-r["length"]).alias("shortness"), r["start"].alias("start"), r["period"].alias("period")))
+    best = F.array_min(rank)
+    length = -best["shortness"]
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), length.alias("length"), best["period"].alias("period"),
+        F.floor(1000 * length / best["period"]).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
+def misspelt(documents: DataFrame) -> DataFrame:
+    """The letter runs of all texts as a column ``word``, one in 31 of them without one of its characters."""
+    h = F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), "run").cast("binary"))
+    k = (h % F.length("run")).cast("int")
+    cut = F.concat(F.substring(F.col("run"), F.lit(1), k), F.substring(F.col("run"), k + 2, F.length("run")))
+    return spelling.runs(documents, "doc_id").select(F.when(h % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(spelling.vocabulary(misspelt(table(spark, sf_dir, "documents"))))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_multiset_fingerprint": op2_multiset_fingerprint,
@@ -112,6 +158,9 @@ QUERIES = {
     "op8_partenum_join": op8_partenum_join,
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_repeated_windows": op10_repeated_windows,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 SQL = oracle.SQL
