@@ -88,8 +88,8 @@ SELECT doc_id, override_id, target_anchor_key, action_type, is_active, created_a
   WHEN 'RENAME_TITLE' THEN '{"new_title":"' || CASE WHEN event_id%31=0 THEN ' ' ELSE ' Title '||(event_id%3) END || '"}'
   WHEN 'UPDATE_EDGE' THEN '{"source_node_id":"an_b'||doc_id||'_'||seq||'","target_node_id":"an_b'||doc_id||'_'||fs||'","edge_type":"'|| CASE WHEN seq%2=0 THEN 'EXPLAINS' ELSE 'PREREQUISITE_OF' END ||'","confidence":0.5}'
   WHEN 'CREATE_NODE' THEN '{"category":"'|| CASE WHEN event_id%3=1 THEN 'CONCEPT' ELSE 'NOPE' END ||'","title":"Made '||event_id||'","anchor_key":"made_'||(event_id%2)||'"}'
-  WHEN 'REPARENT_NODE' THEN '{"new_parent_id":"an_b'||doc_id||'_'||coalesce(nx, fs)||'"}'
-  ELSE '{}' END AS payload
+  WHEN 'REPARENT_NODE' THEN '{"new_parent_id":"an_b'||doc_id||'_'||CASE event_id%5 WHEN 0 THEN fs WHEN 1 THEN -1 ELSE coalesce(nx, fs) END||'"}'
+  ELSE CASE event_id%43 WHEN 0 THEN '{"note":{"a":1,"b":[2]}}' WHEN 1 THEN '{"note":{"b":[2],"a":1.0}}' WHEN 2 THEN '{"note":{"a":"1","b":[2]}}' ELSE '{}' END END AS payload
 FROM (SELECT e.* EXCLUDE (fs), coalesce(e.fs, 0) AS fs, concat('ov', lpad(CAST(event_id AS VARCHAR), 12, '0')) AS override_id, coalesce(p.a, concat('made_', event_id%2)) AS target_anchor_key,
   coalesce(p.seq, 0) AS seq, p.nx,
   CASE event_id%7 WHEN 0 THEN 'CHANGE_CATEGORY' WHEN 1 THEN 'RENAME_TITLE' WHEN 2 THEN 'ACCEPT_NODE' WHEN 3 THEN 'DELETE_NODE' WHEN 4 THEN 'UPDATE_EDGE'
@@ -99,7 +99,7 @@ FROM (SELECT e.* EXCLUDE (fs), coalesce(e.fs, 0) AS fs, concat('ov', lpad(CAST(e
 
 
 view("ov", "evn plc", overrides("'ACCEPT_NODE'"))
-view("ovm", "evn plc", overrides("CASE WHEN event_id%35=6 THEN 'REPARENT_NODE' ELSE 'ACCEPT_NODE' END"))
+view("ovm", "evn plc", overrides("'REPARENT_NODE'"))
 view("ovd", "ov", "SELECT DISTINCT doc_id FROM ov")
 view("ndo", "nd ovd", "SELECT nd.* FROM nd SEMI JOIN ovd USING (doc_id)")
 view("edo", "ed ovd", "SELECT ed.* FROM ed SEMI JOIN ovd USING (doc_id)")
@@ -107,8 +107,15 @@ view("act", "ov", "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cre
 CATS = "('UNIT','CHAPTER','SECTION','TOPIC','CONCEPT','DEFINITION','THEOREM','PROOF','FORMULA','ALGORITHM','EXAMPLE','EXERCISE','LEARNING_OBJECTIVE','SUMMARY','REVIEW_QUESTION','REFERENCE','DIAGRAM','APPENDIX')"
 view("crt", "act", f"SELECT doc_id, o, 'an_manual_'||override_id AS node_id, payload->>'$.category' AS category, payload->>'$.title' AS title, payload->>'$.anchor_key' AS anchor_key FROM act WHERE action_type='CREATE_NODE' AND (payload->>'$.category') IN {CATS}")
 view("allnd", "ndo crt", "SELECT doc_id, 0 AS o, node_id, anchor_key FROM ndo UNION ALL SELECT doc_id, o, node_id, anchor_key FROM crt")
-view("grp", "act", "SELECT doc_id, target_anchor_key, action_type, count(*) AS n FROM act WHERE action_type<>'CREATE_NODE' GROUP BY ALL HAVING count(DISTINCT payload)>1")
-view("st", "act grp allnd", f"""
+# Payloads as values: every leaf with its path and type, numbers as numbers.
+view("canon", "ov ovm", """
+SELECT payload, coalesce((SELECT string_agg(fullkey || ' ' || CASE WHEN type IN ('OBJECT','ARRAY') THEN type WHEN type='VARCHAR' THEN 'text ' || atom ELSE 'number ' || CAST(atom AS DOUBLE) END, chr(10) ORDER BY fullkey)
+  FROM json_tree(p.payload)), '') AS c FROM (SELECT payload FROM ov UNION SELECT payload FROM ovm) p""")
+GRP = "SELECT doc_id, target_anchor_key, action_type, count(*) AS n FROM {} JOIN canon USING (payload) WHERE action_type<>'CREATE_NODE' GROUP BY ALL HAVING count(DISTINCT c)>1"
+view("grp", "act canon", GRP.format("act"))
+view("actm", "ovm", "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY created_at, override_id) AS o FROM ovm WHERE is_active")
+view("grpm", "actm canon", GRP.format("actm"))
+ST = f"""
 SELECT *, CASE WHEN outcome='ERROR' THEN err END AS error FROM (
 SELECT *, CASE WHEN conf THEN 'CONFLICTED' WHEN action_type='CREATE_NODE' THEN CASE WHEN err IS NULL THEN 'APPLIED' ELSE 'ERROR' END
   WHEN hits=0 THEN 'STALE' WHEN hits>1 THEN 'CONFLICTED' WHEN err IS NOT NULL THEN 'ERROR' ELSE 'APPLIED' END AS outcome
@@ -118,13 +125,34 @@ FROM (SELECT *, CASE action_type
    WHEN 'RENAME_TITLE' THEN CASE WHEN trim(payload->>'$.new_title')='' THEN 'TITLE' END
    WHEN 'UPDATE_EDGE' THEN CASE WHEN NOT EXISTS (SELECT 1 FROM allnd k WHERE k.doc_id=x.doc_id AND k.o<x.o AND k.node_id=(x.payload->>'$.source_node_id'))
        OR NOT EXISTS (SELECT 1 FROM allnd k WHERE k.doc_id=x.doc_id AND k.o<x.o AND k.node_id=(x.payload->>'$.target_node_id')) THEN 'ENDPOINT_NOT_FOUND'
-       WHEN (payload->>'$.source_node_id')=(payload->>'$.target_node_id') THEN 'SELF_EDGE' END END AS err
+       WHEN (payload->>'$.source_node_id')=(payload->>'$.target_node_id') THEN 'SELF_EDGE' END
+   WHEN 'REPARENT_NODE' THEN CASE WHEN NOT EXISTS (SELECT 1 FROM allnd k WHERE k.doc_id=x.doc_id AND k.o<x.o AND k.node_id=(x.payload->>'$.new_parent_id')) THEN 'PARENT_NOT_FOUND'
+       WHEN (payload->>'$.new_parent_id')=node_id THEN 'SELF_PARENT' END END AS err
  FROM (SELECT a.*, g.n IS NOT NULL AS conf, (SELECT count(*) FROM allnd k WHERE k.doc_id=a.doc_id AND k.anchor_key=a.target_anchor_key AND k.o<a.o) AS hits,
    CASE WHEN a.action_type='CREATE_NODE' THEN 'an_manual_'||a.override_id
         WHEN (SELECT count(*) FROM allnd k WHERE k.doc_id=a.doc_id AND k.anchor_key=a.target_anchor_key AND k.o<a.o)=1
         THEN (SELECT min(node_id) FROM allnd k WHERE k.doc_id=a.doc_id AND k.anchor_key=a.target_anchor_key AND k.o<a.o) END AS node_id
-   FROM act a LEFT JOIN grp g USING (doc_id, target_anchor_key, action_type)) x))""")
-view("rn0", "ndo crt st", """
+   FROM act a LEFT JOIN grp g USING (doc_id, target_anchor_key, action_type)) x))"""
+view("st", "act grp allnd", ST)
+view("bp", "edo", "SELECT doc_id, target_node_id AS node_id, first(source_node_id ORDER BY ann_ord, seq) AS p FROM edo WHERE edge_type='CONTAINS' GROUP BY 1, 2")
+
+
+def machine(moves: str, key: str) -> str:
+    """Serial replay of moves, one step of one walk up a time: the links changed so far are carried."""
+    return f"""
+SELECT {key}, 1::BIGINT AS k, p AS cur, MAP([]::VARCHAR[], []::VARCHAR[]) AS links, 0::BIGINT AS done, false AS bad FROM {moves} WHERE k=1
+UNION ALL SELECT {', '.join('w.' + x for x in key.split(', '))}, CASE WHEN w.fin THEN w.k+1 ELSE w.k END, CASE WHEN w.fin THEN nx.p ELSE coalesce(element_at(links, cur)[1], bp.p) END,
+  CASE WHEN w.cur IS NULL THEN map_concat(links, MAP([w.node_id], [w.p])) ELSE links END, CASE WHEN w.fin THEN w.k ELSE 0 END, coalesce(w.cur=w.node_id, false)
+FROM (SELECT s.*, m.node_id, m.p, s.cur IS NULL OR s.cur=m.node_id AS fin FROM SELF s JOIN {moves} m USING ({key}, k)) w
+LEFT JOIN {moves} nx ON {' AND '.join(f'nx.{x}=w.{x}' for x in key.split(', '))} AND nx.k=w.k+1 LEFT JOIN bp ON bp.doc_id=w.doc_id AND bp.node_id=w.cur"""
+
+
+view("stm0", "actm grpm allnd", ST.replace("FROM act a LEFT JOIN grp g", "FROM actm a LEFT JOIN grpm g"))
+view("mv", "stm0", "SELECT doc_id, o, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS k, node_id, payload->>'$.new_parent_id' AS p FROM stm0 WHERE action_type='REPARENT_NODE' AND outcome='APPLIED'")
+view("mvw", "mv bp", machine("mv", "doc_id").replace("SELF", "mvw"), recursive=True)
+view("stm", "stm0 mv mvw", """SELECT s.* REPLACE (CASE WHEN bad THEN 'ERROR' ELSE outcome END AS outcome, CASE WHEN bad THEN 'CYCLE' ELSE error END AS error)
+FROM stm0 s LEFT JOIN (SELECT mv.doc_id, mv.o, w.bad FROM mv JOIN mvw w ON w.doc_id=mv.doc_id AND w.done=mv.k) USING (doc_id, o)""")
+RN0 = """
 SELECT b.doc_id, b.node_id, coalesce(c.cat, b.category) AS category, coalesce(c.tit, b.title) AS title, b.anchor_key, coalesce(c.sta, b.review_state) AS review_state,
   CASE WHEN c.cat IS NOT NULL THEN b.category END AS original_category, CASE WHEN c.tit IS NOT NULL THEN b.title END AS original_title,
   coalesce(c.n, 0) + b.made AS override_count, b.ann_ord, b.seq, b.target_block_id, b.provenance
@@ -133,7 +161,18 @@ FROM (SELECT doc_id, node_id, category, title, anchor_key, review_state, 0 AS ma
 LEFT JOIN (SELECT doc_id, node_id, count(*) AS n, arg_max(payload->>'$.new_category', o) FILTER (action_type='CHANGE_CATEGORY') AS cat,
    arg_max(trim(payload->>'$.new_title'), o) FILTER (action_type='RENAME_TITLE') AS tit,
    arg_max(CASE action_type WHEN 'ACCEPT_NODE' THEN 'ACCEPTED' WHEN 'DELETE_NODE' THEN 'REJECTED' ELSE 'MODIFIED' END, o) AS sta
-  FROM st WHERE outcome='APPLIED' AND action_type NOT IN ('CREATE_NODE','UPDATE_EDGE') GROUP BY ALL) c USING (doc_id, node_id)""")
+  FROM st WHERE outcome='APPLIED' AND action_type NOT IN ('CREATE_NODE','UPDATE_EDGE') GROUP BY ALL) c USING (doc_id, node_id)"""
+view("rn0", "ndo crt st", RN0)
+view("rnm0", "ndo crt stm", RN0.replace("FROM st WHERE", "FROM stm WHERE"))
+view("rnm", "rnm0", "SELECT * FROM rnm0 WHERE review_state<>'REJECTED'")
+view("rem", "edo stm rnm0", """
+WITH m AS (SELECT doc_id, node_id, arg_max(payload->>'$.new_parent_id', o) AS p FROM stm WHERE action_type='REPARENT_NODE' AND outcome='APPLIED' GROUP BY 1, 2)
+SELECT * FROM (SELECT e.doc_id, CASE WHEN edge_type='CONTAINS' AND row_number() OVER (PARTITION BY e.doc_id, target_node_id, edge_type ORDER BY ann_ord, seq)=1 THEN coalesce(m.p, source_node_id) ELSE source_node_id END AS source_node_id,
+   target_node_id, edge_type, confidence, ann_ord, seq FROM edo e LEFT JOIN m ON m.doc_id=e.doc_id AND m.node_id=e.target_node_id
+ UNION ALL SELECT doc_id, p, node_id, 'CONTAINS', 1, 8, NULL FROM m WHERE NOT EXISTS (SELECT 1 FROM edo e WHERE e.doc_id=m.doc_id AND e.target_node_id=m.node_id AND e.edge_type='CONTAINS')
+ UNION ALL SELECT doc_id, payload->>'$.source_node_id', payload->>'$.target_node_id', payload->>'$.edge_type', arg_max(CAST(payload->>'$.confidence' AS DOUBLE), o), 9, NULL
+ FROM stm WHERE outcome='APPLIED' AND action_type='UPDATE_EDGE' GROUP BY 1,2,3,4) e
+WHERE NOT EXISTS (SELECT 1 FROM rnm0 r WHERE r.doc_id=e.doc_id AND r.review_state='REJECTED' AND r.node_id IN (e.source_node_id, e.target_node_id))""")
 view("rn", "rn0", "SELECT * FROM rn0 WHERE review_state<>'REJECTED'")
 view("re", "edo st rn0", """
 SELECT * FROM (SELECT doc_id, source_node_id, target_node_id, edge_type, confidence, ann_ord, seq FROM edo
@@ -160,23 +199,42 @@ UNION ALL SELECT n.doc_id, n.o, CASE WHEN n.expected_version=r.rev THEN r.rev+1
 FROM rpl r JOIN rpn n ON n.doc_id=r.doc_id AND n.o=r.o+1""", recursive=True)
 view("rp", "rpn rpl", "SELECT n.*, r.accepted, CASE WHEN r.accepted THEN r.rev END AS new_version FROM rpn n JOIN rpl r USING (doc_id, o)")
 view("ax_log", "rp ovm", "SELECT m.*, r.o FROM ovm m JOIN rp r USING (doc_id, override_id) WHERE r.accepted")
-# What the accepted actions before one on the same anchor amount to: per kind the number of different
-# payloads, the last value that may apply and its place, and the last verdict.
-view("ax_acc", "ax_log", f"""
-SELECT a.*, count(DISTINCT p.payload) FILTER (p.action_type='CHANGE_CATEGORY') AS nc, count(DISTINCT p.payload) FILTER (p.action_type='RENAME_TITLE') AS nt,
- count(DISTINCT p.payload) FILTER (p.action_type='REPARENT_NODE') AS np,
- arg_max(p.payload->>'$.new_category', p.o) FILTER (p.action_type='CHANGE_CATEGORY' AND (p.payload->>'$.new_category') IN {CATS}) AS vc,
- arg_max(trim(p.payload->>'$.new_title'), p.o) FILTER (p.action_type='RENAME_TITLE' AND trim(p.payload->>'$.new_title')<>'') AS vt,
- arg_max(p.payload->>'$.new_parent_id', p.o) FILTER (p.action_type='REPARENT_NODE') AS vp,
- max(struct_pack(o:=p.o, s:='MODIFIED')) FILTER (p.action_type='CHANGE_CATEGORY' AND (p.payload->>'$.new_category') IN {CATS}) AS oc,
- max(struct_pack(o:=p.o, s:='MODIFIED')) FILTER (p.action_type='RENAME_TITLE' AND trim(p.payload->>'$.new_title')<>'') AS ot,
- max(struct_pack(o:=p.o, s:='MODIFIED')) FILTER (p.action_type='REPARENT_NODE') AS op,
- max(struct_pack(o:=p.o, s:=CASE p.action_type WHEN 'ACCEPT_NODE' THEN 'ACCEPTED' ELSE 'REJECTED' END)) FILTER (p.action_type IN ('ACCEPT_NODE','DELETE_NODE')) AS va
-FROM ax_log a LEFT JOIN ax_log p ON p.doc_id=a.doc_id AND p.target_anchor_key=a.target_anchor_key AND p.o<a.o GROUP BY ALL""")
-view("ax_made", "ax_log", f"""SELECT doc_id, anchor_key, min(o) AS o, arg_min(node_id, o) AS node_id, arg_min(category, o) AS category, arg_min(title, o) AS title FROM (
- SELECT doc_id, payload->>'$.anchor_key' AS anchor_key, o, 'an_manual_'||override_id AS node_id, payload->>'$.category' AS category, payload->>'$.title' AS title
- FROM ax_log WHERE action_type='CREATE_NODE' AND (payload->>'$.category') IN {CATS}) GROUP BY 1, 2""")
-view("ax_base", "ndo", "SELECT doc_id, anchor_key, min(struct_pack(node_id:=node_id, category:=category, title:=title, review_state:=review_state)) AS n FROM ndo GROUP BY ALL")
+# Every accepted action replays what was accepted before it, as the serial rule does: groups of one kind on one
+# anchor that disagree by then are out, the others hit the only node with their anchor, moves are tried in order.
+view("ax_all", "ndo ax_log", f"""SELECT doc_id, 0 AS o, node_id, anchor_key, category, title, review_state, ann_ord, seq FROM ndo
+UNION ALL SELECT doc_id, o, 'an_manual_'||override_id, payload->>'$.anchor_key', payload->>'$.category', payload->>'$.title', 'MODIFIED', 9, NULL
+FROM ax_log WHERE action_type='CREATE_NODE' AND (payload->>'$.category') IN {CATS}""")
+view("ax_hit", "ax_log ax_all canon", f"""
+SELECT * FROM (SELECT p.*, c.c, (SELECT CASE WHEN count(*)=1 THEN min(node_id) END FROM ax_all k WHERE k.doc_id=p.doc_id AND k.anchor_key=p.target_anchor_key AND k.o<p.o) AS node_id,
+  CASE action_type WHEN 'CHANGE_CATEGORY' THEN (p.payload->>'$.new_category') IN {CATS} WHEN 'RENAME_TITLE' THEN trim(p.payload->>'$.new_title')<>''
+    WHEN 'REPARENT_NODE' THEN EXISTS (SELECT 1 FROM ax_all k WHERE k.doc_id=p.doc_id AND k.o<p.o AND k.node_id=(p.payload->>'$.new_parent_id')) ELSE true END AS good
+  FROM ax_log p JOIN canon c USING (payload) WHERE action_type NOT IN ('CREATE_NODE','UPDATE_EDGE'))""")
+view("ax_in", "ax_log ax_hit", """
+SELECT a.doc_id, a.o AS a, p.o, p.action_type, p.node_id, p.payload FROM ax_log a JOIN ax_hit p ON p.doc_id=a.doc_id AND p.o<a.o
+ AND NOT EXISTS (SELECT 1 FROM ax_hit q WHERE q.doc_id=p.doc_id AND q.target_anchor_key=p.target_anchor_key AND q.action_type=p.action_type AND q.o<a.o AND q.c<>p.c)
+WHERE p.node_id IS NOT NULL AND p.good AND NOT (p.action_type='REPARENT_NODE' AND p.node_id=(p.payload->>'$.new_parent_id'))""")
+view("ax_mv", "ax_in", "SELECT doc_id, a, o, row_number() OVER (PARTITION BY doc_id, a ORDER BY o) AS k, node_id, payload->>'$.new_parent_id' AS p FROM ax_in WHERE action_type='REPARENT_NODE'")
+view("ax_mvw", "ax_mv bp", machine("ax_mv", "doc_id, a").replace("SELF", "ax_mvw"), recursive=True)
+view("ax_node", "ax_in ax_mv ax_mvw", """
+SELECT doc_id, a, node_id, arg_max(payload->>'$.new_category', o) FILTER (action_type='CHANGE_CATEGORY') AS category, arg_max(trim(payload->>'$.new_title'), o) FILTER (action_type='RENAME_TITLE') AS title,
+ arg_max(payload->>'$.new_parent_id', o) FILTER (action_type='REPARENT_NODE') AS p, arg_max(CASE action_type WHEN 'ACCEPT_NODE' THEN 'ACCEPTED' WHEN 'DELETE_NODE' THEN 'REJECTED' ELSE 'MODIFIED' END, o) AS review_state
+FROM ax_in i WHERE NOT EXISTS (SELECT 1 FROM ax_mv m JOIN ax_mvw w ON w.doc_id=m.doc_id AND w.a=m.a AND w.done=m.k WHERE w.bad AND m.doc_id=i.doc_id AND m.a=i.a AND m.o=i.o) GROUP BY 1, 2, 3""")
+view("audit", "ax_log ax_all ax_node bp", """
+SELECT r.doc_id, r.o, override_id, action_type, CASE WHEN action_type='CREATE_NODE' THEN 'an_manual_'||override_id ELSE t.node_id END AS node_id,
+  CASE action_type WHEN 'CHANGE_CATEGORY' THEN CAST(json_object('category', t.category) AS VARCHAR) WHEN 'RENAME_TITLE' THEN CAST(json_object('title', t.title) AS VARCHAR)
+   WHEN 'REPARENT_NODE' THEN CAST(json_object('parent_id', CASE WHEN NOT coalesce((SELECT review_state='REJECTED' FROM ax_node x WHERE x.doc_id=r.doc_id AND x.a=r.o AND x.node_id=t.p), false) THEN t.p END) AS VARCHAR)
+   WHEN 'ACCEPT_NODE' THEN CAST(json_object('review_state', t.review_state) AS VARCHAR) WHEN 'DELETE_NODE' THEN CAST(json_object('review_state', t.review_state) AS VARCHAR) ELSE '{}' END AS previous_state,
+  CASE action_type WHEN 'CHANGE_CATEGORY' THEN CAST(json_object('category', payload->>'$.new_category') AS VARCHAR) WHEN 'RENAME_TITLE' THEN CAST(json_object('title', payload->>'$.new_title') AS VARCHAR)
+   WHEN 'REPARENT_NODE' THEN CAST(json_object('parent_id', payload->>'$.new_parent_id') AS VARCHAR)
+   WHEN 'ACCEPT_NODE' THEN '{"review_state":"ACCEPTED"}' WHEN 'DELETE_NODE' THEN '{"review_state":"REJECTED"}'
+   WHEN 'CREATE_NODE' THEN CAST(json_object('category', payload->>'$.category', 'title', payload->>'$.title', 'target_block_id', NULL) AS VARCHAR) ELSE payload END AS new_state
+FROM ax_log r LEFT JOIN (
+ SELECT a.doc_id, a.o AS a, first(struct_pack(node_id:=n.node_id, category:=coalesce(x.category, n.category), title:=coalesce(x.title, n.title), review_state:=coalesce(x.review_state, n.review_state), p:=coalesce(x.p, bp.p))
+    ORDER BY n.o, n.ann_ord, n.seq, n.node_id) AS t
+ FROM ax_log a JOIN ax_all n ON n.doc_id=a.doc_id AND n.anchor_key=a.target_anchor_key AND n.o<a.o
+ LEFT JOIN ax_node x ON x.doc_id=a.doc_id AND x.a=a.o AND x.node_id=n.node_id LEFT JOIN bp ON bp.doc_id=n.doc_id AND bp.node_id=n.node_id
+ WHERE x.review_state IS DISTINCT FROM 'REJECTED' GROUP BY 1, 2) q ON q.doc_id=r.doc_id AND q.a=r.o
+WHERE action_type='CREATE_NODE' OR t IS NOT NULL""")
 view("snp", "osum", "SELECT doc_id, unnest([1,2]) AS approval_version, resolved_graph_fingerprint, concat('s', doc_id, '_', unnest([1,2])) AS snapshot_id FROM osum WHERE doc_id%3=0")
 view("ent_k", "rn", """
 SELECT concat('v', doc_id) AS version_id, * FROM (SELECT *, CASE WHEN coalesce(anchor_key,'')<>'' THEN anchor_key WHEN review_state='MODIFIED' OR provenance LIKE '%HUMAN_OVERRIDE%' THEN 'anc_manual_'||node_id END AS stable_id
@@ -214,26 +272,17 @@ SQL = {
     "overlay_edges": build("re", "SELECT doc_id, source_node_id, target_node_id, edge_type, confidence FROM re"),
     "overlay_status": build("osum", "SELECT * FROM osum"),
     "action_replay": build("rp", "SELECT doc_id, override_id, accepted, new_version FROM rp"),
-    "audit_page": build("ax_acc ndo edo ax_made ax_base", """SELECT doc_id, position, action_type, node_id, previous_state, new_state FROM (
-       SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS position FROM (
-       SELECT r.doc_id, r.o, action_type, CASE WHEN action_type='CREATE_NODE' THEN 'an_manual_'||override_id ELSE t.node_id END AS node_id,
-        CASE action_type WHEN 'CHANGE_CATEGORY' THEN CAST(json_object('category', coalesce(pc, t.category)) AS VARCHAR)
-          WHEN 'RENAME_TITLE' THEN CAST(json_object('title', coalesce(pt, t.title)) AS VARCHAR)
-          WHEN 'REPARENT_NODE' THEN CAST(json_object('parent_id', coalesce(pp, (SELECT first(e.source_node_id ORDER BY e.ann_ord, e.seq) FROM edo e WHERE e.doc_id=r.doc_id AND e.edge_type='CONTAINS' AND e.target_node_id=t.node_id))) AS VARCHAR)
-          WHEN 'ACCEPT_NODE' THEN CAST(json_object('review_state', coalesce(ps, t.review_state)) AS VARCHAR)
-          WHEN 'DELETE_NODE' THEN CAST(json_object('review_state', coalesce(ps, t.review_state)) AS VARCHAR) ELSE '{}' END AS previous_state,
-        CASE action_type WHEN 'CHANGE_CATEGORY' THEN CAST(json_object('category', payload->>'$.new_category') AS VARCHAR) WHEN 'RENAME_TITLE' THEN CAST(json_object('title', payload->>'$.new_title') AS VARCHAR)
-          WHEN 'REPARENT_NODE' THEN CAST(json_object('parent_id', payload->>'$.new_parent_id') AS VARCHAR)
-          WHEN 'ACCEPT_NODE' THEN '{"review_state":"ACCEPTED"}' WHEN 'DELETE_NODE' THEN '{"review_state":"REJECTED"}'
-          WHEN 'CREATE_NODE' THEN CAST(json_object('category', payload->>'$.category', 'title', payload->>'$.title', 'target_block_id', NULL) AS VARCHAR) ELSE payload END AS new_state
-       FROM (SELECT *, CASE WHEN nc=1 THEN vc END AS pc, CASE WHEN nt=1 THEN vt END AS pt, CASE WHEN np=1 THEN vp END AS pp,
-              list_sort(list_filter([va, CASE WHEN nc=1 THEN oc END, CASE WHEN nt=1 THEN ot END, CASE WHEN np=1 THEN op END], lambda x: x IS NOT NULL))[-1].s AS ps
-             FROM ax_acc) r
-       LEFT JOIN (SELECT doc_id, anchor_key, NULL AS made_at, n.* FROM ax_base UNION ALL BY NAME
-                  SELECT doc_id, anchor_key, o AS made_at, node_id, category, title, 'MODIFIED' AS review_state FROM ax_made m
-                  WHERE NOT EXISTS (SELECT 1 FROM ax_base b WHERE b.doc_id=m.doc_id AND b.anchor_key=m.anchor_key)) t
-         ON t.doc_id=r.doc_id AND t.anchor_key=r.target_anchor_key AND (t.made_at IS NULL OR t.made_at<r.o)
-       WHERE action_type='CREATE_NODE' OR t.node_id IS NOT NULL)) WHERE position BETWEEN 2 AND 6"""),
+    "audit_page": build("audit", """SELECT doc_id, position, action_type, node_id, previous_state, new_state FROM (
+       SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS position FROM audit) WHERE position BETWEEN 2 AND 6"""),
+    "audit_rows": build("audit", "SELECT doc_id, override_id, action_type, node_id, previous_state, new_state FROM audit"),
+    "overlay_reparent": build("stm", "SELECT doc_id, override_id, outcome, error, node_id, payload->>'$.new_parent_id' AS new_parent FROM stm WHERE action_type='REPARENT_NODE'"),
+    "overlay_reparent_edges": build("rem", "SELECT doc_id, source_node_id, target_node_id, edge_type, confidence FROM rem"),
+    "node_original_parents": build("stm bp", """SELECT m.doc_id, m.node_id, coalesce(bp.p, CASE WHEN moves>1 THEN first_to END) AS original_parent_id, moves
+       FROM (SELECT doc_id, node_id, count(*) AS moves, arg_min(payload->>'$.new_parent_id', o) AS first_to FROM stm WHERE action_type='REPARENT_NODE' AND outcome='APPLIED' GROUP BY 1, 2) m LEFT JOIN bp USING (doc_id, node_id)"""),
+    "node_overrides": build("stm rnm", """SELECT doc_id, node_id, row_number() OVER (PARTITION BY doc_id, node_id ORDER BY o) AS position, override_id FROM stm
+       WHERE outcome='APPLIED' AND action_type<>'UPDATE_EDGE' AND EXISTS (SELECT 1 FROM rnm r WHERE r.doc_id=stm.doc_id AND r.node_id=stm.node_id)"""),
+    "node_audit": build("audit ndo rnm", """SELECT doc_id, node_id, row_number() OVER (PARTITION BY doc_id, node_id ORDER BY o) AS position, override_id, previous_state FROM audit a
+       WHERE EXISTS (SELECT 1 FROM ndo n WHERE n.doc_id=a.doc_id AND n.node_id=a.node_id) OR EXISTS (SELECT 1 FROM rnm n WHERE n.doc_id=a.doc_id AND n.node_id=a.node_id)"""),
     "reconciliation": build("st", """SELECT doc_id, override_id, target_anchor_key AS anchor_key, action_type, payload, outcome,
        CASE WHEN outcome='STALE' THEN 'Target anchor key not found in the newly generated base graph (likely content deleted or renamed).' ELSE 'Ambiguous matching or logical collision with other active user actions.' END AS reason
        FROM st WHERE outcome IN ('STALE','CONFLICTED')"""),
@@ -255,14 +304,13 @@ SQL = {
     "snapshot_by_version": build("snp", "SELECT doc_id, approval_version, resolved_graph_fingerprint, concat('s', doc_id, '_1') AS snapshot_id FROM snp WHERE approval_version=1"),
     "finalized_rows": build("osum", """SELECT concat('vs', doc_id, '_', v) AS version_id, concat('s', doc_id, '_', v) AS snapshot_id, '1.0.0' AS schema_version, 'FINALIZED' AS status
        FROM (SELECT doc_id, unnest([1,2]) AS v FROM osum WHERE doc_id%3=0 AND doc_id%2=0) WHERE NOT (doc_id%12=0 AND v=1)"""),
-    "containment_cycles": """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey%10 AS doc_id, l_partkey AS s, l_partkey + (l_orderkey%97) - 40 AS t FROM lineitem WHERE l_orderkey%97<>40),
-       n AS (SELECT doc_id, s AS n FROM e UNION SELECT doc_id, t FROM e),
-       f AS (SELECT 0 AS k, * FROM n UNION ALL SELECT DISTINCT k+1, e.doc_id, e.s FROM f JOIN e ON e.doc_id=f.doc_id AND e.t=f.n WHERE k<60),
-       b AS (SELECT 0 AS k, * FROM n UNION ALL SELECT DISTINCT k+1, e.doc_id, e.t FROM b JOIN e ON e.doc_id=b.doc_id AND e.s=b.n WHERE k<60)
-       SELECT e.doc_id, count(*) AS n FROM e JOIN f ON f.k=60 AND f.doc_id=e.doc_id AND f.n=e.t JOIN b ON b.k=60 AND b.doc_id=e.doc_id AND b.n=e.s GROUP BY 1""",
-    "node_detail": build("rn re", """SELECT doc_id, node_id, category, (SELECT first(source_node_id ORDER BY e.ann_ord, e.seq) FROM re e WHERE e.doc_id=r.doc_id AND e.edge_type='CONTAINS' AND e.target_node_id=r.node_id) AS parent_id,
-       (SELECT count(*) FROM re e WHERE e.doc_id=r.doc_id AND e.edge_type='CONTAINS' AND e.source_node_id=r.node_id) AS child_count,
-       coalesce(original_category, category) AS original_category, coalesce(original_title, title) AS original_title, 0 AS moves FROM rn r"""),
+    "containment_cycles": """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS doc_id, l_partkey%211 AS s, l_partkey%211 + CASE WHEN l_orderkey%19=0 THEN -(l_orderkey%7) ELSE 1 + l_orderkey%13 END AS t FROM lineitem),
+       r(doc_id, s, t) AS (SELECT * FROM e UNION SELECT r.doc_id, r.s, e.t FROM r JOIN e ON e.doc_id=r.doc_id AND e.s=r.t)
+       SELECT doc_id, count(*) AS n FROM e WHERE EXISTS (SELECT 1 FROM r WHERE r.doc_id=e.doc_id AND r.s=e.t AND r.t=e.s) OR s=t GROUP BY 1""",
+    "node_detail": build("rnm rem ndo", """SELECT doc_id, node_id, category, title, review_state, (SELECT first(source_node_id ORDER BY e.ann_ord, e.seq) FROM rem e WHERE e.doc_id=r.doc_id AND e.edge_type='CONTAINS' AND e.target_node_id=r.node_id) AS parent_id,
+       (SELECT count(*) FROM rem e WHERE e.doc_id=r.doc_id AND e.edge_type='CONTAINS' AND e.source_node_id=r.node_id) AS child_count,
+       coalesce(original_category, category) AS original_category, coalesce(original_title, title) AS original_title, override_count, false AS deleted FROM rnm r
+       UNION ALL SELECT doc_id, node_id, category, title, review_state, NULL, 0, category, title, 0, true FROM ndo n WHERE NOT EXISTS (SELECT 1 FROM rnm r WHERE r.doc_id=n.doc_id AND r.node_id=n.node_id)"""),
     "next_snapshots": build("osum ndo edo rp", f"""SELECT s.doc_id, CASE WHEN s.doc_id%3=0 THEN 3 ELSE 1 END AS approval_version,
        (SELECT count(*) FROM rp WHERE rp.doc_id=s.doc_id AND accepted) AS approved_revision, (SELECT count(*) FROM rp WHERE rp.doc_id=s.doc_id AND accepted)+1 AS next_revision,
        f.fingerprint AS base_graph_fingerprint, resolved_graph_fingerprint FROM osum s JOIN ({fp('ndo', 'edo')} (SELECT doc_id FROM osum) d) f USING (doc_id)"""),

@@ -1,36 +1,156 @@
-"""Iterative graph helpers: cycles, and walks up parent links that change over time."""
+"""Iterative graph helpers: cycles, breadth-first search, and moves of subtrees in order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .settle import discard, settle
 
 
+def _pointers(edges: DataFrame, doc: str) -> DataFrame:
+    """(doc, at, to): vertices with a single outgoing edge, and where it leads."""
+    return edges.groupBy(doc, F.col("s").alias("at")).agg(F.count("*").alias("n"), F.min("t").alias("to")).where("n = 1").drop("n")
+
+
+def _jumps(pointers: DataFrame, doc: str) -> list[DataFrame]:
+    """Tables (doc, at, to) of 1, 2, 4, ... steps along the pointers, as far as they go.
+    The last one leads out of the pointers, or, from a vertex that runs into a ring of them, into the ring."""
+    tables, total = [settle(pointers)], None
+    while True:
+        last = tables[-1]
+        on = last.select(doc, F.col("at").alias("to"), F.col("to").alias("beyond"))
+        moved = last.join(on, [doc, "to"], "left").select(doc, "at", F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("moved"))
+        moved = settle(moved)
+        total = total or last.count()
+        # A ring never ends; steps as many as there are pointers are known to be in it.
+        if moved.where("moved").isEmpty() or 2 ** (len(tables) - 1) >= total:
+            discard(moved)
+            return tables
+        tables.append(moved.select(doc, "at", "to"))
+        tables[-1].settled_at = moved.settled_at
+
+
+def _contract(edges: DataFrame, doc: str) -> dict | None:
+    """One level: every vertex with a single outgoing edge is merged into where its pointers lead.
+
+    What leaves it can only go along the pointer, so an edge into it lies on a cycle exactly
+    if the edge drawn to the end of the pointers does."""
+    jumps = _jumps(_pointers(edges, doc), doc)
+    if jumps[0].isEmpty():
+        discard(*jumps)
+        return None
+    at = jumps[0].select(doc, F.col("at").alias("s"))
+    ends = jumps[-1].select(doc, F.col("at").alias("t"), F.col("to").alias("root"))
+    # A ring of pointers has no way out: its vertices are the ends that are pointers themselves.
+    ring = settle(ends.join(at.withColumnRenamed("s", "root"), [doc, "root"], "left_semi").select(doc, F.col("root").alias("at")).distinct())
+    outer = edges.join(at, [doc, "s"], "left_anti").join(ends, [doc, "t"], "left").select(doc, "s", "t", F.coalesce("root", "t").alias("root"))
+    outer = settle(outer.join(ring.select(doc, F.col("at").alias("root")), [doc, "root"], "left_anti"))
+    return {"jumps": jumps, "ring": ring, "outer": outer}
+
+
+def _expand(level: dict, on: DataFrame, doc: str) -> DataFrame:
+    """The edges (doc, s, t) on cycles of a level from those (doc, s, t) of the contracted graph."""
+    outer, jumps = level["outer"], level["jumps"]
+    hit = outer.join(on.select(doc, "s", F.col("t").alias("root")), [doc, "s", "root"], "left_semi").select(doc, "s", "t")
+    hit = settle(hit.unionByName(outer.where("s = root").select(doc, "s", "t")))
+    # All pointers behind the end of such an edge are on the same cycle: marks go on by halving steps.
+    marks = settle(hit.select(doc, F.col("t").alias("at")).unionByName(level["ring"]).distinct())
+    for table in [] if marks.isEmpty() else reversed(jumps):
+        more = settle(marks.unionByName(marks.join(table, [doc, "at"]).select(doc, F.col("to").alias("at"))).distinct())
+        discard(marks)
+        marks = more
+    inner = jumps[0].join(marks, [doc, "at"], "left_semi").select(doc, F.col("at").alias("s"), F.col("to").alias("t"))
+    out = settle(hit.unionByName(inner))
+    discard(hit, marks, outer, level["ring"], *jumps)
+    return out
+
+
+def _coloured(edges: DataFrame, doc: str) -> DataFrame:
+    """The edges (doc, s, t) inside strongly connected components, for a graph that cannot be
+    contracted: every vertex takes the largest colour that reaches it, each colour's own vertex is
+    followed backwards within its colour, what it meets is a component, and the rest goes on
+    within its colours. A round works on the vertices that changed in the one before."""
+    found, left = [], settle(edges)
+    while not left.isEmpty():
+        vertices = left.select(doc, F.col("s").alias("v")).union(left.select(doc, F.col("t").alias("v"))).distinct()
+        colour = settle(vertices.withColumn("c", F.col("v")))
+        fresh = colour
+        while True:
+            pushed = left.join(fresh.select(doc, F.col("v").alias("s"), "c"), [doc, "s"]).groupBy(doc, F.col("t").alias("v")).agg(F.max("c").alias("new"))
+            both = settle(colour.join(pushed, [doc, "v"], "left").select(doc, "v", F.greatest("c", "new").alias("c"), F.coalesce(F.col("new") > F.col("c"), F.lit(False)).alias("up")))
+            discard(colour)
+            colour, fresh = both.drop("up"), both.where("up").drop("up")
+            colour.settled_at = both.settled_at
+            if fresh.isEmpty():
+                break
+        ends = lambda x: colour.select(doc, F.col("v").alias(x), F.col("c").alias(f"c_{x}"))
+        same = settle(left.join(ends("s"), [doc, "s"]).join(ends("t"), [doc, "t"]).where("c_s = c_t").select(doc, "s", "t", F.col("c_s").alias("c")))
+        part = settle(colour.where("v = c"))
+        reached = fresh = part
+        used = [part]
+        while True:
+            back = same.join(fresh.select(doc, F.col("v").alias("t"), "c"), [doc, "t", "c"]).select(doc, F.col("s").alias("v"), "c").distinct()
+            fresh = settle(back.join(reached.select(doc, "v"), [doc, "v"], "left_anti"))
+            used.append(fresh)
+            if fresh.isEmpty():
+                break
+            reached = reached.unionByName(fresh)
+        inside = settle(reached.select(doc, "v"))
+        of = lambda e, x, how: e.join(inside.select(doc, F.col("v").alias(x)), [doc, x], how)
+        found.append(settle(of(of(same, "s", "left_semi"), "t", "left_semi").select(doc, "s", "t")))
+        rest = settle(of(of(same, "s", "left_anti"), "t", "left_anti").select(doc, "s", "t"))
+        discard(left, colour, same, inside, *used)
+        left = rest
+    out = left
+    for f in found:
+        out = out.unionByName(f)
+    return out
+
+
 def cyclic_edges(edges: DataFrame, doc: str = "doc_id", src: str = "source_node_id", dst: str = "target_node_id") -> DataFrame:
-    """Edges that stay when nodes without outgoing, then without incoming, edges are pruned.
+    """The edges that lie on a cycle, that is whose ends are in one strongly connected component.
 
-    What is left lies on a cycle or between cycles.  Every round is two semi joins on
-    node keys over the shrinking edge set; the rounds end when nothing more is pruned.
-    """
-    left = settle(edges.select(doc, src, dst).distinct())
-    n = left.count()
-    while n:
-        starts = left.select(doc, F.col(src).alias(dst)).distinct()
-        keep = left.join(starts, [doc, dst], "left_semi")
-        ends = keep.select(doc, F.col(dst).alias(src)).distinct()
-        before, left = left, settle(keep.join(ends, [doc, src], "left_semi"))
-        discard(before)
-        m = left.count()
-        if m == n:
+    Vertices with a single outgoing edge are merged into where it leads, by doubled pointers, then
+    those with a single incoming edge, and edges at dead ends are trimmed, as long as any is left;
+    so trees and chains are gone in rounds that grow with the logarithm of their length.
+    What cannot be contracted is coloured. The levels are then unfolded again, which tells the
+    edges on a cycle from those between cycles. Null ends make no edge."""
+    base = edges.select(doc, F.col(src).alias("s"), F.col(dst).alias("t")).where("s IS NOT NULL AND t IS NOT NULL").distinct()
+    loops = settle(base.where("s = t"))
+    turned = lambda e: e.select(doc, F.col("t").alias("s"), F.col("s").alias("t"))
+    now = settle(base.where("s <> t"))
+    levels: list[tuple[dict | None, bool]] = []
+    quiet, flipped = 0, False
+    while quiet < 2:
+        size = now.count()
+        if not size:
             break
-        n = m
-    return left
+        sources = now.select(doc, F.col("s").alias("t")).distinct()
+        targets = now.select(doc, F.col("t").alias("s")).distinct()
+        live = settle(now.join(sources, [doc, "t"], "left_semi").join(targets, [doc, "s"], "left_semi"))
+        discard(now)
+        level = _contract(live, doc)
+        if level:
+            levels.append((level, flipped))
+            now = settle(level["outer"].where("s <> root").select(doc, "s", F.col("root").alias("t")).distinct())
+            discard(live)
+            quiet = 0
+        else:
+            now = live
+            quiet = quiet + 1 if live.count() == size else 0
+        now, flipped = turned(now), not flipped
+    on = settle(_coloured(now, doc) if quiet == 2 else now)
+    on = turned(on) if flipped else on
+    for level, was in reversed(levels):
+        on = _expand(level, turned(on) if was else on, doc)
+        on = turned(on) if was else on
+    return on.unionByName(loops).select(doc, F.col("s").alias(src), F.col("t").alias(dst))
 
 
 def cyclic_documents(edges: DataFrame, doc: str = "doc_id", **cols) -> DataFrame:
-    """(doc, n): documents whose edges contain a cycle and how many edges remain on it."""
+    """(doc, n): documents whose edges contain a cycle and how many edges lie on one."""
     return cyclic_edges(edges, doc, **cols).groupBy(doc).agg(F.count("*").alias("n"))
 
 
@@ -62,50 +182,79 @@ def expand_hops(
     return seen
 
 
-def rejected_moves(parents: DataFrame, moves: DataFrame) -> DataFrame:
-    """Moves (doc_id, ord, node_id, parent_id) that would close a cycle when replayed in order.
+MOVES_PER_BATCH = 4096
+
+
+def nearest_marked(links: DataFrame, marked: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node_id, top): the nearest marked node at or above every node of ``links`` (keys,
+    node_id, parent_id), by doubled pointers; null where none is met. ``marked`` has keys, node_id."""
+    flag = marked.select(*keys, "node_id", F.lit(True).alias("_m"))
+    ups = links.join(flag, [*keys, "node_id"], "full_outer")
+    now = settle(ups.select(*keys, "node_id", F.when(F.col("_m"), F.col("node_id")).otherwise(F.col("parent_id")).alias("top"), F.coalesce("_m", F.lit(False)).alias("closed")))
+    # A ring without a marked node never closes; it is known by the number of steps.
+    size, steps = now.count(), 1
+    while steps <= size and not now.where("NOT closed").isEmpty():
+        far = now.select(*keys, F.col("node_id").alias("top"), F.col("top").alias("_far"), F.col("closed").alias("_end"))
+        jumped = now.where("NOT closed").join(far, [*keys, "top"], "left").select(*keys, "node_id", F.col("_far").alias("top"), F.coalesce("_end", F.lit(True)).alias("closed"))
+        more = settle(now.where("closed").unionByName(jumped))
+        discard(now)
+        now, steps = more, 2 * steps
+    out = now.select(*keys, "node_id", F.when(F.col("closed"), F.col("top")).alias("top"))
+    out.settled_at = now.settled_at
+    return out
+
+
+def _decide(rows: pd.DataFrame) -> pd.DataFrame:
+    """Replay of one batch over the links between its own nodes (rows without ``n``)."""
+    up, bad = {}, []
+    known = rows["n"].isna()
+    for node, top in zip(rows["node_id"][known], rows["top"][known], strict=True):
+        up[node] = top
+    moves = rows[~known].sort_values("n")
+    for node, top in zip(moves["node_id"], moves["top"], strict=True):
+        at = top
+        while at is not None and at != node:
+            at = up.get(at)
+        bad.append(at is not None)
+        if at is None:
+            up[node] = top
+    return moves.assign(bad=bad).drop(columns=["node_id", "top"])
+
 
-    All moves are first taken as accepted.  Each walks up from its new parent, seeing the
-    parent links as they were just before it; a walk that meets its own node is a cycle.
-    The earliest such move of a document is certainly rejected, and everything before it
-    is certainly right, so it is removed and the rest is tried again.  The number of
-    rounds is one more than the largest number of rejections in a document.
+def rejected_moves(parents: DataFrame, moves: DataFrame, keys: tuple[str, ...] = ("doc_id",), batch: int = MOVES_PER_BATCH) -> DataFrame:
+    """Moves (keys, ord, node_id, parent_id) that would close a cycle when replayed in order, as
+    rows (keys, ord). ``parents`` has doc_id, node_id, parent_id.
+
+    The moves of a document are taken in batches of a bounded number. Within a batch only its own
+    nodes change their parents, so every path is reduced to those: the nearest of them above a node
+    is found for all nodes by doubled pointers over the links as of the start of the batch. The
+    replay of a batch then reads nothing but its moves and these links, in one task per document.
+    Rounds: batches of the longest log times the logarithm of the depth, however many moves fail.
     """
-    rejected = None
-    moves = settle(moves)
-    pending = moves
-    while True:
-        live = moves if rejected is None else moves.join(rejected, ["doc_id", "ord"], "left_anti")
-        history = settle(
-            parents.select("doc_id", "node_id", "parent_id", F.lit(None).cast(moves.schema["ord"].dataType).alias("at"))
-            .unionByName(live.select("doc_id", "node_id", "parent_id", F.col("ord").alias("at")))
-        )
-        walk = settle(
-            pending.select("doc_id", "ord", F.col("node_id").alias("start"), F.col("parent_id").alias("cur"))
-        )
-        bad = settle(walk.where("start = cur").select("doc_id", "ord"))
-        while True:
-            # Walks behind a known rejection are tried again anyway; a loop that misses the walk's own
-            # node was closed by an earlier move, so dropping them also ends every endless walk.
-            first = bad.groupBy("doc_id").agg(F.min("ord").alias("_first"))
-            open_ = walk.where("start <> cur").join(first, "doc_id", "left").where("_first IS NULL OR ord < _first")
-            # Parent of ``cur`` as of the move: the latest change before it, else the base link.
-            up = (
-                open_.alias("w")
-                .join(history.alias("h"), (F.col("w.doc_id") == F.col("h.doc_id")) & (F.col("w.cur") == F.col("h.node_id"))
-                      & (F.col("h.at").isNull() | (F.col("h.at") < F.col("w.ord"))))
-                .groupBy("w.doc_id", "w.ord", "w.start")
-                .agg(F.max_by("h.parent_id", F.struct(F.col("h.at").isNotNull(), F.col("h.at"))).alias("cur"))
-                .where("cur IS NOT NULL")
-            )
-            walk = settle(up)
-            if walk.isEmpty():
-                break
-            bad = settle(bad.unionByName(walk.where("start = cur").select("doc_id", "ord")))
-        first = settle(bad.groupBy("doc_id").agg(F.min("ord").alias("ord")))
-        if first.isEmpty():
-            return rejected if rejected is not None else moves.select("doc_id", "ord").limit(0)
-        rejected = first if rejected is None else settle(rejected.unionByName(first))
-        pending = settle(
-            pending.join(first.withColumnRenamed("ord", "_f"), "doc_id").where(F.col("ord") > F.col("_f")).drop("_f")
-        )
+    keys = list(keys)
+    log = Window.partitionBy(*keys).orderBy("ord")
+    numbered = settle(moves.select(*keys, "ord", "node_id", "parent_id", (F.row_number().over(log) - 1).cast("long").alias("n")))
+    last = numbered.agg(F.max("n")).first()[0]
+    links = settle(numbered.select(*keys).distinct().join(parents.select("doc_id", "node_id", "parent_id"), "doc_id").select(*keys, "node_id", "parent_id"))
+    types = dict(numbered.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", n bigint, bad boolean"
+    rejected = numbered.select(*keys, "ord").limit(0)
+    for first in range(0, 0 if last is None else last + 1, batch):
+        now = numbered.where(F.col("n").between(first, first + batch - 1))
+        marked = settle(now.select(*keys, "node_id").distinct())
+        own = links.join(now.select(*keys).distinct(), keys, "left_semi")
+        near = nearest_marked(own, marked, keys)
+        at_parent = near.withColumnRenamed("node_id", "parent_id")
+        asked = now.join(at_parent, [*keys, "parent_id"], "left").select(*keys, F.col("n").cast("double").alias("n"), "node_id", "top")
+        known = own.join(marked, [*keys, "node_id"], "left_semi").join(at_parent, [*keys, "parent_id"]).where("top IS NOT NULL")
+        rows = asked.unionByName(known.select(*keys, F.lit(None).cast("double").alias("n"), "node_id", "top"))
+        decided = settle(rows.groupBy(*keys).applyInPandas(_decide, schema))
+        result = settle(now.join(decided, [*keys, "n"]))
+        rejected = rejected.unionByName(result.where("bad").select(*keys, "ord"))
+        new = result.where("NOT bad").groupBy(*keys, "node_id").agg(F.max_by("parent_id", "n").alias("_new"))
+        after = settle(links.join(new, [*keys, "node_id"], "full_outer").select(*keys, "node_id", F.coalesce("_new", "parent_id").alias("parent_id")))
+        discard(links, near, marked, decided)
+        links = after
+    out = settle(rejected)
+    discard(links, numbered)
+    return out

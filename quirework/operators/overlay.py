@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .academic import CATEGORIES, graph_fingerprint
 from .graph import cyclic_documents, rejected_moves
-from .settle import settle
+from .settle import discard, settle
 
 PAYLOAD = (
     "new_category", "new_title", "new_parent_id", "new_parent_anchor", "source_node_id", "target_node_id",
@@ -22,16 +22,22 @@ PAYLOAD = (
 _CATS = "(" + ", ".join(f"'{c}'" for c in CATEGORIES) + ")"
 
 
+def parsed(actions: DataFrame) -> DataFrame:
+    """Adds the fields of the payload and its ``canonical`` form, in which payloads are equal as
+    values: the order of keys, at any depth, and the writing of numbers don't matter, types do.
+    ``t_title``, ``t_new_title`` and ``t_block`` are the types of fields that must be texts."""
+    df = actions.withColumn("_v", F.try_parse_json("payload"))
+    kind = lambda k: F.expr(f"schema_of_variant(variant_get(_v, '$.{k}', 'variant'))")
+    df = df.withColumns({
+        "canonical": F.coalesce(F.to_json("_v"), "payload", F.lit("")), "t_title": kind("title"), "t_new_title": kind("new_title"),
+        "t_block": kind("target_block_id"), **{f"p_{k}": F.try_variant_get("_v", f"$.{k}", "string") for k in PAYLOAD},
+    })
+    return df.drop("_v")
+
+
 def active_overrides(overrides: DataFrame) -> DataFrame:
-    """Active overrides with their order key and parsed payload (compared as values, not text)."""
-    df = overrides.where("is_active").withColumns(
-        {
-            "ord": F.struct("created_at", "override_id"),
-            "_m": F.expr("from_json(payload, 'map<string,string>')"),
-        }
-    )
-    df = df.withColumn("canonical", F.to_json(F.array_sort(F.map_entries("_m"))))
-    return df.withColumns({f"p_{k}": F.col("_m")[k] for k in PAYLOAD}).drop("_m")
+    """Active overrides with their order key and parsed payload."""
+    return parsed(overrides.where("is_active").withColumn("ord", F.struct("created_at", "override_id")))
 
 
 def conflict_groups(active: DataFrame) -> DataFrame:
@@ -44,8 +50,13 @@ def conflict_groups(active: DataFrame) -> DataFrame:
     )
 
 
+# A title that is given, and a block id that is not null, must be texts.
+_CREATE_ERROR = (f"CASE WHEN coalesce(p_category, '') NOT IN {_CATS} THEN 'CATEGORY' WHEN coalesce(t_title, 'STRING') <> 'STRING' "
+                 "OR coalesce(t_block, 'VOID') NOT IN ('STRING', 'VOID') THEN 'TYPE' END")
+
+
 def created_nodes(active: DataFrame) -> DataFrame:
-    return active.where(f"action_type = 'CREATE_NODE' AND p_category IN {_CATS}").select(
+    return active.where(f"action_type = 'CREATE_NODE' AND ({_CREATE_ERROR}) IS NULL").select(
         "doc_id", "ord", "override_id",
         F.concat(F.lit("an_manual_"), "override_id").alias("node_id"),
         F.col("p_category").alias("category"),
@@ -85,17 +96,15 @@ def _exists_at(df: DataFrame, known: DataFrame, col: str, out: str) -> DataFrame
     return j.withColumn(out, F.expr("coalesce(_k, false) AND (_since IS NULL OR _since < ord)")).drop("_since", "_k")
 
 
-def override_status(nodes: DataFrame, edges: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Every active override with its outcome: APPLIED, STALE, CONFLICTED or ERROR, and its node."""
-    active = settle(active_overrides(overrides))
-    groups = conflict_groups(active).withColumn("_c", F.lit(True)).drop("n")
+def judged(nodes: DataFrame, active: DataFrame) -> DataFrame:
+    """Every override of ``active`` (parsed, with ``ord``) with the node it hits and its outcome, APPLIED,
+    STALE, CONFLICTED (an ambiguous anchor) or ERROR, as far as it does not depend on others of its
+    kind: neither conflicts of payloads nor cycles are looked at."""
     created = created_nodes(active)
     index = settle(_anchor_index(nodes, created))
     known = nodes.select("doc_id", "node_id").distinct().withColumn("since", F.lit(None).cast(active.schema["ord"].dataType))
     known = settle(known.unionByName(created.select("doc_id", "node_id", F.col("ord").alias("since"))))
-
-    df = active.join(groups, ["doc_id", "target_anchor_key", "action_type"], "left")
-    df = _resolve(df, index, "target_anchor_key", "hit")
+    df = _resolve(active, index, "target_anchor_key", "hit")
     df = _resolve(df, index, "p_new_parent_anchor", "by_parent")
     df = _resolve(df, index, "p_source_anchor", "by_source")
     df = _resolve(df, index, "p_target_anchor", "by_target")
@@ -109,9 +118,9 @@ def override_status(nodes: DataFrame, edges: DataFrame, overrides: DataFrame) ->
     for col in ("new_parent", "edge_source", "edge_target"):
         df = _exists_at(df, known, col, f"{col}_ok")
     error = f"""CASE action_type
-        WHEN 'CREATE_NODE' THEN IF(coalesce(p_category, '') NOT IN {_CATS}, 'CATEGORY', NULL)
+        WHEN 'CREATE_NODE' THEN {_CREATE_ERROR}
         WHEN 'CHANGE_CATEGORY' THEN IF(coalesce(p_new_category, '') NOT IN {_CATS}, 'CATEGORY', NULL)
-        WHEN 'RENAME_TITLE' THEN IF(btrim(coalesce(p_new_title, '')) = '', 'TITLE', NULL)
+        WHEN 'RENAME_TITLE' THEN IF(coalesce(t_new_title, '') <> 'STRING' OR btrim(coalesce(p_new_title, '')) = '', 'TITLE', NULL)
         WHEN 'REPARENT_NODE' THEN CASE WHEN NOT new_parent_ok THEN 'PARENT_NOT_FOUND' WHEN new_parent = hit THEN 'SELF_PARENT' END
         WHEN 'UPDATE_EDGE' THEN CASE WHEN edge_source IS NULL OR edge_target IS NULL THEN 'ENDPOINT_MISSING'
             WHEN NOT edge_source_ok OR NOT edge_target_ok THEN 'ENDPOINT_NOT_FOUND'
@@ -120,9 +129,8 @@ def override_status(nodes: DataFrame, edges: DataFrame, overrides: DataFrame) ->
     df = df.withColumn(
         "outcome",
         F.expr(
-            f"CASE WHEN _c THEN 'CONFLICTED' WHEN action_type = 'CREATE_NODE' THEN IF(({error}) IS NULL, 'APPLIED', 'ERROR') "
-            f"WHEN hit_n = 0 THEN 'STALE' WHEN hit_n > 1 THEN 'CONFLICTED' WHEN ({error}) IS NOT NULL THEN 'ERROR' "
-            "ELSE 'APPLIED' END"
+            f"CASE WHEN action_type = 'CREATE_NODE' THEN IF(({error}) IS NULL, 'APPLIED', 'ERROR') "
+            f"WHEN hit_n = 0 THEN 'STALE' WHEN hit_n > 1 THEN 'CONFLICTED' WHEN ({error}) IS NOT NULL THEN 'ERROR' ELSE 'APPLIED' END"
         ),
     ).withColumns(
         {
@@ -130,13 +138,26 @@ def override_status(nodes: DataFrame, edges: DataFrame, overrides: DataFrame) ->
             "node_id": F.expr("IF(action_type = 'CREATE_NODE', concat('an_manual_', override_id), hit)"),
         }
     )
-    df = settle(
+    out = settle(
         df.select(
-            "doc_id", "override_id", "ord", "created_at", "target_anchor_key", "action_type", "payload", "outcome", "error",
+            "doc_id", "override_id", "ord", "target_anchor_key", "action_type", "payload", "outcome", "error",
             "node_id", "new_parent", "edge_source", "edge_target", "p_new_category", "p_new_title", "p_edge_type",
             "p_confidence", "p_category", "p_title", "p_target_block_id", "p_anchor_key",
         )
     )
+    discard(index, known)
+    return out
+
+
+def override_status(nodes: DataFrame, edges: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Every active override with its outcome: APPLIED, STALE, CONFLICTED or ERROR, and its node."""
+    active = settle(active_overrides(overrides))
+    groups = conflict_groups(active).withColumn("_c", F.lit(True)).drop("n")
+    plain = judged(nodes, active)
+    df = settle(plain.join(groups, ["doc_id", "target_anchor_key", "action_type"], "left").withColumns(
+        {"outcome": F.expr("IF(_c, 'CONFLICTED', outcome)"), "error": F.expr("IF(_c, NULL, error)")}
+    ).drop("_c"))
+    discard(active, plain)
     return _reject_cycles(df, edges)
 
 
@@ -276,12 +297,14 @@ def overlay_summary(base_nodes: DataFrame, base_edges: DataFrame, status: DataFr
     )
 
 
+# The two sentences shown to reviewers.
+_STALE = "Target anchor key not found in the newly generated base graph (likely content deleted or renamed)."
+_COLLISION = "Ambiguous matching or logical collision with other active user actions."
+
+
 def reconciliation(status: DataFrame) -> DataFrame:
     """Stale and conflicted overrides with the reason shown to reviewers."""
     return status.where("outcome IN ('STALE', 'CONFLICTED')").select(
         "doc_id", "override_id", F.col("target_anchor_key").alias("anchor_key"), "action_type", "payload", "outcome",
-        F.expr(
-            "IF(outcome = 'STALE', 'Target anchor key not found in the newly generated base graph (likely content "
-            "deleted or renamed).', 'Ambiguous matching or logical collision with other active user actions.')"
-        ).alias("reason"),
+        F.when(F.col("outcome") == "STALE", _STALE).otherwise(_COLLISION).alias("reason"),
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .academic import CATEGORIES
+from .history import GROUP, as_of, conflict_places, effects, targets
+from .overlay import created_nodes, first_parents, judged, parsed
 from .settle import discard, settle
 
 
@@ -53,60 +54,51 @@ def revisions(replayed: DataFrame) -> DataFrame:
 def audit_rows(replayed: DataFrame, ns: DataFrame, es: DataFrame) -> DataFrame:
     """Audit entry of every accepted action: target node, its state before and after.
 
-    The state before is that of the resolved graph of the time: the base node, or one
-    created earlier, with the accepted actions that came before.  Actions of one kind on
-    one anchor that disagree are in conflict and none of them counts.  An action whose
-    target does not exist at its time leaves no entry.
+    The state before is that of the resolved graph of the time (see :mod:`history`): the first
+    node with the anchor that is not deleted, with what the accepted actions before amount to. An
+    action whose target does not exist at its time leaves no entry. A parent that is deleted at the time
+    counts as none.
     """
-    acts = replayed.where("accepted").withColumns({
-        "p_category": F.expr("get_json_object(payload, '$.category')"), "p_title": F.expr("get_json_object(payload, '$.title')"),
-        "p_new": F.expr("CASE action_type WHEN 'CHANGE_CATEGORY' THEN get_json_object(payload, '$.new_category') WHEN 'RENAME_TITLE' "
-                        "THEN get_json_object(payload, '$.new_title') WHEN 'REPARENT_NODE' THEN get_json_object(payload, '$.new_parent_id') END"),
-    })
-    valid = F.col("p_category").isin(*CATEGORIES)
-    made = acts.where((F.col("action_type") == "CREATE_NODE") & valid).select(
-        "doc_id", F.expr("get_json_object(payload, '$.anchor_key')").alias("target_anchor_key"), "ord",
-        F.struct(F.concat(F.lit("an_manual_"), "override_id").alias("node_id"), F.col("p_category").alias("category"),
-                 F.col("p_title").alias("title"), F.lit("MODIFIED").alias("review_state")).alias("m"),
-    ).groupBy("doc_id", "target_anchor_key").agg(F.min_by("m", "ord").alias("m"), F.min("ord").alias("made_at"))
-    # The first node with an anchor counts; without an order of nodes that is the smallest id.
-    base = ns.select("doc_id", F.col("anchor_key").alias("target_anchor_key"), "node_id", "category", "title", "review_state")
-    base = base.groupBy("doc_id", "target_anchor_key").agg(F.min(F.struct("node_id", "category", "title", "review_state")).alias("n"))
-    parent = es.where("edge_type = 'CONTAINS'").groupBy("doc_id", F.col("target_node_id").alias("_id")).agg(
-        F.min_by("source_node_id", F.struct("ann_ord", "seq")).alias("_parent"))
-    w = Window.partitionBy("doc_id", "target_anchor_key").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    before = {}
-    for kind, good in (("CHANGE_CATEGORY", F.col("p_new").isin(*CATEGORIES)), ("RENAME_TITLE", F.trim("p_new") != ""), ("REPARENT_NODE", F.lit(True))):
-        own = F.col("action_type") == kind
-        agreed = F.min(F.when(own, F.col("payload"))).over(w) == F.max(F.when(own, F.col("payload"))).over(w)
-        last = F.max(F.when(own & good, F.struct("ord", F.lit("MODIFIED").alias("state"), F.trim("p_new").alias("value")))).over(w)
-        before[f"_{kind}"] = F.when(agreed, last)
-    verdict = F.max(F.when(F.col("action_type").isin("ACCEPT_NODE", "DELETE_NODE"), F.struct(
-        "ord", F.expr("IF(action_type = 'ACCEPT_NODE', 'ACCEPTED', 'REJECTED')").alias("state"), F.lit(None).cast("string").alias("value")))).over(w)
-    known = acts.withColumns({**before, "_verdict": verdict}).join(base, ["doc_id", "target_anchor_key"], "left").join(
-        made, ["doc_id", "target_anchor_key"], "left")
-    created = F.col("action_type") == "CREATE_NODE"
-    known = known.withColumn("t", F.coalesce("n", F.when(F.col("made_at") < F.col("ord"), F.col("m")))).where(created | F.col("t").isNotNull())
-    known = known.withColumn("_id", F.when(created, F.concat(F.lit("an_manual_"), "override_id")).otherwise(F.col("t.node_id"))).join(
-        parent, ["doc_id", "_id"], "left")
-    last = F.greatest("_verdict", "_CHANGE_CATEGORY", "_RENAME_TITLE", "_REPARENT_NODE")["state"]
-    known = known.withColumn("_state", F.coalesce(last, "t.review_state"))
+    acts = settle(parsed(replayed.where("accepted").select("doc_id", "ord", "override_id", "target_anchor_key", "action_type", "payload")))
+    created = created_nodes(acts)
+    plain = judged(ns, acts)
+    changes = effects(es, acts, plain)
+    aimed = acts.where("action_type <> 'CREATE_NODE'").join(targets(ns, created), ["doc_id", "target_anchor_key"])
+    aimed = aimed.withColumn("_first_id", F.col("first.node_id"))
+    here = lambda n: F.col(n).isNotNull() & F.coalesce(F.col(f"{n}.since") < F.col("ord"), F.col(f"{n}.since").isNull())
+    seen = as_of(aimed, changes, "_first_id")
+    alive = here("first") & ~F.col("as_of.review_state").eqNullSafe("REJECTED")
+    found = seen.withColumn("_own", alive).withColumn("t", F.when(alive, F.col("first")).when(here("second"), F.col("second"))).where("t IS NOT NULL")
+    now = lambda f: F.coalesce(F.when(F.col("_own"), F.col(f"as_of.{f}")), F.col(f"t.{f}"))
+    found = found.select(
+        *acts.columns, F.col("t.node_id").alias("node_id"), now("category").alias("_category"), now("title").alias("_title"),
+        now("review_state").alias("_state"), F.when(F.col("_own"), F.col("as_of.parent_id")).alias("_moved"))
+    # The parent of a node to be moved: where an earlier move put it, else its own, else the first that an edge gave it.
+    own = first_parents(es).withColumnRenamed("parent_id", "_base")
+    given = plain.where("outcome = 'APPLIED' AND action_type = 'UPDATE_EDGE' AND p_edge_type = 'CONTAINS'").join(
+        conflict_places(acts), GROUP, "left").select("doc_id", F.col("edge_target").alias("node_id"), F.col("ord").alias("_since"), "until", "edge_source")
+    moving = found.where("action_type = 'REPARENT_NODE'").join(own, ["doc_id", "node_id"], "left")
+    late = moving.where("_moved IS NULL AND _base IS NULL").select("doc_id", "node_id", "ord").join(given, ["doc_id", "node_id"]).where(
+        "_since < ord AND (until IS NULL OR ord <= until)").groupBy("doc_id", "node_id", "ord").agg(F.min_by("edge_source", "_since").alias("_given"))
+    moving = moving.join(late, ["doc_id", "node_id", "ord"], "left").withColumn("_parent", F.coalesce("_moved", "_base", "_given")).drop("_moved", "_base", "_given")
+    shown = as_of(moving, changes, "_parent").withColumn(
+        "_parent", F.when(~F.col("as_of.review_state").eqNullSafe("REJECTED"), F.col("_parent"))).drop("as_of")
+    still = found.where("action_type <> 'REPARENT_NODE'").drop("_moved").withColumn("_parent", F.lit(None).cast("string"))
+    fresh = acts.where("action_type = 'CREATE_NODE'").withColumn("node_id", F.concat(F.lit("an_manual_"), "override_id"))
+    known = shown.unionByName(still).unionByName(fresh, allowMissingColumns=True)
     one = lambda name, value: f"to_json(named_struct('{name}', {value}), map('ignoreNullFields', 'false'))"
     previous = (
-        f"CASE action_type WHEN 'CHANGE_CATEGORY' THEN {one('category', 'coalesce(_CHANGE_CATEGORY.value, t.category)')} "
-        f"WHEN 'RENAME_TITLE' THEN {one('title', 'coalesce(_RENAME_TITLE.value, t.title)')} "
-        f"WHEN 'REPARENT_NODE' THEN {one('parent_id', 'coalesce(_REPARENT_NODE.value, _parent)')} "
+        f"CASE action_type WHEN 'CHANGE_CATEGORY' THEN {one('category', '_category')} WHEN 'RENAME_TITLE' THEN {one('title', '_title')} "
+        f"WHEN 'REPARENT_NODE' THEN {one('parent_id', '_parent')} "
         f"WHEN 'ACCEPT_NODE' THEN {one('review_state', '_state')} WHEN 'DELETE_NODE' THEN {one('review_state', '_state')} ELSE '{{}}' END"
     )
     new = (
-        f"CASE action_type WHEN 'CHANGE_CATEGORY' THEN {one('category', 'p_new')} WHEN 'RENAME_TITLE' THEN {one('title', 'p_new')} "
-        f"WHEN 'REPARENT_NODE' THEN {one('parent_id', 'p_new')} WHEN 'ACCEPT_NODE' THEN '{{\"review_state\":\"ACCEPTED\"}}' "
+        f"CASE action_type WHEN 'CHANGE_CATEGORY' THEN {one('category', 'p_new_category')} WHEN 'RENAME_TITLE' THEN {one('title', 'p_new_title')} "
+        f"WHEN 'REPARENT_NODE' THEN {one('parent_id', 'p_new_parent_id')} WHEN 'ACCEPT_NODE' THEN '{{\"review_state\":\"ACCEPTED\"}}' "
         "WHEN 'DELETE_NODE' THEN '{\"review_state\":\"REJECTED\"}' WHEN 'CREATE_NODE' THEN to_json(named_struct('category', p_category, "
-        "'title', p_title, 'target_block_id', get_json_object(payload, '$.target_block_id')), map('ignoreNullFields', 'false')) ELSE payload END"
-    )
-    return known.select(
-        "doc_id", "ord", "action_type", F.col("_id").alias("node_id"), F.expr(previous).alias("previous_state"), F.expr(new).alias("new_state")
+        "'title', p_title, 'target_block_id', p_target_block_id), map('ignoreNullFields', 'false')) ELSE payload END"
     )
+    return known.select("doc_id", "ord", "action_type", "override_id", "node_id", F.expr(previous).alias("previous_state"), F.expr(new).alias("new_state"))
 
 
 def page_of(df: DataFrame, order: list, offset: int, limit: int, by: str = "doc_id") -> DataFrame:
@@ -156,18 +148,23 @@ def resolved_graph_page(ns: DataFrame, es: DataFrame, *, category: str | None =
     return page, touch
 
 
-def node_details(ns: DataFrame, es: DataFrame, status: DataFrame) -> DataFrame:
-    """Node with parent, child count, original values and number of overrides."""
+def node_details(base: DataFrame, ns: DataFrame, es: DataFrame, status: DataFrame) -> DataFrame:
+    """Node with parent, child count, original values and number of overrides. ``ns`` and ``es``
+    are the resolved graph; a base node that was deleted is shown as it was in the base graph,
+    without edges and overrides. Override ids and audit entries are rows of
+    :func:`node_overrides` and :func:`node_audit`."""
     con = es.where("edge_type = 'CONTAINS'")
     parent = con.groupBy("doc_id", F.col("target_node_id").alias("node_id")).agg(
         F.min_by("source_node_id", F.struct("ann_ord", "seq")).alias("parent_id"))
     kids = con.groupBy("doc_id", F.col("source_node_id").alias("node_id")).agg(F.count("*").alias("child_count"))
-    moved = status.where("outcome = 'APPLIED' AND action_type = 'REPARENT_NODE'").groupBy("doc_id", "node_id").agg(
-        F.count("*").alias("moves"))
-    df = ns
-    for side in (parent, kids, moved):
+    shown = ["doc_id", "node_id", "category", "title", "review_state", "provenance", "anchor_key", "target_block_id"]
+    gone = base.join(ns.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_anti").select(
+        *shown, F.lit(None).cast("string").alias("original_category"), F.lit(None).cast("string").alias("original_title"),
+        F.lit(0).cast("long").alias("override_count"), F.lit(True).alias("deleted"))
+    df = ns.select(*shown, "original_category", "original_title", "override_count", F.lit(False).alias("deleted")).unionByName(gone)
+    for side in (parent, kids):
         df = df.join(side, ["doc_id", "node_id"], "left")
-    return df.fillna(0, ["child_count", "moves"]).withColumns(
+    return df.fillna(0, ["child_count"]).withColumns(
         {
             "original_category": F.coalesce("original_category", "category"),
             "original_title": F.coalesce("original_title", "title"),
@@ -175,6 +172,28 @@ def node_details(ns: DataFrame, es: DataFrame, status: DataFrame) -> DataFrame:
     )
 
 
+def original_parents(edges: DataFrame, status: DataFrame) -> DataFrame:
+    """(doc_id, node_id, original_parent_id, moves) of moved nodes: the parent in the base graph; one
+    that had none is first moved away from where the first move put it."""
+    moves = status.where("outcome = 'APPLIED' AND action_type = 'REPARENT_NODE'").groupBy("doc_id", "node_id").agg(
+        F.count("*").alias("moves"), F.min_by("new_parent", "ord").alias("_to"))
+    return moves.join(first_parents(edges), ["doc_id", "node_id"], "left").select(
+        "doc_id", "node_id", F.coalesce("parent_id", F.when(F.col("moves") > 1, F.col("_to"))).alias("original_parent_id"), "moves")
+
+
+def node_overrides(ns: DataFrame, status: DataFrame) -> DataFrame:
+    """(doc_id, node_id, position, override_id): the applied overrides of the nodes of a resolved graph, in order."""
+    applied = status.where("outcome = 'APPLIED' AND action_type <> 'UPDATE_EDGE'").join(ns.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_semi")
+    line = Window.partitionBy("doc_id", "node_id").orderBy("ord")
+    return applied.select("doc_id", "node_id", F.row_number().over(line).alias("position"), "override_id", "action_type")
+
+
+def node_audit(details: DataFrame, audit: DataFrame) -> DataFrame:
+    """The audit entries of every node of ``details``, newest last."""
+    line = Window.partitionBy("doc_id", "node_id").orderBy("ord")
+    return audit.join(details.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_semi").withColumn("position", F.row_number().over(line))
+
+
 def readiness_checks(ns: DataFrame, es: DataFrame, overlay: DataFrame, documents: DataFrame) -> DataFrame:
     """Eight approval checks per document as rows."""
     nodes = ns.groupBy("doc_id").agg(F.expr("count_if(review_state = 'UNREVIEWED')").alias("unreviewed"))

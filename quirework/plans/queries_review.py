@@ -94,13 +94,21 @@ def academic_features(s, d):
 
 
 def cycles(s, d):
-    """Part pairs bought together form a dense directed graph; its cyclic part is what pruning leaves."""
+    """Every supplier's parts, pointing a little ahead and now and then back: cycles, and edges between them."""
     e = src.table(s, d, "lineitem").selectExpr(
-        "l_suppkey % 10 AS doc_id", "l_partkey AS source_node_id", "l_partkey + (l_orderkey % 97) - 40 AS target_node_id"
-    ).where("source_node_id <> target_node_id")
+        "l_suppkey AS doc_id", "l_partkey % 211 AS source_node_id",
+        "l_partkey % 211 + IF(l_orderkey % 19 = 0, -(l_orderkey % 7), 1 + l_orderkey % 13) AS target_node_id")
     return gr.cyclic_documents(e)
 
 
+def audit(s, d):
+    return stage(s, d, "audit_rows", lambda: rv.audit_rows(replayed(s, d, True), *graph(s, d)))
+
+
+def details(s, d):
+    return stage(s, d, "node_details", lambda: rv.node_details(graph(s, d)[0], *resolved(s, d, True), status(s, d, True)))
+
+
 def snapshots(s, d):
     """Two earlier approvals of every third reviewed document."""
     base = summary(s, d).where("doc_id % 3 = 0").select("doc_id", "resolved_graph_fingerprint")
@@ -162,7 +170,7 @@ QUERIES = {
     "overlay_reparent_edges": lambda s, d: resolved(s, d, True)[1].select(
         "doc_id", "source_node_id", "target_node_id", "edge_type", "confidence"),
     "action_replay": lambda s, d: replayed(s, d).select("doc_id", "override_id", "accepted", "new_version"),
-    "audit_page": lambda s, d: rv.page_of(rv.audit_rows(replayed(s, d, True), *graph(s, d)), ["ord"], 1, 5).select(
+    "audit_page": lambda s, d: rv.page_of(audit(s, d), ["ord"], 1, 5).select(
         "doc_id", "position", "action_type", "node_id", "previous_state", "new_state"),
     "reconciliation": lambda s, d: ov.reconciliation(status(s, d)),
     "readiness": readiness,
@@ -179,8 +187,13 @@ QUERIES = {
     "snapshot_by_version": lambda s, d: rv.snapshot_at(snapshots(s, d), "v1"),
     "finalized_rows": lambda s, d: kn.finalized(
         kn_candidates(s, d).withColumn("version_id", F.concat(F.lit("v"), "snapshot_id"))).drop("doc_id"),
-    "node_detail": lambda s, d: rv.node_details(*resolved(s, d), status(s, d)).select(
-        "doc_id", "node_id", "category", "parent_id", "child_count", "original_category", "original_title", "moves"),
+    "audit_rows": lambda s, d: audit(s, d).select("doc_id", "override_id", "action_type", "node_id", "previous_state", "new_state"),
+    "node_detail": lambda s, d: details(s, d).select(
+        "doc_id", "node_id", "category", "title", "review_state", "parent_id", "child_count", "original_category", "original_title",
+        "override_count", "deleted"),
+    "node_original_parents": lambda s, d: rv.original_parents(graph(s, d)[1], status(s, d, True)),
+    "node_overrides": lambda s, d: rv.node_overrides(resolved(s, d, True)[0], status(s, d, True)).drop("action_type"),
+    "node_audit": lambda s, d: rv.node_audit(details(s, d), audit(s, d)).select("doc_id", "node_id", "position", "override_id", "previous_state"),
     "next_snapshots": next_snapshots,
     "latest_snapshots": lambda s, d: rv.snapshot_at(snapshots(s, d)),
     "rerun_invalidation": invalidation,

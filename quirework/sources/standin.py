@@ -147,7 +147,8 @@ def overrides(spark: SparkSession, sf_dir: str, nodes: DataFrame, moves: bool =
 
     An event belongs to a document by its ids, and to one of that document's nodes. Three of four
     events of a document expect the version that the ones before them lead to, the others one more.
-    With ``moves`` one in 35 events moves a node under another one.
+    Verdicts come with notes, nested and in several orders of keys. With ``moves`` one in seven events
+    moves a node under another one, of the same document but for some that move it nowhere.
     """
     n_docs = table(spark, sf_dir, "documents").count()
     ev = table(spark, sf_dir, "events").selectExpr(
@@ -166,7 +167,7 @@ def overrides(spark: SparkSession, sf_dir: str, nodes: DataFrame, moves: bool =
     kind = (
         "CASE event_id % 7 WHEN 0 THEN 'CHANGE_CATEGORY' WHEN 1 THEN 'RENAME_TITLE' WHEN 2 THEN 'ACCEPT_NODE' "
         "WHEN 3 THEN 'DELETE_NODE' WHEN 4 THEN 'UPDATE_EDGE' WHEN 5 THEN IF(event_id % 35 = 5, 'CREATE_NODE', 'ACCEPT_NODE') "
-        f"ELSE {"IF(event_id % 35 = 6, 'REPARENT_NODE', 'ACCEPT_NODE')" if moves else "'ACCEPT_NODE'"} END"
+        f"ELSE {"'REPARENT_NODE'" if moves else "'ACCEPT_NODE'"} END"
     )
     payload = r"""CASE action_type
         WHEN 'CHANGE_CATEGORY' THEN concat('{"new_category":"', CASE WHEN event_id % 29 = 0 THEN 'BOGUS'
@@ -176,8 +177,10 @@ def overrides(spark: SparkSession, sf_dir: str, nodes: DataFrame, moves: bool =
             '_', first_seq, '","edge_type":"', IF(seq % 2 = 0, 'EXPLAINS', 'PREREQUISITE_OF'), '","confidence":0.5}')
         WHEN 'CREATE_NODE' THEN concat('{"category":"', IF(event_id % 3 = 1, 'CONCEPT', 'NOPE'), '","title":"Made ', event_id,
             '","anchor_key":"made_', event_id % 2, '"}')
-        WHEN 'REPARENT_NODE' THEN concat('{"new_parent_id":"an_b', doc_id, '_', coalesce(_next, first_seq), '"}')
-        ELSE '{}' END"""
+        WHEN 'REPARENT_NODE' THEN concat('{"new_parent_id":"an_b', doc_id, '_',
+            CASE event_id % 5 WHEN 0 THEN first_seq WHEN 1 THEN -1 ELSE coalesce(_next, first_seq) END, '"}')
+        ELSE CASE event_id % 43 WHEN 0 THEN '{"note":{"a":1,"b":[2]}}' WHEN 1 THEN '{"note":{"b":[2],"a":1.0}}'
+            WHEN 2 THEN '{"note":{"a":"1","b":[2]}}' ELSE '{}' END END"""
     return (
         ev.join(at, ["doc_id", "k"], "left")
         .withColumns({"action_type": F.expr(kind), "seq": F.expr("coalesce(seq, 0L)"), "first_seq": F.expr("coalesce(_first, 0L)")})
