@@ -304,7 +304,7 @@ SQL = {
     "snapshot_by_version": build("snp", "SELECT doc_id, approval_version, resolved_graph_fingerprint, concat('s', doc_id, '_1') AS snapshot_id FROM snp WHERE approval_version=1"),
     "finalized_rows": build("osum", """SELECT concat('vs', doc_id, '_', v) AS version_id, concat('s', doc_id, '_', v) AS snapshot_id, '1.0.0' AS schema_version, 'FINALIZED' AS status
        FROM (SELECT doc_id, unnest([1,2]) AS v FROM osum WHERE doc_id%3=0 AND doc_id%2=0) WHERE NOT (doc_id%12=0 AND v=1)"""),
-    "containment_cycles": """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS doc_id, l_partkey%211 AS s, l_partkey%211 + CASE WHEN l_orderkey%19=0 THEN -(l_orderkey%7) ELSE 1 + l_orderkey%13 END AS t FROM lineitem),
+    "containment_cycles": """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS doc_id, l_partkey%97 AS s, l_partkey%97 + CASE WHEN l_orderkey%19=0 THEN -(l_orderkey%7) ELSE 1 + l_orderkey%13 END AS t FROM lineitem),
        r(doc_id, s, t) AS (SELECT * FROM e UNION SELECT r.doc_id, r.s, e.t FROM r JOIN e ON e.doc_id=r.doc_id AND e.s=r.t)
        SELECT doc_id, count(*) AS n FROM e WHERE EXISTS (SELECT 1 FROM r WHERE r.doc_id=e.doc_id AND r.s=e.t AND r.t=e.s) OR s=t GROUP BY 1""",
     "node_detail": build("rnm rem ndo", """SELECT doc_id, node_id, category, title, review_state, (SELECT first(source_node_id ORDER BY e.ann_ord, e.seq) FROM rem e WHERE e.doc_id=r.doc_id AND e.edge_type='CONTAINS' AND e.target_node_id=r.node_id) AS parent_id,

@@ -75,7 +75,8 @@ def _coloured(edges: DataFrame, doc: str) -> DataFrame:
     found, left = [], settle(edges)
     while not left.isEmpty():
         vertices = left.select(doc, F.col("s").alias("v")).union(left.select(doc, F.col("t").alias("v"))).distinct()
-        colour = settle(vertices.withColumn("c", F.col("v")))
+        # Colours in an order that has nothing to do with the graph's own: a pass then splits it well.
+        colour = settle(vertices.withColumn("c", F.struct(F.xxhash64("v").alias("h"), "v")))
         fresh = colour
         while True:
             pushed = left.join(fresh.select(doc, F.col("v").alias("s"), "c"), [doc, "s"]).groupBy(doc, F.col("t").alias("v")).agg(F.max("c").alias("new"))
@@ -87,7 +88,7 @@ def _coloured(edges: DataFrame, doc: str) -> DataFrame:
                 break
         ends = lambda x: colour.select(doc, F.col("v").alias(x), F.col("c").alias(f"c_{x}"))
         same = settle(left.join(ends("s"), [doc, "s"]).join(ends("t"), [doc, "t"]).where("c_s = c_t").select(doc, "s", "t", F.col("c_s").alias("c")))
-        part = settle(colour.where("v = c"))
+        part = settle(colour.where("v = c.v"))
         reached = fresh = part
         used = [part]
         while True:
@@ -113,35 +114,34 @@ def cyclic_edges(edges: DataFrame, doc: str = "doc_id", src: str = "source_node_
     """The edges that lie on a cycle, that is whose ends are in one strongly connected component.
 
     Vertices with a single outgoing edge are merged into where it leads, by doubled pointers, then
-    those with a single incoming edge, and edges at dead ends are trimmed, as long as any is left;
-    so trees and chains are gone in rounds that grow with the logarithm of their length.
+    those with a single incoming edge, and edges at dead ends are trimmed, as long as that takes
+    off a good part; so trees and chains are gone in rounds that grow with the logarithm of their length.
     What cannot be contracted is coloured. The levels are then unfolded again, which tells the
     edges on a cycle from those between cycles. Null ends make no edge."""
     base = edges.select(doc, F.col(src).alias("s"), F.col(dst).alias("t")).where("s IS NOT NULL AND t IS NOT NULL").distinct()
     loops = settle(base.where("s = t"))
     turned = lambda e: e.select(doc, F.col("t").alias("s"), F.col("s").alias("t"))
     now = settle(base.where("s <> t"))
-    levels: list[tuple[dict | None, bool]] = []
-    quiet, flipped = 0, False
-    while quiet < 2:
-        size = now.count()
-        if not size:
-            break
+    levels: list[tuple[dict, bool]] = []
+    quiet, flipped, size = 0, False, now.count()
+    while size and quiet < 2:
         sources = now.select(doc, F.col("s").alias("t")).distinct()
         targets = now.select(doc, F.col("t").alias("s")).distinct()
         live = settle(now.join(sources, [doc, "t"], "left_semi").join(targets, [doc, "s"], "left_semi"))
         discard(now)
         level = _contract(live, doc)
+        now = live
         if level:
             levels.append((level, flipped))
             now = settle(level["outer"].where("s <> root").select(doc, "s", F.col("root").alias("t")).distinct())
             discard(live)
-            quiet = 0
-        else:
-            now = live
-            quiet = quiet + 1 if live.count() == size else 0
-        now, flipped = turned(now), not flipped
-    on = settle(_coloured(now, doc) if quiet == 2 else now)
+        # A level has a price; what shrinks no more by a quarter is coloured.
+        before, size = size, now.count()
+        quiet = quiet + 1 if 4 * size > 3 * before else 0
+        turned_now = settle(turned(now))
+        discard(now)
+        now, flipped = turned_now, not flipped
+    on = settle(_coloured(now, doc))
     on = turned(on) if flipped else on
     for level, was in reversed(levels):
         on = _expand(level, turned(on) if was else on, doc)

@@ -96,8 +96,8 @@ def academic_features(s, d):
 def cycles(s, d):
     """Every supplier's parts, pointing a little ahead and now and then back: cycles, and edges between them."""
     e = src.table(s, d, "lineitem").selectExpr(
-        "l_suppkey AS doc_id", "l_partkey % 211 AS source_node_id",
-        "l_partkey % 211 + IF(l_orderkey % 19 = 0, -(l_orderkey % 7), 1 + l_orderkey % 13) AS target_node_id")
+        "l_suppkey AS doc_id", "l_partkey % 97 AS source_node_id",
+        "l_partkey % 97 + IF(l_orderkey % 19 = 0, -(l_orderkey % 7), 1 + l_orderkey % 13) AS target_node_id")
     return gr.cyclic_documents(e)
 
 
