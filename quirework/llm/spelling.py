@@ -32,19 +32,18 @@ from pyspark.sql import functions as F
 
 from ..operators.settle import discard, settle
 
-LETTERS = "[A-Za-z\\u00C0-\\u00FF]+"
+LETTER = "[A-Za-z\\u00C0-\\u00FF]"
 LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def letter_runs(text: Column) -> Column:
-    """All maximal runs of letters, A to Z in lower case."""
-    return F.translate(F.array_join(F.regexp_extract_all(text, F.lit(LETTERS), 0), " "), CAPITALS, SMALL)
-
-
-def runs(documents: DataFrame, *more: str) -> DataFrame:
-    """Rows (more columns, run), one for every letter run of every text."""
-    return documents.select(*more, F.explode(F.split(letter_runs(F.col("text")), " ")).alias("run")).where("run <> ''")
+def runs(documents: DataFrame, *more: str, least_length: int = LEAST_LENGTH) -> DataFrame:
+    """Rows (more columns, run), one for every maximal run of letters of enough length of every
+    text, with A to Z in lower case."""
+    pattern = f"(?<!{LETTER}){LETTER}{{{least_length},}}+"
+    found = documents.select(*more, F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("run"))
+    plain = F.length("run") == F.octet_length("run")
+    return found.withColumn("run", F.when(plain, F.lower("run")).otherwise(F.translate("run", CAPITALS, SMALL)))
 
 
 def vocabulary(found: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT) -> DataFrame:
@@ -92,8 +91,9 @@ def step(states: DataFrame, trie: DataFrame) -> DataFrame:
     part = k + F.col("shorter")
     # As many characters of the word as the label has, or one more, are one edit away from it.
     near = F.levenshtein(F.substring(F.col("word"), F.col("pos") + 1, part), F.col("label"), 1) == 1
-    edited = F.col("target").isNull() & (F.length(rest) >= part) & near
     moved = F.concat(F.substring(F.col("word"), F.lit(1), F.col("pos")), F.col("label"), F.substring(F.col("word"), F.col("pos") + part + 1, F.length("word")))
+    # Words of one length find each other; the smaller one does it for both.
+    edited = F.col("target").isNull() & (F.length(rest) >= part) & near & ((F.col("shorter") == 1) | (moved > F.col("word")))
     ahead = lambda n, target: F.struct((F.col("pos") + n).alias("pos"), target.alias("target"))
     moves = F.array(F.when(exact, ahead(k, F.col("target"))), F.when(edited, ahead(part, moved)))
     out = at.select("word", "shorter", "child", F.explode(F.array_compact(moves)).alias("m"))
@@ -114,7 +114,7 @@ def halves(words: DataFrame, half: Column, least_half: int) -> DataFrame:
     # The last character of a word may be the deleted one: no edge follows it.
     last = F.col("target").isNull() & (F.col("shorter") == 1) & (F.col("pos") == size - 1)
     while True:
-        now = settle(step(states, trie).distinct())
+        now = settle(step(states, trie))
         used.append(now)
         found.append(now.where(ended).select("word", "target"))
         found.append(now.where(last).select("word", F.substring(F.col("word"), F.lit(1), F.col("pos")).alias("target")))
