@@ -107,15 +107,16 @@ def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def echoed(documents: DataFrame) -> DataFrame:
     """Documents in every tenth of which the words from some place on repeat a period."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    g = F.floor(h / 10)
-    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), "[ \t-\r]+"), "")
-    n = F.nullif(F.size(words), F.lit(0))
-    a = (g % n).cast("int")
-    p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
-    times = F.ceil((n - a) / p).cast("int")
-    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), F.lit(1), n - a)
-    text = F.when((h % 10 == 0) & n.isNotNull(), F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")).otherwise(F.col("text"))
-    return documents.select("doc_id", text.alias("text"))
+    own = F.array_remove(F.split("text", "[ \t-\r]+"), "")
+    # Step by step: each value is used more than once and computed once.
+    cut = documents.select("doc_id", "text", h.alias("h")).select("*", F.floor(F.col("h") / 10).alias("g"), F.when(F.col("h") % 10 == 0, own).alias("words"))
+    cut = cut.select("*", F.nullif(F.size("words"), F.lit(0)).alias("n"))
+    cut = cut.select("*", (F.col("g") % F.col("n")).cast("int").alias("a"))
+    cut = cut.select("*", (F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1).cast("int").alias("p"))
+    left = F.col("n") - F.col("a")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left)
+    text = F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")).otherwise(F.col("text"))
+    return cut.select("doc_id", text.alias("text"))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
