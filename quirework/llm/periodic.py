@@ -40,7 +40,7 @@ from ..operators.settle import settle
 from . import bitmap
 from . import words as wd
 
-LEAST, FIRST_OCTAVE, TILE_WORDS = 12, 8, 8192
+LEAST, FIRST_OCTAVE, TILE_WORDS, MANY = 12, 8, 8192, 16
 U64 = np.uint64
 
 
@@ -81,35 +81,44 @@ class Grams:
         return (self.sums[width:] - self.sums[:n]) * self.inverse[:n]
 
 
-def boundaries(grams: Grams, octave: Octave) -> np.ndarray:
-    """The boundaries at which a run of the octave may be seen."""
-    own, low, wide = grams.of(octave.gram), octave.low, octave.high - octave.low
+def candidates(grams: Grams, octave: Octave) -> tuple[np.ndarray, np.ndarray]:
+    """(boundaries, periods): the pairs at which a run of the octave may be seen, by boundary."""
+    own, low, wide, step = grams.of(octave.gram), octave.low, octave.high - octave.low, octave.step
     padded = np.concatenate([own, np.zeros(wide + low, U64)])
-    out = []
-    for first in (0, -(-octave.gram // octave.step) * octave.step):  # grams behind the boundary, and before it
+    found = []
+    for first in (0, -(-octave.gram // step) * step):  # grams behind the boundary, and before it
         at = 0 if first == 0 else first - octave.gram
-        here = own[at : len(own) - low : octave.step]
+        here = own[at : len(own) - low : step]
         if len(here):
-            there = np.lib.stride_tricks.sliding_window_view(padded[at + low :], wide)[:: octave.step][: len(here)]
-            out.append(np.flatnonzero((there == here[:, None]).any(axis=1)) * octave.step + first)
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
-
-
-def tiles(d: wd.Words, tile_words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(low, base, marks, words): the boundaries of one octave in up to ``tile_words`` words that
-    count, as places in the tile, which begins at word ``base`` and has its words as numbers."""
+            there = np.ndarray((len(here), wide), U64, padded, 8 * (at + low), (8 * step, 8))
+            same = there == here[:, None]
+            if same.any():
+                place, period = np.nonzero(same)
+                found.append((place * step + first) * wide + period)
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    both = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+    return both // wide, both % wide + low
+
+
+def tiles(d: wd.Words, tile_words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(low, base, marks, periods, words): the boundaries of one octave in up to ``tile_words`` words
+    that count, as places in the tile, each with a period that may be seen there; the tile
+    begins at word ``base`` and has its words as numbers."""
     grams, numbers = None, None
     for octave in octaves(len(d)):
         grams = grams or Grams(d.hashes)
-        found = boundaries(grams, octave)
+        found, periods = candidates(grams, octave)
         if not len(found):
             continue
         if numbers is None:
             numbers = np.unique(d.hashes, return_inverse=True)[1].astype(np.int32)
         tile = found // max(octave.step, tile_words)
-        for part in np.split(found, np.flatnonzero(np.diff(tile)) + 1):
+        cuts = np.flatnonzero(np.diff(tile)) + 1
+        for part, asked in zip(np.split(found, cuts), np.split(periods, cuts), strict=True):
             base = max(0, int(part[0]) - octave.reach)
-            yield octave.low, base, (part - base).astype(np.int32), numbers[base : int(part[-1]) + octave.reach + octave.high]
+            words = numbers[base : int(part[-1]) + octave.reach + octave.high]
+            yield octave.low, base, (part - base).astype(np.int32), asked.astype(np.int32), words
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -122,10 +131,10 @@ def _tile_rows(tile_words: int):
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index("row_key"))
             out = [(d.row, *t) for d in wd.documents(batch.column(batch.schema.get_field_index("text"))) for t in tiles(d, tile_words)]
-            rows, lows, bases, marks, words = zip(*out, strict=True) if out else ((),) * 5
+            rows, lows, bases, *lists = zip(*out, strict=True) if out else ((),) * 6
             yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(rows, pa.int64())), pa.array(lows, pa.int32()), pa.array(bases, pa.int32()), _lists(marks), _lists(words)],
-                ["row_key", "low", "base", "marks", "words"],
+                [keys.take(pa.array(rows, pa.int64())), pa.array(lows, pa.int32()), pa.array(bases, pa.int32()), *map(_lists, lists)],
+                ["row_key", "low", "base", "marks", "periods", "words"],
             )
 
     return run
@@ -159,31 +168,63 @@ def largest_divisors(q: int) -> tuple[int, ...]:
     return (*out, q // rest) if rest > 1 else tuple(out)
 
 
-def fragments(words: list[int], at: int, octave: Octave) -> Iterator[tuple[int, int, int]]:
+def agreement(one: np.ndarray, other: np.ndarray) -> int:
+    """How many first items are the same."""
+    n = min(len(one), len(other))
+    unlike = one[:n] != other[:n]
+    i = int(unlike.argmax()) if n else 0
+    return i if n and unlike[i] else n
+
+
+class Boundary:
+    """The two Z-functions of a boundary: ``ahead(q)`` and ``behind(q)`` words agree with those q
+    words later. Few values are compared each for itself, many are computed at once."""
+
+    def __init__(self, words: np.ndarray, at: int, octave: Octave, whole: bool):
+        self.words, self.at, self.reach, self.z = words, at, octave.reach, None
+        if whole:
+            high, text = min(octave.high, len(words) - at + 1), words.tolist()
+            before = text[max(0, at - self.reach) : at]
+            turned = [*reversed(before), -1, *reversed(text[max(0, at - self.reach) : at + high - 1])]
+            back = z_function(turned, len(before) + high + 1)
+            # Behind: the value of the place where the words up to q words behind the boundary begin, read backwards.
+            self.z = z_function(text[at : at + self.reach + high], high), [0, *(back[len(before) + high - q] for q in range(1, high))]
+
+    def ahead(self, q: int, most: int) -> int:
+        if self.z:
+            return min(most, self.z[0][q]) if q < len(self.z[0]) else 0
+        return agreement(self.words[self.at : self.at + most], self.words[self.at + q : self.at + q + most])
+
+    def behind(self, q: int) -> int:
+        if self.z:
+            return min(self.reach, self.z[1][q])
+        low = max(0, self.at - self.reach)
+        return agreement(self.words[low : self.at][::-1], self.words[low + q : self.at + q][::-1])
+
+
+def fragments(words: np.ndarray, at: int, periods: list[int], octave: Octave) -> Iterator[tuple[int, int, int]]:
     """(period, from, to) of the matches around a boundary, as far as the reach goes."""
-    reach, high = octave.reach, min(octave.high, len(words) - at + 1)
-    ahead = z_function(words[at : at + reach + high], high)
-    before = words[max(0, at - reach) : at]
-    turned = [*reversed(before), -1, *reversed(words[max(0, at - reach) : at + high - 1])]
-    behind = z_function(turned, len(before) + high + 1)
-    for q in range(octave.low, high):
-        # Position of the suffix that ends q words behind the boundary.
-        back = min(reach, behind[len(before) + high - q])
-        on = min(reach, ahead[q]) if q < len(ahead) else 0
-        if back + on >= octave.need(q) and not any(ahead[d] >= q - d for d in largest_divisors(q)):
+    here = Boundary(words, at, octave, len(periods) > MANY)
+    for q in periods:
+        if at + q > len(words):
+            continue
+        back, on = here.behind(q), here.ahead(q, octave.reach)
+        if back + on >= octave.need(q) and not any(here.ahead(d, q - d) >= q - d for d in largest_divisors(q)):
             yield q, at - back, at + on
 
 
 def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, lows, bases, marks, words = batch.columns
+        keys, lows, bases, marks, periods, words = batch.columns
         out: list[tuple[int, int, int, int]] = []
         for row in range(len(batch)):
-            low, base, tile = lows[row].as_py(), bases[row].as_py(), words[row].values.tolist()
+            low, base, tile = lows[row].as_py(), bases[row].as_py(), np.asarray(words[row].values)
             octave = Octave(low, FIRST_OCTAVE if low == 1 else 2 * low)
             last: dict[int, list[int]] = {}
-            for at in marks[row].values.tolist():
-                for q, start, end in fragments(tile, at, octave):
+            places, asked = np.asarray(marks[row].values), np.asarray(periods[row].values)
+            cuts = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), len(places)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                for q, start, end in fragments(tile, int(places[i]), asked[i:j].tolist(), octave):
                     held = last.get(q)
                     if held and start <= held[1]:
                         held[1] = max(held[1], end)
@@ -220,9 +261,11 @@ def find_runs(documents: DataFrame, tile_words: int = TILE_WORDS) -> DataFrame:
     (start, period, length) by start, then period."""
     text = F.coalesce("text", F.lit(""))
     dealt = documents.select(row_key(text).alias("row_key"), text.alias("text")).mapInArrow(
-        _tile_rows(tile_words), "row_key binary, low int, base int, marks array<int>, words array<int>"
+        _tile_rows(tile_words), "row_key binary, low int, base int, marks array<int>, periods array<int>, words array<int>"
     )
-    solved = dealt.repartition("row_key", "low", "base").mapInArrow(_fragment_rows, "row_key binary, period long, from long, to long")
+    # A fixed number: tiles are small but costly, so partitions must not be joined by their bytes.
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    solved = dealt.repartition(parts, "row_key", "low", "base").mapInArrow(_fragment_rows, "row_key binary, period long, from long, to long")
     return stitched(solved)
 
 
