@@ -9,13 +9,22 @@ measured on all documents,
     disclosure   PMI(t; e) / IC(e)              PMI = log2 p(t | contexts of e) / p(t)
 
 which is 1 when the term names the entity outright. The contexts of an entity are the whole
-documents that hold it; those of the same words (copies) count once. However few they are, its
-terms are judged: p(t | contexts of e) is not the share of contexts that hold the term but the
-least probability which that many of them allow with confidence 1 - ``DOUBT`` (:func:`at_least`),
-so one context tells less than two. A term whose disclosure reaches ``GENERALISE``
-is sanitised in the documents that hold the entity: replaced by a general label, or
-removed where disclosure reaches ``REMOVE``. Its places are spans of the further kind
-``term``; spans of the four kinds always stay.
+documents that hold it. Documents of the same words (copies), and versions of one document (four fifths
+of their words shared, :func:`versions`), are one context, so what they share by descent counts once.
+
+A term is believed only against chance. A document holds rare words anyway: M(n) of them on
+average are in no more than n documents, counted over the corpus. Of the c M(n) such words in the
+contexts of an entity, this many would be in k of the c by chance
+
+    E = c M(n) exp(-(c - 1) KL((k - 1) / (c - 1) || n / N))
+
+(all of them, if k = 1), and a term counts only where E is at most ``DOUBT``. So a word that
+one shared document happens to hold tells nothing in a corpus of ordinary prose, however
+large it grows, and a name that keeps turning up beside an entity does from the second or third context on.
+
+A term whose disclosure reaches ``GENERALISE`` is sanitised in the documents that hold the
+entity: replaced by its class (name, number or word), or removed where disclosure reaches
+``REMOVE``. Its places are spans of the further kind ``term``; spans of the four kinds always stay.
 
 Terms are words of ``SHORTEST`` characters or more with a letter, and words joined by hyphens or apostrophes,
 which count as a whole and by their parts. Entities of the same documents have the same
@@ -30,12 +39,10 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.settle import settle
+from ..operators.settle import discard, settle
 from . import bitmap
 
 # The patterns. Possessive forms and the bound at a run's start only keep the
@@ -51,6 +58,8 @@ _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 _PART = r"[\p{L}\p{M}\p{N}]++"
 _JOINED = rf"{_PART}(?:[-']{_PART})++"
 DOUBT, GENERALISE, REMOVE, SHORTEST = 0.05, 0.6, 0.9, 2
+ALIKE, BANDS, BAND_ROWS = 0.8, 8, 3
+RARITY = 1.1  # counts of documents are told apart by this factor
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -118,12 +127,32 @@ def words(text: Column) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """Rows (row_key, held, terms, context) of the documents with spans: their entities, the
+    """Rows (row_key, base, held, terms, context) of the documents with spans: their entities, the
     words outside of the spans, and a key of these words."""
     spans = base_spans(docs).where(F.size("base") > 0)
     held = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
     terms = words(masked(F.col("text"), F.col("base"), lambda s: F.lit(" ")))
-    return spans.select("row_key", held.alias("held"), terms.alias("terms")).withColumn("context", F.xxhash64(F.array_sort("terms")))
+    return spans.select("row_key", "base", held.alias("held"), terms.alias("terms")).withColumn("context", F.xxhash64(F.array_sort("terms")))
+
+
+def versions(contexts: DataFrame) -> DataFrame:
+    """(context, version) of (context, terms): contexts of which ``ALIKE`` of the words, or more,
+    are those of an earlier one with the same least hashes in some band count as that one."""
+    def band(b: int) -> Column:
+        least = [F.array_min(F.transform("terms", lambda t, i=b * BAND_ROWS + j: F.xxhash64(t, F.lit(i)))) for j in range(BAND_ROWS)]
+        return F.xxhash64(F.lit(b), *least)
+
+    banded = settle(contexts.where(F.size("terms") > 0).select("context", "terms", F.explode(F.array(*[band(b) for b in range(BANDS)])).alias("band")))
+    first = banded.groupBy("band").agg(F.min("context").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = first.join(banded.select("band", F.col("context").alias("first"), F.col("terms").alias("own")), ["band", "first"])
+    both = F.size(F.array_intersect("terms", "own"))
+    near = banded.join(first, "band").where((F.col("context") != F.col("first")) & (both >= ALIKE * (F.size("terms") + F.size("own") - both)))
+    to = settle(near.groupBy("context").agg(F.min("first").alias("version")))
+    again = to.select(F.col("context").alias("version"), F.col("version").alias("further"))
+    out = settle(contexts.select("context").join(to, "context", "left").join(again, "version", "left").select(
+        "context", F.coalesce("further", "version", "context").alias("version")))
+    discard(banded, to)
+    return out
 
 
 def alike(found: DataFrame) -> DataFrame:
@@ -135,64 +164,68 @@ def alike(found: DataFrame) -> DataFrame:
     return each.join(sets.select("entity"), "entity", "left_semi")
 
 
-def at_least(hits: Column, tries: Column) -> Column:
-    """The least probability of which ``hits`` of ``tries`` are not too many, by Chernoff's
-    bound: where tries * KL(hits / tries || p) = ln(1 / DOUBT), halved down to."""
-    share, most = hits / tries, F.lit(math.log(1 / DOUBT))
+def rarity(n: Column) -> Column:
+    return F.ceil(F.log(n) / F.log(F.lit(RARITY)))
 
-    def halve(x: Column, _: Column) -> Column:
-        p = (x["low"] + x["high"]) / 2
-        rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0.0)
-        far = tries * (share * F.log(share / p) + rest) > most
-        return F.struct(F.when(far, p).otherwise(x["low"]).alias("low"), F.when(far, x["high"]).otherwise(p).alias("high"))
 
-    start = F.struct(F.lit(0.0).alias("low"), share.alias("high"))
-    bounds = F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, halve, lambda x: x["low"])
-    return F.when(hits >= tries, F.pow(F.lit(DOUBT), 1 / tries)).otherwise(bounds)
+def by_chance(k: Column, c: Column, n: Column, total: Column, rare: Column) -> Column:
+    """How many words as rare as one of ``n`` documents would be in ``k`` of ``c`` contexts by chance,
+    where a document holds ``rare`` of them on average."""
+    share, p = (k - 1) / (c - 1), n / total
+    some = F.when(share > 0, share * F.log(share / p)).otherwise(0.0)
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0.0)
+    return c * rare * F.when((k > 1) & (share > p), F.exp(-(c - 1) * (some + rest))).otherwise(1.0)
 
 
 def disclosures(docs: DataFrame, found: DataFrame, held: DataFrame) -> DataFrame:
-    """Rows (entity, term, disclosure) of the terms to sanitise; ``found`` and ``held`` are settled."""
+    """Rows (entity, term, disclosure) of the terms to sanitise; ``found`` and ``held`` are settled and
+    have their versions as contexts."""
     per_entity = held.groupBy("entity").agg(F.count("*").alias("n_e"), F.count_distinct("context").alias("contexts"))
-    terms = found.groupBy("context").agg(F.first("terms").alias("terms"))
+    terms = found.groupBy("context").agg(F.min("terms").alias("terms"))
     pairs = (
         held.select("entity", "context").distinct().join(terms, "context")
         .select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
     )
     # Counted per task first, so what is shuffled is one row per task and term.
-    spread = docs.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    spread = settle(docs.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")))
     whole = docs.agg(F.count("*").alias("n")).first()["n"]
     total = F.lit(float(max(1, whole)))
-    told = lambda p: F.log2(p * total / F.col("n_t")) / F.log2(total / F.col("n_e"))
-    # The share itself first: the bound is never higher.
-    likely = pairs.join(spread, "term").join(per_entity.where(F.col("n_e") < whole), "entity").where(told(F.col("n_te") / F.col("contexts")) >= GENERALISE)
-    return likely.select("entity", "term", told(at_least(F.col("n_te"), F.col("contexts"))).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    # A few hundred rows: how many words of at most this many documents a document holds.
+    counts = spread.groupBy(rarity(F.col("n_t")).alias("rarity")).agg(F.sum("n_t").alias("uses"))
+    rare = counts.select("rarity", (F.sum("uses").over(Window.orderBy("rarity")) / total).alias("rare"))
+    told = F.log2(F.col("n_te") / F.col("contexts") * total / F.col("n_t")) / F.log2(total / F.col("n_e"))
+    likely = pairs.join(per_entity.where(F.col("n_e") < whole), "entity").join(spread, "term").withColumn("disclosure", told)
+    likely = likely.where(F.col("disclosure") >= GENERALISE).withColumn("rarity", rarity(F.col("n_t"))).join(rare, "rarity")
+    chance = by_chance(F.col("n_te"), F.col("contexts"), F.col("n_t"), total, F.col("rare"))
+    return likely.where(chance <= DOUBT).select("entity", "term", "disclosure")
 
 
 def find(documents: DataFrame, *more: str) -> DataFrame:
     """Rows (doc_id, text, more columns, base, terms): spans of the four kinds, and of terms
     with the measure that chose them (``disclosure`` by term in ``told``)."""
     docs = _source(documents, *more)
-    found = settle(entities(docs))
+    read = settle(entities(docs))
+    same = versions(read.groupBy("context").agg(F.min("terms").alias("terms")))
+    found = settle(read.join(same, "context").select("row_key", "held", "terms", F.col("version").alias("context")))
     held = settle(alike(found))
     telling = settle(disclosures(docs, found, held))
-    by_row = settle(
-        held.select("row_key", "entity").join(telling, "entity").groupBy("row_key", "term").agg(F.max("disclosure").alias("d"))
-        .groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("told"))
-    )
-    split = bitmap.marked(docs, "row_key", by_row, "row_key")
-    touched = base_spans(split.where("maybe").drop("maybe").join(by_row, "row_key", "left"))
+    by_row = held.select("row_key", "entity").join(telling, "entity").groupBy("row_key", "term").agg(F.max("disclosure").alias("d")).groupBy(
+        "row_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("told"))
+    # Only these documents meet anything; the spans of all others are known to be none.
+    spans = settle(read.select("row_key", "base").dropDuplicates(["row_key"]).join(by_row, "row_key", "left"))
+    discard(read, same, found, held, telling)
+    split = bitmap.marked(docs, "row_key", spans, "row_key")
+    none = F.array().cast(SPAN)
+    touched = split.where("maybe").drop("maybe").join(spans, "row_key", "left").withColumn("base", F.coalesce("base", none))
     longest = F.array_sort(F.map_keys("told"), lambda a, b: F.length(b) - F.length(a))
     either = F.replace(F.replace(F.array_join(longest, "|"), F.lit("'"), F.lit("['\u2019\u02bc]")), F.lit("-"), F.lit("[\\x{2d}\u2010\u2011]"))
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), either, F.lit(r")(?![\p{L}\p{M}\p{N}])"))
     hits = F.regexp_extract_all("text", pattern, F.lit(0))
-    terms = F.when(F.col("told").isNull(), F.array().cast(SPAN)).otherwise(located("term", F.col("text"), pattern, hits))
+    terms = F.when(F.col("told").isNull(), none).otherwise(located("term", F.col("text"), pattern, hits))
     columns = ["doc_id", "text", *more, "base"]
-    told = F.coalesce("told", F.map_from_entries(F.array().cast("array<struct<term:string,d:double>>"))).alias("told")
-    untouched = base_spans(split.where("not maybe").drop("maybe")).select(
-        *columns, F.array().cast(SPAN).alias("terms"), F.map_from_entries(F.array().cast("array<struct<term:string,d:double>>")).alias("told")
-    )
-    return touched.select(*columns, terms.alias("terms"), told).unionByName(untouched)
+    nothing = F.map_from_entries(F.array().cast("array<struct<term:string,d:double>>"))
+    untouched = split.where("not maybe").select("doc_id", "text", *more, none.alias("base"), none.alias("terms"), nothing.alias("told"))
+    return touched.select(*columns, terms.alias("terms"), F.coalesce("told", nothing).alias("told")).unionByName(untouched)
 
 
 def span_text(spans: Column) -> Column:
@@ -220,11 +253,16 @@ def masked(text: Column, spans: Column, label) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(parts, ""), tail))
 
 
+def kind(value: Column) -> Column:
+    """The class that a term is generalised to, told by its form."""
+    return F.when(F.regexp_like(value, F.lit(r"\p{N}")), "[NUMBER]").when(F.regexp_like(value, F.lit(r"^\p{Lu}")), "[NAME]").otherwise("[WORD]")
+
+
 def sanitised(text: Column, base: Column, terms: Column, told: Column) -> Column:
     """The text with labels for spans."""
 
     def label(s: Column) -> Column:
         removed = F.element_at(told, plain(s["value"])) >= REMOVE
-        return F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(removed, "").otherwise("[TERM]")
+        return F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(removed, "").otherwise(kind(s["value"]))
 
     return masked(text, F.concat(base, terms), label)

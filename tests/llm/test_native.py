@@ -1,6 +1,7 @@
 """Fingerprints, chat, personal data and shards against plain Python on small fixtures."""
 
 import hashlib
+import collections
 import math
 import random
 import re
@@ -170,13 +171,76 @@ def test_masks_cover_all_of_overlapping_spans(spark):
     assert {i: t for i, t in rows} == {1: "call [PHONE] now", 2: "[EMAIL], [PHONE] and [IP]"}
 
 
-def test_bound_of_a_share(spark):
-    cases = [(1, 1), (2, 2), (6, 6), (3, 4), (50, 100), (1, 30)]
-    frame = spark.createDataFrame(cases, "k long, n long")
-    for k, n, p in frame.select("k", "n", privacy.at_least(F.col("k"), F.col("n"))).collect():
-        q = k / n
-        far = n * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0))
-        assert abs(far - math.log(1 / privacy.DOUBT)) < 1e-6 and 0 < p < q
+def plain_words(text):
+    text = text.lower().replace("\u2019", "'").replace("\u2010", "-")
+    found = re.findall(r"\w+(?:[-']\w+)*", text)
+    parts = [p for w in found for p in re.split("[-']", w)]
+    return {w for w in [*found, *parts] if len(w) >= 2 and re.search(r"[^\W\d_]", w)}
+
+
+def told(texts):
+    """Entity and term of every disclosure, by the formulas of the module, one after the other."""
+    n = len(texts)
+    spread = collections.Counter(w for t in texts.values() for w in plain_words(t))
+    uses = collections.Counter()
+    for k in spread.values():
+        uses[math.ceil(math.log(k) / math.log(privacy.RARITY))] += k
+    held = {}
+    for i, t in texts.items():
+        spans = base(t)
+        left = "".join(" " if any(a <= x < b for _, a, b in spans) else c for x, c in enumerate(t))
+        for k, a, b in spans:
+            held.setdefault(f"{k}:{t[a:b].lower()}", {})[i] = frozenset(plain_words(left))
+    out = set()
+    for e, docs in held.items():
+        contexts, c = set(docs.values()), len(set(docs.values()))
+        for t in set().union(*contexts) if len(docs) < n else ():
+            k, p = sum(t in x for x in contexts), spread[t] / n
+            if math.log2(k / c / p) / math.log2(n / len(docs)) < privacy.GENERALISE:
+                continue
+            rare = sum(v for r, v in uses.items() if r <= math.ceil(math.log(spread[t]) / math.log(privacy.RARITY))) / n
+            q = (k - 1) / (c - 1) if c > 1 else 0
+            far = (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0)) if k > 1 and q > p else 0
+            if c * rare * math.exp(-(c - 1) * far) <= privacy.DOUBT:
+                out.add((e, t))
+    return out
+
+
+def test_disclosures_equal_the_formulas(spark):
+    r = random.Random(12)
+    vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    texts = {i: " ".join(r.choices(vocabulary, k=r.randrange(3, 12))) + (f" a{i % 9}@x.org" if i % 40 < 3 else "") for i in range(1200)}
+    for i in texts:
+        if "a3@" in texts[i] and r.random() < 0.8:
+            texts[i] += " Zebulon"
+        if "a4@" in texts[i] and r.random() < 0.3:
+            texts[i] += " O\u2019Hara-Kim"
+    frame = privacy._source(docs(spark, list(texts.items())))
+    read = privacy.entities(frame)
+    # Entities of the same documents count as one, which here none is.
+    found = read.select("row_key", "held", "terms", "context")
+    got = {(x["entity"], x["term"]) for x in privacy.disclosures(frame, found, privacy.alike(found)).collect()}
+    assert got == told(texts) and ("email:a3@x.org", "zebulon") in got and len(got) < 20
+
+
+def test_versions_of_a_document_are_one_context(spark):
+    r = random.Random(13)
+    texts = {i: " ".join(f"u{i}x{chr(97 + j % 26)}{j}" for j in range(60)) for i in range(40)}
+    for i in range(20):
+        own = texts[i].split()
+        own[r.randrange(60)] = f"z{i}"
+        texts[100 + i] = " ".join(own)
+        for j in (i, 100 + i):
+            texts[j] += f" box{i}@x.org"
+    texts |= {1000 + i: f"quiet words of no weight at all {i}" for i in range(9000)}
+    rows = privacy.find(docs(spark, list(texts.items()))).where("doc_id < 1000").collect()
+    # 59 rare words in both of two documents, which are versions: nothing is told by them.
+    assert len(rows) == 60 and sum(len(x["base"]) for x in rows) == 40 and not any(x["terms"] for x in rows)
+
+
+def test_classes_of_terms(spark):
+    values = spark.createDataFrame([("Zebulon", "[NAME]"), ("b12", "[NUMBER]"), ("Éva", "[NAME]"), ("harbour", "[WORD]")], "v string, want string")
+    assert all(x["got"] == x["want"] for x in values.select("want", privacy.kind(F.col("v")).alias("got")).collect())
 
 
 def test_shards_are_even_gapless_and_whole(spark):
