@@ -22,7 +22,9 @@ def marked(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> Dat
     at = f"cast(pmod(place, {CELL_BITS}) as int)"
     byte = f"cast(conv(hex(substring(bits, {at} div 8 + 1, 1)), 16, 10) as int)"
     placed = rows.withColumn("place", place(key))
-    found = placed.join(F.broadcast(cells), F.floor(F.col("place") / CELL_BITS) == F.col("cell"), "left")
+    # Never null, and said so: else a filter on the outcome would compute the key once more, below the join.
+    cell = F.coalesce(F.floor(F.col("place") / CELL_BITS), F.lit(-1))
+    found = placed.join(F.broadcast(cells), cell == F.col("cell"), "left")
     return found.withColumn("maybe", F.expr(f"bits is not null and {byte} & shiftleft(1, {at} % 8) != 0")).drop("place", "cell", "bits")
 
 

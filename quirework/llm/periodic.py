@@ -168,49 +168,51 @@ def largest_divisors(q: int) -> tuple[int, ...]:
     return (*out, q // rest) if rest > 1 else tuple(out)
 
 
-def agreement(one: np.ndarray, other: np.ndarray) -> int:
-    """How many first items are the same."""
-    n = min(len(one), len(other))
-    unlike = one[:n] != other[:n]
-    i = int(unlike.argmax()) if n else 0
-    return i if n and unlike[i] else n
-
-
-class Boundary:
-    """The two Z-functions of a boundary: ``ahead(q)`` and ``behind(q)`` words agree with those q
-    words later. Few values are compared each for itself, many are computed at once."""
-
-    def __init__(self, words: np.ndarray, at: int, octave: Octave, whole: bool):
-        self.words, self.at, self.reach, self.z = words, at, octave.reach, None
-        if whole:
-            high, text = min(octave.high, len(words) - at + 1), words.tolist()
-            before = text[max(0, at - self.reach) : at]
-            turned = [*reversed(before), -1, *reversed(text[max(0, at - self.reach) : at + high - 1])]
-            back = z_function(turned, len(before) + high + 1)
-            # Behind: the value of the place where the words up to q words behind the boundary begin, read backwards.
-            self.z = z_function(text[at : at + self.reach + high], high), [0, *(back[len(before) + high - q] for q in range(1, high))]
-
-    def ahead(self, q: int, most: int) -> int:
-        if self.z:
-            return min(most, self.z[0][q]) if q < len(self.z[0]) else 0
-        return agreement(self.words[self.at : self.at + most], self.words[self.at + q : self.at + q + most])
-
-    def behind(self, q: int) -> int:
-        if self.z:
-            return min(self.reach, self.z[1][q])
-        low = max(0, self.at - self.reach)
-        return agreement(self.words[low : self.at][::-1], self.words[low + q : self.at + q][::-1])
-
-
-def fragments(words: np.ndarray, at: int, periods: list[int], octave: Octave) -> Iterator[tuple[int, int, int]]:
-    """(period, from, to) of the matches around a boundary, as far as the reach goes."""
-    here = Boundary(words, at, octave, len(periods) > MANY)
-    for q in periods:
-        if at + q > len(words):
-            continue
-        back, on = here.behind(q), here.ahead(q, octave.reach)
-        if back + on >= octave.need(q) and not any(here.ahead(d, q - d) >= q - d for d in largest_divisors(q)):
-            yield q, at - back, at + on
+class Tile:
+    """The two Z-functions of the boundaries of a tile, ``ahead`` and ``behind``: how many words after,
+    or before, the boundary agree with those q words later. Values are found singly where few are
+    asked for, all at once where many are. Inside a run all agree, which one comparison of
+    bytes tells."""
+
+    def __init__(self, words: np.ndarray, octave: Octave):
+        self.words, self.raw, self.octave, self.reach = words, words.tobytes(), octave, octave.reach
+        self.text: list[int] | None = None
+
+    def same(self, a: int, b: int, n: int) -> bool:
+        return self.raw[4 * a : 4 * (a + n)] == self.raw[4 * b : 4 * (b + n)]
+
+    def ahead(self, at: int, q: int) -> int:
+        n = min(self.reach, len(self.words) - at - q)
+        if n <= 0 or self.same(at, at + q, n):
+            return max(n, 0)
+        return int((self.words[at : at + n] != self.words[at + q : at + q + n]).argmax())
+
+    def behind(self, at: int, q: int) -> int:
+        n = min(self.reach, at)
+        if n == 0 or self.same(at - n, at + q - n, n):
+            return n
+        return int((self.words[at - n : at] != self.words[at + q - n : at + q])[::-1].argmax())
+
+    def all_values(self, at: int) -> tuple[list[int], list[int]]:
+        self.text = self.text or self.words.tolist()
+        low, high = max(0, at - self.reach), min(self.octave.high, len(self.words) - at + 1)
+        before = self.text[low:at]
+        turned = [*reversed(before), -1, *reversed(self.text[low : at + high - 1])]
+        back = z_function(turned, len(before) + high + 1)
+        # The value of the place where the words up to q words behind the boundary begin, read backwards.
+        behind = [0, *(min(self.reach, back[len(before) + high - q]) for q in range(1, high))]
+        on = z_function(self.text[at : at + self.reach + high], high)
+        return [min(self.reach, z) for z in on] + [0] * (high - len(on)), behind
+
+    def fragments(self, at: int, periods: list[int]) -> Iterator[tuple[int, int, int]]:
+        """(period, from, to) of the matches around a boundary, as far as the reach goes."""
+        values = self.all_values(at) if len(periods) > MANY else None
+        for q in periods:
+            if at + q > len(self.words):
+                continue
+            on, back = (values[0][q], values[1][q]) if values else (self.ahead(at, q), self.behind(at, q))
+            if back + on >= self.octave.need(q) and not any(self.same(at, at + d, q - d) for d in largest_divisors(q)):
+                yield q, at - back, at + on
 
 
 def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,12 +221,12 @@ def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         out: list[tuple[int, int, int, int]] = []
         for row in range(len(batch)):
             low, base, tile = lows[row].as_py(), bases[row].as_py(), np.asarray(words[row].values)
-            octave = Octave(low, FIRST_OCTAVE if low == 1 else 2 * low)
+            solver = Tile(tile, Octave(low, FIRST_OCTAVE if low == 1 else 2 * low))
             last: dict[int, list[int]] = {}
             places, asked = np.asarray(marks[row].values), np.asarray(periods[row].values)
             cuts = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), len(places)]
             for i, j in zip(cuts, cuts[1:], strict=False):
-                for q, start, end in fragments(tile, int(places[i]), asked[i:j].tolist(), octave):
+                for q, start, end in solver.fragments(int(places[i]), asked[i:j].tolist()):
                     held = last.get(q)
                     if held and start <= held[1]:
                         held[1] = max(held[1], end)
