@@ -68,7 +68,7 @@ FROM (SELECT *, trim(text, {WS}) AS t, regexp_matches(text, '[{A}]') AS alnum,
 FROM {src})))"""
 
 
-def first_pass(src, domv):
+def first_pass(src, domv, per="doc_id"):
     d = "(font_size - dominant_size)"
     net = rf"""
  1.5*(CASE WHEN {d}>4.5 THEN 1 WHEN {d}>2 THEN 0.6 WHEN abs({d})<=0.75 THEN -0.5 WHEN {d}<-1 THEN -0.8 ELSE 0 END)::DOUBLE
@@ -85,14 +85,14 @@ def first_pass(src, domv):
     return f"""
 SELECT * EXCLUDE (block_type), kind AS block_type,
   CASE WHEN kind='HEADING' THEN least(6, lvl) END AS heading_level
-FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id, kind ORDER BY font_size DESC) AS lvl
+FROM (SELECT *, dense_rank() OVER (PARTITION BY {per}, kind ORDER BY font_size DESC) AS lvl
 FROM (SELECT *, CASE WHEN t='' THEN 'UNKNOWN' WHEN y1<=60 THEN 'HEADER' WHEN y0>=page_height-60 THEN 'FOOTER'
     WHEN c>=0.65 THEN 'HEADING' WHEN {lst} THEN 'LIST' WHEN {cap} THEN 'CAPTION' WHEN c<0.35 THEN 'PARAGRAPH' ELSE 'UNKNOWN' END AS kind,
   CASE WHEN t='' THEN 1 WHEN y1<=60 OR y0>=page_height-60 THEN 0.95 WHEN c<0.65 AND ({lst} OR {cap}) THEN 0.9 ELSE round(c,3) END AS class_confidence
 FROM (SELECT *, 1/(1+exp(-net_score)) AS c FROM (SELECT *, {net} AS net_score
 FROM (SELECT b.*, dominant_size, trim(text, {WS}) AS t, len(string_split(text,chr(10))) AS nl,
    lag(y1) OVER w AS py1, lead(y0) OVER w AS ny0, lag(font_size) OVER w AS ps, lead(font_size) OVER w AS ns
-   FROM {src} b JOIN {domv} USING (doc_id) WINDOW w AS (PARTITION BY b.doc_id, page_number ORDER BY seq))))))"""
+   FROM {src} b JOIN {domv} USING ({per}) WINDOW w AS (PARTITION BY b.doc_id, page_number ORDER BY seq))))))"""
 
 
 def rorder(src, head, foot, span, bymx):

@@ -78,8 +78,10 @@ FROM (SELECT doc_id, page_number, seq, x0, y0, y1, unnest(string_split(text,' ')
 view("ocrb", "wrd", f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, block_num) - 1 AS seq FROM (
 SELECT doc_id, page_number, block_num, trim(string_agg(text,' ' ORDER BY x0, i), {WS}) AS text, min(x0)*595/1190 AS x0, min(y0)*440/880 AS y0, max(x1)*595/1190 AS x1, max(y1)*440/880 AS y1,
  avg(y1-y0)*440/880 AS font_size, avg(confidence) AS ocr_confidence, false AS bold, 440::DOUBLE AS page_height FROM wrd GROUP BY doc_id, page_number, block_num)""")
-view("ocrd", "ocrb", "SELECT doc_id, first(v ORDER BY w DESC, f) AS dominant_size FROM (SELECT doc_id, font_size AS v, sum(length(text)) AS w, min(seq) AS f FROM ocrb GROUP BY ALL) GROUP BY doc_id")
-view("ocrc", "ocrb ocrd", first_pass("(SELECT *, 'x' AS block_type FROM ocrb)", "ocrd"))
+view("ocrd", "ocrb", """SELECT doc_id, page_number, first(v ORDER BY w DESC, f) AS dominant_size FROM (
+ SELECT p.doc_id, p.page_number, o.font_size AS v, sum(length(o.text)) AS w, min(o.seq) AS f FROM (SELECT DISTINCT doc_id, page_number FROM ocrb) p
+ JOIN ocrb o ON o.doc_id=p.doc_id AND o.page_number<=p.page_number GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+view("ocrc", "ocrb ocrd", first_pass("(SELECT *, 'x' AS block_type FROM ocrb)", "ocrd", "doc_id, page_number"))
 view("ol", "blk2", "SELECT * REPLACE ('o'||block_id AS block_id, y0+5 AS y0, y1+5 AS y1, 1::DOUBLE-0.1::DOUBLE*(length(text)%7) AS confidence, 'OCR' AS provenance, reading_order+1 AS reading_order) FROM blk2")
 view("ocand", "blk2 ol", """SELECT a.doc_id, a.page_number, a.seq AS n_seq, b.seq AS o_seq FROM blk2 a JOIN ol b ON a.doc_id=b.doc_id AND a.page_number=b.page_number
 WHERE least(a.x1,b.x1)>greatest(a.x0,b.x0) AND least(a.y1,b.y1)>greatest(a.y0,b.y0)
@@ -179,7 +181,7 @@ SQL = {
     "immutability_diff": "SELECT CAST(p_partkey AS VARCHAR) AS entity_id, CASE WHEN p_partkey%8=0 THEN 'deleted' ELSE 'changed' END AS change FROM part WHERE p_partkey%8=0 OR p_partkey%9=0",
     "ocr_screen": build("blk", "SELECT doc_id, page_number, coalesce(sum(length(text)) FILTER (page_number%5<>0),0) AS chars, coalesce(sum(length(text)) FILTER (page_number%5<>0),0)<400 AS needs_ocr FROM blk GROUP BY ALL"),
     "ocr_blocks": build("ocrb", "SELECT doc_id, page_number, block_num, seq, text, round(x0,9) AS x0, round(y0,9) AS y0, round(x1,9) AS x1, round(y1,9) AS y1, round(font_size,9) AS font_size, round(ocr_confidence,9) AS ocr_confidence FROM ocrb"),
-    "ocr_classify": build("ocrc", "SELECT doc_id, block_num, block_type, heading_level FROM ocrc"),
+    "ocr_classify": build("ocrc", "SELECT doc_id, block_num, block_type, heading_level, round(round(ocr_confidence*class_confidence, 3), 9) AS confidence FROM ocrc"),
     "ocr_merge_candidates": build("ocand", "SELECT * FROM ocand"),
     "ocr_merge": build("omg", "SELECT doc_id, block_id, page_number, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, ro, layer, ins) AS reading_order, provenance FROM omg"),
     "ocr_page_confidence": build("opc", "SELECT * FROM opc"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.geometry import bands, band_of
 from .classify import NUMBERING, heading_levels, with_dominant
-from .ordered import CHUNK_ROWS, dense_position
+from .ordered import CHUNK_ROWS, dense_position, running
 
 PAGE = ("doc_id", "page_number")
 BAND = 64.0
@@ -135,9 +135,35 @@ LIST_PREFIXES = ("\u2022", "-", "*", "o", "\u25aa", "1.", "2.", "3.", "a.", "b."
 CAPTION_PREFIXES = ("figure ", "fig. ", "table ", "tab. ", "image ", "illustration ")
 
 
-def first_pass(blocks: DataFrame, p: FirstPassParams = FirstPassParams(), rows: int = CHUNK_ROWS) -> DataFrame:
-    """Type and confidence from position, eight signals and prefixes; then heading levels."""
-    df = with_dominant(blocks, {"dominant_size": ("coalesce(font_size, 10D)", "length(text)")}, rows)
+def dominant_so_far(blocks: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
+    """(doc_id, page_number, dominant_size): the size of most characters on this page and those
+    before it; of equal ones the first seen.
+
+    The count of a size only grows, so the leader of a page is the largest of all counts reached
+    so far: a running sum per size, then a running maximum per document, both in chunks of pages."""
+    size = F.expr("coalesce(font_size, 10D)")
+    per = blocks.groupBy(*PAGE, size.alias("s")).agg(F.sum(F.length("text")).alias("n"), F.min("seq").alias("first"))
+    seen = per.groupBy("doc_id", "s").agg(F.min("first").alias("_first"))
+    counted = running(per, {"so_far": ("sum", F.col("n"))}, rows=rows, doc=["doc_id", "s"], seq="page_number").drop("chunk")
+    reached = counted.join(seen, ["doc_id", "s"]).groupBy(*PAGE).agg(F.max(F.struct("so_far", -F.col("_first"), "s")).alias("best"))
+    return running(reached, {"lead": ("max", F.col("best"))}, rows=rows, seq="page_number").select(*PAGE, F.col("lead.s").alias("dominant_size"))
+
+
+def page_heading_levels(scored: DataFrame) -> DataFrame:
+    """Rank of the heading size on its page, largest first, at most 6."""
+    w = Window.partitionBy(*PAGE, F.col("block_type") == "HEADING").orderBy(F.desc("s"))
+    return scored.withColumn("heading_level", F.when(F.col("block_type") == "HEADING", F.least(F.dense_rank().over(w), F.lit(6))))
+
+
+def first_pass(blocks: DataFrame, p: FirstPassParams = FirstPassParams(), rows: int = CHUNK_ROWS, by_page: bool = False) -> DataFrame:
+    """Type and confidence from position, eight signals and prefixes; then heading levels.
+
+    ``by_page`` is for pages that arrive one after the other: a page is judged by the sizes of the
+    pages up to it, and its heading levels are its own."""
+    if by_page:
+        df = blocks.join(dominant_so_far(blocks, rows), [*PAGE])
+    else:
+        df = with_dominant(blocks, {"dominant_size": ("coalesce(font_size, 10D)", "length(text)")}, rows)
     w = Window.partitionBy(*PAGE).orderBy("seq")
     df = df.withColumns(
         {
@@ -184,7 +210,7 @@ def first_pass(blocks: DataFrame, p: FirstPassParams = FirstPassParams(), rows:
         f"({listed} OR {captioned}) THEN 0.9D ELSE round(_conf, 3) END"
     )
     df = df.withColumns({"block_type": F.expr(kind), "class_confidence": F.expr(conf)})
-    df = heading_levels(df, size="s", rows=rows)
+    df = page_heading_levels(df) if by_page else heading_levels(df, size="s", rows=rows)
     return df.drop("t", "s", "_py1", "_ny0", "_ps", "_ns", "_conf")
 
 

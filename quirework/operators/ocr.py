@@ -63,8 +63,9 @@ def words_to_blocks(words: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def classified_words(blocks: DataFrame, p: FirstPassParams = FirstPassParams()) -> DataFrame:
-    """First-pass type; confidence is word confidence times class confidence, 3 digits."""
-    return first_pass(blocks, p).withColumn(
+    """First-pass type of recognised pages, each judged by the pages up to it; confidence is word
+    confidence times class confidence, 3 digits."""
+    return first_pass(blocks, p, by_page=True).withColumn(
         "confidence", F.round(F.col("ocr_confidence") * F.col("class_confidence"), 3)
     )
 

@@ -280,7 +280,8 @@ QUERIES = {
     "ocr_screen": screened,
     "ocr_blocks": lambda s, d: r9(ocr_layout(s, d), "x0", "x1", "y0", "y1", "font_size", "ocr_confidence").select(
         "doc_id", "page_number", "block_num", "seq", "text", "x0", "y0", "x1", "y1", "font_size", "ocr_confidence"),
-    "ocr_classify": lambda s, d: ocr.classified_words(ocr_layout(s, d)).select("doc_id", "block_num", "block_type", "heading_level"),
+    "ocr_classify": lambda s, d: r9(ocr.classified_words(ocr_layout(s, d)), "confidence").select(
+        "doc_id", "block_num", "block_type", "heading_level", "confidence"),
     "ocr_merge_candidates": lambda s, d: ocr.overlap_candidates(native(s, d), recognised(s, d)),
     "ocr_merge": lambda s, d: ocr.renumber(merged(s, d)).select("doc_id", "block_id", "page_number", "reading_order", "provenance"),
     "ocr_page_confidence": page_conf,

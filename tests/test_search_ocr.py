@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quirework.operators import assembly as asm
 from quirework.operators import context as cx
 from quirework.operators import jobs as jb
 from quirework.operators import ocr
@@ -101,3 +102,27 @@ def test_job_transitions(spark):
     ev = spark.createDataFrame([("j", 1, "queued", "2024-01-01 00:00:00"), ("j", 2, "processing", "2024-01-02 00:00:00"), ("j", 3, "completed", "2024-01-02 01:00:00"), ("j", 4, "queued", "2024-01-05 00:00:00")],
                                "job_id string, event_id int, status string, updated_at string").withColumn("updated_at", F.to_timestamp("updated_at"))
     assert [(r.previous, r.valid) for r in jb.transitions(ev).orderBy("event_id").collect()] == [(None, True), ("queued", True), ("processing", True), ("completed", False)]
+
+
+def test_pages_are_judged_by_the_pages_up_to_them(spark, blocks):
+    """A running leader by characters, ties to the size seen first, at any length of a chunk."""
+    rnd = random.Random(5)
+    rows = [{"page": 1 + i // 3, "size": rnd.choice([9.0, 10.0, 12.0, 30.0]), "text": "x" * rnd.choice([5, 10, 20])} for i in range(60)]
+    counts, want = {}, {}
+    for i, r in enumerate(rows):
+        counts[r["size"]] = counts.get(r["size"], 0) + len(r["text"])
+        want[r["page"]] = max(counts, key=counts.get)
+    assert len(set(want.values())) > 1
+    for chunk in (2, 7, 1000):
+        got = asm.dominant_so_far(blocks(rows), chunk)
+        assert {r.page_number: r.dominant_size for r in got.collect()} == want
+
+
+def test_heading_levels_of_recognised_pages_are_their_own(spark, blocks):
+    big = {"bold": True, "text": "CHAPTER"}
+    plain = [{"page": p, "size": 10.0, "text": "plain body text that goes on for a while. " * 6} for p in (1, 2)]
+    rows = [plain[0], {"page": 1, "size": 30.0} | big, {"page": 1, "size": 20.0} | big, plain[1], {"page": 2, "size": 20.0} | big]
+    got = asm.first_pass(blocks(rows), by_page=True).where("block_type = 'HEADING'").collect()
+    assert {(r.page_number, r.font_size): r.heading_level for r in got} == {(1, 30.0): 1, (1, 20.0): 2, (2, 20.0): 1}
+    same = asm.first_pass(blocks(rows)).where("block_type = 'HEADING'").collect()
+    assert {(r.page_number, r.font_size): r.heading_level for r in same} == {(1, 30.0): 1, (1, 20.0): 2, (2, 20.0): 2}
