@@ -57,7 +57,8 @@ def node(length: Column, prefix: Column) -> Column:
 
 
 def edges(words: DataFrame, half: Column, least_half: int) -> DataFrame:
-    """The trie of a column ``word`` as distinct rows (node, label, child).
+    """The trie of a column ``word`` as distinct rows (node, label, child, heads): ``heads`` are the
+    characters with which words go on behind the child.
 
     A prefix is a node where a word ends, where a search starts (``half`` code points of some
     word that looks for this length), or where fewer words go on than came here."""
@@ -79,7 +80,9 @@ def edges(words: DataFrame, half: Column, least_half: int) -> DataFrame:
         F.substring(F.col("word"), F.get(F.col("stops"), i)["pos"] + 1, p["pos"] - F.get(F.col("stops"), i)["pos"]).alias("label"),
         p["node"].alias("child"),
     ))
-    return kept.where(F.size("stops") > 1).select(F.explode(steps).alias("e")).select("e.*").distinct()
+    found = settle(kept.where(F.size("stops") > 1).select(F.explode(steps).alias("e")).select("e.*").distinct())
+    heads = found.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("heads"))
+    return found.join(heads, "child", "left").select("node", "label", "child", F.coalesce("heads", F.lit("")).alias("heads"))
 
 
 def step(states: DataFrame, trie: DataFrame) -> DataFrame:
@@ -96,8 +99,12 @@ def step(states: DataFrame, trie: DataFrame) -> DataFrame:
     edited = F.col("target").isNull() & (F.length(rest) >= part) & near & ((F.col("shorter") == 1) | (moved > F.col("word")))
     ahead = lambda n, target: F.struct((F.col("pos") + n).alias("pos"), target.alias("target"))
     moves = F.array(F.when(exact, ahead(k, F.col("target"))), F.when(edited, ahead(part, moved)))
-    out = at.select("word", "shorter", "child", F.explode(F.array_compact(moves)).alias("m"))
-    return out.select("word", "shorter", F.col("child").alias("node"), "m.pos", "m.target")
+    out = at.select("word", "shorter", "child", "heads", F.explode(F.array_compact(moves)).alias("m"))
+    out = out.select("word", "shorter", F.col("child").alias("node"), "heads", "m.pos", "m.target")
+    # A state goes on if its next character does here; before the edit any will do.
+    size, ahead_of = F.length("word"), F.contains(F.col("heads"), F.substring(F.col("word"), F.col("pos") + 1, F.lit(1)))
+    unedited = (F.col("heads") != "") | ((F.col("shorter") == 1) & (F.col("pos") == size - 1))
+    return out.where(F.when(F.col("target").isNull(), unedited).otherwise((F.col("pos") == size) | ahead_of)).drop("heads")
 
 
 def halves(words: DataFrame, half: Column, least_half: int) -> DataFrame:
