@@ -9,10 +9,12 @@ downsized to the smallest permitted length that holds its contents.
 Documents longer than the largest size are cut into pieces of that size; nothing is left
 out. Pieces are dealt by hash to groups of about ``GROUP_PIECES``, which are packed
 independently: a task holds one group (lengths and ids, no texts), and there are more groups where
-there are more documents.
+there are more documents. The place of a stored piece is part of the hash, so rows that share
+an id, even a third of all, spread like others. :func:`sequences` joins the words of the pieces.
 
 Defined results: a null or empty text is one piece of the length of its end mark; repeated
-rows are packed each; an empty table gives no rows; further columns are ignored.
+rows are packed each; ids are integers (text ids are cast, those that are no numbers fail); a
+null id stays null; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.settle import settle
+from . import words as wd
 
 CAPACITIES = (512, 1024, 2048, 4096)
 SEQUENCE_COST = 16
@@ -116,10 +119,10 @@ def _packed_rows(capacities: tuple[int, ...]):
         placed = [packer.place(r[4]) for r in rows]
         columns = [
             [r[0] for r in rows], [n for n, _ in placed], [packer.final_capacity(n) for n, _ in placed], [o for _, o in placed],
-            [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows],
+            [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows],
         ]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-        names = ["group", "bin", "capacity", "offset", "doc_id", "piece", "first", "length"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+        names = ["group", "bin", "capacity", "offset", "doc_id", "piece", "first", "length", "unit"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,24 +139,60 @@ def _packed_rows(capacities: tuple[int, ...]):
     return run
 
 
+def unit(text: Column) -> Column:
+    """What tells rows of another id or text apart."""
+    return F.xxhash64("doc_id", text)
+
+
 def lengths(documents: DataFrame) -> DataFrame:
-    """(doc_id, length): words of the whole text and one for its end mark."""
-    return documents.select("doc_id", (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)) + 1).cast("long").alias("length"))
+    """(doc_id, length, unit): words of the whole text and one for its end mark."""
+    text = F.coalesce("text", F.lit(""))
+    return documents.select("doc_id", (F.regexp_count(text, F.lit(WORD)) + 1).cast("long").alias("length"), unit(text).alias("unit"))
 
 
 def pack(measured: DataFrame, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
-    """Rows (group, bin, capacity, offset, doc_id, piece, first, length) of (doc_id, length):
-    where in a sequence of ``capacity`` the units from ``first`` on of a document stand."""
+    """Rows (group, bin, capacity, offset, doc_id, piece, first, length, unit) of (doc_id, length,
+    unit): where in a sequence of ``capacity`` the units from ``first`` on of a document stand."""
     largest = max(capacities)
     pieces = settle(
-        measured.select("doc_id", "length", F.explode(F.sequence(F.lit(0), F.ceil(F.col("length") / largest).cast("int") - 1)).alias("piece"))
+        measured.select("doc_id", "length", "unit", F.explode(F.sequence(F.lit(0), F.ceil(F.col("length") / largest).cast("int") - 1)).alias("piece"))
         .select(
             F.col("doc_id").cast("long").alias("doc_id"), "piece", (F.col("piece").cast("long") * largest).alias("first"),
-            F.least(F.lit(largest), F.col("length") - F.col("piece").cast("long") * largest).cast("int").alias("length"),
+            F.least(F.lit(largest), F.col("length") - F.col("piece").cast("long") * largest).cast("int").alias("length"), "unit",
+            F.monotonically_increasing_id().alias("place"),
         )
     )
     groups = max(1, math.ceil(pieces.count() / GROUP_PIECES))
-    dealt = pieces.select(F.pmod(F.xxhash64("doc_id", "piece", F.lit(9)), F.lit(groups)).alias("group"), "doc_id", "piece", "first", "length")
-    return dealt.repartition("group").sortWithinPartitions("group", F.desc("length"), "doc_id", "piece").mapInArrow(
-        _packed_rows(capacities), "group long, bin long, capacity int, offset int, doc_id long, piece int, first long, length int"
+    dealt = pieces.select(F.pmod(F.xxhash64("place", "piece", F.lit(9)), F.lit(groups)).alias("group"), "doc_id", "piece", "first", "length", "unit")
+    return dealt.repartition("group").sortWithinPartitions("group", F.desc("length"), "doc_id", "piece", "unit").mapInArrow(
+        _packed_rows(capacities), "group long, bin long, capacity int, offset int, doc_id long, piece int, first long, length int, unit long"
     )
+
+
+def _piece_rows(largest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units, rows, numbers, texts = batch.column(batch.schema.get_field_index("unit")), [], [], []
+            for d in wd.documents(batch.column(batch.schema.get_field_index("text"))):
+                raw = d.data.tobytes() if len(d) else b""
+                for piece in range(len(d) // largest + 1):
+                    own = slice(piece * largest, (piece + 1) * largest)
+                    rows.append(d.row)
+                    numbers.append(piece)
+                    texts.append(b" ".join([raw[s:e] for s, e in zip(d.starts[own].tolist(), d.ends[own].tolist(), strict=True)]).decode())
+            yield pa.RecordBatch.from_arrays(
+                [units.take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], ["unit", "piece", "text"]
+            )
+
+    return run
+
+
+def sequences(documents: DataFrame, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
+    """:func:`pack` with the ``text`` of every piece, its words joined by one space. A sequence is
+    the pieces of one (group, bin) by ``offset``, an end mark behind the last piece of each document."""
+    text = F.coalesce("text", F.lit(""))
+    once = documents.select(text.alias("text"), unit(text).alias("unit")).mapInArrow(_piece_rows(max(capacities)), "unit long, piece int, text string")
+    # Rows that repeat id and text have one text between them; their pieces are placed each.
+    texts = once.groupBy("unit", "piece").agg(F.first("text").alias("text"))
+    placed = pack(lengths(documents), capacities)
+    return placed.join(texts, ["unit", "piece"]).select(*[c for c in placed.columns if c != "unit"], "text")

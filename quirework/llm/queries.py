@@ -84,7 +84,7 @@ def op6_fuzzy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.lengths(table(spark, sf_dir, "documents")))
+    return packing.pack(packing.lengths(table(spark, sf_dir, "documents"))).drop("unit")
 
 
 def op8_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
