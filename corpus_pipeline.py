@@ -8,7 +8,7 @@ reads it again, so a lost executor costs at most the stage at hand.
 2. ngram_join: of each group of near duplicates the document with the smallest id stays.
 3. substring_dedup: passages that an earlier document holds are cut from texts.
 4. privacy: personal data and terms that disclose it are masked.
-5. packing: documents are packed into sequences of several lengths.
+5. packing: documents are packed into sequences of several lengths; a row is a piece with its text.
 
 Texts that no stage changes stay as they are. A null text stays null where nothing is to be
 changed or becomes empty; rows that repeat an id and a text count once after stage 2; empty
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import bitmap, ngram_join, packing, privacy, substring_dedup, toxicity
-from quirework.operators.settle import settle
+from quirework.operators.settle import discard, settle
 
 
 def carried(docs: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.lengths(docs))
+    return packing.sequences(docs)
 
 
 STAGES = [
@@ -87,9 +87,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = settle(docs)
+        before, docs = docs, settle(stage(spark, docs, sf_dir))
+        discard(before)
     return docs
 
 
