@@ -6,6 +6,7 @@ from .search_sql import GROUNDING, NO_CONTEXT, OUTPUT_FORMAT, lit, search_chain
 view("k_qry", "", """SELECT * EXCLUDE (ts), list_filter(ts, lambda x, i: list_position(ts, x) = i) AS terms FROM (
  SELECT doc_id AS query_id, ' Title THE Definition-'||(doc_id%10) AS query, 'title the definition-'||(doc_id%10) AS normalized,
   ['title','the','definition',CAST(doc_id%10 AS VARCHAR)] AS ts, concat('v', doc_id) AS version_id, 5 AS top_k, CASE WHEN doc_id%3=0 THEN 3 ELSE 1 END AS depth,
+  true AS include_evidence, true AS include_passages,
   CAST(NULL AS VARCHAR[]) AS entity_types, CASE WHEN doc_id%4=0 THEN ['CONTAINS'] END AS relationship_types
  FROM documents WHERE doc_id%17<>0 AND doc_id%11<>0 AND doc_id%5<>0)""")
 view("k_ent", "ent_k", """SELECT version_id, entity_id, min(n).node_id AS node_id, min(n).doc_id AS doc_id, min(n).category AS entity_type, min(n).title AS title, min(n).title AS content, min(n).stable_id AS stable_id,

@@ -18,7 +18,8 @@ FROM (SELECT p_partkey, p_partkey%7<>0 AND p_partkey%11<>0 AS ok, b.* FROM part
  JOIN blk b ON b.doc_id=c.doc_id AND b.seq=p_partkey%c.n)""")
 view("qry", "", """SELECT * EXCLUDE (ts), list_filter(ts, lambda x, i: list_position(ts, x) = i) AS terms FROM (SELECT *, string_split(regexp_replace(normalized,'[^a-z0-9]+',' ','g'),' ') AS ts FROM (
  SELECT q AS query_id, concat(' ',upper(q),' ') AS query, lower(q) AS normalized, 10 AS top_k, concat('v', length(q)%4) AS version_id,
-  CASE length(q)%7 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE length(q)%2 END AS depth,
+  CASE WHEN length(q)%9=0 THEN 0 ELSE CASE length(q)%7 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE length(q)%2 END END AS depth,
+  length(q)%11<>0 AS include_evidence, length(q)%10<>0 AS include_passages,
   CASE WHEN length(q)%4=0 THEN ['PROMO','SMALL'] END AS entity_types, CASE WHEN length(q)%5=0 THEN ['CONTAINS','EXPLAINS'] END AS relationship_types
  FROM (SELECT DISTINCT unnest([p_name, split_part(p_name,' ',1), lower(p_type), split_part(p_name,' ',1)||' '||lower(p_type)]) AS q FROM part) WHERE length(q)%13<>0))""")
 def search_chain(x: str, ent: str, rel: str, qry: str, evd: str, blk: str) -> None:
@@ -45,11 +46,12 @@ def search_chain(x: str, ent: str, rel: str, qry: str, evd: str, blk: str) -> No
     view(f"{x}loc", f"{evd} {blk}", f"""SELECT evidence_id, document_id, first(block_id ORDER BY area DESC, reading_order, block_id) AS block_id FROM (
      SELECT e.evidence_id, e.document_id, b.block_id, b.reading_order, round((least(e.x1,b.x1)-greatest(e.x0,b.x0))*(least(e.y1,b.y1)-greatest(e.y0,b.y0)),6) AS area
      FROM {evd} e JOIN {blk} b ON b.doc_id=e.document_id AND b.page_number=e.page_number AND e.x0 IS NOT NULL AND least(e.x1,b.x1)>greatest(e.x0,b.x0) AND least(e.y1,b.y1)>greatest(e.y0,b.y0)) GROUP BY ALL""")
-    view(f"{x}cev", f"{x}cand {evd}", f"SELECT c.query_id, e.*, e.page_number IS NULL AS is_stale FROM {x}cand c JOIN {evd} e USING (entity_id)")
-    view(f"{x}psg", f"{x}cev {x}loc {blk}", f"""SELECT l.query_id, l.entity_id, l.block_id, f.section_title, f.ord, b.previous_text, b.next_text, b.text, b.block_type
-    FROM (SELECT DISTINCT query_id, entity_id, block_id FROM {x}cev JOIN {x}loc USING (evidence_id) WHERE NOT is_stale) l
+    view(f"{x}cev", f"{x}cand {evd} {qry}", f"SELECT c.query_id, e.*, e.page_number IS NULL AS is_stale FROM {x}cand c JOIN {evd} e USING (entity_id) WHERE c.query_id IN (SELECT query_id FROM {qry} WHERE include_evidence)")
+    view(f"{x}pev", f"{x}cev {qry}", f"SELECT * FROM {x}cev WHERE query_id IN (SELECT query_id FROM {qry} WHERE include_passages)")
+    view(f"{x}psg", f"{x}pev {x}loc {blk}", f"""SELECT l.query_id, l.entity_id, l.block_id, f.section_title, f.ord, b.previous_text, b.next_text, b.text, b.block_type
+    FROM (SELECT DISTINCT query_id, entity_id, block_id FROM {x}pev JOIN {x}loc USING (evidence_id) WHERE NOT is_stale) l
     JOIN (SELECT query_id, block_id, first(section_title ORDER BY entity_id, page_number, evidence_id) AS section_title, min(row(entity_id, page_number, evidence_id)) AS ord
-      FROM {x}cev JOIN {x}loc USING (evidence_id) WHERE NOT is_stale GROUP BY ALL) f USING (query_id, block_id)
+      FROM {x}pev JOIN {x}loc USING (evidence_id) WHERE NOT is_stale GROUP BY ALL) f USING (query_id, block_id)
     JOIN (SELECT block_id, text, block_type, lag(text) OVER w AS previous_text, lead(text) OVER w AS next_text FROM {blk} WINDOW w AS (PARTITION BY doc_id ORDER BY seq)) b USING (block_id)""")
     view(f"{x}scr", f"{x}cand {ent} {qry} {x}cev {x}psg {x}rcand", f"""SELECT *, 0.3::DOUBLE*title_score+0.1::DOUBLE*content_score+0.15::DOUBLE*coverage_score+0.1::DOUBLE*type_score+0.1::DOUBLE*relationship_score+0.1::DOUBLE*evidence_score+0.1::DOUBLE*passage_score+0.05::DOUBLE*confidence_score AS total_score
     FROM (SELECT c.query_id, c.entity_id, c.hop, c.match_score, c.match_reason, e.stable_id, e.title, e.content, e.entity_type, q.top_k,
@@ -148,6 +150,10 @@ SQL = {
     "search_package": build("rnk rcand cev psg", """SELECT r.query_id, rank, r.entity_id, total_candidates, has_more, coalesce(o.n,0) AS n_outgoing, coalesce(i.n,0) AS n_incoming, coalesce(e.n,0) AS n_evidence, coalesce(p.n,0) AS n_passages FROM rnk r
        LEFT JOIN (SELECT query_id, source_entity_id AS entity_id, count(*) n FROM rcand GROUP BY ALL) o USING (query_id, entity_id) LEFT JOIN (SELECT query_id, target_entity_id AS entity_id, count(*) n FROM rcand GROUP BY ALL) i USING (query_id, entity_id)
        LEFT JOIN (SELECT query_id, entity_id, count(*) n FROM cev GROUP BY ALL) e USING (query_id, entity_id) LEFT JOIN (SELECT query_id, entity_id, count(*) n FROM psg GROUP BY ALL) p USING (query_id, entity_id)"""),
+    "search_provenance": build("qry rnk ent", """SELECT q.query_id, q.version_id, 'LEXICAL' AS strategy_used, array_to_string(terms, ' ') AS query_terms, coalesce(v.a, 0) AS approval_version, v.b AS document_id,
+       coalesce(w.n, 0) AS total_entity_count, coalesce(r.n, 0) AS total_candidates_considered, coalesce(r.n > q.top_k, false) AS has_more
+       FROM qry q LEFT JOIN (SELECT version_id, max(p_partkey)%5+1 AS a, min(p_partkey) AS b FROM ent GROUP BY 1 HAVING max(p_partkey)%5+1<>3) v USING (version_id)
+       LEFT JOIN (SELECT version_id, count(*) AS n FROM ent GROUP BY 1) w USING (version_id) LEFT JOIN (SELECT query_id, max(total_candidates) AS n FROM rnk GROUP BY 1) r USING (query_id)"""),
     "context_packing": build("srcs", "SELECT query_id, 'S'||cite AS citation_id, entity_id, block_id, CASE WHEN block_id IS NULL THEN 'ENTITY_CONTENT' ELSE block_type END AS provenance FROM srcs"),
     "context_packing_small": build("srcs_small", "SELECT query_id, 'S'||cite AS citation_id, entity_id, block_id, CASE WHEN block_id IS NULL THEN 'ENTITY_CONTENT' ELSE block_type END AS provenance FROM srcs_small"),
     "prompts": build("qry srcs", f"""SELECT q.query_id, {lit(GROUNDING)} || chr(10)||chr(10)||'SUPPLIED CONTEXT SOURCES:'||chr(10) || coalesce(s.c, '{NO_CONTEXT}') || chr(10)||chr(10) || {lit(OUTPUT_FORMAT)} || chr(10)||chr(10)||'USER QUERY: ' || q.query AS prompt

@@ -29,7 +29,7 @@ def rel(s, d):
 
 
 def qry(s, d):
-    return se.normalize_queries(se.accepted(src.search_requests(s, d)))
+    return se.with_options(se.normalize_queries(se.accepted(src.search_requests(s, d))))
 
 
 def hits(s, d):
@@ -55,11 +55,19 @@ def located(s, d):
 
 def found(s, d):
     c, _ = expanded(s, d)
-    ev = se.evidence_of(c, evd(s, d).drop("version_id"))
-    ps = stage(s, d, "passages", lambda: se.passages(ev, located(s, d), src.blocks(s, d)))
+    ev = se.wanted(se.evidence_of(c, evd(s, d).drop("version_id")), qry(s, d), "include_evidence")
+    read = se.wanted(ev, qry(s, d), "include_passages")
+    ps = stage(s, d, "passages", lambda: se.passages(read, located(s, d), src.blocks(s, d)))
     return ev, ps
 
 
+def search_provenance(s, d):
+    """The versions of the parts, approved and built from a document each."""
+    vs = ent(s, d).groupBy("version_id").agg((F.max("p_partkey") % 5 + 1).alias("approval_version"), F.min("p_partkey").alias("document_id"))
+    out = se.provenance(qry(s, d), ranked(s, d), vs.where("approval_version <> 3"), ent(s, d))
+    return out.withColumn("query_terms", F.array_join("query_terms", " "))
+
+
 def scored(s, d):
     c, r = expanded(s, d)
     ev, ps = found(s, d)
@@ -245,6 +253,7 @@ QUERIES = {
     "search_ranked_topk": lambda s, d: r9(ranked(s, d), "total_score").select(
         "query_id", "rank", "entity_id", "total_score", "match_reason", "hop", "total_candidates", "has_more"),
     "search_package": packaged,
+    "search_provenance": search_provenance,
     "package_outgoing": lambda s, d: package_rows(s, d, "outgoing", "target_entity_id", "relationship_type"),
     "package_incoming": lambda s, d: package_rows(s, d, "incoming", "source_entity_id", "relationship_type"),
     "package_evidence": lambda s, d: package_rows(s, d, "evidence", "evidence_id", "is_stale"),

@@ -234,7 +234,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names, their first words, part types and word-type pairs as queries of one version each.
-    One in 13 asks for more than is allowed."""
+    One in 13 asks for more than is allowed; some want no relationships, evidence or passages."""
     p = table(spark, sf_dir, "part").select("p_name", "p_type").distinct()
     q = p.select(
         F.explode(F.expr("array(p_name, split(p_name, ' ')[0], lower(p_type), concat(split(p_name, ' ')[0], ' ', lower(p_type)))"))
@@ -246,6 +246,8 @@ def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE length(query) % 7 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE length(query) % 2 END AS depth",
         "IF(length(query) % 4 = 0, array('PROMO', 'SMALL'), NULL) AS entity_types",
         "IF(length(query) % 5 = 0, array('CONTAINS', 'EXPLAINS'), NULL) AS relationship_types", "'LEXICAL' AS strategy",
+        "length(query) % 9 <> 0 AS include_relationships", "IF(length(query) % 11 = 0, false, NULL) AS include_evidence",
+        "length(query) % 10 <> 0 AS include_passages",
     )
 
 

@@ -52,7 +52,8 @@ def test_expand_skips_dangling_and_respects_types(spark):
 
 def test_weights_must_sum_to_one():
     with pytest.raises(ValueError):
-        se.RankingWeights(title=0.5)
+        se.shares({"title": 0.5})
+    assert se.shares({"title": 0.2, "content": 0.2})["coverage"] == 0.15
 
 
 def test_context_skips_what_does_not_fit(spark):
