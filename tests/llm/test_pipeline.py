@@ -37,10 +37,12 @@ def test_stages_equal_brute_force(spark, corpus):
     for name, stage in corpus_pipeline.STAGES:
         out = corpus_pipeline.settle(stage(spark, docs, path))
         if name == "packing":
-            got = {}
-            for x in out.collect():
+            got, words = {}, {}
+            for x in sorted(out.collect(), key=lambda x: x["first"]):
                 got[x["doc_id"]] = got.get(x["doc_id"], 0) + x["length"]
+                words.setdefault(x["doc_id"], []).extend(split(x["text"]))
             assert got == {i: len(split(t)) + 1 for i, t in state}
+            assert words == {i: split(t) for i, t in state}
             break
         assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
         rows = out.collect()

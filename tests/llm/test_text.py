@@ -283,6 +283,68 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack(packing.lengths(docs(spark, []))).count() == 0
 
 
+def naive_packing(lengths, capacities):
+    """The rule word by word: for every piece all bins are looked at, for every new bin all sizes are tried."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        n = left.pop(0)
+        fits = [b for b in bins if b[0] - sum(b[1]) >= n]
+        if fits:
+            # The fullest; of equal ones the one that was last given that room.
+            room = min(b[0] - sum(b[1]) for b in fits)
+            best = max((b for b in fits if b[0] - sum(b[1]) == room), key=lambda b: b[2])
+        else:
+            costs = []
+            for c in sorted(x for x in capacities if x >= n):
+                content = n
+                for m in left:
+                    content += m if content + m <= c else 0
+                costs.append(((min(x for x in capacities if x >= content) - content + packing.SEQUENCE_COST) / content, c))
+            best = [min(costs, key=lambda x: x[0])[1], [], 0]
+            bins.append(best)
+        best[1].append(n)
+        best[2] = max(b[2] for b in bins) + 1
+    return sorted((min(x for x in capacities if x >= sum(own)), *own) for _, own, _ in bins)
+
+
+def test_packing_equals_a_naive_best_fit():
+    r = random.Random(14)
+    for _ in range(60):
+        capacities = tuple(r.sample([16, 32, 48, 64, 100], r.randrange(1, 5)))
+        lengths = sorted((min(max(capacities), int(r.lognormvariate(2.5, 1)) + 1) for _ in range(r.randrange(1, 60))), reverse=True)
+        packer, got = packing.Packer(lengths, capacities), {}
+        for n in lengths:
+            number, offset = packer.place(n)
+            assert offset == sum(got.setdefault(number, []))
+            got[number].append(n)
+        assert sorted((packer.final_capacity(k), *own) for k, own in got.items()) == naive_packing(lengths, capacities)
+
+
+def test_packed_texts_and_rows_under_one_id(spark, monkeypatch):
+    """A third of the rows under one id, and half of those the same text, spread over the groups."""
+    monkeypatch.setattr(packing, "GROUP_PIECES", 100)
+    r = random.Random(15)
+    texts = [(i, "  ".join(f"w{r.randrange(50)}" for _ in range(r.randrange(0, 40)))) for i in range(400)]
+    texts += [(7, f"same {i % 2 and i}") for i in range(200)] + [(None, None), (900, "v\t" * 3000), (901, "x " * 63), (902, "x " * 64)]
+    rows = packing.sequences(docs(spark, texts), (64, 512)).collect()
+    per_group = [sum(x["group"] == g for x in rows) for g in {x["group"] for x in rows}]
+    assert len(per_group) >= 6 and max(per_group) < 2 * sum(per_group) / len(per_group)
+    assert len({x["group"] for x in rows if x["doc_id"] == 7}) == len(per_group)
+    pieces = {}
+    for x in rows:
+        words = split(x["text"])
+        assert x["text"] == " ".join(words) and x["length"] - len(words) in (0, 1)
+        pieces.setdefault(x["doc_id"], []).append((x["first"], x["text"]))
+    want = {}
+    for i, t in texts:
+        want.setdefault(i, []).append(" ".join(split(t)))
+    for i, own in want.items():
+        if len(own) == 1:
+            assert " ".join(t for _, t in sorted(pieces[i]) if t) == own[0]
+        else:
+            assert sorted(t for _, t in pieces[i]) == sorted(own)
+
+
 def test_neighbours_recall_ties_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "GROUP", 300)
     r = np.random.default_rng(3)
