@@ -325,7 +325,7 @@ SQL = {
        CASE WHEN b.seq IS NOT NULL THEN (SELECT arg_max(h.text, h.depth) FROM hclo c JOIN hx h ON h.doc_id=c.doc_id AND h.seq=c.anc AND h.block_type='HEADING' WHERE c.doc_id=b.doc_id AND c.seq=b.seq) END AS section_title,
        b.text AS text_reference, CASE WHEN b.seq IS NULL THEN 'UNKNOWN' WHEN e.provenance='HUMAN_OVERRIDE' THEN 'HUMAN_OVERRIDE' ELSE 'EXPLICIT_CLASSIFIER' END AS provenance, b.x0, b.y0, b.x1, b.y1
        FROM ent_k e LEFT JOIN (SELECT * FROM hx WHERE seq%35<>0) b ON b.doc_id=e.doc_id AND b.block_id=e.target_block_id WHERE e.target_block_id IS NOT NULL"""),
-    "kn_relationships": build("ent_k re", """SELECT concat('v', r.doc_id) AS version_id, edge_type AS relationship_type, confidence, false AS is_inferred FROM re r
+    "kn_relationships": build("ent_k re", """SELECT concat('v', r.doc_id) AS version_id, edge_type AS relationship_type, confidence, edge_type='CONTAINS' AND doc_id%2=0 AS is_inferred, edge_type<>'CONTAINS' AS is_human_confirmed FROM re r
        WHERE EXISTS (SELECT 1 FROM ent_k e WHERE e.doc_id=r.doc_id AND e.node_id=r.source_node_id) AND EXISTS (SELECT 1 FROM ent_k e WHERE e.doc_id=r.doc_id AND e.node_id=r.target_node_id)
         AND edge_type IN ('CONTAINS','PREREQUISITE_OF','EXPLAINS','PROVES','ILLUSTRATES') AND source_node_id<>target_node_id"""),
 }

@@ -98,8 +98,8 @@ FROM blk2 n LEFT JOIN (SELECT * FROM ogr WHERE o_seq IS NOT NULL) g ON g.doc_id=
 UNION ALL SELECT doc_id, page_number, block_id, reading_order, provenance, confidence, 1, seq FROM ol o WHERE NOT EXISTS (SELECT 1 FROM ogr g WHERE g.doc_id=o.doc_id AND g.o_seq=o.seq)""")
 view("opc", "omg blk", """SELECT p.doc_id, p.page_number, p.page_number%2=1 AS needs_ocr, CASE WHEN p.page_number%2=1 THEN round(coalesce(c,1),3) ELSE 1 END AS page_confidence
 FROM (SELECT DISTINCT doc_id, page_number FROM blk) p LEFT JOIN (SELECT doc_id, page_number, avg(confidence) AS c FROM omg WHERE provenance='OCR' GROUP BY ALL) USING (doc_id, page_number)""")
-view("jev", "", "SELECT user_id AS job_id, event_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS status, ts AS updated_at FROM events")
-view("jl", "jev", "SELECT job_id, last(status ORDER BY updated_at, event_id) AS status, count(*) AS events, (epoch_us(max(updated_at))-epoch_us(min(updated_at)))/1000000 AS duration_s FROM jev GROUP BY 1")
+view("jev", "", "SELECT user_id AS job_id, event_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS status, ts AS updated_at, upper(event_type) AS current_stage, CAST(event_id*7%101 AS INTEGER) AS progress, CASE WHEN event_type='error' THEN 'E'||(event_id%5) WHEN event_id%2=0 THEN '' END AS error, CASE WHEN event_type='click' THEN 'd'||event_id END AS document_id FROM events")
+view("jl", "jev", "SELECT job_id, last(status ORDER BY updated_at, event_id) AS status, last(current_stage ORDER BY updated_at, event_id) AS current_stage, last(progress ORDER BY updated_at, event_id) AS progress, last(error ORDER BY updated_at, event_id) FILTER (error<>'') AS error, last(document_id ORDER BY updated_at, event_id) FILTER (document_id<>'') AS document_id, count(*) AS events, (epoch_us(max(updated_at))-epoch_us(min(updated_at)))/1000000 AS duration_s FROM jev GROUP BY 1")
 # The texts around the sources of a prompt.
 GROUNDING = """GROUNDING RULES:
 1. Answer the query using ONLY the supplied context sources. Do not assume or extrapolate any facts not explicitly present in the sources.
@@ -179,7 +179,7 @@ SQL = {
     "job_transitions": build("jev", """SELECT job_id, event_id, previous, status, previous IS NULL OR (previous='queued' AND status IN ('processing','cancelled')) OR (previous='processing' AND status IN ('processing','completed','failed','cancelled')) AS valid
        FROM (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY updated_at, event_id) AS previous FROM jev)"""),
     "active_job_guard": build("jl", "SELECT job_id%10 AS upload_id, count(*) AS active_jobs, min(job_id) AS first_job FROM jl WHERE status IN ('queued','processing') GROUP BY 1 HAVING count(*)>1"),
-    "job_latest": build("jl", "SELECT job_id, status, events, round(duration_s,9) AS duration_s FROM jl"),
+    "job_latest": build("jl", "SELECT job_id, status, current_stage, progress, error, document_id, events, round(duration_s,9) AS duration_s FROM jl"),
     "constraint_violations": build("evd rel ent", """SELECT 'coords_all_or_none' AS "check", evidence_id AS key, 1 AS n FROM evd WHERE CAST(entity_id AS BIGINT)%50=1 AND y0 IS NOT NULL
        UNION ALL SELECT 'confidence_range', source_entity_id||'>'||target_entity_id, 1 FROM rel WHERE confidence*1.2::DOUBLE>1
        UNION ALL SELECT 'unique_line', l_orderkey||'|'||l_linenumber, count(*) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*)>1
@@ -201,6 +201,9 @@ SQL = {
     "image_captions": build("blk", """SELECT p.doc_id, p.page_number, i.image_ord, i.w AS width, 50::DOUBLE AS height, (SELECT first(text ORDER BY seq) FROM blk b WHERE b.doc_id=p.doc_id AND b.page_number=p.page_number AND seq%3=0 AND y0-i.y1 BETWEEN 0 AND 30) AS caption
        FROM (SELECT DISTINCT doc_id, page_number FROM blk) p CROSS JOIN (VALUES (0, 250::DOUBLE, 90::DOUBLE), (2, 40::DOUBLE, 250::DOUBLE)) i(image_ord, w, y1)"""),
     "page_cache_work": "SELECT DISTINCT sha256(html||'Rect(0, 0, 595, 440)') AS page_hash FROM pages WHERE html NOT IN (SELECT html FROM pages WHERE page_id%3=0)",
+    "stored_uploads": """SELECT 'u'||doc_id AS upload_id, source||'.pdf' AS original_filename, doc_id||'_'||lang AS stored_filename, n_chars AS size_bytes, CASE WHEN doc_id%10<>3 THEN 'application/pdf' END AS mime_type,
+       '2024' AS uploaded_at, CASE WHEN doc_id%4=0 THEN 'uploaded' ELSE 'processed' END AS status FROM documents""",
+    "stored_jobs": build("jl", "SELECT CAST(job_id AS VARCHAR) AS job_id, 'u'||(job_id%10) AS upload_id, status, progress, current_stage, error, document_id FROM jl WHERE job_id%7<>0 AND job_id%11<>0"),
     "upload_screen": """SELECT doc_id, r IS NULL AS accepted, r AS reject_reason FROM (SELECT doc_id, CASE WHEN doc_id%9=0 THEN 'NO_FILE' WHEN doc_id%9=1 THEN 'EXTENSION' WHEN doc_id%10=3 THEN 'MIME_TYPE'
        WHEN doc_id%11=5 THEN 'EMPTY' WHEN doc_id%4=2 THEN 'SIGNATURE' WHEN doc_id%13=6 THEN 'TOO_LARGE' END AS r FROM documents)""",
 }

@@ -40,10 +40,14 @@ def transitions(events: DataFrame) -> DataFrame:
 
 
 def latest(events: DataFrame) -> DataFrame:
-    """Last state, first and last time and duration of every job."""
+    """Last state, first and last time and duration of every job; stage and progress of the last
+    event, error and document as last given, where ``events`` has them."""
     key = F.struct("updated_at", "event_id")
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    last = [F.max_by(c, key).alias(c) for c in ("current_stage", "progress") if c in events.columns]
+    kept = [F.max_by(c, F.when(given(c), key)).alias(c) for c in ("error", "document_id") if c in events.columns]
     return events.groupBy("job_id").agg(
-        F.max_by("status", key).alias("status"),
+        F.max_by("status", key).alias("status"), *last, *kept,
         F.min("updated_at").alias("created_at"), F.max("updated_at").alias("updated_at"),
         F.count("*").alias("events"),
     ).withColumn("duration_s", F.expr("timestampdiff(MICROSECOND, created_at, updated_at) / 1000000D"))

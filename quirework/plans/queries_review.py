@@ -205,6 +205,7 @@ QUERIES = {
     "kn_evidence": lambda s, d: kn.evidence(entities(s, d), tree(s, d).where("seq % 35 <> 0")).select(
         "version_id", "source_node_id", "source_anchor_key", "page_number", "section_title", "text_reference", "provenance",
         "x0", "y0", "x1", "y1"),
-    "kn_relationships": lambda s, d: kn.relationships(versions(s, d)[1], entities(s, d)).select(
-        "version_id", "relationship_type", "confidence", "is_inferred"),
+    "kn_relationships": lambda s, d: kn.relationships(versions(s, d)[1].withColumn("metadata", F.expr(
+        "CASE WHEN edge_type <> 'CONTAINS' THEN '{\"is_human_confirmed\":true,\"by\":{\"is_inferred\":true}}' WHEN doc_id % 2 = 0 THEN '{\"is_inferred\":true}' END"
+    )), entities(s, d)).select("version_id", "relationship_type", "confidence", "is_inferred", "is_human_confirmed"),
 }

@@ -232,6 +232,30 @@ def uploads(s, d):
     return fl.screen_uploads(f).select("doc_id", "accepted", "reject_reason")
 
 
+def stored_json(s, rows, size):
+    """``rows`` (with ``n``) as JSON files of one array each, ``size`` rows at most, and where they lie."""
+    at, columns = new_path(s), [c for c in rows.columns if c != "n"]
+    files = rows.groupBy((F.col("n") / size).cast("long").alias("part")).agg(F.to_json(F.collect_list(F.struct(*columns))).alias("value"))
+    files.repartition("part").write.partitionBy("part").text(at)
+    return at
+
+
+def read_back_uploads(s, d):
+    """Upload records through their JSON files."""
+    up = src.table(s, d, "documents").selectExpr(
+        "doc_id AS n", "concat('u', doc_id) AS upload_id", "concat(source, '.pdf') AS original_filename", "concat(doc_id, '_', lang) AS stored_filename",
+        "n_chars AS size_bytes", "IF(doc_id % 10 = 3, NULL, 'application/pdf') AS mime_type", "'2024' AS uploaded_at", "IF(doc_id % 4 = 0, 'uploaded', 'processed') AS status")
+    return fl.read_uploads(s, stored_json(s, up, 500)).drop("part")
+
+
+def read_back_jobs(s, d):
+    """The last states of jobs through their JSON files; those without an id or a state are no jobs."""
+    jobs = jb.latest(src.job_events(s, d)).selectExpr(
+        "job_id AS n", "IF(job_id % 7 = 0, NULL, CAST(job_id AS STRING)) AS job_id", "concat('u', job_id % 10) AS upload_id", "IF(job_id % 11 = 0, NULL, status) AS status",
+        "progress", "current_stage", "CAST(created_at AS STRING) AS created_at", "error", "document_id")
+    return fl.read_jobs(s, stored_json(s, jobs, 500)).select("job_id", "upload_id", "status", "progress", "current_stage", "error", "document_id")
+
+
 def jobs_by_upload(s, d):
     return jb.active_conflicts(jb.latest(src.job_events(s, d)).withColumn("upload_id", F.expr("job_id % 10")))
 
@@ -283,7 +307,8 @@ QUERIES = {
     "page_block_counts": lambda s, d: ct.blocks_per_page(src.blocks(s, d)),
     "job_transitions": lambda s, d: jb.transitions(src.job_events(s, d)).select("job_id", "event_id", "previous", "status", "valid"),
     "active_job_guard": jobs_by_upload,
-    "job_latest": lambda s, d: r9(jb.latest(src.job_events(s, d)), "duration_s").select("job_id", "status", "events", "duration_s"),
+    "job_latest": lambda s, d: r9(jb.latest(src.job_events(s, d)), "duration_s").select(
+        "job_id", "status", "current_stage", "progress", "error", "document_id", "events", "duration_s"),
     "constraint_violations": violations,
     "immutability_diff": immutability,
     "ocr_screen": screened,
@@ -304,4 +329,6 @@ QUERIES = {
     "image_captions": captions,
     "page_cache_work": page_work,
     "upload_screen": uploads,
+    "stored_uploads": read_back_uploads,
+    "stored_jobs": read_back_jobs,
 }

@@ -263,4 +263,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'cancelled' END"
-    return table(spark, sf_dir, "events").selectExpr("user_id AS job_id", "event_id", f"{status} AS status", "ts AS updated_at")
+    return table(spark, sf_dir, "events").selectExpr(
+        "user_id AS job_id", "event_id", f"{status} AS status", "ts AS updated_at", "upper(event_type) AS current_stage", "CAST(event_id * 7 % 101 AS INT) AS progress",
+        "IF(event_type = 'error', concat('E', event_id % 5), IF(event_id % 2 = 0, '', NULL)) AS error",
+        "IF(event_type = 'click', concat('d', event_id), NULL) AS document_id")
