@@ -99,7 +99,8 @@ def step(states: DataFrame, trie: DataFrame) -> DataFrame:
     edited = F.col("target").isNull() & (F.length(rest) >= part) & near & ((F.col("shorter") == 1) | (moved > F.col("word")))
     ahead = lambda n, target: F.struct((F.col("pos") + n).alias("pos"), target.alias("target"))
     moves = F.array(F.when(exact, ahead(k, F.col("target"))), F.when(edited, ahead(part, moved)))
-    out = at.select("word", "shorter", "child", "heads", F.explode(F.array_compact(moves)).alias("m"))
+    # Most edges lead nowhere; they go before anything is made of them.
+    out = at.where(exact | edited).select("word", "shorter", "child", "heads", F.explode(F.array_compact(moves)).alias("m"))
     out = out.select("word", "shorter", F.col("child").alias("node"), "heads", "m.pos", "m.target")
     # A state goes on if its next character does here; before the edit any will do.
     size, ahead_of = F.length("word"), F.contains(F.col("heads"), F.substring(F.col("word"), F.col("pos") + 1, F.lit(1)))
