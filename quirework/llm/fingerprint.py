@@ -25,7 +25,9 @@ from . import bitmap
 
 EQUALITY, LIKENESS = 16, 64
 CLAUSE = r"\n|(?<=[.!?;:,])"
-CHUNK_IDS = 512
+# A chunk has 2^9 ids, a group of chunks 2^19; three rounds of groups use up all bits of an id.
+CHUNK_BITS, GROUP_BITS, ROUNDS = 9, 19, 3
+_NO_ID = -(2**54) - 1  # below the chunk of every id
 _LANES = EQUALITY + LIKENESS + 1
 _MODULUS = 2**32
 
@@ -71,23 +73,40 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
+def _chunk(doc_id: Column) -> Column:
+    return F.coalesce(F.shiftright(doc_id.cast("long"), CHUNK_BITS), F.lit(_NO_ID))
+
+
+def _above(chunks: DataFrame) -> DataFrame:
+    """Rows (chunk, above) of distinct chunks: the next higher one; for the highest the lowest.
+
+    Chunks that share all but their last ``GROUP_BITS`` bits are compared with each other, then
+    the lowest and highest of such groups in the same way. So no task holds more than 2^``GROUP_BITS``
+    narrow rows of a group, also where ids are so sparse that every document is a chunk of its own.
+    """
+    level, found = chunks.select(F.col("chunk").alias("at"), F.col("chunk").alias("low"), F.col("chunk").alias("high")), []
+    for _ in range(ROUNDS):
+        level = level.withColumn("group", F.shiftright("at", GROUP_BITS))
+        w = Window.partitionBy("group").orderBy("at")
+        found.append(level.select(F.col("high").alias("chunk"), F.lead("low").over(w).alias("above")).where("above IS NOT NULL"))
+        level = level.groupBy("group").agg(F.min("low").alias("low"), F.max("high").alias("high")).withColumnRenamed("group", "at")
+    # Two rows at most are left: the ids below zero and the others.
+    w = Window.orderBy("at")
+    out = level.select(F.col("high").alias("chunk"), F.coalesce(F.lead("low").over(w), F.first("low").over(w)).alias("above"))
+    for steps in found:
+        out = out.unionByName(steps)
+    return out
+
+
 def _with_next(documents: DataFrame) -> DataFrame:
     """Each document with the text of the next smaller id (after the smallest: the largest).
 
-    Ids are cut into chunks of ``CHUNK_IDS``; the largest id of a chunk is copied into the
+    Ids are cut into chunks of 2^``CHUNK_BITS``; the largest id of a chunk is copied into the
     next higher chunk (that of the highest into the lowest), so a window never spans more.
     """
-    docs = documents.select(
-        F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce(F.floor(F.col("doc_id") / CHUNK_IDS), F.lit(-(2**62))).alias("chunk"),
-    )
-    in_order = Window.orderBy("chunk")
-    tops = documents.select(
-        "doc_id", F.coalesce(F.floor(F.col("doc_id") / CHUNK_IDS), F.lit(-(2**62))).alias("chunk")
-    ).groupBy("chunk").agg(F.max("doc_id").alias("top")).select(
-        F.col("chunk").alias("top_chunk"), "top",
-        F.coalesce(F.lead("chunk").over(in_order), F.first("chunk").over(in_order)).alias("above"),
-    )
+    docs = documents.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), _chunk(F.col("doc_id")).alias("chunk"))
+    largest = documents.select("doc_id", _chunk(F.col("doc_id")).alias("chunk")).groupBy("chunk").agg(F.max("doc_id").alias("top"))
+    tops = largest.join(_above(largest), "chunk").select(F.col("chunk").alias("top_chunk"), "top", "above")
     # Only rows that may be a top move for the copies; the exact join decides.
     maybe = bitmap.among(docs, "doc_id", tops, "top")
     copies = maybe.join(tops, (maybe.chunk == tops.top_chunk) & maybe.doc_id.eqNullSafe(tops.top)).select("doc_id", "text", F.col("above").alias("chunk"))

@@ -2,7 +2,8 @@
 
 A size-weighted sample of keys gives quantile splitters for many small ranges (several
 per shard). Exact counts and bytes of the ranges replace the estimates: a range over its
-share (a repeated key may hold a third of all rows) is subdivided by a hash of the id.
+share (a repeated key may hold a third of all rows) is subdivided by a hash of the id, and
+where one id repeats so often that this is still too much, by the place of a row in the stored records.
 Ranges then follow one another, and the running byte position of a record names its shard.
 
 Only ids, sizes and hashes move; texts stay in the scan. No task holds more than one
@@ -62,6 +63,23 @@ def splitters_of(recs: DataFrame, total: int, n_ranges: int) -> list[int]:
     return sorted(set(got or []))
 
 
+PART = ["range_no", "part_no", "piece_no"]
+
+
+def parted(recs: DataFrame, total: int, n_ranges: int) -> DataFrame:
+    """Stored records with the columns ``PART``: their range and its subdivisions. No part has more
+    than about twice the share of a range, but for one that is a single large record."""
+    share = 2.0 * total / n_ranges
+    shares = F.greatest(F.lit(1), F.ceil(F.sum("size") / share)).cast("int").alias("n_parts")
+    ranged = recs.withColumn("row_no", F.monotonically_increasing_id()).withColumn("range_no", range_of(F.col("key"), splitters_of(recs, total, n_ranges)))
+    by_id = ranged.join(ranged.groupBy("range_no").agg(shares), "range_no").withColumn(
+        "part_no", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("n_parts")).cast("int")).drop("n_parts")
+    # Ids that differ fill a part to its share, by and large; twice that is one id again and again.
+    pieces = by_id.groupBy("range_no", "part_no").agg(F.greatest(F.lit(1), F.floor(F.sum("size") / share)).cast("int").alias("n_pieces"))
+    return by_id.join(pieces, ["range_no", "part_no"]).withColumn(
+        "piece_no", F.pmod(F.xxhash64("row_no"), F.col("n_pieces")).cast("int")).drop("n_pieces", "row_no")
+
+
 def assign(recs: DataFrame, n_shards: int = 16) -> DataFrame:
     """Adds ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in each shard)."""
     recs = settle(recs)
@@ -70,28 +88,20 @@ def assign(recs: DataFrame, n_shards: int = 16) -> DataFrame:
         return recs.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     n, total = whole["n"], whole["bytes"]
     n_ranges = n_shards * max(RANGES_PER_SHARD, math.ceil(n / n_shards / ROWS_PER_RANGE))
-    ranged = recs.withColumn("range_no", range_of(F.col("key"), splitters_of(recs, total, n_ranges)))
-    share = 2.0 * total / n_ranges
-    parts = ranged.groupBy("range_no").agg(F.sum("size").alias("range_bytes")).select(
-        "range_no", F.greatest(F.lit(1), F.ceil(F.col("range_bytes") / share)).cast("int").alias("parts")
-    )
-    ranged = settle(
-        ranged.join(parts, "range_no")
-        .withColumn("part_no", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("parts")).cast("int")).drop("parts")
-    )
+    ranged = settle(parted(recs, total, n_ranges))
     # One row per range: a bounded multiple of the number of shards.
-    in_order = Window.orderBy("range_no", "part_no").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.orderBy(*PART).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        ranged.groupBy("range_no", "part_no").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+        ranged.groupBy(*PART).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
         .select(
-            "range_no", "part_no", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("rank_0"),
+            *PART, F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("rank_0"),
             F.coalesce(F.sum("bytes").over(in_order), F.lit(0)).alias("byte_0"),
         )
     )
-    inside = Window.partitionBy("range_no", "part_no").orderBy("key", "doc_id", "size")
+    inside = Window.partitionBy(*PART).orderBy("key", "doc_id", "size")
     middle = F.col("byte_0") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
     placed = settle(
-        ranged.join(starts, ["range_no", "part_no"]).select(
+        ranged.join(starts, PART).select(
             *recs.columns,
             F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / total)).cast("int").alias("shard"),
             (F.col("rank_0") + F.row_number().over(inside) - 1).alias("rank"),

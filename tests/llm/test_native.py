@@ -253,3 +253,46 @@ def test_shards_are_even_gapless_and_whole(spark):
         own = [x for x in rows if x["shard"] == s]
         assert sorted(x["slot"] for x in own) == list(range(len(own)))
         assert abs(sum(x["size"] for x in own) - total / 16) <= 2 * most
+
+
+@pytest.mark.parametrize("ids", [
+    [r * 7919 * 2**33 - 2**62 for r in range(40)], [-(2**63), 2**63 - 1, 0, -1, 511, 512, None], [3], [None, 2**40], list(range(1500, 1530)),
+])
+def test_next_document_of_sparse_negative_and_null_ids(spark, ids):
+    texts = [(i, f"text of {i}, as it is.") for i in ids]
+    random.Random(2).shuffle(texts)
+    rows = {r["doc_id"]: r["next_text"] for r in fingerprint._with_next(docs(spark, texts)).where("edge = 0").select(
+        "doc_id", F.expr("text AS own"), "next_text").collect()}
+    order = sorted(texts, key=lambda t: (t[0] is not None, t[0] or 0), reverse=True)
+    assert rows == {i: order[(k + 1) % len(order)][1] for k, (i, _) in enumerate(order)}
+
+
+def plain_lanes(text):
+    """Equality lanes and likeness lanes by the docstring, for texts without line breaks at odd places."""
+    words = [hashlib.sha512(p.encode()).hexdigest() for p in text.split("\n")]
+    return [sum(int(w[8 * i : 8 * i + 8], 16) for w in words) % 2**32 for i in range(16)]
+
+
+def test_equality_lanes_are_sums_of_paragraph_digests(spark):
+    texts = [(1, "One line. Two\n\nthree"), (2, ""), (3, "three\nOne line. Two\n"), (4, "same\n" * 500)]
+    rows = {r["doc_id"]: r["lanes"] for r in fingerprint.fingerprints(docs(spark, texts)).collect()}
+    for i, text in texts:
+        assert rows[i][:16] == plain_lanes(text)
+        assert rows[i][-1] == sum(bool(s.strip(" ")) for s in re.split(fingerprint.CLAUSE, text))
+
+
+def test_parts_stay_small_where_one_id_and_text_repeat(spark):
+    """A third of the rows under one id with one text, a third of the rows without id or text."""
+    texts = [(7, "one and the same text")] * 3000 + [(None, None)] * 3000 + [(i, f"text {i} " * (i % 9)) for i in range(3000)]
+    recs = sharding.settle(sharding.records(docs(spark, texts)))
+    total = recs.agg(F.sum("size")).first()[0]
+    n_ranges = 4 * sharding.RANGES_PER_SHARD
+    parts = sharding.parted(recs, total, n_ranges).groupBy(*sharding.PART).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+    assert sum(p["n"] for p in parts) == len(texts)
+    assert max(p["bytes"] for p in parts) <= 5 * total / n_ranges + 100
+    rows = sharding.assign(sharding.records(docs(spark, texts)), 4).collect()
+    most = max(r["size"] for r in rows)
+    for s in range(4):
+        own = [r for r in rows if r["shard"] == s]
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        assert abs(sum(r["size"] for r in own) - total / 4) <= 2 * most
