@@ -218,29 +218,45 @@ def hierarchy(blocks: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     return out.drop(*tmp, "_side", "_list", "_own", "_heads", "_sec", "l_seq", "l_id", "l_title")
 
 
-def subtrees(h: DataFrame) -> DataFrame:
-    """Per node with children: subtree size, first child, last descendant in preorder."""
-    links = h.select("doc_id", "block_id", "seq", F.expr("transform(path, x -> x.seq)").alias("_k"))
-    pairs = links.select(
-        "doc_id", "block_id", "seq", F.expr("concat(_k, array(seq))").alias("_pre"),
-        F.size("_k").alias("_n"), F.posexplode("_k").alias("_i", "node_seq"),
+def subtrees(h: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Per node with children: subtree size, last position, children, last descendant in preorder.
+
+    The subtree of a heading or a list item is an interval of positions from the node to
+    ``last_seq``, the row behind which it is no longer open. Each row names only what closes behind
+    it, so a node comes up once and no path is exploded. Every other node holds nothing but the
+    captions beside it; its ``last_seq`` is null.
+    """
+    narrow = h.select(
+        "doc_id", "block_id", "seq", "doc_rows", "parent_seq",
+        F.expr("transform(filter(path, x -> x.kind IN ('HEADING', 'LIST')), x -> x.seq)").alias("_open"),
+    )
+
+    def around(w):
+        return {"_still": F.lead("_open").over(w), "_p_parent": F.lag("parent_seq").over(w), "_p_id": F.lag("block_id").over(w)}
+
+    # A caption that stands before its target follows it in preorder.
+    ends = near(narrow, around, rows=rows).select(
+        "doc_id", F.col("seq").alias("last_seq"), F.expr("IF(_p_parent = seq, _p_id, block_id)").alias("last_descendant"),
+        F.explode(F.expr("array_except(_open, coalesce(_still, array()))")).alias("node_seq"),
+    )
+    kids = h.where("parent_seq IS NOT NULL").groupBy("doc_id", F.col("parent_seq").alias("node_seq")).agg(
+        F.count("*").alias("child_count"),
+        F.min_by("block_id", "seq").alias("first_descendant"),
+        F.max_by("block_id", "seq").alias("_last_child"),
     )
-    child = F.col("_i") == F.col("_n") - 1
-    return pairs.groupBy("doc_id", "node_seq").agg(
-        (F.count("*") + 1).alias("subtree_size"),
-        F.count_if(child).alias("child_count"),
-        F.min_by(F.when(child, F.col("block_id")), F.when(child, F.col("seq"))).alias("first_descendant"),
-        F.max_by("block_id", "_pre").alias("last_descendant"),
+    return kids.join(ends, ["doc_id", "node_seq"], "left").select(
+        "doc_id", "node_seq", F.expr("coalesce(last_seq - node_seq, child_count) + 1").alias("subtree_size"), "child_count",
+        "first_descendant", F.coalesce("last_descendant", "_last_child").alias("last_descendant"), "last_seq",
     )
 
 
-def hierarchy_rows(h: DataFrame) -> DataFrame:
+def hierarchy_rows(h: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     """One row per block: parent, counts of children and siblings, subtree, section bounds.
 
     Children and siblings are not packed into arrays (one node may hold most of a
     document); ``children`` lists them as rows and siblings share ``parent_block_id``.
     """
-    sub = subtrees(h)
+    sub = subtrees(h, rows)
     kids = sub.select("doc_id", F.col("node_seq").alias("parent_seq"), F.col("child_count").alias("_siblings"))
     me = sub.withColumnRenamed("node_seq", "seq")
     df = h.join(me, ["doc_id", "seq"], "left").join(kids, ["doc_id", "parent_seq"], "left")
@@ -248,6 +264,7 @@ def hierarchy_rows(h: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "subtree_size": F.expr("coalesce(subtree_size, 1L)"),
+            "last_seq": F.expr("IF(block_type IN ('HEADING', 'LIST'), coalesce(last_seq, seq), NULL)"),
             "child_count": F.expr("coalesce(child_count, 0L)"),
             "sibling_count": F.expr("coalesce(_siblings - 1, 0L)"),
             "first_descendant": F.expr(f"IF({head}, first_descendant, NULL)"),

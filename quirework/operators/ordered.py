@@ -76,7 +76,8 @@ def running(
 
     ``specs`` maps an output column to ``(kind, value)`` where kind is ``last``
     (last non-null), ``sum`` or ``max``.  ``doc_rows``, when present, bounds ``seq`` in
-    the document; only documents longer than a chunk are summarised.
+    the document; only documents longer than a chunk are summarised. A value that is too
+    small for a row beyond the first chunk is an error.
     """
     keys = _keys(df, [doc] if isinstance(doc, str) else list(doc))
     work = df.withColumns({f"_v_{k}": v for k, (_, v) in specs.items()})
@@ -104,6 +105,8 @@ def running(
     ).where("chunk > 0")
 
     local = work.withColumns({f"_r_{k}": over(kind, F.col(f"_v_{k}"), w) for k, (kind, _) in specs.items()})
+    if "doc_rows" in df.columns:  # else rows beyond the first chunk would lose what is carried to them
+        local = local.where(F.expr(f"IF(chunk > 0 AND doc_rows <= {rows}, raise_error('doc_rows is below the position of a row'), true)"))
     joined = local.join(carry, [*keys, "chunk"], "left")
 
     def merge(kind: str, r: Column, c: Column) -> Column:

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import hashlib
 
 from pyspark.sql import functions as F
@@ -133,6 +135,40 @@ def test_nesting_equals_stack_machine_for_any_chunk_size(blocks):
         assert rows_of(hi.hierarchy(df, rows=n), "parent_block_id") == want
 
 
+def naive_subtrees(rows):
+    """Size, first child and last descendant in preorder of every node with children."""
+    own = {r.seq: [x.seq for x in r.path] + [r.seq] for r in rows}
+    out = {}
+    for r in rows:
+        below = [s for s, p in own.items() if r.seq in p[:-1]]
+        if below:
+            kids = [s for s in below if own[s][-2] == r.seq]
+            out[r.seq] = (len(below) + 1, len(kids), f"d{min(kids)}", f"d{max(below, key=lambda s: own[s])}")
+    return out
+
+
+def test_subtrees_equal_a_count_over_paths_for_any_chunk_size(blocks):
+    for seed in (3, 5):
+        rnd = random.Random(seed)
+        kinds = ["LIST"] * 4 + ["PARAGRAPH"] * 3 + ["HEADING"] * 2 + ["CAPTION", "TABLE", "CODE"] * 2
+        items = []
+        for _ in range(150):
+            t = rnd.choice(kinds)
+            items.append((t, rnd.randint(1, 6) if t == "HEADING" else None, rnd.choice([50, 57, 65, 80, 95])))
+        df = typed(blocks, items)
+        for n in (1 << 16, 5):
+            h = hi.hierarchy(df, rows=n).cache()
+            got = {r.node_seq: (r.subtree_size, r.child_count, r.first_descendant, r.last_descendant) for r in hi.subtrees(h, rows=n).collect()}
+            assert got == naive_subtrees(h.collect())
+            h.unpersist()
+
+
+def test_too_small_a_bound_of_rows_is_an_error(blocks):
+    df = typed(blocks, [("HEADING", 1, 50)] + [("PARAGRAPH", None, 50)] * 9).withColumn("doc_rows", F.lit(3).cast("long"))
+    with pytest.raises(Exception, match="doc_rows is below"):
+        hi.hierarchy(df, rows=4).select("parent_block_id").collect()
+
+
 def test_quality_codes(blocks):
     df = blocks([
         {"text": "xkcdfgh 1a2b bcdfgx", "conf": 0.4, "x0": 50, "x1": 300, "y0": 100, "y1": 140},
