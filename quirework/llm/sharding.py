@@ -72,11 +72,12 @@ def parted(recs: DataFrame, total: int, n_ranges: int) -> DataFrame:
     share = 2.0 * total / n_ranges
     shares = F.greatest(F.lit(1), F.ceil(F.sum("size") / share)).cast("int").alias("n_parts")
     ranged = recs.withColumn("row_no", F.monotonically_increasing_id()).withColumn("range_no", range_of(F.col("key"), splitters_of(recs, total, n_ranges)))
-    by_id = ranged.join(ranged.groupBy("range_no").agg(shares), "range_no").withColumn(
+    # Both tables go to all tasks: at most one row a range, and three for two ranges.
+    by_id = ranged.join(F.broadcast(ranged.groupBy("range_no").agg(shares)), "range_no").withColumn(
         "part_no", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("n_parts")).cast("int")).drop("n_parts")
     # Ids that differ fill a part to its share, by and large; twice that is one id again and again.
     pieces = by_id.groupBy("range_no", "part_no").agg(F.greatest(F.lit(1), F.floor(F.sum("size") / share)).cast("int").alias("n_pieces"))
-    return by_id.join(pieces, ["range_no", "part_no"]).withColumn(
+    return by_id.join(F.broadcast(pieces), ["range_no", "part_no"]).withColumn(
         "piece_no", F.pmod(F.xxhash64("row_no"), F.col("n_pieces")).cast("int")).drop("n_pieces", "row_no")
 
 
