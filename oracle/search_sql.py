@@ -75,6 +75,9 @@ def search_chain(x: str, ent: str, rel: str, qry: str, evd: str, blk: str) -> No
 
 
 search_chain("", "ent", "rel", "qry", "evd", "blk")
+# Every request as if it wanted relationships, evidence and passages.
+view("every", "qry", "SELECT * REPLACE (CASE length(query_id)%7 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE length(query_id)%2 END AS depth, true AS include_evidence, true AS include_passages) FROM qry")
+search_chain("whole_", "ent", "rel", "every", "evd", "blk")
 view("wrd", "blk", """SELECT doc_id, page_number, seq AS block_num, i, text, 2*(x0+40*i) AS x0, 2*(x0+40*i)+10*length(text) AS x1, 2*y0 AS y0, 2*y1 AS y1, 1::DOUBLE-0.05::DOUBLE*(length(text)%10) AS confidence
 FROM (SELECT doc_id, page_number, seq, x0, y0, y1, unnest(string_split(text,' ')) AS text, generate_subscripts(string_split(text,' '),1)-1 AS i FROM blk) WHERE text<>''""")
 view("ocrb", "wrd", f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, block_num) - 1 AS seq FROM (
@@ -136,9 +139,9 @@ SQL = {
     "lexical_match": build("hit", "SELECT query_id, entity_id, match_score, match_reason, array_to_string(matched_terms, ',') AS matched_terms FROM hit"),
     "graph_expand": build("cand", "SELECT query_id, entity_id, hop, match_reason FROM cand"),
     "graph_relationships": build("rcand", "SELECT * FROM rcand"),
-    "evidence": build("cev", "SELECT query_id, entity_id, evidence_id, is_stale FROM cev"),
+    "evidence": build("whole_cev", "SELECT query_id, entity_id, evidence_id, is_stale FROM whole_cev"),
     "evidence_blocks": build("loc", "SELECT * FROM loc"),
-    "passages": build("psg", "SELECT query_id, entity_id, block_id, section_title, previous_text, next_text FROM psg"),
+    "passages": build("whole_psg", "SELECT query_id, entity_id, block_id, section_title, previous_text, next_text FROM whole_psg"),
     "search_scores": build("scr", "SELECT query_id, entity_id, title_score, content_score, type_score, evidence_score, passage_score, confidence_score, round(total_score,9) AS total_score FROM scr"),
     "search_ranked_topk": build("rnk", "SELECT query_id, rank, entity_id, round(total_score,9) AS total_score, match_reason, hop, total_candidates, has_more FROM rnk"),
     "package_outgoing": build("rnk rcand", "SELECT r.query_id, r.rank, r.entity_id, target_entity_id, relationship_type FROM rnk r JOIN rcand c ON c.query_id=r.query_id AND c.source_entity_id=r.entity_id"),

@@ -127,3 +127,19 @@ def test_heading_levels_of_recognised_pages_are_their_own(spark, blocks):
     assert {(r.page_number, r.font_size): r.heading_level for r in got} == {(1, 30.0): 1, (1, 20.0): 2, (2, 20.0): 1}
     same = asm.first_pass(blocks(rows)).where("block_type = 'HEADING'").collect()
     assert {(r.page_number, r.font_size): r.heading_level for r in same} == {(1, 30.0): 1, (1, 20.0): 2, (2, 20.0): 2}
+
+
+def test_evidence_and_passages_of_every_request(spark, tmp_path):
+    """Requests that leave evidence, passages or relationships out of their answers are looked up all the same."""
+    from quirework.plans.queries_search import QUERIES
+
+    d = str(tmp_path)
+    names = ["abcde fghij", "abcd efghi", "abc efghi"]  # 11, 10 and 9 characters
+    part = [(4 * (k + 5) + v, n, "STEEL") for k, n in enumerate(names, 1) for v in range(4)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_type string").withColumn("p_brand", F.lit("B")).write.parquet(f"{d}/part.parquet")
+    lines = [(o, k, n) for o, (a, b) in enumerate((a, b) for a in range(24, 36) for b in range(a + 4, 36, 4)) for n, k in ((1, a), (2, b))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(k, "one\ntwo\nthree") for k in range(20)], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    ev = {r.query_id for r in QUERIES["evidence"](spark, d).collect()}
+    assert set(names) <= ev
+    assert {"abcde fghij", "abcd efghi"} <= {r.query_id for r in QUERIES["passages"](spark, d).collect()}
