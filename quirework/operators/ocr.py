@@ -57,7 +57,8 @@ def words_to_blocks(words: DataFrame, pages: DataFrame) -> DataFrame:
             "bold": F.lit(False), "italic": F.lit(False), "provenance": F.lit("OCR"),
         }
     ).drop("_height", "img_w", "img_h")
-    return dense_position(b, ["block_ord"]).withColumn(
+    # Numbering reads the blocks twice: stored, so that words are grouped once.
+    return dense_position(settle(b), ["block_ord"]).withColumn(
         "block_id", F.sha2(F.concat_ws(":", F.lit("ocr"), F.col("doc_id").cast("string"), "page_number", "block_num"), 256)
     )
 

@@ -143,3 +143,13 @@ def test_evidence_and_passages_of_every_request(spark, tmp_path):
     ev = {r.query_id for r in QUERIES["evidence"](spark, d).collect()}
     assert set(names) <= ev
     assert {"abcde fghij", "abcd efghi"} <= {r.query_id for r in QUERIES["passages"](spark, d).collect()}
+
+
+def test_words_are_grouped_once(spark):
+    """Numbering the blocks reads stored rows: words appear in no plan behind them."""
+    words = spark.createDataFrame(
+        [("d", 1, 0, 0, i, w, 10.0 * i, 10.0 * i + 8, 0.0, 12.0, 0.9, 1190, 880) for i, w in enumerate("ab")],
+        "doc_id string, page_number int, block_num int, line_num int, word_ord long, text string, x0 double, x1 double, y0 double, y1 double, confidence double, img_w int, img_h int")
+    got = ocr.words_to_blocks(words, spark.createDataFrame([("d", 1, 595.0, 440.0)], "doc_id string, page_number int, width double, height double"))
+    assert [r.text for r in got.collect()] == ["a b"]
+    assert "word_ord" not in got._jdf.queryExecution().optimizedPlan().toString()
