@@ -14,7 +14,7 @@ from quirework.operators import order as ro
 from quirework.operators import quality as q
 from quirework.operators.settle import settle
 from quirework.operators.ordered import dense_position, near, running
-from quirework.plans.pipeline import classified
+from quirework.plans.pipeline import classified, structured
 
 
 def rows_of(df, *cols):
@@ -217,3 +217,26 @@ def test_fingerprint_is_one_rule_at_every_size(spark):
     line = lambda i: f"a{i}:CONCEPT:{'a1' if i == 2 else ''}:Title {i % 7}"
     digest = lambda nodes, edges: hashlib.sha256("\n".join(sorted(nodes)).encode() + b"\n---\n" + "\n".join(sorted(edges)).encode()).hexdigest()
     assert got == {"small": digest([line(0)], []), "big": digest([line(i) for i in range(1, n)], ["a2->EXPLAINS->a3", "a3->EXPLAINS->a4"])}
+
+
+def test_classified_blocks_are_stored_once_and_carry_one_text(spark, blocks):
+    """Each pass looks at its own neighbours: their texts are neither stored nor moved on."""
+    import os
+
+    at = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(at))
+    done = classified(blocks([{"text": "Chapter 1 Basics", "size": 20.0, "bold": True}, {"text": "Some body text that goes on."}, {"text": "- item"}]))
+    assert done.settled_at.split("/")[-1] in os.listdir(at) and len(set(os.listdir(at)) - before) == 1
+    assert not {"t", "prev_text", "next_text"} & set(done.columns) and "semantic_conf" in done.columns
+    tree = structured(done)
+    assert not {"contributors", "sig_size", "word_count"} & set(tree.columns) and done.count() == tree.count() == 3
+    assert [r.parent_block_id for r in tree.orderBy("seq").collect()] == [None, "d0", "d0"]
+
+
+def test_per_document_values_come_to_rows_dealt_out_otherwise(blocks):
+    """The same values whether rows are dealt out for them or stay in their groups, hot documents included."""
+    df = ft.extract(blocks([{"doc_id": d, "text": "x" * (i + 1), "size": 10.0 + i % 3, "page": 1 + i // 4} for d in "ab" for i in range(9)]), 2)
+    plain = cl.heading_scores(df, rows=2)
+    for keys in (["doc_id", "doc_rows", "chunk"], ["doc_id", "page_number"]):
+        held = cl.heading_scores(df, rows=2, dealt_by=keys)
+        assert rows_of(held, "doc_id", "dominant_size", "c2_conf") == rows_of(plain, "doc_id", "dominant_size", "c2_conf")
