@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .ordered import CHUNK_ROWS, dense_position, near, running
-from .settle import settle
+from .settle import discard, settle
 
 UNICODE, CONTROL, WHITESPACE = "UNICODE_NORMALIZER", "CONTROL_CHARACTER_NORMALIZER", "WHITESPACE_NORMALIZER"
 HYPHEN, PARAGRAPH = "HYPHENATION_NORMALIZER", "PARAGRAPH_NORMALIZER"
@@ -269,8 +269,10 @@ def paragraph_trace(t: DataFrame, p: NormalizeParams = NormalizeParams()) -> Dat
     ).drop("_i", "_x0", "_x1", "_y1")
 
 
-def running_trace(t: DataFrame, p: NormalizeParams = NormalizeParams(), text: str = "t6") -> DataFrame:
-    """Adds ``running_type``: HEADER, FOOTER or PAGE_NUMBER for text repeated across pages."""
+def running_trace(t: DataFrame, p: NormalizeParams = NormalizeParams(), text: str = "t6", stored: bool = False) -> DataFrame:
+    """Adds ``running_type``: HEADER, FOOTER or PAGE_NUMBER for text repeated across pages.
+
+    Of ``stored`` rows, which are cheap to read again, only those in a margin are dealt out."""
     none = F.lit(None).cast("string")
     if not p.on(HEADER_FOOTER):
         return t.withColumn("running_type", none)
@@ -313,7 +315,10 @@ def running_trace(t: DataFrame, p: NormalizeParams = NormalizeParams(), text: st
     )
     same_text = repeated.select("doc_id", F.col("_key").alias("_sig"), F.lit(True).alias("_static"))
     same_place = repeated.select("doc_id", F.col("_key").alias("_place"), F.lit(True).alias("_paged"))
-    j = marked.join(same_text, ["doc_id", "_sig"], "left").join(same_place, ["doc_id", "_place"], "left")
+    beside = marked.where(F.coalesce(margin, F.lit(False))) if stored else marked
+    j = beside.join(same_text, ["doc_id", "_sig"], "left").join(same_place, ["doc_id", "_place"], "left")
+    if stored:
+        j = j.unionByName(marked.where(~F.coalesce(margin, F.lit(False))), allowMissingColumns=True)
     kind = (
         F.when(F.coalesce("_paged", F.lit(False)) & F.col("_number"), F.lit("PAGE_NUMBER"))
         .when(F.coalesce("_static", F.lit(False)) & F.col("_top"), F.lit("HEADER"))
@@ -336,12 +341,27 @@ def empty_trace(t: DataFrame, p: NormalizeParams = NormalizeParams(), text: str
     return t.withColumn("dropped_by", F.when(gone, F.lit(EMPTY)).otherwise(F.col("dropped_by")))
 
 
+def _stored(t: DataFrame) -> DataFrame:
+    """Write the rows with each text only where it differs from that of the step before."""
+    texts = [c for c in ("text", "t0", "t1", "t2", "t3", "t4", "t5", "t6") if c in t.columns]
+    pairs = list(zip(texts[1:], texts))
+    rows = settle(t.withColumns({c: F.when(F.col(c).eqNullSafe(F.col(last)), F.lit(None)).otherwise(F.col(c)) for c, last in pairs}))
+    out = rows
+    for c, last in pairs:
+        out = out.withColumn(c, F.coalesce(c, last))
+    out.settled_at = rows.settled_at
+    return out
+
+
 def trace(blocks: DataFrame, p: NormalizeParams = NormalizeParams()) -> DataFrame:
     """All seven steps in order; absorbed, repeated and empty blocks stay as tombstones."""
-    t = scalar_trace(blocks, p).transform(hyphen_trace, p).transform(paragraph_trace, p)
-    # The next steps and every projection read these rows several times.
-    t = settle(t).transform(running_trace, p).transform(empty_trace, p)
-    return settle(t)
+    # Each of the cross-row steps reads its rows twice or more, every projection once.
+    broken = _stored(scalar_trace(blocks, p).transform(hyphen_trace, p))
+    merged = _stored(paragraph_trace(broken, p))
+    discard(broken)
+    done = _stored(running_trace(merged, p, stored=True).transform(empty_trace, p))
+    discard(merged)
+    return done
 
 
 # ------------------------------------------------------------------ projections

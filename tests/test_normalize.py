@@ -122,3 +122,14 @@ def test_paragraph_chain_equals_loop_for_any_chunk_size(blocks):
         p = nz.NormalizeParams(chunk_rows=n)
         t = nz.paragraph_trace(nz.hyphen_trace(nz.scalar_trace(df, p), p), p)
         assert texts(t.where("dropped_by IS NULL"), "t6") == want
+
+
+def test_stored_trace_keeps_a_text_once(spark, blocks):
+    """Steps that leave a text alone store nothing for it, and what is read back is whole."""
+    df = blocks([{"text": "Running Title", "y0": 20, "page": p} if k == 0 else {"text": "plain words.", "y0": 300, "page": p} for p in (1, 2) for k in (0, 1)])
+    t = nz.trace(df)
+    raw = spark.read.parquet(t.settled_at)
+    assert raw.where("t0 IS NOT NULL OR t1 IS NOT NULL OR t2 IS NOT NULL OR t3 IS NOT NULL OR t4 IS NOT NULL").count() == 0
+    assert texts(t, "t0") == texts(t, "t6") == ["Running Title", "plain words."] * 2
+    whole = nz.running_trace(nz.paragraph_trace(nz.hyphen_trace(nz.scalar_trace(df))))
+    assert texts(t, "running_type") == texts(whole, "running_type") == ["HEADER", None] * 2
