@@ -9,8 +9,8 @@ from ..functions import text as tx
 from ..functions.geometry import bands, band_of
 from .ordered import CHUNK_ROWS, join_per_doc, near
 
-# What counts as a suspicious word and as a garbage character.
-SUSPICIOUS = r"\p{Nd}+[a-zA-Z]|[a-zA-Z]+\p{Nd}+|[bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ]{5,}"
+# What makes a word suspicious, wherever it stands in it, and what counts as a garbage character.
+SUSPICIOUS = r"\p{Nd}[a-zA-Z]|[a-zA-Z]\p{Nd}|[bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ]{5}"
 GARBAGE = r"\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\xFF"
 BAND = 64.0
 
@@ -21,7 +21,7 @@ def ocr_score(blocks: DataFrame) -> DataFrame:
         "doc_id",
         F.expr("coalesce(nullif(confidence, 0D), 1D)").alias("conf"),
         F.expr(f"size({words})").alias("words"),
-        F.expr(f"size(filter({words}, x -> {tx.sql_rlike('x', SUSPICIOUS)}))").alias("odd"),
+        F.expr(f"IF({tx.sql_rlike('text', SUSPICIOUS)}, size(filter({words}, x -> {tx.sql_rlike('x', SUSPICIOUS)})), 0)").alias("odd"),
         F.expr(tx.sql_count("text", GARBAGE)).alias("bad"),
         F.length("text").alias("chars"),
     )

@@ -240,3 +240,45 @@ def test_per_document_values_come_to_rows_dealt_out_otherwise(blocks):
     for keys in (["doc_id", "doc_rows", "chunk"], ["doc_id", "page_number"]):
         held = cl.heading_scores(df, rows=2, dealt_by=keys)
         assert rows_of(held, "doc_id", "dominant_size", "c2_conf") == rows_of(plain, "doc_id", "dominant_size", "c2_conf")
+
+
+def test_links_of_a_hierarchy_are_found_without_the_other_columns(blocks):
+    df = blocks([{"text": f"t{i}", "type": "LIST" if i % 3 else "PARAGRAPH", "x0": 50 + 15 * (i % 4)} for i in range(20)])
+    h = hi.hierarchy(df.withColumn("note", F.concat(F.lit("n"), "block_id")).withColumn("heading_level", F.lit(None).cast("int")), rows=5)
+    plan = h._jdf.queryExecution().optimizedPlan()
+    windows = [n for n in _nodes(plan) if n.nodeName() == "Window"]
+    assert windows and not [n for n in windows if "note#" in n.output().mkString(",")]
+    assert sorted(r.note for r in h.collect()) == sorted(f"nd{i}" for i in range(20))
+
+
+def _nodes(plan):
+    out, todo = [], [plan]
+    while todo:
+        n = todo.pop()
+        out.append(n)
+        todo += [n.children().apply(i) for i in range(n.children().size())]
+    return out
+
+
+def test_suspicious_words_of_a_text_with_a_very_long_word(blocks):
+    import time
+
+    texts = ["ab1 1a a-1 12 bcdfg abcdf xbcdfgx ok\u00a0a1\tb2", "-- 1", "strngths 3x", "ae" * 150000]
+    want = [["ab1", "1a", "bcdfg", "xbcdfgx", "a1", "b2"], [], ["strngths", "3x"], []]
+    sizes = [10, 2, 2, 1]
+    began = time.time()
+    for t, w, n in zip(texts, want, sizes):
+        assert q.ocr_score(blocks([{"text": t}])).first().r_suspicious == len(w) / n, t
+    # Trying every tail of the long word again would take minutes.
+    assert time.time() - began < 40
+
+
+def test_formula_and_code_rules_where_texts_are_not_searched(blocks):
+    long = "x = 1 + 2 * (3 - 4) "
+    rows = [(t, k, fam) for t, k, fam in (
+        ("+ - * /", "PARAGRAPH", "Times"), ("+ - * /", "HEADING", "Times"), (long * 6, "PARAGRAPH", "Times"), ("{;} return", "PARAGRAPH", "Times"),
+        ("words that return nothing at all here", "PARAGRAPH", "Times"), ("words that return nothing at all here", "PARAGRAPH", "Courier"),
+        (r"\alpha \beta \gamma", "PARAGRAPH", "Times"), ("12345 678", "UNKNOWN", "Times"), ("9" * 120, "PARAGRAPH", "Times"), ("", "PARAGRAPH", "Courier"))]
+    df = blocks([{"text": t, "type": k, "family": f} for t, k, f in rows]).withColumn("f_family", F.col("font_family"))
+    got = rows_of(cl.code_formula(df.withColumn("word_count", F.expr("size(filter(split(text, ' '), w -> w <> ''))"))), "c7_type")
+    assert got == ["EQUATION", None, None, "CODE", None, "CODE", "EQUATION", "EQUATION", None, None]
