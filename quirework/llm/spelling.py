@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from ..operators.settle import discard, settle
 
-LETTER = "[A-Za-z\\u00C0-\\u00FF]"
+#: The letters one by one: a class of single characters is looked up in a table.
+LETTER = "[" + "".join(map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)])) + "]"
 LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,7 +41,8 @@ CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def runs(documents: DataFrame, *more: str, least_length: int = LEAST_LENGTH) -> DataFrame:
     """Rows (more columns, run), one for every maximal run of letters of enough length of every
     text, with A to Z in lower case."""
-    pattern = f"(?<!{LETTER}){LETTER}{{{least_length},}}+"
+    # A search from the left meets a run at its first letter and takes it to its end.
+    pattern = LETTER * least_length + f"{LETTER}*+"
     found = documents.select(*more, F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("run"))
     plain = F.length("run") == F.octet_length("run")
     return found.withColumn("run", F.when(plain, F.lower("run")).otherwise(F.translate("run", CAPITALS, SMALL)))
@@ -48,8 +50,9 @@ def runs(documents: DataFrame, *more: str, least_length: int = LEAST_LENGTH) ->
 
 def vocabulary(found: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT) -> DataFrame:
     """Rows (word, n) of a column ``word``: the distinct words of enough length and count."""
-    long = found.where(F.length("word") >= least_length)
-    return long.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
+    # The length is looked at in the count: a filter would be moved below it and make every word twice.
+    n = F.count_if(F.length("word") >= least_length).alias("n")
+    return found.groupBy("word").agg(n).where(F.col("n") >= max(least_count, 1))
 
 
 def node(length: Column, prefix: Column) -> Column:
@@ -67,10 +70,9 @@ def edges(words: DataFrame, half: Column, least_half: int) -> DataFrame:
         F.transform(F.sequence(F.lit(least_half), size), lambda i: node(size, F.substring(F.col("word"), F.lit(1), i)))
     ).alias("step", "node")).withColumn("pos", F.col("step") + least_half).drop("step")
     # A word is looked for by words of its own length and by those one longer.
-    starts = words.select(F.explode(F.array(F.struct(size.alias("size"), half.alias("half")), F.struct((size - 1).alias("size"), half.alias("half")))).alias("s"), "word").select(
-        node(F.col("s.size"), F.substring(F.col("word"), F.lit(1), F.col("s.half"))).alias("node"), F.lit(0).alias("n"), F.lit(1).alias("start")
-    )
-    counted = prefixes.select("node", F.lit(1).alias("n"), F.lit(0).alias("start")).unionByName(starts)
+    starts = words.select(node(size - 1, F.substring(F.col("word"), F.lit(1), half)).alias("node"), F.lit(0).alias("n"), F.lit(1).alias("start"))
+    own = F.when(F.col("pos") == half, 1).otherwise(0)
+    counted = prefixes.select("node", F.lit(1).alias("n"), own.alias("start")).unionByName(starts)
     counted = counted.groupBy("node").agg(F.sum("n").alias("n"), F.max("start").alias("start")).where("n > 0")
     path = prefixes.join(counted, "node").groupBy("word", "size").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "n", "start"))).alias("path"))
     stops = F.filter("path", lambda p, i: (p["start"] == 1) | (p["pos"] == F.col("size")) | (F.get(F.col("path"), i + 1)["n"] != p["n"]))

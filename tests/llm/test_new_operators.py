@@ -204,3 +204,12 @@ def test_groups_of_equal_texts(spark, weak):
 @pytest.mark.parametrize("make", [periodic.collapse, exact_dedup.groups, lambda d: spelling.group(spelling.vocabulary(spelling.runs(d).withColumnRenamed("run", "word")))])
 def test_empty_tables(spark, make):
     assert make(docs(spark, [])).collect() == []
+
+
+def test_words_are_made_once_on_their_way_to_the_vocabulary(spark):
+    """A filter on their length was moved below the count, and every word was made for it and made again."""
+    made = spelling.vocabulary(queries.misspelt(docs(spark, [(1, "letters wording wording words")])))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("crc32" in line for line in plan.splitlines()) == 1
+    short = spelling.vocabulary(spark.createDataFrame([("wording",), ("wording",), ("words",), ("words",)], "word string"), least_count=0)
+    assert [tuple(r) for r in short.collect()] == [("wording", 2)]
