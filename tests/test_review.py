@@ -1,6 +1,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,3 +330,16 @@ def test_payloads_are_compared_as_values(spark):
     rows = spark.createDataFrame([(p,) for p in same + other], "payload string")
     forms = [r.canonical for r in ov.parsed(rows).select("canonical").collect()]
     assert forms[0] == forms[1] and len(set(forms)) == 1 + len(other)
+
+
+def test_moves_are_decided_in_one_pass_over_sorted_rows():
+    """Links come first in a group, groups reach over batches, and an id that is null is a group of its own."""
+    def batch(*rows):
+        doc, n, node, top = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.string()), pa.array(top, pa.string())], ["doc_id", "n", "node_id", "top"])
+
+    first = batch((None, 0, "a", "b"), (None, 1, "b", "a"), (1, None, "b", "a"), (1, 0, "a", "b"), (1, 1, "b", None))
+    out = [b.to_pylist() for b in gr._decide(iter([first, batch((1, 2, "a", "b"), (2, 0, "b", "a"))]))]
+    assert [(r["doc_id"], r["n"], r["bad"]) for r in sum(out, [])] == [
+        (None, 0, False), (None, 1, True), (1, 0, True), (1, 1, False), (1, 2, False), (2, 0, False)]
