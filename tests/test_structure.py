@@ -282,3 +282,22 @@ def test_formula_and_code_rules_where_texts_are_not_searched(blocks):
     df = blocks([{"text": t, "type": k, "family": f} for t, k, f in rows]).withColumn("f_family", F.col("font_family"))
     got = rows_of(cl.code_formula(df.withColumn("word_count", F.expr("size(filter(split(text, ' '), w -> w <> ''))"))), "c7_type")
     assert got == ["EQUATION", None, None, "CODE", None, "CODE", "EQUATION", "EQUATION", None, None]
+
+
+def test_list_paths_pass_no_null_lists_to_python(blocks, monkeypatch):
+    """A null list makes the writer go over all null lists before it, so time grew with the square of a batch."""
+    plain = hi._open_lists
+
+    def strict(batches):
+        def seen():
+            for pdf in batches:
+                assert not pdf[["c_seq", "c_margin", "c_id", "c_title"]].isna().any().any()
+                yield pdf
+
+        yield from plain(seen())
+
+    monkeypatch.setattr(hi, "_open_lists", strict)
+    rows = [{"text": t, "x0": x, "y0": 100 + 20 * i} for i, (t, x) in enumerate((("- one", 50), ("- inside", 80), ("- two", 50), ("some words", 90)))]
+    for chunk in (2, 100):
+        h = structured(classified(blocks(rows), chunk), chunk)
+        assert rows_of(h, "parent_block_id") == [None, "d0", None, "d2"]
