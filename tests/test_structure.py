@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -301,3 +302,34 @@ def test_list_paths_pass_no_null_lists_to_python(blocks, monkeypatch):
     for chunk in (2, 100):
         h = structured(classified(blocks(rows), chunk), chunk)
         assert rows_of(h, "parent_block_id") == [None, "d0", None, "d2"]
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    """What led to stored rows is never read again, so its shuffle files go with the write."""
+    from quirework.operators.settle import CLEANUP, discard, settle
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", manager.getAllFiles().mkString(" ")))
+    before, setting = files(), spark.conf.get(CLEANUP)
+    rows = settle(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
+    assert not files() - before and spark.conf.get(CLEANUP) == setting
+    assert rows.count() == 7
+    discard(rows)
+
+
+def test_classified_texts_are_dealt_out_once(spark, blocks):
+    """The order is found without the types of the heading pass and equals the one found with them; a page
+    boundary parts neighbours; texts meet one exchange, those of headings one more."""
+    rows = [{"text": f"Chapter {i} Basics" if i % 4 == 0 else f"some body text {i}, going on", "size": 20.0 if i % 4 == 0 else 10.0, "bold": i % 4 == 0,
+             "page": 1 + i // 6, "x0": 50 if i % 2 else 320, "x1": 280 if i % 2 else 550, "y0": 100 + 37 * (i * 5 % 6)} for i in range(24)]
+    given = blocks(rows)
+    old = cl.heading_scores(ft.extract(given, 9), rows=9)
+    old = cl.list_quote_note(ro.reading_order(cl.heading_levels(old, rows=9)), 9)
+    old = cl.annotate(cl.code_formula(cl.table_caption(old)))
+    shown = ["block_id", "seq", "block_type", "heading_level", "semantic_conf", "space_above", "space_below", "is_at_top", "is_at_bottom", "column_index"]
+    done = classified(given, 9)
+    assert sorted(map(tuple, done.select(*shown).collect())) == sorted(map(tuple, old.select(*shown).collect()))
+    plan = cl.heading_scores(ft.extract(given, 9, by_page=True), rows=9, dealt_by=["doc_id", "page_number"])
+    plan = ro.reading_order(plan.withColumn("block_type", F.lit("PARAGRAPH")))._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.split("\n") if "Exchange hashpartitioning(doc_id" in x and "page_number" in x]
+    assert moved and "chunk" not in plan
