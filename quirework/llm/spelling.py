@@ -30,11 +30,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.settle import discard, settle
+from ..operators.settle import dealt, discard, settle
 
 #: The letters one by one: a class of single characters is looked up in a table.
 LETTER = "[" + "".join(map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)])) + "]"
 LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
+#: So many states may be sent to all parts of the trie, if Spark takes them for small; more are dealt out by node.
+FEW = 20_000
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,7 +76,7 @@ def edges(words: DataFrame, half: Column, least_half: int) -> DataFrame:
     own = F.when(F.col("pos") == half, 1).otherwise(0)
     counted = prefixes.select("node", F.lit(1).alias("n"), own.alias("start")).unionByName(starts)
     counted = counted.groupBy("node").agg(F.sum("n").alias("n"), F.max("start").alias("start")).where("n > 0")
-    path = prefixes.join(counted, "node").groupBy("word", "size").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "n", "start"))).alias("path"))
+    path = prefixes.join(dealt(counted), "node").groupBy("word", "size").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "n", "start"))).alias("path"))
     stops = F.filter("path", lambda p, i: (p["start"] == 1) | (p["pos"] == F.col("size")) | (F.get(F.col("path"), i + 1)["n"] != p["n"]))
     kept = path.select("word", stops.alias("stops"))
     steps = F.transform(F.slice("stops", 2, F.size("stops")), lambda p, i: F.struct(
@@ -84,7 +86,7 @@ def edges(words: DataFrame, half: Column, least_half: int) -> DataFrame:
     ))
     found = settle(kept.where(F.size("stops") > 1).select(F.explode(steps).alias("e")).select("e.*").distinct())
     heads = found.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("heads"))
-    return found.join(heads, "child", "left").select("node", "label", "child", F.coalesce("heads", F.lit("")).alias("heads"))
+    return found.join(dealt(heads), "child", "left").select("node", "label", "child", F.coalesce("heads", F.lit("")).alias("heads"))
 
 
 def step(states: DataFrame, trie: DataFrame) -> DataFrame:
@@ -119,18 +121,20 @@ def halves(words: DataFrame, half: Column, least_half: int) -> DataFrame:
         "word", "shorter", node(size - F.col("shorter"), F.substring(F.col("word"), F.lit(1), half)).alias("node"),
         half.alias("pos"), F.lit(None).cast("string").alias("target"),
     )
-    found, used = [], []
+    found, used, few = [], [], False
     ended = F.col("target").isNotNull() & (F.col("pos") == size)
     # The last character of a word may be the deleted one: no edge follows it.
     last = F.col("target").isNull() & (F.col("shorter") == 1) & (F.col("pos") == size - 1)
     while True:
-        now = settle(step(states, trie))
+        now = settle(step(states if few else dealt(states), trie))
         used.append(now)
         found.append(now.where(ended).select("word", "target"))
         found.append(now.where(last).select("word", F.substring(F.col("word"), F.lit(1), F.col("pos")).alias("target")))
         states = now.where(~ended & (F.col("pos") < size))
-        if states.isEmpty():
+        left = states.limit(FEW + 1).count()
+        if not left:
             break
+        few = left <= FEW
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
@@ -147,7 +151,7 @@ def neighbours(words: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
     forward = halves(words.select("word"), front, least_length // 2)
     backward = halves(words.select(F.reverse("word").alias("word")), back, least_length - least_length // 2)
     targets = forward.unionByName(backward.select(F.reverse("word").alias("word"), F.reverse("target").alias("target"))).distinct()
-    pairs = targets.join(words.select(F.col("word").alias("target")), "target").select("word", F.col("target").alias("near"))
+    pairs = targets.join(dealt(words.select(F.col("word").alias("target"))), "target").select("word", F.col("target").alias("near"))
     both = settle(pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("word").alias("near"))).distinct())
     discard(forward, backward)
     return both
@@ -158,7 +162,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = settle(forms.select("word", F.col("form").alias("root")))
     while True:
         far = now.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        new = settle(now.join(far, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")))
+        new = settle(now.join(dealt(far), "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")))
         discard(now)
         now = new
         if now.where("moved").isEmpty():
@@ -170,14 +174,14 @@ def group(words: DataFrame, ratio: int = RATIO, least_length: int = LEAST_LENGTH
     word, if that is at least ``ratio`` times as frequent. All words have ``least_length`` or more."""
     words = settle(words.groupBy("word").agg(F.sum("n").cast("long").alias("n")))
     near = neighbours(words, least_length)
-    counted = near.join(words.select(F.col("word").alias("near"), "n"), "near").groupBy("word").agg(
+    counted = near.join(dealt(words.select(F.col("word").alias("near"), "n")), "near").groupBy("word").agg(
         F.min(F.struct((-F.col("n")).alias("rarity"), "near")).alias("best"), F.count("*").alias("n_near")
     )
-    rows = settle(words.join(counted, "word", "left").select(
+    rows = settle(words.join(dealt(counted), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("best.rarity") >= ratio * F.col("n"), F.col("best")).alias("best"),
     ))
     last = roots(rows.where("best IS NOT NULL").select("word", F.col("best.near").alias("form")))
     discard(near, words)
-    return rows.join(last, "word", "left").select(
+    return rows.join(dealt(last), "word", "left").select(
         "word", F.col("best.near").alias("form"), F.coalesce("root", "word").alias("root"), "n", "n_near", (-F.col("best.rarity")).alias("form_n"),
     )
