@@ -30,13 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.settle import dealt, discard, settle
+from ..operators.settle import FEW, dealt, discard, settle
 
 #: The letters one by one: a class of single characters is looked up in a table.
 LETTER = "[" + "".join(map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)])) + "]"
 LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
-#: So many states may be sent to all parts of the trie, if Spark takes them for small; more are dealt out by node.
-FEW = 20_000
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -1,8 +1,19 @@
 """Joins whose sides Spark would take for small: nothing of them may be collected by the driver."""
 
+import random
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from quirework.llm import spelling
+from quirework.operators import graph as gr
+from quirework.operators import knowledge as kn
+from quirework.operators import search as se
+from quirework.operators import settle as settling
+from quirework.plans import pipeline, queries_review, queries_search, queries_structure
+
+from test_search_ocr import world
 
 
 @pytest.fixture
@@ -35,3 +46,49 @@ def test_words_and_states_are_not_collected(spark, plans, monkeypatch):
     assert {r.word: r.form for r in rows.collect()} == {
         "wording": None, "wordings": "wording", "wordinx": "wording", "letters": None, "lettrs": None, "letterz": None}
     assert len(seen) > 8 and not [p for p in [*seen, planned(rows)] if "Broadcast" in p]
+
+
+@pytest.fixture
+def search(spark, plans, monkeypatch):
+    """Entities, relationships and requests from stored rows, which Spark takes for small, with no table counted as of few rows."""
+    monkeypatch.setattr(settling, "FEW", 0, raising=False)
+    ents, rels, q = (settling.settle(df) for df in world(spark))
+    return ents, rels, q, [plans(m) for m in (se, gr)]
+
+
+def check(want, *frames, seen=()):
+    """The rows of the last frame; none of the plans sends a table to all tasks."""
+    got = {tuple(r) for r in frames[-1].collect()}
+    assert got == want
+    assert not [p for p in [*(p for s in seen for p in s), *map(planned, frames)] if "Broadcast" in p]
+
+
+def test_entities_are_not_collected_for_matching(search):
+    """A table of names compresses well: its entities were sent to every task of the term search."""
+    ents, _, q, seen = search
+    check({("1", "title_exact"), ("2", "title_prefix"), ("3", "title_contains"), ("4", "content_contains")},
+          se.lexical_match(q, ents).select("entity_id", "match_reason"), seen=seen)
+
+
+SEARCHES = ["lexical_match"]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Small tables for the whole search: parts of one version beside each other in orders, with evidence in documents."""
+    d = str(tmp_path_factory.mktemp("tables"))
+    part = [(4 * (k + 5) + v, n, "STEEL") for k, n in enumerate(["abcde fghij", "abcd efghi", "abc efghi"], 1) for v in range(4)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_type string").withColumn("p_brand", F.lit("B")).write.parquet(f"{d}/part.parquet")
+    lines = [(o, k, n) for o, (a, b) in enumerate((a, b) for a in range(24, 36) for b in range(a + 4, 36, 4)) for n, k in ((1, a), (2, b))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(k, "one\ntwo\nthree") for k in range(20)], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_no_table_of_the_search_is_collected(spark, plans, monkeypatch, tables, name):
+    monkeypatch.setattr(settling, "FEW", 0, raising=False)
+    seen = [plans(m) for m in (pipeline, se, gr)]
+    rows = queries_search.QUERIES[name](spark, tables)
+    assert rows.count() > 0
+    assert not [p for p in [*(p for s in seen for p in s), planned(rows)] if "Broadcast" in p]
