@@ -70,7 +70,8 @@ def test_entities_are_not_collected_for_matching(search):
           se.lexical_match(q, ents).select("entity_id", "match_reason"), seen=seen)
 
 
-SEARCHES = ["lexical_match", "graph_expand", "graph_relationships", "evidence", "passages", "search_scores", "search_ranked_topk", "search_package", "package_outgoing", "package_incoming", "package_evidence", "package_passages", "search_provenance"]
+SEARCHES = ["lexical_match", "graph_expand", "graph_relationships", "evidence", "passages", "search_scores", "search_ranked_topk", "search_package", "search_provenance",
+            "package_outgoing", "package_incoming", "package_evidence", "package_passages", "context_packing", "context_packing_small", "prompts"]
 
 
 @pytest.fixture(scope="module")
