@@ -93,3 +93,17 @@ def test_no_table_of_the_search_is_collected(spark, plans, monkeypatch, tables,
     rows = queries_search.QUERIES[name](spark, tables)
     assert rows.count() > 0
     assert not [p for p in [*(p for s in seen for p in s), planned(rows)] if "Broadcast" in p]
+
+
+def test_no_knowledge_table_is_collected(spark):
+    """Entities are found by the nodes at the ends of an edge and by their blocks."""
+    ents = settling.settle(spark.createDataFrame([("v", "d", f"n{i}", f"e{i}", "T", f"s{i}", f"b{i}", "OCR") for i in (1, 2)],
+                           "version_id string, doc_id string, node_id string, entity_id string, title string, stable_id string, target_block_id string, provenance string"))
+    edges = settling.settle(spark.createDataFrame([("v", "d", "n1", "n2", "CONTAINS", 0.5)],
+                            "version_id string, doc_id string, source_node_id string, target_node_id string, edge_type string, confidence double"))
+    blocks = settling.settle(spark.createDataFrame([("d", "b1", 1, 0.0, 0.0, 1.0, 1.0, "text", "OCR", [("HEADING", "Title")])],
+                             "doc_id string, block_id string, page_number int, x0 double, y0 double, x1 double, y1 double, text string, provenance string, path array<struct<kind string, title string>>"))
+    rels, ev = kn.relationships(edges, ents), kn.evidence(ents, blocks)
+    assert [(r.source_entity_id, r.target_entity_id) for r in rels.collect()] == [("e1", "e2")]
+    assert {(r.entity_id, r.section_title) for r in ev.collect()} == {("e1", "Title"), ("e2", None)}
+    assert "Broadcast" not in planned(rels) + planned(ev)
