@@ -107,3 +107,26 @@ def test_no_knowledge_table_is_collected(spark):
     assert [(r.source_entity_id, r.target_entity_id) for r in rels.collect()] == [("e1", "e2")]
     assert {(r.entity_id, r.section_title) for r in ev.collect()} == {("e1", "Title"), ("e2", None)}
     assert "Broadcast" not in planned(rels) + planned(ev)
+
+
+@pytest.mark.parametrize("serial", [1 << 17, 7, 0])
+def test_cycles_of_small_and_large_documents(spark, monkeypatch, serial):
+    """Every document alone, all together, and both ways: the edges whose ends reach each other."""
+    r = random.Random(3)
+    edges = {(d, r.randrange(9), r.randrange(9)) for d in range(12) for _ in range(d)} | {(None, 1, 2), (None, 2, 1), (None, 3, 3), (4, 5, None), (4, None, 5)}
+    reach = {(d, s, t) for d, s, t in edges if None not in (d, s, t)}
+    while more := {(d, s, u) for d, s, t in reach for e, v, u in reach if d == e and t == v} - reach:
+        reach |= more
+    want = {(d, s, t) for d, s, t in edges if None not in (s, t) and (s == t or (d, t, s) in reach)}
+    rows = spark.createDataFrame([*edges, *edges], "doc_id long, source_node_id long, target_node_id long")
+    got = [tuple(x) for x in gr.cyclic_edges(rows, serial=serial).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_small_documents_take_no_rounds(spark, monkeypatch):
+    """A knot of edges in each of many documents took a round of jobs for every colour and step."""
+    r = random.Random(4)
+    rows = spark.createDataFrame([(d, r.randrange(20), r.randrange(20)) for d in range(50) for _ in range(60)], "doc_id long, source_node_id long, target_node_id long")
+    stored, store = [], gr.settle
+    monkeypatch.setattr(gr, "settle", lambda df: stored.append(1) or store(df))
+    assert gr.cyclic_documents(rows).count() == 50 and len(stored) <= 5
