@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.geometry import bands, band_of
 from .ordered import CHUNK_ROWS, join_per_doc, near
+from .settle import dealt
 
 # What makes a word suspicious, wherever it stands in it, and what counts as a garbage character.
 SUSPICIOUS = r"\p{Nd}[a-zA-Z]|[a-zA-Z]\p{Nd}|[bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ]{5}"
@@ -92,7 +93,9 @@ def layout_score(blocks: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     )
     pairs = overlap_pairs(blocks).groupBy("doc_id").agg(F.count("*").alias("overlapping_pairs"))
     odd = odd_blocks(blocks, rows).groupBy("doc_id").agg(F.count("*").alias("odd_blocks"))
-    df = base.join(pairs, "doc_id", "left").join(odd, "doc_id", "left").join(spacing(blocks), "doc_id", "left")
+    df = base
+    for side in (pairs, odd, spacing(blocks)):
+        df = df.join(dealt(side), "doc_id", "left")
     df = df.fillna(0, ["overlapping_pairs", "odd_blocks"]).fillna(0.0, ["r_spacing"])
     return df.withColumn(
         "layout_quality",
@@ -149,7 +152,7 @@ def reading_score(blocks: DataFrame, edges: DataFrame | None = None, rows: int =
         flow = edges.where("edge_type IN ('READING_FLOW', 'NEXT')").groupBy("doc_id").agg(
             (F.count_if(F.col("confidence") < 0.90) / F.count("*")).alias("_amb")
         )
-        jumps = jumps.join(flow, "doc_id", "left").fillna(0.0, ["_amb"])
+        jumps = jumps.join(dealt(flow), "doc_id", "left").fillna(0.0, ["_amb"])
     return jumps.withColumn(
         "reading_quality", F.expr("IF(backward_jumps > 0, greatest(0D, 1D - _amb - backward_jumps * 0.15D), 1D - _amb)")
     ).drop("_amb")
@@ -159,7 +162,7 @@ def overall(ocr: DataFrame, layout: DataFrame, semantic: DataFrame, hier: DataFr
     """All scores of a document and their geometric mean."""
     df = layout
     for side in (ocr, semantic, hier, reading):
-        df = df.join(side, "doc_id", "left")
+        df = df.join(dealt(side), "doc_id", "left")
     df = df.fillna(1.0, ["ocr_quality", "semantic_quality", "hierarchy_quality", "reading_quality"])
     prod = "ocr_quality * layout_quality * semantic_quality * hierarchy_quality * reading_quality"
     return df.withColumn("overall_quality", F.expr(f"greatest(0D, least(1D, pow({prod}, 0.2D)))"))

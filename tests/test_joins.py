@@ -109,6 +109,15 @@ def test_no_knowledge_table_is_collected(spark):
     assert "Broadcast" not in planned(rels) + planned(ev)
 
 
+def test_scores_are_found_one_by_one(spark, tables):
+    """All scores in one plan read, sorted and shuffled the blocks of a corpus a dozen times at once."""
+    rows = queries_structure.QUERIES["quality_overall"](spark, tables)
+    plan = planned(rows)
+    assert plan.count("Scan parquet") == 5 and "Broadcast" not in plan
+    assert rows.count() == 20 and all(0 <= r.overall_quality <= 1 for r in rows.collect())
+    assert queries_structure.QUERIES["quality_warnings"](spark, tables).where("kind = 'recommendation'").count() > 0
+
+
 @pytest.mark.parametrize("serial", [1 << 17, 7, 0])
 def test_cycles_of_small_and_large_documents(spark, monkeypatch, serial):
     """Every document alone, all together, and both ways: the edges whose ends reach each other."""
