@@ -118,6 +118,13 @@ def test_scores_are_found_one_by_one(spark, tables):
     assert queries_structure.QUERIES["quality_warnings"](spark, tables).where("kind = 'recommendation'").count() > 0
 
 
+def test_a_report_joins_what_is_stored(spark, tables):
+    """Annotation counts and academic scores of all documents were taken for small."""
+    rows = queries_review.QUERIES["document_report"](spark, tables)
+    assert {r.total_nodes for r in rows.collect()} == {3} and rows.count() == 20
+    assert not re.search(r"BroadcastHashJoin \[doc_id#\d+L?\], ", planned(rows))
+
+
 @pytest.mark.parametrize("serial", [1 << 17, 7, 0])
 def test_cycles_of_small_and_large_documents(spark, monkeypatch, serial):
     """Every document alone, all together, and both ways: the edges whose ends reach each other."""
